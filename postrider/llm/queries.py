@@ -7,6 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .token_counts import token_counts
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +33,12 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
