@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .sentencepieces import digests
 from .token_counts import token_counts
 
 
@@ -33,12 +34,16 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_token_counts)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_sentencepiece, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
