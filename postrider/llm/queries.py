@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .quality import fit_ratings, graded
 from .simhash import near_duplicates
 from .sentencepieces import digests
 from .token_counts import token_counts
 
 
+#: Documents stay if the probability of the top grade, learned from as many rows of each grade, is as large.
+LEAST_TAIL = 0.25
+
+
 def tokenizer(name: str) -> str:
     """The place of a public vocabulary file; the operators take it as a parameter."""
     import public_tokenizers
@@ -47,8 +53,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the labelled documents: 0 toxic, 1 poor, 2 good."""
+    labels = _table(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = graded(docs, fit_ratings(docs, ratings(spark, sf_dir)))
+    return scored.withColumn("kept", F.col("tail") >= LEAST_TAIL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_sentencepiece, op7_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_sentencepiece, op7_token_counts, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
