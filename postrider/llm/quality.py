@@ -83,7 +83,7 @@ def telling(rows: list[np.ndarray], grades: np.ndarray, bits: int, least: float
     return chi >= max(floor, least * len(rows))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = 20, epochs: int = 40, rate: float = 0.1, batch: int = 128, seed: int = 1) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = 20, epochs: int = 40, rate: float = 0.1, batch: int = 32, seed: int = 1) -> OrdinalModel:
     """Maximum likelihood over the telling features, with adaptive steps.
 
     Thresholds stay in order. With a single grade or no rows the model is constant.

@@ -14,8 +14,8 @@ def corpus(n, seed):
         grade = i % 3
         w = [r.choice(words) for _ in range(r.choice([20, 200, 1500]))]
         if grade == 0:
-            for _ in range(3):
-                w.insert(r.randrange(len(w)), r.choice(["Nasty", "vile"]))
+            for bad in ("Nasty", "vile", "nasty,"):
+                w.insert(r.randrange(len(w)), bad)
         if grade == 1:
             w = [x + "%%%" for x in w]
         rows.append((i, " ".join(w), grade))
@@ -34,7 +34,7 @@ def test_held_out(spark):
     rows = corpus(900, 2)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (-1, "")], "doc_id long, text string").withColumn("tail", F.lit("x"))
     rated = spark.createDataFrame([(i, g) for i, _, g in rows if i < 600] + [(None, 1), (5, None)], "doc_id long, grade int")
-    model = fit_ratings(docs, rated, per_grade=150)
+    model = fit_ratings(docs, rated, per_grade=250)
     got = {r.doc_id: r for r in graded(docs, model).collect()}
     assert len(got) == 902
     kept = {r.doc_id for r in accepted(docs, model).collect()}
