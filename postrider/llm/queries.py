@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .nearest import nearest
 from .quality import fit_ratings, graded
 from .simhash import near_duplicates
 from .sentencepieces import digests
@@ -45,6 +46,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -66,7 +71,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_sentencepiece, op7_token_counts, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op7_token_counts, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

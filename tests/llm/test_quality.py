@@ -8,7 +8,8 @@ from postrider.llm.quality import accepted, features, fit, fit_ratings, graded
 
 def corpus(n, seed):
     r = random.Random(seed)
-    words = [f"word{i}" for i in range(2000)]
+    syllables = ["ka", "mo", "ri", "te", "lu", "so", "ne", "pa", "di", "gu"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 6))) for _ in range(100_000)]
     rows = []
     for i in range(n):
         grade = i % 3
