@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
+from ..plans.staging import stage
 
 #: Words whose feature numbers a Python worker remembers; then it starts anew.
 REMEMBERED = 500_000
@@ -124,7 +125,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = 20, epochs: int
     return OrdinalModel(w.astype(np.float32), theta, bits)
 
 
-def fit_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = 2500, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
+def fit_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = 1000, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
     """Fit on a bounded sample: of each grade the ``per_grade`` rated ids with the smallest hashes.
 
     Rows without id or grade take no part. What reaches the driver are the
@@ -135,7 +136,9 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = 2500, bits
 
     r = only(ratings, id=id_col, grade=F.col(grade_col).cast("int")).dropna().dropDuplicates(["id"])
     order = Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id")
-    r = r.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_grade).select("id", "grade")
+    # Written first: the bounded sample is then small enough to broadcast for
+    # Spark to see, and the texts need no shuffle.
+    r = stage(r.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_grade).select("id", "grade"))
     d = only(docs, id=id_col, text=text_col)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
