@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .mixing import mixed
 from .nearest import nearest
 from .quality import fit_ratings, graded
 from .simhash import near_duplicates
@@ -54,6 +55,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixed(_table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -71,7 +77,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op7_token_counts, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op6_mixing, op7_token_counts, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
