@@ -76,8 +76,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("tail") >= LEAST_TAIL)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op6_mixing, op7_token_counts, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op6_mixing, op7_token_counts, op8_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

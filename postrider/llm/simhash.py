@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, bands: int = 5) -> DataFrame:
     """``docs``, all columns, with only the smallest id of each component; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
+    found = near_duplicates(docs, id_col, text_col, words, radius, bands)
     dropped = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct())
     return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
