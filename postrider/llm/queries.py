@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .line_dedup import without_repeated_lines
 from .mixing import mixed
 from .nearest import nearest
 from .quality import fit_ratings, graded
@@ -55,6 +56,28 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeated_lines(_table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.last AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixed(_table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -83,8 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op6_mixing, op7_token_counts, op8_quality, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
