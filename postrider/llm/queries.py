@@ -14,6 +14,7 @@ from .nearest import nearest
 from .quality import fit_ratings, graded
 from .simhash import near_duplicates
 from .sentencepieces import digests
+from .substring_dedup import without_repeated_passages
 from .token_counts import token_counts
 
 
@@ -99,6 +100,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("tail") >= LEAST_TAIL)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeated_passages(_table(spark, sf_dir, "documents"), least_words=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+k AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS key, count(*) OVER w AS n FROM a
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE n = 13 GROUP BY key),
+s AS (SELECT k.*, coalesce(f.first < k.doc_id AND k.n = 13, false) AS again FROM k LEFT JOIN f USING (key)),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM s),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+             string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this module
 
@@ -106,8 +127,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}
