@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .katz import scored
 from .line_dedup import without_repeated_lines
 from .mixing import mixed
 from .nearest import nearest
@@ -100,6 +101,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("tail") >= LEAST_TAIL)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeated_passages(_table(spark, sf_dir, "documents"), least_words=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -127,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, op9_katz, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
