@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+GROUPS = [importlib.import_module(f"postrider.queries.{m}").group for m in ("filtering",)]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: q for g in GROUPS for name, q in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for g in GROUPS for name, sql in g.SQL.items()}
