@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +104,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     groups = np.array([group_of[k] for k in known.tolist()], np.int64)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, lower=False):
+        first_name = TaskContext.get().partitionId() * 1_000_000
+        for number, c in enumerate(chunks(batches, lower=False)):
             path = paths(c, least_words)
             where = np.nonzero(path[-1])[0]
             if not len(where):
@@ -129,7 +131,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
                 values.append(pack(ids[order][own], deltas(nodes), times.astype(np.uint16) if times.max() < 65536 else times, back.astype(row.dtype)))
                 names.append(int(group[start]))
                 start = end
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(values, pa.binary())], ["group", "value"])
+            chunk = pa.array([first_name + number] * len(names), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), chunk, pa.array(values, pa.binary())], ["group", "chunk", "value"])
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
         """The deep nodes of one group that lie in several documents, and whom they are repeats for."""
@@ -144,23 +147,28 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         least = np.minimum.reduceat(first[by], np.nonzero(start)[0])
         of_node = np.empty(len(by), np.int64)
         of_node[by] = least[np.cumsum(start) - 1]
-        out = {"doc_id": [], "windows": []}
+        out = {"chunk": [], "value": []}
         at = 0
-        for (ids, _, times, rows), node in zip(parts, nodes, strict=True):
+        for chunk, (ids, _, times, rows), node in zip(frame["chunk"], parts, nodes, strict=True):
             n = times.astype(np.int64)
             again = np.repeat(of_node[at : at + len(node)], n) < ids[rows]
             at += len(node)
             if again.any():
-                row, name = rows[again], np.repeat(node, n)[again]
-                by_row = np.argsort(row, kind="stable")
-                row, name = row[by_row], name[by_row]
-                cuts = np.append(0, np.append(np.nonzero(row[1:] != row[:-1])[0] + 1, len(row)))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    out["doc_id"].append(int(ids[row[a]]))
-                    out["windows"].append(name[a:b].tobytes())
+                out["chunk"].append(chunk)
+                out["value"].append(pack(ids[rows[again]], np.repeat(node, n)[again]))
         return pd.DataFrame(out)
 
-    found = d.mapInArrow(sent, "group int, value binary").groupBy("group").applyInPandas(shared, "doc_id long, windows binary")
+    def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+        """The answers to one chunk, document by document."""
+        parts = [unpack(v) for v in frame["value"]]
+        ids, name = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        by = np.argsort(ids, kind="stable")
+        ids, name = ids[by], name[by]
+        cuts = np.append(0, np.append(np.nonzero(ids[1:] != ids[:-1])[0] + 1, len(ids))).tolist()
+        return pd.DataFrame({"doc_id": ids[cuts[:-1]], "windows": [name[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    answers = d.mapInArrow(sent, "group int, chunk long, value binary").groupBy("group").applyInPandas(shared, "chunk long, value binary")
+    found = answers.groupBy("chunk").applyInPandas(gathered, "doc_id long, windows binary")
     return found.groupBy("doc_id").agg(F.collect_list("windows").alias("passages"))
 
 
