@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-from ..plans.staging import stage
 from .chunks import Chunk, chunks, deltas, mix, pack, unpack
 
 #: Suffixes in a group, at most, unless longer prefixes cannot part them.
@@ -184,7 +183,7 @@ def without_repeated_passages(docs: DataFrame, least_words: int = 13, id_col: st
 
     Windows are compared by 64-bit path hashes. Texts are shuffled once, by id.
     """
-    found = stage(repeated_passages(docs, least_words, id_col, text_col)).withColumnRenamed("doc_id", "id")
+    found = repeated_passages(docs, least_words, id_col, text_col).withColumnRenamed("doc_id", "id")
     d = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     joined = d.join(found, F.coalesce(d.doc_id, F.lit(LAST)) == found.id, "left").select("doc_id", "passages", "text")
 
