@@ -22,15 +22,21 @@ FIRST, NEXT = 1024, 64
 LAST = 2**63 - 1
 
 
-def paths(chunk: Chunk, depth: int) -> list[np.ndarray]:
-    """For each depth from 1, the hash of the path of so many words from each word on (0 where the row ends before)."""
+def paths(chunk: Chunk, depth: int, firsts: int = 0) -> list[np.ndarray | None]:
+    """For each depth from 1, the hash of the path of so many words from each word on (0 where the row ends before).
+
+    Only those of the ``firsts`` least depths and of the last are kept; the others are None.
+    """
     w = chunk.hashes[chunk.words]
-    left = np.repeat(np.cumsum(chunk.sizes), chunk.sizes) - np.arange(len(w))
+    left = (np.repeat(np.cumsum(chunk.sizes), chunk.sizes) - np.arange(len(w))).astype(np.int32)
     out, h = [], np.zeros(len(w), np.uint64)
     for k in range(depth):
         h = mix(h[: len(w) - k] ^ w[k:]) if k < len(w) else h[:0]
-        p = np.zeros(len(w), np.uint64)
-        p[: len(h)] = np.where(left[: len(h)] > k, np.where(h == 0, np.uint64(1), h), 0)
+        p = None
+        if k < firsts or k == depth - 1:
+            p = np.zeros(len(w), np.uint64)
+            np.maximum(h, np.uint64(1), out=p[: len(h)])
+            p[: len(h)][left[: len(h)] <= k] = 0
         out.append(p)
     return out
 
@@ -75,7 +81,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, int] = {}
         for c in chunks(batches, lower=False):
-            path = paths(c, min(len(prefixes.split) + 1, least_words))
+            levels = min(len(prefixes.split) + 1, least_words)
+            path = paths(c, levels, levels)
             if len(c.words):
                 # Suffixes too short for a deep node are in no group.
                 rest = np.repeat(np.cumsum(c.sizes), c.sizes) - np.arange(len(c.words))
@@ -100,22 +107,23 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         group_of[k] = g
         loads[g] += n
     known = np.array(sorted(group_of), np.int64)
-    groups = np.array([group_of[k] for k in known.tolist()], np.int64)
+    groups = np.array([group_of[k] for k in known.tolist()], np.int32)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_name = TaskContext.get().partitionId() * 1_000_000
         for number, c in enumerate(chunks(batches, lower=False)):
-            path = paths(c, least_words)
+            path = paths(c, least_words, len(prefixes.split) + 1)
             where = np.nonzero(path[-1])[0]
             if not len(where):
                 continue
             ids = np.array([r[0] for r in c.rows], np.int64)
             order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
+            rank = np.empty(len(ids), np.int32)
             rank[order] = np.arange(len(ids))
-            row = rank[c.row_of_word()[where]]
+            row = np.repeat(rank, c.sizes)[where]
             node = path[-1][where]
             group = groups[np.searchsorted(known, prefixes.numbers(path, where, len(prefixes.split)))]
+            del path, where
             by = np.lexsort((row, node, group))
             node, row, group = node[by], row[by], group[by]
             new = np.ones(len(by), bool)
