@@ -14,7 +14,7 @@ from postrider.llm.mixing import mixed_documents
 from postrider.llm.quality import accepted, fit_ratings
 from postrider.llm.queries import LEAST_TAIL, ratings, tokenizer
 from postrider.llm.sentencepieces import digests
-from postrider.llm.simhash import without_near_duplicates
+from postrider.llm.similar import without_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id."""
-    return without_near_duplicates(docs, words=3, radius=6, bands=8)
+    """Of each group of near copies, linked at a verified similarity of 0.8 of five-word shingles, the one with the smallest id."""
+    return without_similar(docs, least=0.8, words=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,20 +22,29 @@ TILE = 4096
 SMALL = 48
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of each shingle, in order; a text of fewer words is one shingle, one without words has none."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     xx = xxhash.xxh64_intdigest
-    hashes = [xx(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)] or [xx(joined, seed)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return [xx(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)] or [xx(joined, seed)]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+    return majority(np.array(shingles(text, words, seed), np.uint64))
+
+
 class PivotTable:
     """Hamming distances of fingerprints to reference fingerprints.
 
