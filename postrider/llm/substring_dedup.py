@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
+from ..plans.staging import stage
 from .chunks import Chunk, chunks, deltas, mix, pack, unpack
 
 #: Suffixes in a group, at most, unless longer prefixes cannot part them.
 GROUP = 2_000_000
 #: First prefixes are told apart by so many hash values, longer ones by so many more each.
 FIRST, NEXT = 1024, 64
+#: Characters of text in a chunk; a document with more is a chunk of its own.
+BYTES = 6_000_000
 #: A null id is above all others.
 LAST = 2**63 - 1
 
@@ -61,21 +65,64 @@ class Prefixes:
         return number
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, passages): for ids with a repeated passage, packed path hashes of its windows.
+def entries(chunk: Chunk, ids: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, smallest id, whether a larger id has it too) of the nodes that start in a chunk: one entry for each node."""
+    where = np.nonzero(node)[0]
+    own = ids[chunk.row_of_word()[where]]
+    by = np.lexsort((own, node[where]))
+    node, own = node[where][by], own[by]
+    if not len(node):
+        return node, own, np.zeros(0, bool)
+    ends = np.append(np.nonzero(node[1:] != node[:-1])[0], len(node) - 1)
+    starts = np.append(0, ends[:-1] + 1)
+    return node[starts], own[starts], own[ends] > own[starts]
 
-    A suffix is cut at ``least_words`` words, and its path in the tree is known
-    by hashes: that of its first words puts it into a group, that of all
-    ``least_words`` is its deep node. Nodes that several documents share are the
-    inner nodes of that depth; windows beside each other that lie on such nodes
-    make up the maximal repeats.
+
+def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The rows of each chunk, by the first column."""
+
+    def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            name = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.append(0, np.append(np.nonzero(name[1:] != name[:-1])[0] + 1, len(name))).tolist()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x < y:
+                    yield int(name[x]), b.slice(x, y - x)
+
+    for name, run in groupby(runs(), key=lambda x: x[0]):
+        yield name, (b for _, b in run)
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(chunk, id, missing, text), and (chunk, value): the repeated windows of each chunk of documents.
+
+    A suffix is cut at ``least_words`` words, and its path is known by hashes:
+    that of its first words puts it into a group, that of all ``least_words`` is
+    its deep node. A value holds packed deep nodes and the smallest id that has
+    each; they are repeats for the rows of the chunk with larger ids.
 
     Groups are made so that each fits into memory: all suffixes are counted by
     the first word's hash, and prefixes with too many are split by one word
     more, again and again. Suffixes with equal paths, which no prefix parts, are
     one entry of a chunk of documents, however many documents of it share them.
     """
-    d = only(docs, doc_id=F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), text=text_col)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = TaskContext.get().partitionId() * 1_000_000, 0
+        for b in batches:
+            names = []
+            for t in b.column(2):
+                if held >= BYTES:
+                    name, held = name + 1, 0
+                held += len(t.as_py() or "")
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *b.columns], ["chunk", "id", "missing", "text"])
+
+    own = F.col(f"`{id_col}`").cast("long")
+    plain = only(docs, id=F.coalesce(own, F.lit(LAST)), missing=own.isNull(), text=text_col)
+    # The numbers are written, so that no second reading can deal rows out in another way.
+    named = stage(plain.mapInArrow(numbered, "chunk long, id long, missing boolean, text string"))
+    d = named.select("chunk", "id", "missing", "text")
     prefixes = Prefixes()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,73 +157,53 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     groups = np.array([group_of[k] for k in known.tolist()], np.int32)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_name = TaskContext.get().partitionId() * 1_000_000
-        for number, c in enumerate(chunks(batches, lower=False)):
+        for name, c in ((n, c) for n, run in by_name(batches) for c in chunks(run, lower=False)):
             path = paths(c, least_words, len(prefixes.split) + 1)
             where = np.nonzero(path[-1])[0]
             if not len(where):
                 continue
-            ids = np.array([r[0] for r in c.rows], np.int64)
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int32)
-            rank[order] = np.arange(len(ids))
-            row = np.repeat(rank, c.sizes)[where]
-            node = path[-1][where]
-            group = groups[np.searchsorted(known, prefixes.numbers(path, where, len(prefixes.split)))]
-            del path, where
-            by = np.lexsort((row, node, group))
-            node, row, group = node[by], row[by], group[by]
-            new = np.ones(len(by), bool)
-            new[1:] = (node[1:] != node[:-1]) | (row[1:] != row[:-1]) | (group[1:] != group[:-1])
-            node, row, group = node[new], row[new].astype(np.uint32 if len(ids) > 65535 else np.uint16), group[new]
-            ends = np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))
-            start = 0
+            node, own, several = entries(c, np.array([r[1] for r in c.rows], np.int64), path[-1])
+            # Equal nodes have equal paths, so any of their suffixes tells the group.
+            deep, at = np.unique(path[-1][where], return_index=True)
+            group = groups[np.searchsorted(known, prefixes.numbers(path, where[at], len(prefixes.split)))]
+            del path, where, deep
+            by = np.argsort(group, kind="stable")
+            node, own, several, group = node[by], own[by], several[by], group[by]
+            cuts = np.append(0, np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))).tolist()
             names, values = [], []
-            for end in ends.tolist():
-                own, back = np.unique(row[start:end], return_inverse=True)
-                nodes, times = np.unique(node[start:end], return_counts=True)
-                values.append(pack(ids[order][own], deltas(nodes), times.astype(np.uint16) if times.max() < 65536 else times, back.astype(row.dtype)))
-                names.append(int(group[start]))
-                start = end
-            chunk = pa.array([first_name + number] * len(names), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), chunk, pa.array(values, pa.binary())], ["group", "chunk", "value"])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                values.append(pack(deltas(node[x:y]), *indexed(own[x:y]), several[x:y].astype(np.uint8)))
+                names.append(int(group[x]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(values, pa.binary())], ["group", "chunk", "value"])
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
-        """The deep nodes of one group that lie in several documents, and whom they are repeats for."""
+        """To each chunk, those of its nodes that are repeats for some of its rows, with the smallest id of all."""
         parts = [unpack(v) for v in frame["value"]]
-        nodes = [np.cumsum(p[1], dtype=np.uint64) for p in parts]
-        firsts = [p[0][p[3][np.cumsum(p[2], dtype=np.int64) - p[2].astype(np.int64)]] for p in parts]
-        every, first = np.concatenate(nodes), np.concatenate(firsts)
+        nodes = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        every, first = np.concatenate(nodes), np.concatenate([p[1][p[2]] for p in parts])
         by = np.argsort(every, kind="stable")
-        sorted_nodes = every[by]
         start = np.ones(len(by), bool)
-        start[1:] = sorted_nodes[1:] != sorted_nodes[:-1]
-        least = np.minimum.reduceat(first[by], np.nonzero(start)[0])
+        start[1:] = every[by][1:] != every[by][:-1]
         of_node = np.empty(len(by), np.int64)
-        of_node[by] = least[np.cumsum(start) - 1]
+        of_node[by] = np.minimum.reduceat(first[by], np.nonzero(start)[0])[np.cumsum(start) - 1]
         out = {"chunk": [], "value": []}
         at = 0
-        for chunk, (ids, _, times, rows), node in zip(frame["chunk"], parts, nodes, strict=True):
-            n = times.astype(np.int64)
-            again = np.repeat(of_node[at : at + len(node)], n) < ids[rows]
+        for chunk, p, node in zip(frame["chunk"], parts, nodes, strict=True):
+            least = of_node[at : at + len(node)]
+            again = (least < p[1][p[2]]) | (p[3] > 0)
             at += len(node)
             if again.any():
                 out["chunk"].append(chunk)
-                out["value"].append(pack(ids[rows[again]], np.repeat(node, n)[again]))
+                out["value"].append(pack(deltas(node[again]), *indexed(least[again])))
         return pd.DataFrame(out)
 
-    def gathered(frame: pd.DataFrame) -> pd.DataFrame:
-        """The answers to one chunk, document by document."""
-        parts = [unpack(v) for v in frame["value"]]
-        ids, name = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        by = np.argsort(ids, kind="stable")
-        ids, name = ids[by], name[by]
-        cuts = np.append(0, np.append(np.nonzero(ids[1:] != ids[:-1])[0] + 1, len(ids))).tolist()
-        return pd.DataFrame({"doc_id": ids[cuts[:-1]], "windows": [name[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    return d, d.mapInArrow(sent, "group int, chunk long, value binary").groupBy("group").applyInPandas(shared, "chunk long, value binary")
+
 
-    answers = d.mapInArrow(sent, "group int, chunk long, value binary").groupBy("group").applyInPandas(shared, "chunk long, value binary")
-    found = answers.groupBy("chunk").applyInPandas(gathered, "doc_id long, windows binary")
-    return found.groupBy("doc_id").agg(F.collect_list("windows").alias("passages"))
+def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and each id's place among them."""
+    own, back = np.unique(ids, return_inverse=True)
+    return own, back.astype(np.uint16 if len(own) < 65536 else np.uint32)
 
 
 def without_repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,31 +216,40 @@ def without_repeated_passages(docs: DataFrame, least_words: int = 13, id_col: st
     smaller than each other; a null id is above all others. An empty table
     gives an empty result; other columns are not read.
 
-    Windows are compared by 64-bit path hashes. Texts are shuffled once, by id.
+    Windows are compared by 64-bit path hashes. Texts are written once, with the
+    number of their chunk, and shuffled once, by it.
     """
-    found = repeated_passages(docs, least_words, id_col, text_col).withColumnRenamed("doc_id", "id")
-    d = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    joined = d.join(found, F.coalesce(d.doc_id, F.lit(LAST)) == found.id, "left").select("doc_id", "passages", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for windows, text in zip(batch.column(1), batch.column(2), strict=True):
-                words = (text.as_py() or "").encode().split()
-                n_words.append(len(words))
-                gone = 0
-                if windows.is_valid and len(words) >= least_words:
-                    one = next(chunks(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text.as_py()])], ["i", "t"])]), lower=False))
-                    node = paths(one, least_words)[-1]
-                    starts = np.isin(node, np.frombuffer(b"".join(windows.as_py()), np.uint64)) & (node != 0)
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    edge[:-1] += starts
-                    edge[least_words:] -= starts[: len(words) + 1 - least_words]
-                    covered = np.cumsum(edge)[:-1] > 0
-                    gone = int(covered.sum())
-                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                n_removed.append(gone)
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    d, answers = repeated_passages(docs, least_words, id_col, text_col)
+
+    def cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(v) for v in found["value"]]
+        nodes = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts] or [np.zeros(0, np.uint64)])
+        least = np.concatenate([p[1][p[2]] for p in parts] or [np.zeros(0, np.int64)])
+        by = np.argsort(nodes, kind="stable")
+        nodes, least = nodes[by], least[by]
+        table = pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["text"], pa.string(), from_pandas=True)], ["id", "text"])
+        covered = [np.zeros(0, bool)]
+        for c in chunks(iter([table]), lower=False):
+            node = paths(c, least_words)[-1]
+            starts = np.zeros(len(node), bool)
+            if len(nodes) and len(node):
+                at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                own = np.array([r[0] for r in c.rows], np.int64)[c.row_of_word()]
+                starts = (node != 0) & (nodes[at] == node) & (least[at] < own)
+            edge = np.zeros(len(node) + least_words + 1, np.int64)
+            edge[: len(node)] += starts
+            edge[least_words : least_words + len(node)] -= starts
+            covered.append(np.cumsum(edge)[: len(node)] > 0)
+        gone = np.concatenate(covered)
+        n_words, n_removed, kept, at = [], [], [], 0
+        for text in table.column(1):
+            words = (text.as_py() or "").encode().split()
+            mine = gone[at : at + len(words)]
+            at += len(words)
+            n_words.append(len(words))
+            n_removed.append(int(mine.sum()))
+            kept.append(b" ".join([w for w, c in zip(words, mine.tolist(), strict=True) if not c]).decode())
+        return pd.DataFrame({"id": rows["id"], "missing": rows["missing"], "n_words": n_words, "n_removed": n_removed, "kept": kept})
+
+    out = d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "id long, missing boolean, n_words long, n_removed long, kept string")
+    return out.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postrider.llm import chunks, substring_dedup
@@ -58,3 +59,22 @@ def test_documents(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", 300)  # prefixes of several words
     assert sorted(map(tuple, without_repeated_passages(docs).collect()), key=str) == want
     assert without_repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_one_entry_for_a_node_of_a_chunk():
+    """A passage in 500 documents of a chunk is one entry for each of its windows, not one for each document."""
+    t = pa.RecordBatch.from_arrays([pa.array(range(7, 507)), pa.array([" ".join(f"w{i}" for i in range(14))] * 500)], ["id", "text"])
+    (c,) = chunks.chunks(iter([t]), lower=False)
+    node, least, several = substring_dedup.entries(c, np.array([r[0] for r in c.rows]), substring_dedup.paths(c, 13)[-1])
+    assert len(node) == 2 and least.tolist() == [7, 7] and several.all()
+
+
+def test_several_chunks(spark, monkeypatch):
+    """Chunks of a few documents find their own rows by the answers."""
+    monkeypatch.setattr(substring_dedup, "BYTES", 2000)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    named, answers = substring_dedup.repeated_passages(docs)
+    n = named.select("chunk").distinct().count()
+    assert n > 3 and answers.count() >= 1
+    assert sorted(map(tuple, without_repeated_passages(docs).collect()), key=str) == plain(rows)
