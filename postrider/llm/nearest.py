@@ -115,8 +115,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     empty table gives an empty result. Other columns are not read.
 
     A query goes through pairs of centroids by summed distance, with a heap,
-    until the pairs hold the share ``probed`` of all entries; these are compared
-    exactly. The share is large because the vectors here have hardly any
+    until the pairs hold the share ``probed`` of all entries, and ``k + 1`` at
+    least; these are compared exactly. The share is large because the vectors here have hardly any
     structure: measured recall grows slowly with it.
 
     Equal vectors are one entry with its ``k + 1`` smallest ids, which is all
@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     bounded size, and a cell of any size is cut into as many as it takes.
     """
     spark = vectors.sparkSession
-    v = usable(vectors, id_col, vector_col)
+    v = stage(usable(vectors, id_col, vector_col).distinct())
     # The row limit of this window already holds before the shuffle.
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     few = v.withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     # Bounded by centroids squared, whatever the input.
     for r in indexed.groupBy("cell").count().collect():
         index.counts[r["cell"]] = r["count"]
-    wanted = probed * index.counts.sum()
+    wanted = max(probed * index.counts.sum(), k + 1)
     blocks = np.maximum(1, -(-index.counts // BLOCK))
     shipped = spark.sparkContext.broadcast(index)
 

@@ -49,3 +49,22 @@ def test_few(spark):
     assert nearest(spark.createDataFrame([], schema), lambda i: i % 50 == 0).count() == 0
     two = nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], schema), lambda i: i % 50 == 0).collect()
     assert [(x.query_id, x["rank"], x.vec_id) for x in two] == [(0, 1, 1)] and abs(two[0].score - 0.5**0.5) < 1e-9
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 7])
+def test_all_of_few(spark, n):
+    """With few vectors the share probed holds all candidates that a result needs."""
+    r = np.random.default_rng(n)
+    rows = [(i, list(map(float, r.normal(size=4)))) for i in range(n)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect()
+    assert [(x["rank"], x.vec_id) for x in sorted(got, key=lambda x: x["rank"])] == [(k, j) for k, (_, j) in enumerate(brute(rows, 5)[0], 1)]
+
+
+def test_repeated_rows(spark):
+    """Rows that repeat, of queries and of others, change nothing."""
+    r = np.random.default_rng(6)
+    rows = [(i, list(map(float, r.normal(size=4)))) for i in range(60)] + [(i, [1.0, 0.0, 2.0, 0.0]) for i in range(60, 70)]
+    more = rows + [rows[0]] * 3 + [rows[50]] + [rows[60]] * 8
+    got = nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, probed=1.0, centroids=4).collect()
+    want = {(q, k, j) for q, found in brute(rows, 5).items() for k, (_, j) in enumerate(found, 1)}
+    assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(want)
