@@ -1,4 +1,4 @@
-"""Repeated passages by suffix trees of word suffixes, in groups by variable-length prefixes."""
+"""Repeated passages by hashes of fixed windows of words, in groups by variable-length prefixes; no suffix tree is built."""
 
 from __future__ import annotations
 
