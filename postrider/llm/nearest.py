@@ -94,7 +94,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def fit_index(entries: DataFrame, sample: int = 20_000, centroids: int = 16) -> MultiIndex:
+def index_size(n: int, most: int = 1024) -> int:
+    """Centroids of each half for n entries: about the power 0.4 of n, a power of two from 8 to ``most``."""
+    return int(min(most, max(8, 2 ** round(0.4 * np.log2(max(n, 2))))))
+
+
+def probed_share(n: int) -> float:
+    """Share of n entries that a query compares: all of up to 50, a third of 50,000, a 17th of 600 million."""
+    return min(1.0, 2.2 * max(n, 1) ** -0.18)
+
+
+def fit_index(entries: DataFrame, centroids: int, sample: int = 20_000) -> MultiIndex:
     """Centroids from the ``sample`` entries with the smallest hashed ids; all entries are indexed later."""
     chosen = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     unit = _unit(_matrix(chosen["v"].combine_chunks()))
@@ -104,24 +114,44 @@ def fit_index(entries: DataFrame, sample: int = 20_000, centroids: int = 16) ->
     return MultiIndex(kmeans(unit[:, :h], centroids), kmeans(unit[:, h:], centroids))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, centroids: int = 16, probed: float = 0.75) -> DataFrame:
+def best_of(q: np.ndarray, x: np.ndarray, flags: np.ndarray, second: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, entry row, cosine) of the k + 1 best entries of each query, ties with the last included.
+
+    ``flags[r, j]`` says whether query r goes through the cells of the second
+    centroid j, ``second`` has the second centroid of each entry.
+    """
+    s = np.full((len(q), len(x)), -np.inf)
+    for j in np.unique(second):
+        rows, own = np.nonzero(flags[:, j])[0], np.nonzero(second == j)[0]
+        if len(rows):
+            s[np.ix_(rows, own)] = q[rows] @ x[own].T
+    n = min(k + 1, s.shape[1])
+    least = np.partition(s, s.shape[1] - n, axis=1)[:, -n]
+    i, j = np.nonzero((s >= least[:, None] - 1e-12) & (s > -np.inf))
+    return i, j, np.einsum("ij,ij->i", q[i], x[j])
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, centroids: int | None = None, probed: float | None = None) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows for which ``is_query(id column)`` holds, candidates all
     rows but the query's own id. The score is the cosine in double precision,
     ties go to the smaller id. Rows with a null id, and vectors that are null,
     zero or hold null or non-finite components, take no part; all vectors must
-    have one length. With fewer candidates than ``k`` all are returned; an
-    empty table gives an empty result. Other columns are not read.
+    have one length. With fewer candidates than ``k`` all are returned. Rows that
+    repeat id and vector count once; an id with two vectors keeps its better
+    score. An empty table gives an empty result. Other columns are not read.
 
     A query goes through pairs of centroids by summed distance, with a heap,
     until the pairs hold the share ``probed`` of all entries, and ``k + 1`` at
-    least; these are compared exactly. The share is large because the vectors here have hardly any
-    structure: measured recall grows slowly with it.
+    least; these are compared exactly. Centroids grow and the share falls with
+    the number of entries (:func:`index_size`, :func:`probed_share`); recall at
+    several sizes is in the README.
 
     Equal vectors are one entry with its ``k + 1`` smallest ids, which is all
-    that a result can name. Entries and queries of a cell meet in blocks of
-    bounded size, and a cell of any size is cut into as many as it takes.
+    that a result can name. Entries meet queries by the centroid of their first
+    half, in blocks of bounded size: a query is sent once for each such
+    centroid that it goes through, with flags for the second halves.
     """
     spark = vectors.sparkSession
     v = stage(usable(vectors, id_col, vector_col).distinct())
@@ -129,61 +159,63 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     few = v.withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
     entries = stage(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vec_id", F.col("ids")[0]))
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not entries.head(1):
-        return spark.createDataFrame([], schema)
-    index = fit_index(entries, sample, centroids)
+    n_entries = entries.count()
+    if not n_entries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = fit_index(entries, centroids or index_size(n_entries), sample)
+    width = len(index.second)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.append_column("cell", pa.array(index.cells(_unit(_matrix(b.column(0)))).astype(np.int32)))
+                cell = index.cells(_unit(_matrix(b.column(0))))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32))], [*b.schema.names, "first", "second"])
 
-    indexed = stage(entries.mapInArrow(placed, "v array<double>, ids array<long>, vec_id long, cell int"))
+    indexed = stage(entries.mapInArrow(placed, "v array<double>, ids array<long>, vec_id long, first int, second int"))
     # Bounded by centroids squared, whatever the input.
-    for r in indexed.groupBy("cell").count().collect():
-        index.counts[r["cell"]] = r["count"]
-    wanted = max(probed * index.counts.sum(), k + 1)
-    blocks = np.maximum(1, -(-index.counts // BLOCK))
+    held = indexed.groupBy("first", "second").count().toArrow()
+    at = held["first"].to_numpy().astype(np.int64) * width + held["second"].to_numpy()
+    index.counts[at] = held["count"].to_numpy()
+    wanted = max((probed_share(n_entries) if probed is None else probed) * n_entries, k + 1)
+    blocks = np.maximum(1, -(-index.counts.reshape(-1, width).sum(axis=1) // BLOCK))
     shipped = spark.sparkContext.broadcast(index)
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cells, vectors = [], [], []
-            x = _matrix(b.column(1))
-            for i, u in zip(b.column(0).to_pylist(), _unit(x) if len(x) else (), strict=True):
-                found = shipped.value.probe(u, wanted)
-                ids += [i] * len(found)
-                cells += found
-                vectors += [u.tobytes()] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(vectors, pa.binary())], ["query_id", "cell", "u"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids, firsts, flags, vectors = [], [], [], []
+                for i, u in zip(part.column(0).to_pylist(), _unit(_matrix(part.column(1))), strict=True):
+                    through = np.zeros((len(shipped.value.first), width), bool)
+                    through.reshape(-1)[shipped.value.probe(u, wanted)] = True
+                    own = np.nonzero(through.any(axis=1))[0]
+                    ids += [i] * len(own)
+                    firsts += own.tolist()
+                    flags += [f.tobytes() for f in np.packbits(through[own], axis=1)]
+                    vectors += [u.tobytes()] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(flags, pa.binary()), pa.array(vectors, pa.binary())], ["query_id", "first", "flags", "u"])
 
     queries = v.filter(is_query(F.col("vec_id"))).select("vec_id", "v")
-    probes = queries.mapInArrow(probing, "query_id long, cell int, u binary")
+    probes = queries.mapInArrow(probing, "query_id long, first int, flags binary, u binary")
     parts = max(1, -(-queries.count() // BLOCK))
-    of_cell = F.array(*[F.lit(int(n)) for n in blocks])[F.col("cell")]
-    q = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
-    e = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    of_first = F.array(*[F.lit(int(n)) for n in blocks])[F.col("first")]
+    q = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of_first - 1)))
+    e = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_first).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not (len(left) and len(right)):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q = np.frombuffer(b"".join(left["u"]), np.float64).reshape(len(left), -1)
-        x = _unit(np.stack(right["v"].to_numpy()))
-        s = q @ x.T
-        n = min(k + 1, s.shape[1])
-        # The k + 1 best entries; of entries that tie with the last, all.
-        least = np.partition(s, s.shape[1] - n, axis=1)[:, -n]
-        i, j = np.nonzero(s >= least[:, None] - 1e-12)
-        score = np.einsum("ij,ij->i", q[i], x[j])
+        flags = np.unpackbits(np.frombuffer(b"".join(left["flags"]), np.uint8).reshape(len(left), -1), axis=1, count=width).view(bool)
+        i, j, score = best_of(q, _unit(np.stack(right["v"].to_numpy())), flags, right["second"].to_numpy(), k)
         ids = right["ids"].to_numpy()
-        size = np.array([len(z) for z in ids])[j]
-        named = np.concatenate([ids[z] for z in j])
+        size = np.array([len(z) for z in ids], np.int64)[j]
+        named = np.concatenate([ids[z] for z in j]) if len(j) else []
         return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy()[i], size), "vec_id": named, "score": np.repeat(score, size)})
 
-    keys = ["cell", "block", "part"]
-    found = q.groupBy(*keys).cogroup(e.select("v", "ids", *keys).groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
+    keys = ["first", "block", "part"]
+    found = q.groupBy(*keys).cogroup(e.select("v", "ids", "second", *keys).groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
+    found = found.filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
-

@@ -51,7 +51,7 @@ def test_few(spark):
     assert [(x.query_id, x["rank"], x.vec_id) for x in two] == [(0, 1, 1)] and abs(two[0].score - 0.5**0.5) < 1e-9
 
 
-@pytest.mark.parametrize("n", [3, 4, 5, 6, 7])
+@pytest.mark.parametrize("n", range(2, 13))
 def test_all_of_few(spark, n):
     """With few vectors the share probed holds all candidates that a result needs."""
     r = np.random.default_rng(n)
@@ -68,3 +68,13 @@ def test_repeated_rows(spark):
     got = nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, probed=1.0, centroids=4).collect()
     want = {(q, k, j) for q, found in brute(rows, 5).items() for k, (_, j) in enumerate(found, 1)}
     assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall(spark, sf):
+    """The registered query's parameters find nine tenths of the five nearest, by brute force over the whole table."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()], 5)
+    got = {(r.query_id, r.vec_id) for r in nearest(df, lambda i: i % 50 == 0).collect()}
+    true = {(q, j) for q, found in want.items() for _, j in found}
+    assert len(got & true) >= 0.9 * len(true) and len(got) == len(true)
