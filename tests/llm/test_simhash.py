@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from postrider.llm import simhash
-from postrider.llm.simhash import PivotTable, fingerprint, near_duplicates, near_links, without_near_duplicates
+from postrider.llm.simhash import PivotTable, fingerprint, key_bands, near_duplicates, near_links, without_near_duplicates
 
 
 def plain_fingerprint(text):
@@ -67,18 +67,44 @@ def test_documents(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def classes(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    out = {}
+    for n in nodes:
+        out.setdefault(find(n), set()).add(n)
+    return sorted(map(sorted, out.values()))
+
+
 def test_links_of_a_large_group(spark, monkeypatch):
-    """Thousands of fingerprints around one, in tiles: the same components as by brute force."""
-    monkeypatch.setattr(simhash, "TILE", 100)
+    """Hundreds of fingerprints around one: through all rounds of longer keys and in tiles, the same components as by brute force."""
+    monkeypatch.setattr(simhash, "TILE", 40)
     r = np.random.default_rng(5)
     x = np.full(900, 0x123456789ABCDEF0, np.uint64)
     for _ in range(5):
         x ^= np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64)
-    x = np.unique(np.concatenate([x, r.integers(0, 2**64, 300, dtype=np.uint64)]))
-    links = near_links(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"), PivotTable()).collect()
-    at = {int(v): i for i, v in enumerate(x.view(np.int64))}
-    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
-    want = simhash._roots(len(x), a, b)
-    got = simhash._roots(len(x), np.array([at[e.src] for e in links]), np.array([at[e.dst] for e in links]))
-    assert (want == got).all()
-    assert len(links) < 20 * len(x)
+    x = np.unique(np.concatenate([x, r.integers(0, 2**64, 300, dtype=np.uint64)])).view(np.int64).tolist()
+    links = [(e.src, e.dst) for e in near_links(spark.createDataFrame([(v,) for v in x], "fp long"), 3).collect()]
+    near = [(a, b) for a, b in combinations(x, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    assert classes(x, links) == classes(x, near)
+    assert all(a != b for a, b in links) and len(links) < 20 * len(x)
+
+
+def test_keys():
+    """Fingerprints within the radius share a key, whatever the bands; keys grow with the number of fingerprints."""
+    r = np.random.default_rng(6)
+    x = r.integers(0, 2**64, 200, dtype=np.uint64)
+    for bands in (5, 6, 8, 12):
+        p = PivotTable(3, bands)
+        y = x.copy()
+        for _ in range(3):
+            y ^= np.uint64(1) << r.integers(0, 64, len(y)).astype(np.uint64)
+        assert (p.keys(x) == p.keys(y)).any(axis=1).all()
+    assert [key_bands(n, 3) for n in (0, 50_000, 250_000, 10**7, 10**10, 10**14)] == [5, 5, 6, 6, 9, 12]
