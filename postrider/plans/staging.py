@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one under /tmp."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, one under /tmp in local mode (tests); a cluster must set it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(path or "/tmp/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -20,10 +23,13 @@ def stage(df: DataFrame) -> DataFrame:
 
     The files survive lost executors and give later plans true sizes, from
     which Spark itself decides whether a side is small enough to broadcast.
+    They go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
