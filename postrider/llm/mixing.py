@@ -120,7 +120,9 @@ def draw_slots(targets: DataFrame, seed: int = 11) -> DataFrame:
     counts = counts.withColumn("from", F.coalesce(F.sum("n").over(along), F.lit(0))).join(t.select("rank", "slots"), "rank")
     kept = counts.withColumn("n_kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("from"))))
     kept = stage(kept)
-    valid = kept.filter("n_kept > 0").select("shard", "rank", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n_kept") - 1)).alias("number"))
+    # A few rows here stand for very many slots: they are spread before they are expanded.
+    spread = kept.filter("n_kept > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
+    valid = spread.select("shard", "rank", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n_kept") - 1)).alias("number"))
     # Draws beyond a source's slots, and slots that were not drawn, are as many:
     # both are numbered and paired. Their number grows with the root of the slots.
     over = kept.filter("n > n_kept").select("shard", "rank", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - F.col("n_kept"))).alias("i"))

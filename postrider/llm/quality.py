@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..plans.columns import only
 from ..plans.staging import stage
 
-#: Words whose feature numbers a Python worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Words, of up to 40 bytes, whose feature numbers a Python worker remembers; then it starts anew.
+REMEMBERED = 100_000
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 
 
@@ -36,7 +37,9 @@ def features(text: str | None, bits: int = 20) -> np.ndarray:
         if k is None:
             if len(_KNOWN) > REMEMBERED:
                 _KNOWN.clear()
-            k = _KNOWN[w] = _numbers(w, bits)
+            k = _numbers(w, bits)
+            if len(w) <= 40:
+                _KNOWN[w] = k
         found.update(k)
     n = max(len(raw), 1)
     letters = sum(map(len, words)) or 1
@@ -128,17 +131,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = 20, epochs: int
 def fit_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = 1000, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
     """Fit on a bounded sample: of each grade the ``per_grade`` rated ids with the smallest hashes.
 
-    Rows without id or grade take no part. What reaches the driver are the
-    sampled texts' feature numbers, so it is bounded by ``per_grade`` and the
-    number of grades, not by the input.
+    Rows without id or grade take no part; of an id's grades the lowest counts;
+    texts of an id in several rows all count. Empty tables give a constant
+    model. What reaches the driver are the sampled texts' feature numbers, so it
+    is bounded by ``per_grade`` and the number of grades, not by the input.
     """
-    from pyspark.sql import Window
-
-    r = only(ratings, id=id_col, grade=F.col(grade_col).cast("int")).dropna().dropDuplicates(["id"])
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id")
-    # Written first: the bounded sample is then small enough to broadcast for
-    # Spark to see, and the texts need no shuffle.
-    r = stage(r.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_grade).select("id", "grade"))
+    r = only(ratings, id=id_col, grade=F.col(f"`{grade_col}`").cast("int")).dropna()
+    r = stage(r.groupBy("id").agg(F.min("grade").alias("grade")))
+    # Each task hands on its smallest hashes of a grade only. Written first: the
+    # bounded sample is then small enough to broadcast for Spark to see, and the
+    # texts need no shuffle.
+    grades = sorted(x["grade"] for x in r.select("grade").distinct().collect())
+    tops = [r.filter(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(per_grade) for g in grades]
+    r = stage(reduce(DataFrame.union, tops, r.limit(0)))
     d = only(docs, id=id_col, text=text_col)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

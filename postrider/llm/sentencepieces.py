@@ -15,9 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-
-#: Chunks that a Python worker remembers; then it starts anew. Only speed depends on it.
-REMEMBERED = 1_000_000
+from .text import sliced
+
+#: Bytes, about, of the chunks that a Python worker remembers; then it starts anew. Only speed depends on it.
+REMEMBERED = 64_000_000
+#: Bytes that an entry takes besides its letters and ids: two objects and a place in the table.
+ENTRY = 250
+#: Texts that are encoded together: rows, and characters unless one has more.
+ROWS, LETTERS = 1000, 2_000_000
 #: Fixed value: the letter that stands for a space in vocabularies.
 BLANK = "▁"
 
@@ -50,6 +55,7 @@ class MergeEncoder:
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}\n{m}]+|{BLANK}*[{m}]+[^{BLANK}\n{m}]*|{BLANK}+|\n").findall
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}
+        self.held = 0
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk: the best-scored adjacent pair merges first, the leftmost among equals."""
@@ -98,9 +104,6 @@ class MergeEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode new chunks and hold each against the library, in one call for all."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
         new = list(chunks)
         # After a line end, which never merges, the library sees a chunk as it is.
         for c, want in zip(new, self.library.encode(["\n" + c.replace(BLANK, " ") for c in new], num_threads=1), strict=True):
@@ -108,6 +111,7 @@ class MergeEncoder:
             if ids != want[2:]:
                 raise ValueError(f"the library encodes {c!r} as {want[2:]}, the agenda as {ids}")
             self.known[c] = array("i", ids).tobytes()
+            self.held += ENTRY + 2 * len(c) + 4 * len(ids)
             text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
             if text != c.replace(BLANK, " "):
                 self.odd[c] = text
@@ -117,8 +121,10 @@ class MergeEncoder:
         parts = [self.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         known = self.known
         new = {c for p in parts for c in p if c not in known}
-        if len(known) + len(new) > REMEMBERED:
-            new = {c for p in parts for c in p}
+        if self.held > REMEMBERED:
+            known.clear()
+            self.odd.clear()
+            self.held, new = 0, {c for p in parts for c in p}
         if new:
             self.learn(new)
         end = array("i", [self.end]).tobytes()
@@ -154,8 +160,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in sliced(whole, 1, ROWS, LETTERS):
                 ids, decoded = encoder.batch(b.column(1).to_pylist())
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])

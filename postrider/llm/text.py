@@ -1,7 +1,11 @@
-"""Column expressions on text that the corpus operators share; built-in functions only."""
+"""What the corpus operators share on text: column expressions of built-in functions, and slices of Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +27,15 @@ def n_words(text: Column) -> Column:
     """Number of runs of other characters than white space (null: 0)."""
     t = F.trim(one_spaced(text))
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def sliced(batch: pa.RecordBatch, text: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``size`` bytes in column ``text``, unless one row has more."""
+    at = held = 0
+    for end, n in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist()):
+        if end > at and (held + n > size or end - at >= rows):
+            yield batch.slice(at, end - at)
+            at, held = end, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)

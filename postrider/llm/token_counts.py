@@ -16,8 +16,11 @@ from ..plans.columns import only
 #: The published splitting pattern of byte-level vocabularies, and its contractions.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CONTRACTIONS = frozenset({"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"})
-#: Pieces that a Python worker remembers; then it starts anew. Only speed depends on it.
-REMEMBERED = 1_000_000
+#: Bytes, about, of the tables that a Python worker remembers, and token pairs; then it starts anew. Only speed depends on them.
+REMEMBERED = 48_000_000
+PAIRS = 200_000
+#: Bytes that an entry takes besides its letters and counts: two objects and a place in the table.
+ENTRY = 220
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,12 +59,13 @@ class PrefixCounter:
         self.special_set = frozenset(special)
         self.fits: dict[tuple[int, int], bool] = {}
         self.tables: dict[str, bytes | list[int]] = {}
+        self.held = 0
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of tokens a and b gives just these two."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > REMEMBERED:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self._stay_apart(a, b)
         return known
@@ -90,9 +94,11 @@ class PrefixCounter:
         """Token count at each prefix of a piece, by bytes, from the empty prefix on."""
         found = self.tables.get(piece)
         if found is None:
-            if len(self.tables) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.tables.clear()
+                self.held = 0
             found = self.tables[piece] = self._table(piece.encode())
+            self.held += ENTRY + 2 * len(piece) + (len(found) if isinstance(found, bytes) else 36 * len(found))
         return found
 
     def _table(self, b: bytes) -> bytes | list[int]:
