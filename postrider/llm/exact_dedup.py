@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-from ..plans.staging import saved
+from ..plans.staging import saved, stage
 from .text import one_spaced
 
 
@@ -14,11 +14,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same bytes after each run of ASCII white
-    space has become one space. Rows are counted by content hash and length; only texts whose hash is not
-    alone are shuffled. There the group key is the hash followed by the
-    normalised text itself, so two texts share a group only if their bytes
-    agree, whatever the hash does; equal rows meet already before the shuffle,
-    so a text with very many copies is one row a task.
+    space has become one space. Rows are first counted by a short hash; texts
+    whose hash is alone have no copies and are left out, before any shuffle as
+    long as Spark finds the other hashes small enough to broadcast. The group
+    key is the 128-bit content hash followed by the normalised text itself, so
+    two texts share a group only if their bytes agree, whatever the hash does;
+    equal rows meet already before the shuffle, so a text with very many copies
+    is one row a task.
 
     Null and empty texts are equal to each other. The smallest id stays; a null
     id stays only in a group without other ids. Rows that repeat id and text
@@ -26,9 +28,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result; other columns are not read.
     """
     d = only(docs, doc_id=id_col, text=one_spaced(F.col(f"`{text_col}`")))
-    hashed = d.select("doc_id", "text", hash128("text").alias("h"), F.length("text").alias("len"))
-    several = saved(hashed.groupBy("h", "len").count().filter("count > 1").select("h", "len"))
-    groups = hashed.join(several, ["h", "len"], "left_semi").groupBy("h", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    short = F.xxhash64(hash128("text")).alias("short")
+    several = stage(d.groupBy(short).count().filter("count > 1").select("short"))
+    groups = d.select("doc_id", "text", short).join(several, "short", "left_semi").groupBy(hash128("text").alias("h"), "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Only groups with copies are looked up. The saved table is a plain side of
     # the join: Spark broadcasts it if it is small and splits hot keys if not.
     copies = saved(groups.filter("group_size > 1").select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
