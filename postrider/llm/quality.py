@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.columns import only
 from ..plans.staging import stage
 
-#: Words, of up to 40 bytes, whose feature numbers a Python worker remembers; then it starts anew.
+#: Words, of up to 40 bytes, whose feature numbers a Python worker remembers; the first ones stay.
 REMEMBERED = 100_000
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 
@@ -35,10 +35,8 @@ def features(text: str | None, bits: int = 20) -> np.ndarray:
     for w in distinct:
         k = _KNOWN.get(w)
         if k is None:
-            if len(_KNOWN) > REMEMBERED:
-                _KNOWN.clear()
             k = _numbers(w, bits)
-            if len(w) <= 40:
+            if len(w) <= 40 and len(_KNOWN) < REMEMBERED:
                 _KNOWN[w] = k
         found.update(k)
     n = max(len(raw), 1)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..plans.columns import only
 from .text import sliced
 
-#: Bytes, about, of the chunks that a Python worker remembers; then it starts anew. Only speed depends on it.
-REMEMBERED = 64_000_000
+#: Bytes, about, of the chunks that a Python worker remembers; the first ones stay. Only speed depends on it.
+REMEMBERED = 96_000_000
 #: Bytes that an entry takes besides its letters and ids: two objects and a place in the table.
 ENTRY = 250
 #: Texts that are encoded together: rows, and characters unless one has more.
@@ -102,35 +102,39 @@ class MergeEncoder:
         t = b"".join([self.texts.get(i, b"") for i in ids]).decode("utf-8", "replace")
         return t[1:] if t[:1] == " " else t
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode new chunks and hold each against the library, in one call for all."""
-        new = list(chunks)
+    def learn(self, chunks: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """Encode new chunks and hold each against the library, in one call for all; remember them while there is room."""
+        new, ids_of, odd = list(chunks), {}, {}
         # After a line end, which never merges, the library sees a chunk as it is.
         for c, want in zip(new, self.library.encode(["\n" + c.replace(BLANK, " ") for c in new], num_threads=1), strict=True):
             ids = self.merge(c)
             if ids != want[2:]:
                 raise ValueError(f"the library encodes {c!r} as {want[2:]}, the agenda as {ids}")
-            self.known[c] = array("i", ids).tobytes()
-            self.held += ENTRY + 2 * len(c) + 4 * len(ids)
+            ids_of[c] = array("i", ids).tobytes()
             text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
             if text != c.replace(BLANK, " "):
-                self.odd[c] = text
+                odd[c] = text
+        if self.held < REMEMBERED:
+            self.known |= ids_of
+            self.odd |= odd
+            self.held += sum(ENTRY + 2 * len(c) + len(i) for c, i in ids_of.items())
+            return {}, {}
+        return ids_of, odd
 
     def batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Of each text the ids with the end, as bytes of int32, and what they decode to."""
         parts = [self.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         known = self.known
         new = {c for p in parts for c in p if c not in known}
-        if self.held > REMEMBERED:
-            known.clear()
-            self.odd.clear()
-            self.held, new = 0, {c for p in parts for c in p}
-        if new:
-            self.learn(new)
+        fresh, odd = self.learn(new) if new else ({}, {})
         end = array("i", [self.end]).tobytes()
-        ids = [b"".join([known[c] for c in p]) + end for p in parts]
-        if self.odd:
-            return ids, ["".join([self.odd.get(c) or c.replace(BLANK, " ") for c in p])[1:] for p in parts]
+        if fresh:
+            ids = [b"".join([known.get(c) or fresh[c] for c in p]) + end for p in parts]
+        else:
+            ids = [b"".join([known[c] for c in p]) + end for p in parts]
+        odd = self.odd | odd if odd else self.odd
+        if odd:
+            return ids, ["".join([odd.get(c) or c.replace(BLANK, " ") for c in p])[1:] for p in parts]
         return ids, [t.replace(BLANK, " ") for t in texts]
 
 

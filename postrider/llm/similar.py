@@ -20,7 +20,7 @@ from .simhash import majority, near_links, shingles
 #: Two texts of similarity s share a min-hash key with probability 1 - (1 - s^ROWS)^KEYS: 0.9993 at 0.8.
 KEYS, ROWS = 24, 6
 #: Shingles of one candidate group that a task compares; a larger group is dealt out in parts.
-TILE = 1_000_000
+TILE = 200_000
 _FACTORS = np.random.default_rng(11).integers(0, 2**64, KEYS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
