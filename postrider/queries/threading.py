@@ -68,24 +68,6 @@ def thr_subject_fallback(spark, d):
     return o.subject_edges(m, m.select("account", "rfc_id").distinct()).select("src", "dst")
 
 
-@add("thr_delivery_v3", f"WITH {SQL} SELECT account, count(DISTINCT body) AS deliveries FROM m_all GROUP BY account")
-def thr_delivery_v3(spark, d):
-    """Copies by fingerprint, as Message-IDs here differ for each row."""
-    m = mails(spark, d).withColumn("rfc_id", F.lit(None).cast("string"))
-    return o.deliveries(m).groupBy("account").agg(F.countDistinct("delivery").alias("deliveries"))
-
-
-@add("thr_delivery_v1", f"WITH {CONV} SELECT count(DISTINCT rfc_id || fp)::BIGINT AS deliveries FROM t")
-def thr_delivery_v1(spark, d):
-    return o.deliveries(turns(spark, d)).agg(F.countDistinct("delivery").alias("deliveries"))
-
-
-@add("thr_delivery_merge", f"WITH {SQL} SELECT account, id::VARCHAR AS id FROM m_all QUALIFY row_number() OVER (PARTITION BY account, body ORDER BY date, id::VARCHAR) = 1")
-def thr_delivery_merge(spark, d):
-    m = mails(spark, d).withColumn("rfc_id", F.lit(None).cast("string"))
-    return o.representatives(m.join(o.deliveries(m), ["account", "id"])).select("account", "id")
-
-
 @add("thr_refs_select", "SELECT conv_id, turn, CASE WHEN turn >= 2 THEN (turn - 2) || ',' || (turn - 1) WHEN turn = 1 THEN '0' ELSE '' END AS refs FROM conversations")
 def thr_refs_select(spark, d):
     s = lambda k: (F.col("turn") - k).cast("string")
@@ -99,12 +81,6 @@ def thr_edges(spark, d):
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-@add("thr_edges_table", f"WITH {SQL} SELECT id, unnest(['message_id', 'body']) AS kind, unnest([rfc_id, md5(body)]) AS key FROM m_all")
-def thr_edges_table(spark, d):
-    rows = F.array(F.struct(F.lit("message_id").alias("kind"), F.col("rfc_id").alias("key")), F.struct(F.lit("body").alias("kind"), F.md5("body").alias("key")))
-    return messages(spark, d).select("id", F.inline(rows))
-
-
 @add("thr_closure", f"WITH {SQL} SELECT DISTINCT y.id::VARCHAR AS id FROM m_all x JOIN m_all y ON y.body = x.body WHERE x.id % 20 = 0")
 def thr_closure(spark, d):
     """All messages that share a body with a seed, directly or over others."""
@@ -112,11 +88,6 @@ def thr_closure(spark, d):
     return o.closure(messages(spark, d).filter("id % 20 = 0").select(F.col("id").cast("string").alias("id")), rows)
 
 
-@add("thr_input_hash", f"WITH {SQL} SELECT id, sha256('{{\"account\":\"' || account || '\",\"id\":' || id || '}}') AS hash FROM m_all")
-def thr_input_hash(spark, d):
-    return messages(spark, d).select("id", F.sha2(F.to_json(F.struct("account", "id")), 256).alias("hash"))
-
-
 @add("thr_validate", f"WITH {SQL} SELECT count(*)::BIGINT AS repeated FROM (SELECT id FROM m_all GROUP BY account, id HAVING count(*) > 1)")
 def thr_validate(spark, d):
     return o.repeated_ids(o.checked(mails(spark, d))).agg(F.count("*").alias("repeated"))
@@ -196,8 +167,3 @@ def thr_delivery_keys(spark, d):
 @add("thr_bridge", f"WITH {SQL} SELECT md5(body) AS body, count(DISTINCT account) AS accounts FROM m_all GROUP BY 1 HAVING count(DISTINCT account) > 1")
 def thr_bridge(spark, d):
     return messages(spark, d).groupBy(F.md5("body").alias("body")).agg(F.countDistinct("account").alias("accounts")).filter("accounts > 1")
-
-
-@add("thr_retention", "SELECT event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10') AS kept FROM events GROUP BY event_type")
-def thr_retention(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).alias("kept"))
