@@ -81,6 +81,79 @@ def similarity(c: Column, term: str) -> Column:
     return F.size(F.array_intersect(trigrams(c), t)) / F.greatest(F.size(t), F.lit(1))
 
 
+#: Words that say nothing of what is looked for.
+STOPWORDS = (
+    "a an and are as at be by do for from i in is it me my of on or our that the this to us we with you your "
+    "about any all show find get email emails mail message messages"
+).split()
+
+
+def significant(words: tuple[str, ...], most: int = 8) -> tuple[str, ...]:
+    """The words that are looked for by similar spelling: three letters or more, no stopwords, each once."""
+    return tuple(dict.fromkeys(w for w in words if len(w) >= 3 and w not in STOPWORDS))[:most]
+
+
+def significant_tokens(c: Column, most: int = 8) -> Column:
+    """The same of a column of free text, folded."""
+    return F.slice(F.array_distinct(F.filter(tokens(c), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))), 1, most)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, each computed once for a row.
+
+    A plain projection would be merged into the filters and columns above it
+    and computed again in each of them; rows of a generator are not.
+    """
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", held.alias("__once")).select("*", "__once.*").drop("__once")
+
+
+def covers(words: DataFrame, terms: Terms) -> DataFrame:
+    """(id, density): cover density of rows (id, words) that have all groups of terms.
+
+    A cover is a shortest run of words with all groups in it; it counts one by
+    its length. Only hits leave their row: each is the end of the run from the
+    earliest of the groups' last hits, and the run is shortest if its start is
+    beyond that of the hit before.
+    """
+    named = [(i, w) for i, g in enumerate(terms.groups) for w in g]
+    of = functools.reduce(lambda c, x: c.when(F.col("word") == x[1], x[0]), named, F.when(F.lit(False), -1))
+    hits = words.select("id", F.posexplode("words").alias("pos", "word")).withColumn("g", of).filter("g IS NOT NULL").select("id", "pos", "g")
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = [F.max(F.when(F.col("g") == i, F.col("pos"))).over(so_far) for i in range(len(terms.groups))]
+    start = functools.reduce(lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)), lasts)
+    runs = hits.select("id", "pos", start.alias("start")).filter("start IS NOT NULL")
+    before = F.lag("start").over(Window.partitionBy("id").orderBy("pos"))
+    short = runs.withColumn("before", before).filter("before IS NULL OR start > before")
+    return short.groupBy("id").agg(F.sum(1.0 / (F.col("pos") - F.col("start") + 1)).alias("density"))
+
+
+def weighted_head() -> Column:
+    """(word, weight) of the header fields without stopwords: A in the subject, B in the sender, C in the recipients; a word's best weight."""
+    field = lambda c, w: F.transform(F.filter(tokens(c), lambda x: ~x.isin(STOPWORDS)), lambda x: F.struct(x.alias("word"), F.lit(w).alias("weight")))
+    people = F.concat_ws(" ", F.array_join("to_emails", " "), F.array_join("cc_emails", " "))
+    return F.concat(field(F.substring("subject", 1, 32768), "A"), field(F.concat_ws(" ", "from_name", "from_email"), "B"), field(people, "C"))
+
+
+def marked(text: Column, words: tuple[str, ...], fragments: int = 2, around: int = 6) -> Column:
+    """The first fragments around hits, with the hits in <mark>, joined by an ellipsis; null without a hit. For the rows of a page."""
+    any_of = "|".join(words)
+    cut = rf"(?i)(?:[^\s]+\s+){{0,{around}}}\b(?:{any_of})\b(?:\s+[^\s]+){{0,{around}}}"
+    found = F.slice(F.regexp_extract_all(text, F.lit(cut), 0), 1, fragments)
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: F.regexp_replace(x, rf"(?i)\b({any_of})\b", "<mark>$1</mark>")), " ... "))
+
+
+def listish(headers: Column, sender: Column) -> Column:
+    """Mail of a list: by its headers, or by a sender that only sends in bulk."""
+    has = lambda k: F.map_contains_key(headers, F.lit(k))
+    return F.coalesce(has("list-unsubscribe") | has("list-id"), F.lit(False)) | F.rlike(F.lower(F.coalesce(sender, F.lit(""))), F.lit(r"^(newsletter|marketing|mailer)@"))
+
+
+def shown_score(order: str, included: tuple[str, ...], score: Column) -> Column:
+    """The score where the order ranks (smart or relevance) over words that are looked for; else null."""
+    return score if order in ("smart", "relevance") and included else F.lit(None).cast("double")
+
+
 def recency(date: Column, now: str) -> Column:
     days = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(date.cast("timestamp"))) / 86_400_000_000.0
     return F.exp(-DECAY * days)
@@ -99,20 +172,22 @@ def scored(messages: DataFrame, terms: Terms, now: str, synonyms: dict[str, tupl
     One scan with all branches as columns instead of one scan for each branch.
     """
     head = F.concat_ws(" ", "subject", "from_name", "from_email", F.array_join("to_emails", " "))
-    df = messages.withColumn("__head", tokens(head)).withColumn("__body", tokens(F.col("body")))
-    df = df.withColumn("__h", rank(F.col("__head"), terms)).withColumn("__b", rank(F.col("__body"), terms))
     wide = widened(terms, synonyms or {})
-    df = df.withColumn("__wh", rank(F.col("__head"), wide) if wide.groups else F.lit(0.0)).withColumn("__wb", rank(F.col("__body"), wide) if wide.groups else F.lit(0.0))
-    near = F.greatest(F.lit(0.0), *[similarity(F.col("subject"), w) for w in terms.words]) if fuzzy else F.lit(0.0)
-    df = df.withColumn("__f", near)
-    for w in terms.without:
-        df = df.filter((frequency(F.col("__head"), w) == 0) & (frequency(F.col("__body"), w) == 0))
+    df = once(messages, __head=tokens(head), __body=tokens(F.col("body")))
+    none = F.lit(0.0)
+    near = F.greatest(none, *[similarity(head, w) for w in significant(terms.words)]) if fuzzy else none
+    barred = functools.reduce(operator.or_, [F.array_contains(c, w) for w in terms.without for c in ("__head", "__body")], F.lit(False))
+    df = once(
+        df, __h=rank(F.col("__head"), terms), __b=rank(F.col("__body"), terms), __barred=barred, __f=near,
+        __wh=rank(F.col("__head"), wide) if wide.groups else none, __wb=rank(F.col("__body"), wide) if wide.groups else none,
+    ).filter(~F.col("__barred"))
     primary = (F.col("__h") > 0) | (F.col("__b") > 0)
     recalled = primary | (F.col("__wh") > 0) | (F.col("__wb") > 0) | (F.col("__f") >= (fuzzy or 2.0))
     text = F.when(primary, 0.6 * F.col("__h") + 0.2 * F.col("__b")).otherwise(0.3 * F.col("__f") + 0.2 * (0.6 * F.col("__wh") + 0.2 * F.col("__wb")))
     df = df.filter(recalled).withColumn("is_primary", primary).withColumn("text_rel", F.round(text, 9))
+    df = df.withColumn("relevance", F.round(F.col("text_rel") * prior(), 9))
     df = df.withColumn("score", F.round(F.col("text_rel") * recency(F.col("date"), now) * prior(), 9))
-    return df.drop("__head", "__body", "__h", "__b", "__wh", "__wb", "__f")
+    return df.drop("__head", "__body", "__h", "__b", "__wh", "__wb", "__f", "__barred")
 
 
 BEST = (F.desc, ("is_primary", "score", "date", "id"))

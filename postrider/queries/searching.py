@@ -1,5 +1,7 @@
 """Ranked search: the flagship query and its parts."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import ranking as r
@@ -61,12 +63,6 @@ def ord_smart(spark, d):
     return r.top(r.scored(live_messages(spark, d), TERMS, NOW)).select("id", "score")
 
 
-@add("ord_relevance", f"WITH {BASE} SELECT id, text_rel FROM scored ORDER BY is_primary DESC, text_rel DESC, date DESC, id DESC LIMIT 25")
-def ord_relevance(spark, d):
-    s = r.scored(live_messages(spark, d), TERMS, NOW)
-    return s.orderBy(F.desc("is_primary"), F.desc("text_rel"), F.desc("date"), F.desc("id")).limit(25).select("id", "text_rel")
-
-
 @add("flt_body", f"WITH {SQL} SELECT id FROM m WHERE {tf(TOK.format('body'), 'the')} > 0")
 def flt_body(spark, d):
     return live_messages(spark, d).filter(r.matches(r.tokens(F.col("body")), r.Terms((("the",),)))).select("id")
@@ -78,12 +74,6 @@ def flt_exclude_text(spark, d):
     return live_messages(spark, d).filter((r.frequency(r.tokens(F.col("body")), "the") == 0) & (r.frequency(r.tokens(head), "the") == 0)).select("id")
 
 
-@add("fts_header_doc", f"WITH {SQL} SELECT id, array_to_string({HEAD}, ' ') AS words FROM m")
-def fts_header_doc(spark, d):
-    head = F.concat_ws(" ", "subject", "from_name", "from_email", F.array_join("to_emails", " "))
-    return live_messages(spark, d).select("id", F.array_join(r.tokens(head), " ").alias("words"))
-
-
 @add("fts_body_doc", f"WITH {SQL} SELECT id, md5(array_to_string({TOK.format('body')}, ' ')) AS words, len({TOK.format('body')})::INT AS n FROM m")
 def fts_body_doc(spark, d):
     t = r.tokens(F.col("body"))
@@ -96,18 +86,6 @@ def fts_query(spark, d):
     return live_messages(spark, d).filter(r.matches(r.tokens(F.col("body")), r.Terms((("of the",), ("and", "or"))))).select("id")
 
 
-@add("fts_rank", f"WITH {SQL}, t AS (SELECT id, {TOK.format('body')} AS w FROM m) SELECT id, round({rank_sql('w', TERMS.groups)}, 6) AS rank FROM t")
-def fts_rank(spark, d):
-    return live_messages(spark, d).select("id", F.round(r.rank(r.tokens(F.col("body")), TERMS), 6).alias("rank"))
-
-
-@add("rec_fuzzy")
-def rec_fuzzy(spark, d):
-    """Similar spelling of a subject word; built-in functions, but SQL twins of it would only repeat them."""
-    s = live_messages(spark, d).withColumn("near", r.similarity(F.col("subject"), "theing"))
-    return s.filter("near >= 0.4").select("id", F.round("near", 6).alias("near"))
-
-
 @add("rec_concept", f"WITH {scored_sql((('the',),), (), [('the', 'une')])} SELECT id, is_primary FROM scored")
 def rec_concept(spark, d):
     return r.scored(live_messages(spark, d), r.Terms((("the",),)), NOW, SYNONYMS).select("id", "is_primary")
@@ -137,22 +115,11 @@ def scr_prior(spark, d):
     return live_messages(spark, d).select("id", F.round(r.prior(), 6).alias("prior"))
 
 
-@add("scr_listish", "SELECT page_id, regexp_matches(lower(url), '^https?://[^/]*(news|list)') AS listish FROM pages")
-def scr_listish(spark, d):
-    return read(spark, d, "pages").select("page_id", F.rlike(F.lower("url"), F.lit("^https?://[^/]*(news|list)")).alias("listish"))
-
-
 @add("scr_primary", f"WITH {BASE} SELECT id, is_primary, text_rel FROM scored")
 def scr_primary(spark, d):
     return r.scored(live_messages(spark, d), TERMS, NOW).select("id", "is_primary", "text_rel")
 
 
-@add("rnk_null_score", f"WITH {SQL} SELECT id, CASE WHEN size > 2000 THEN round(ln(size), 6) END AS score FROM m")
-def rnk_null_score(spark, d):
-    """No score where a row was not ranked."""
-    return live_messages(spark, d).select("id", F.when(F.col("size") > 2000, F.round(F.log("size"), 6)).alias("score"))
-
-
 @add("grp_delivery", f"WITH {BASE}, d AS (SELECT account, md5(body) AS delivery, id, list(id) OVER (PARTITION BY account, md5(body) ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids, row_number() OVER (PARTITION BY account, md5(body) ORDER BY {BEST}) AS rn FROM scored) SELECT account, id, list_sort(ids) AS ids FROM d WHERE rn = 1")
 def grp_delivery(spark, d):
     from pyspark.sql import Window
@@ -167,13 +134,6 @@ def grp_thread(spark, d):
     return r.one_for_each(r.scored(live_messages(spark, d), TERMS, NOW), "account", "folder").select("account", "folder", "id")
 
 
-@add("snp_headline", f"WITH {SQL}, p AS (SELECT id, body FROM m WHERE contains(body, ' the ') ORDER BY date DESC, id DESC LIMIT 25) SELECT id, regexp_extract(body, '(?:[^ \\n]+ )?(?:[^ \\n]+ )?the(?: [^ \\n]+)?(?: [^ \\n]+)?') AS snippet FROM p")
-def snp_headline(spark, d):
-    """Words around a hit, for the rows of a page only."""
-    page = live_messages(spark, d).filter(F.contains("body", F.lit(" the "))).orderBy(F.desc("date"), F.desc("id")).limit(25)
-    return page.select("id", F.regexp_extract("body", r"(?:[^ \n]+ )?(?:[^ \n]+ )?the(?: [^ \n]+)?(?: [^ \n]+)?", 0).alias("snippet"))
-
-
 @add("vec_knn", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q WHERE vec_id <> 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 20""")
 def vec_knn(spark, d):
@@ -183,3 +143,99 @@ def vec_knn(spark, d):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot(F.col("v"), q) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(q, q))
     return e.filter("vec_id <> 0").withColumn("s", score).orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 6).alias("score"))
+
+
+#: The prior of a row, as scr_prior has it.
+PRIOR = "greatest(0.2::DOUBLE, least(4.0::DOUBLE, 1 + 0.5::DOUBLE * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3::DOUBLE * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT))"
+STOP = "[" + ", ".join(f"'{w}'" for w in r.STOPWORDS) + "]"
+
+
+@add("ord_relevance", f"WITH {BASE}, z AS (SELECT *, round(text_rel * {PRIOR}, 9) AS relevance FROM scored) SELECT id, relevance FROM z ORDER BY is_primary DESC, relevance DESC, date DESC, id DESC LIMIT 25")
+def ord_relevance(spark, d):
+    """By text and prior, without recency."""
+    s = r.scored(live_messages(spark, d), TERMS, NOW)
+    return s.orderBy(F.desc("is_primary"), F.desc("relevance"), F.desc("date"), F.desc("id")).limit(25).select("id", "relevance")
+
+
+@add("exp_significant", f"WITH t AS (SELECT conv_id, turn, {TOK.format('text')} AS w FROM conversations) SELECT conv_id, turn, array_to_string(w2[1:8], ' ') AS terms FROM (SELECT conv_id, turn, list_filter(list_filter(w, lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x)), lambda x, i: list_position(list_filter(w, lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x)), x) = i) AS w2 FROM t)")
+def exp_significant(spark, d):
+    """Words of a free text that are worth a search by similar spelling."""
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(r.significant_tokens(F.col("text")), " ").alias("terms"))
+
+
+@add("fts_header_doc", f"""WITH {SQL}, w AS (SELECT id, [{{'w': x, 'k': 'A'}} for x in {TOK.format('subject[1:32768]')} if NOT list_contains({STOP}, x)] AS a, [{{'w': x, 'k': 'B'}} for x in {TOK.format("concat_ws(' ', from_name, from_email)")} if NOT list_contains({STOP}, x)] AS b,
+[{{'w': x, 'k': 'C'}} for x in {TOK.format("concat_ws(' ', array_to_string(to_emails, ' '), array_to_string(list_filter(cc_emails, lambda x: x IS NOT NULL), ' '))")} if NOT list_contains({STOP}, x)] AS c FROM m)
+SELECT id, array_to_string([x.w || ':' || x.k for x in list_concat(a, b, c)], ' ') AS words FROM w""")
+def fts_header_doc(spark, d):
+    """Words of the header fields with their weights."""
+    words = F.transform(r.weighted_head(), lambda x: F.concat_ws(":", x["word"], x["weight"]))
+    return live_messages(spark, d).select("id", F.array_join(words, " ").alias("words"))
+
+
+@add("fts_rank", f"""WITH {SQL}, t AS (SELECT id, {TOK.format('body')} AS w FROM m), h AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t), g AS (SELECT id, pos, word IN ('der', 'the') AS a FROM h WHERE word IN ('der', 'the', 'und', 'of')),
+s AS (SELECT id, pos, max(pos) FILTER (WHERE a) OVER o AS la, max(pos) FILTER (WHERE NOT a) OVER o AS lb FROM g WINDOW o AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT id, pos, least(la, lb) AS st FROM s WHERE la IS NOT NULL AND lb IS NOT NULL), k AS (SELECT *, lag(st) OVER (PARTITION BY id ORDER BY pos) AS b FROM c),
+x AS (SELECT id, sum(1.0::DOUBLE / (pos - st + 1)) AS density FROM k WHERE b IS NULL OR st > b GROUP BY id) SELECT id, round(density / len(w), 9) AS rank FROM x JOIN t USING (id)""")
+def fts_rank(spark, d):
+    """Cover density of the body, by its number of words."""
+    t = r.once(live_messages(spark, d).select("id", "body"), words=r.tokens(F.col("body"))).select("id", "words")
+    return r.covers(t, TERMS).join(t, "id").select("id", F.round(F.col("density") / F.size("words"), 9).alias("rank"))
+
+
+GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in {0}]))"
+
+
+@add("rec_fuzzy", f"WITH {SQL}, n AS (SELECT id, round(len(list_intersect({GRAMS.format(HEAD)}, {GRAMS.format(chr(91) + chr(39) + 'theing' + chr(39) + chr(93))})) / 7.0::DOUBLE, 6) AS near FROM m) SELECT id, near FROM n WHERE near >= 0.4")
+def rec_fuzzy(spark, d):
+    """Rows with a word in their header fields that is spelt like a significant term."""
+    head = F.concat_ws(" ", "subject", "from_name", "from_email", F.array_join("to_emails", " "))
+    near = functools.reduce(F.greatest, [r.similarity(head, w) for w in r.significant(("the", "theing"))])
+    return r.once(live_messages(spark, d), near=F.round(near, 6)).filter("near >= 0.4").select("id", "near")
+
+
+@add("rec_fuzzy_score", f"WITH {SQL}, n AS (SELECT id, round(0.3::DOUBLE * (len(list_intersect({GRAMS.format(HEAD)}, {GRAMS.format(chr(91) + chr(39) + 'usser' + chr(39) + chr(93))})) / 6.0::DOUBLE), 9) AS score FROM m) SELECT id, score FROM n WHERE score >= 0.15")
+def rec_fuzzy_score(spark, d):
+    """What recall by spelling adds to the text score; it never makes a row primary."""
+    s = r.scored(live_messages(spark, d), r.Terms((("usser",),)), NOW, fuzzy=0.5)
+    return s.filter(~F.col("is_primary")).select("id", F.col("text_rel").alias("score"))
+
+
+@add("scr_listish", f"WITH {SQL} SELECT id, id % 9 = 0 OR id % 14 = 0 OR (id % 8 = 0) AS listish FROM m")
+def scr_listish(spark, d):
+    """Mail of lists, by headers or sender."""
+    i = F.col("id")
+    none = F.create_map().cast("map<string,string>")
+    headers = F.when(i % 9 == 0, F.create_map(F.lit("list-id"), F.lit("<x>"))).when(i % 14 == 0, F.create_map(F.lit("list-unsubscribe"), F.lit("<y>"))).when(i % 2 == 0, none)
+    sender = F.when(i % 8 == 0, F.lit("Newsletter@host.example")).otherwise(F.col("from_email"))
+    return live_messages(spark, d).select("id", r.listish(headers, sender).alias("listish"))
+
+
+@add("rnk_null_score", f"WITH {BASE} SELECT id, 'smart' AS sorted_by, score FROM scored UNION ALL SELECT id, 'recent', NULL FROM scored UNION ALL SELECT id, 'smart without words', NULL FROM scored")
+def rnk_null_score(spark, d):
+    """The score is shown only where it ranked."""
+    s = r.scored(live_messages(spark, d), TERMS, NOW)
+    shown = lambda name, order, words: s.select("id", F.lit(name).alias("sorted_by"), r.shown_score(order, words, F.col("score")).alias("score"))
+    return shown("smart", "smart", TERMS.words).union(shown("recent", "recent", TERMS.words)).union(shown("smart without words", "smart", ()))
+
+
+CUT = r"(?i)(?:[^\s]+\s+){0,6}\b(?:the|of)\b(?:\s+[^\s]+){0,6}"
+
+
+@add("snp_headline", f"WITH {SQL}, p AS (SELECT id, body FROM m WHERE contains(body, ' the ') ORDER BY date DESC, id DESC LIMIT 25) SELECT id, array_to_string([regexp_replace(x, '(?i)\\b(the|of)\\b', '<mark>\\1</mark>', 'g') for x in regexp_extract_all(body, '{CUT}')[1:2]], ' ... ') AS snippet FROM p")
+def snp_headline(spark, d):
+    """Two fragments around hits, for the rows of a page only."""
+    page = live_messages(spark, d).filter(F.contains("body", F.lit(" the "))).orderBy(F.desc("date"), F.desc("id")).limit(25)
+    return page.select("id", r.marked(F.col("body"), ("the", "of")).alias("snippet"))
+
+
+@add("flt_bcc", f"WITH {SQL} SELECT id FROM m WHERE contains(lower('hidden' || (id % 4) || '@host.example'), 'hidden3')")
+def flt_bcc(spark, d):
+    bcc = F.array(F.concat(F.lit("Hidden"), (F.col("id") % 4).cast("string"), F.lit("@host.example")))
+    return live_messages(spark, d).withColumn("bcc_emails", bcc).filter(F.contains(F.lower(F.array_join("bcc_emails", " ")), F.lit("hidden3"))).select("id")
+
+
+@add("flt_has_body", f"WITH {SQL}, l AS (SELECT DISTINCT doc_id FROM labels) SELECT id, doc_id IS NOT NULL AS has_body FROM m LEFT JOIN l ON doc_id = id")
+def flt_has_body(spark, d):
+    """Whether a body was fetched; the labelled documents stand for those."""
+    fetched = read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(1).alias("fetched")).distinct()
+    return live_messages(spark, d).join(fetched, "id", "left").select("id", F.col("fetched").isNotNull().alias("has_body"))
