@@ -24,7 +24,7 @@ def measures(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     m = ranked.select("query").union(judged.select("query")).distinct().join(got, "query", "left").join(ideal, "query", "left").na.fill(0, ["hits"])
     return m.select(
         "query", (F.col("hits") / k).alias("precision"), (F.col("hits") / F.col("relevant")).alias("recall"),
-        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), (F.col("hits") > 0).cast("int").alias("success"),
+        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), (F.col("hits") > 0).cast("int").alias("success"), F.coalesce("dcg", F.lit(0.0)).alias("dcg"),
     )
 
 

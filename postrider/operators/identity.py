@@ -211,3 +211,43 @@ def retained(runs: DataFrame, now: Column, days: int = STANDBY_DAYS) -> DataFram
     old = F.col("ended") <= now - F.make_dt_interval(days=F.lit(days))
     action = F.when((F.col("state") == "standby") & old, "retire").when(F.col("state").isin("retired", "failed", "cancelled") & old, "delete").otherwise("keep")
     return runs.select("account", "run", action.alias("action"))
+
+
+def coverage(messages: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(account, n, missing, complete): a run that lacks an assignment for any message is not complete."""
+    j = messages.select("account", "id").join(assignments.select("id", F.lit(1).alias("there")).distinct(), "id", "left")
+    g = j.groupBy("account").agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("missing"))
+    return g.withColumn("complete", F.col("missing") == 0)
+
+
+def history(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, previous, next) of the assignments (id, delivery) that an operation changes, adds or takes away."""
+    j = before.select("id", F.col("delivery").alias("previous")).join(after.select("id", F.col("delivery").alias("next")), "id", "outer")
+    return j.filter(~F.col("previous").eqNullSafe(F.col("next")))
+
+
+def restored(after: DataFrame, kept: DataFrame) -> DataFrame:
+    """The assignments (id, delivery) as they were before the operation whose history is given."""
+    j = after.select("id", "delivery").join(kept.select("id", "previous", F.lit(True).alias("moved")), "id", "outer")
+    return j.select("id", F.when(F.col("moved"), F.col("previous")).otherwise(F.col("delivery")).alias("delivery")).filter("delivery IS NOT NULL")
+
+
+def recomputed(copies: DataFrame, stored: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(id, delivery) after changes of the ``dirty`` ids, from ``stored`` (id, message_id, delivery) before them.
+
+    Only Message-IDs that a changed row has, or had, are worked on again; all
+    other assignments stay as they are stored.
+    """
+    ids = dirty.select("id").distinct()
+    touched = copies.join(ids, "id").select("message_id").union(stored.join(ids, "id").select("message_id")).filter("message_id IS NOT NULL").distinct()
+    again = copies.join(touched, "message_id", "left_semi").select(*copies.columns)
+    loose = copies.filter("message_id IS NULL").join(ids, "id", "left_semi").select(*copies.columns)
+    new = deliveries_v2(again.union(loose)).select("id", "delivery")
+    return stored.join(new.select("id"), "id", "left_anti").join(copies.select("id"), "id", "left_semi").select("id", "delivery").union(new)
+
+
+def repaired(queue: DataFrame, messages: DataFrame, most: int = 100) -> DataFrame:
+    """(id, parsed, authored) digests for the ``most`` ids that wait longest in ``queue`` (id, enqueued_at)."""
+    next_ = queue.groupBy("id").agg(F.min("enqueued_at").alias("since")).orderBy("since", "id").limit(most)
+    text = F.regexp_replace(F.col("body"), r"\s+", " ")
+    return messages.join(next_, "id").select("id", F.sha2("body", 256).alias("parsed"), F.sha2(F.concat_ws("|", "subject", text), 256).alias("authored"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as e
-from ..sources.tables import read
+from ..sources.tables import messages, read
 from . import Group
 
 group = Group()
@@ -16,7 +16,7 @@ h AS (SELECT r.query, r.id, r.rank, grade FROM r LEFT JOIN j USING (query, id) W
 g AS (SELECT query, count(grade) AS hits, min(rank) FILTER (WHERE grade IS NOT NULL) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM h GROUP BY query),
 p AS (SELECT query, grade, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS place FROM j),
 i AS (SELECT query, count(*) AS relevant, sum((pow(2, grade) - 1) / log2(place + 1)) FILTER (WHERE place <= 10) AS ideal FROM p GROUP BY query),
-s AS (SELECT query, hits / 10 AS precision, hits / relevant AS recall, coalesce(1 / first, 0) AS rr, coalesce(dcg, 0) / ideal AS ndcg, (hits > 0)::INT AS success FROM g LEFT JOIN i USING (query))"""
+s AS (SELECT query, hits / 10 AS precision, hits / relevant AS recall, coalesce(1 / first, 0) AS rr, coalesce(dcg, 0) / ideal AS ndcg, (hits > 0)::INT AS success, coalesce(dcg, 0) AS dcg FROM g LEFT JOIN i USING (query))"""
 
 
 def tables(spark, d):
@@ -32,7 +32,7 @@ def measure(name, column):
         return e.measures(*tables(spark, d)).select("query", F.round(F.col(column).cast("double"), 6).alias("value"))
 
 
-for _name, _column in (("ev_precision", "precision"), ("ev_recall", "recall"), ("ev_rr", "rr"), ("ev_ndcg", "ndcg"), ("ev_success", "success")):
+for _name, _column in (("ev_precision", "precision"), ("ev_recall", "recall"), ("ev_rr", "rr"), ("ev_ndcg", "ndcg"), ("ev_dcg", "dcg"), ("ev_success", "success")):
     measure(_name, _column)
 
 
@@ -47,11 +47,12 @@ def ev_category(spark, d):
     return m.groupBy("category").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count_if(F.col("ndcg") >= 0.95).alias("saturated"))
 
 
-@add("ev_diversity", f"WITH {RANKED} SELECT query, round(count(DISTINCT id % 7)::DOUBLE / count(*), 6) AS diversity FROM h GROUP BY query")
+@add("ev_diversity", f"WITH {RANKED}, x AS (SELECT h.query, coalesce(CASE WHEN id % 6 = 0 THEN 'p' || (id % 90) END, md5(text)) AS conversation FROM h JOIN documents ON doc_id = id) SELECT query, round(count(DISTINCT conversation)::DOUBLE / count(*), 6) AS diversity FROM x GROUP BY query")
 def ev_diversity(spark, d):
-    """Distinct conversations in the first ten results."""
+    """Distinct conversations in the first ten results: provider threads, or else copies of one text."""
     ranked, _ = tables(spark, d)
-    return ranked.filter("rank <= 10").groupBy("query").agg(F.round(F.countDistinct(F.col("id") % 7) / F.count("*"), 6).alias("diversity"))
+    m = messages(spark, d).select("id", F.coalesce("provider_thread", F.md5("body")).alias("conversation"))
+    return ranked.filter("rank <= 10").join(m, "id").groupBy("query").agg(F.round(F.countDistinct("conversation") / F.count("*"), 6).alias("diversity"))
 
 
 @add("ev_guard", f"WITH {RANKED} SELECT query, id FROM h WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")

@@ -1,5 +1,6 @@
 """Deliveries, graph nodes, anchors and runs of threading."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import identity as o
@@ -180,3 +181,48 @@ def rollback(spark, d):
 @add("thr_retention", f"""WITH {RUNS} SELECT account, run, CASE WHEN state = 'standby' AND ended <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY THEN 'retire' WHEN state IN ('retired', 'failed', 'cancelled') AND ended <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY THEN 'delete' ELSE 'keep' END AS action FROM r""")
 def thr_retention(spark, d):
     return o.retained(runs(spark, d), F.lit("2024-02-10 00:00:00").cast("timestamp_ntz"))
+
+
+@add("thr_coverage", f"WITH {COPIES} SELECT account, count(*) AS n, count(*) FILTER (WHERE id NOT IN (SELECT doc_id FROM labels)) AS missing, count(*) FILTER (WHERE id NOT IN (SELECT doc_id FROM labels)) = 0 AS complete FROM c GROUP BY account")
+def thr_coverage(spark, d):
+    """Messages without an assignment, which block a run; here only the labelled ones have one."""
+    return o.coverage(copies(spark, d), read(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@add("thr_history", f"WITH {V2} SELECT id, coalesce(message_id, 'row:' || id) AS previous, delivery::VARCHAR AS next FROM c JOIN v2 USING (id)")
+def thr_history(spark, d):
+    """What a run changed, before and after, as far as a rollback gives back what was there."""
+    c = copies(spark, d)
+    before = c.select("id", F.coalesce("message_id", F.concat(F.lit("row:"), F.col("id").cast("string"))).alias("delivery"))
+    after = o.deliveries_v2(c).select("id", F.col("delivery").cast("string").alias("delivery"))
+    kept = o.history(before, after)
+    back = o.restored(after, kept).join(before.withColumnRenamed("delivery", "want"), "id").filter("delivery = want")
+    return kept.join(back.select("id"), "id").select("id", "previous", "next")
+
+
+@add("thr_incremental", f"WITH {V2} SELECT id, delivery FROM v2")
+def thr_incremental(spark, d):
+    """After a change of every twentieth row, only their Message-IDs are worked on; the result is that of a full run."""
+    c = copies(spark, d)
+    old = c.withColumn("raw_hash", F.when(F.col("id") % 20 == 3, F.lit("old")).otherwise(F.col("raw_hash"))).withColumn("message_id", F.when(F.col("id") % 40 == 3, F.lit("old")).otherwise(F.col("message_id")))
+    stored = o.deliveries_v2(old).select("id", "delivery").join(old.select("id", "message_id"), "id")
+    return o.recomputed(c, stored, c.filter("id % 20 = 3"))
+
+
+@add("thr_body_evidence", """WITH q AS (SELECT user_id AS id, min(ts) AS since FROM events GROUP BY 1 ORDER BY since, id LIMIT 100)
+SELECT id, sha256(text) AS parsed, sha256(split_part(text, chr(10), 1) || '|' || regexp_replace(text, '\\s+', ' ', 'g')) AS authored FROM q JOIN documents ON doc_id = id""")
+def thr_body_evidence(spark, d):
+    """Missing digests of the hundred messages that wait longest; an id may wait for several reasons."""
+    queue = read(spark, d, "events").select(F.col("user_id").cast("long").alias("id"), F.col("ts").alias("enqueued_at"))
+    m = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("subject"), F.col("text").alias("body"))
+    return o.repaired(queue, m)
+
+
+@add("thr_read", """WITH u AS (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY conv_id, text), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS k FROM u)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place, greatest(0, k - 3) AS omitted FROM n WHERE back <= 3""")
+def thr_read(spark, d):
+    """Of each conversation the newest three deliveries, oldest first, and how many earlier ones are left out."""
+    u = read(spark, d, "conversations").groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
+    w = Window.partitionBy("conv_id")
+    n = u.withColumn("back", F.row_number().over(w.orderBy(F.desc("turn")))).withColumn("k", F.count("*").over(w)).filter("back <= 3")
+    return n.select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).alias("place"), F.greatest(F.lit(0), F.col("k") - 3).alias("omitted"))

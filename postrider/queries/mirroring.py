@@ -130,21 +130,6 @@ def mir_relocate(spark, d):
     return a.join(free, "id", "left").select("id", F.coalesce("target", "folder").alias("folder"))
 
 
-@add("mir_purge", f"""WITH {SQL}, p AS (SELECT id, account, folder FROM m_all WHERE deleted AND date < TIMESTAMP '2024-01-20')
-SELECT id, 'purge' AS what FROM p UNION ALL SELECT DISTINCT m.id, 'recheck' FROM m_all m JOIN p ON p.account = m.account AND p.folder = m.folder WHERE NOT m.deleted""")
-def mir_purge(spark, d):
-    """Old tombstones go; living neighbours of their conversation are looked at again."""
-    a = messages(spark, d)
-    gone = a.filter(F.col("deleted") & (F.col("date") < F.lit("2024-01-20").cast("timestamp_ntz")))
-    near = a.filter(~F.col("deleted")).join(gone.select("account", "folder").distinct(), ["account", "folder"], "left_semi")
-    return gone.select("id", F.lit("purge").alias("what")).union(near.select("id", F.lit("recheck")))
-
-
-@add("mir_prune_events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
-def mir_prune_events(spark, d):
-    return read(spark, d, "events").filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
-
-
 @add("mir_progress", f"""WITH {SQL} SELECT account, count(*) AS total, count(*) FILTER (WHERE id % 3 <> 0) AS fetched,
 CASE WHEN count(*) = 0 THEN 100 ELSE least(100, (count(*) FILTER (WHERE id % 3 <> 0) * 200 + count(*)) // (count(*) * 2)) END::INT AS pct, max(date) AS newest FROM m GROUP BY account""")
 def mir_progress(spark, d):
@@ -168,18 +153,6 @@ def mir_health(spark, d):
     return g.select("user_id", o.health(F.col("stuck"), F.col("failures"), F.col("complete")).alias("health"))
 
 
-@add("mir_failure", "WITH f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id) SELECT user_id, n, least(300, pow(2, least(n - 1, 30)))::DOUBLE::BIGINT AS wait FROM f WHERE n > 0")
-def mir_failure(spark, d):
-    f = read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).filter("n > 0")
-    return f.withColumn("wait", o.backoff_seconds(F.col("n")))
-
-
-@add("mir_runnable", "SELECT user_id, max(ts) AS last FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') < 20")
-def mir_runnable(spark, d):
-    g = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.count_if(F.col("event_type") == "error").alias("n"))
-    return g.filter("n < 20").select("user_id", "last")
-
-
 @add("mir_due_folders", f"""WITH {SQL}, f AS (SELECT account, folder, max(date) AS last FROM m GROUP BY ALL)
 SELECT account, folder, CASE WHEN folder = 'en' THEN 0 ELSE 1 END AS lane, row_number() OVER (PARTITION BY account, folder = 'en' ORDER BY last, folder)::INT AS turn FROM f WHERE last < TIMESTAMP '2024-01-27'""")
 def mir_due_folders(spark, d):
@@ -196,22 +169,6 @@ def mir_body_backlog(spark, d):
     return messages(spark, d).filter("id % 3 = 0").select("id", F.row_number().over(w).alias("place"))
 
 
-@add("mir_history_backlog", f"WITH {SQL} SELECT account, folder FROM m_all GROUP BY ALL HAVING count(*) > 5 AND min(date) > TIMESTAMP '2024-01-01'")
-def mir_history_backlog(spark, d):
-    g = messages(spark, d).groupBy("account", "folder").agg(F.count("*").alias("n"), F.min("date").alias("first"))
-    return g.filter((F.col("n") > 5) & (F.col("first") > F.lit("2024-01-01").cast("timestamp_ntz"))).select("account", "folder")
-
-
-@add("mir_folder_alias", f"""WITH {SQL}, s AS (SELECT account, folder, count(*) AS n, list(md5(body) ORDER BY md5(body)) AS bodies FROM m GROUP BY ALL)
-SELECT x.account, x.folder, y.account || '/' || y.folder AS alias FROM s x JOIN s y ON x.n = y.n AND x.bodies = y.bodies AND (x.account, x.folder) <> (y.account, y.folder)""")
-def mir_folder_alias(spark, d):
-    """Folders with the same count and the same sample are one folder under two names."""
-    s = live_messages(spark, d).groupBy("account", "folder").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.md5("body"))).alias("bodies"))
-    s = s.withColumn("key", F.sha2(F.to_json(F.struct("n", "bodies")), 256))
-    x, y = s.select("account", "folder", "key"), s.select(F.col("account").alias("a2"), F.col("folder").alias("f2"), "key")
-    return x.join(y, "key").filter((F.col("account") != F.col("a2")) | (F.col("folder") != F.col("f2"))).select("account", "folder", F.concat_ws("/", "a2", "f2").alias("alias"))
-
-
 @add("mir_priority", "SELECT n_name, CASE WHEN lower(n_name) = 'inbox' THEN 1 WHEN lower(n_name) LIKE 'sent%' THEN 5 ELSE 100 END AS priority FROM (SELECT n_name FROM nation UNION ALL SELECT unnest(['Inbox', 'Sent Mail', 'sent']))")
 def mir_priority(spark, d):
     more = spark.createDataFrame([("Inbox",), ("Sent Mail",), ("sent",)], "n_name string")
@@ -227,23 +184,6 @@ def mir_list_folders(spark, d):
     return t.withColumn("total", F.sum("messages").over(Window.partitionBy("account")))
 
 
-@add("mir_sync_status", f"""WITH {SQL}, s AS (SELECT account, count(*) FILTER (WHERE id % 3 = 0) AS no_body, count(*) FILTER (WHERE deleted) AS gone FROM m_all GROUP BY account)
-SELECT account, array_to_string(list_filter([CASE WHEN no_body > 10 THEN 'bodies missing' END, CASE WHEN gone > 3 THEN 'deletions pending' END], lambda x: x IS NOT NULL), '; ') AS reasons, no_body = 0 AND gone = 0 AS fully_synced FROM s""")
-def mir_sync_status(spark, d):
-    s = messages(spark, d).groupBy("account").agg(F.count_if(F.col("id") % 3 == 0).alias("no_body"), F.count_if("deleted").alias("gone"))
-    reasons = F.array_compact(F.array(F.when(F.col("no_body") > 10, "bodies missing"), F.when(F.col("gone") > 3, "deletions pending")))
-    return s.select("account", F.array_join(reasons, "; ").alias("reasons"), ((F.col("no_body") == 0) & (F.col("gone") == 0)).alias("fully_synced"))
-
-
-@add("mir_unchanged_proof", f"""WITH {SQL}, s AS (SELECT account, folder, count(*) AS n, max(id) AS last FROM m GROUP BY ALL), p AS (SELECT account, folder, count(*) AS n, max(id) AS last FROM m_all GROUP BY ALL)
-SELECT account, folder, (s.n, s.last) = (p.n, p.last) AS unchanged FROM s JOIN p USING (account, folder)""")
-def mir_unchanged_proof(spark, d):
-    """A provider's status that equals the stored cursors proves that nothing changed."""
-    s = live_messages(spark, d).groupBy("account", "folder").agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    p = messages(spark, d).groupBy("account", "folder").agg(F.count("*").alias("pn"), F.max("id").alias("plast"))
-    return s.join(p, ["account", "folder"]).select("account", "folder", ((F.col("n") == F.col("pn")) & (F.col("last") == F.col("plast"))).alias("unchanged"))
-
-
 @add("mir_close_orphans", "SELECT event_id, CASE WHEN event_type = 'signup' AND ts < TIMESTAMP '2024-01-29 23:00' AND ts > TIMESTAMP '2024-01-20' THEN 'failed' ELSE event_type END AS status FROM events")
 def mir_close_orphans(spark, d):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
@@ -257,36 +197,132 @@ def mir_idle_watch(spark, d):
     return live_messages(spark, d).select("account").distinct().join(warm, "account", "left_semi")
 
 
-@add("mir_partial", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') BETWEEN 1 AND 5 THEN 'DEGRADED' ELSE 'OK' END AS state, count(*) FILTER (WHERE event_type <> 'error') AS done FROM events GROUP BY user_id")
-def mir_partial(spark, d):
-    n = F.count_if(F.col("event_type") == "error")
-    return read(spark, d, "events").groupBy("user_id").agg(F.when(n.between(1, 5), "DEGRADED").otherwise("OK").alias("state"), F.count_if(F.col("event_type") != "error").alias("done"))
+@add("agg_delta_apply", f"""WITH {SQL} SELECT account, folder, count(*) AS messages, count(*) FILTER (WHERE NOT list_contains(coalesce(flags, []), '\\Seen')) AS unread FROM m_all WHERE id % 4 <> 0 OR id % 5 = 0 GROUP BY ALL""")
+def agg_delta_apply(spark, d):
+    """Counts kept by signed changes equal a fresh count."""
+    a = messages(spark, d)
+    stored = o.folder_counts(a.filter("id % 4 <> 0 or id % 3 = 0"))
+    out = o.applied_deltas(stored, a.filter("id % 4 = 0 and id % 3 = 0 and id % 5 <> 0"), a.filter("id % 4 = 0 and id % 5 = 0 and id % 3 <> 0"))
+    return out.filter("messages > 0")
+
+
+NOW = "2024-02-10 00:00:00"
+
 
+def at(t):
+    return F.lit(t).cast("timestamp_ntz")
 
-@add("mir_pending_verif", f"WITH {SQL} SELECT account, folder, min(date) FILTER (WHERE deleted) AS missing_since, CASE WHEN bool_or(deleted) THEN 'PENDING_VERIFICATION' ELSE 'ACTIVE' END AS status FROM m_all GROUP BY ALL")
+
+@add("mir_purge", f"""WITH {SQL}, t AS (SELECT *, ['expunged', 'folder_deleted', 'moved'][id % 3 + 1] AS reason FROM m_all WHERE deleted), p AS (SELECT * FROM t WHERE reason <> 'moved' AND date <= TIMESTAMP '{NOW}' - INTERVAL 30 DAY)
+SELECT id, 'purge' AS what FROM p UNION ALL SELECT DISTINCT m.id, 'recheck' FROM m JOIN p ON p.account = m.account AND p.provider_thread = m.provider_thread""")
+def mir_purge(spark, d):
+    """Old tombstones of two reasons go; the living rows of their threads are looked at again."""
+    a = messages(spark, d)
+    reason = F.element_at(F.array(F.lit("expunged"), F.lit("folder_deleted"), F.lit("moved")), (F.col("id") % 3 + 1).cast("int"))
+    gone = o.purged(a.filter("deleted").withColumn("reason", reason).withColumn("deleted_at", F.col("date")), at(NOW))
+    near = live_messages(spark, d).join(gone.select("account", "provider_thread").distinct(), ["account", "provider_thread"], "left_semi")
+    return gone.select("id", F.lit("purge").alias("what")).union(near.select("id", F.lit("recheck")))
+
+
+@add("mir_prune_events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 25 DAY")
+def mir_prune_events(spark, d):
+    """Events within the days of retention; what is older goes as whole files, in no batches."""
+    return read(spark, d, "events").filter(F.col("ts") >= at(NOW) - F.make_dt_interval(days=F.lit(25))).select("event_id")
+
+
+@add("mir_failure", f"""WITH f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') % 13 AS n, min(ts) FILTER (WHERE event_type = 'error') AS since FROM events GROUP BY user_id)
+SELECT user_id, n, CASE WHEN n > 0 THEN round(least(300.0::DOUBLE, pow(2.0::DOUBLE, least(n - 1, 30))) * (0.7::DOUBLE + 0.6::DOUBLE * (user_id % 1000) / 1000.0::DOUBLE), 3) END AS wait,
+CASE WHEN n >= 10 THEN 'BROKEN' WHEN n > 0 AND since <= TIMESTAMP '2024-01-10' - INTERVAL 168 HOUR THEN 'STUCK_WEEK' WHEN n > 0 AND since <= TIMESTAMP '2024-01-10' - INTERVAL 24 HOUR THEN 'STUCK_DAY' WHEN n > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM f""")
+def mir_failure(spark, d):
+    """How long to wait after failures in a row, and what the account is then called."""
+    error = F.col("event_type") == "error"
+    f = read(spark, d, "events").groupBy("user_id").agg((F.count_if(error) % 13).alias("n"), F.min(F.when(error, F.col("ts"))).alias("since"))
+    wait = F.when(F.col("n") > 0, o.jittered(F.col("n"), F.col("user_id")))
+    return f.select("user_id", "n", wait.alias("wait"), o.failure_state(F.col("n"), F.col("since"), at("2024-01-10 00:00:00")).alias("state"))
+
+
+@add("mir_runnable", """WITH g AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase') AS finished, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id)
+SELECT user_id, finished FROM g WHERE n < 20 AND user_id % 11 <> 0 ORDER BY finished NULLS FIRST, user_id""")
+def mir_runnable(spark, d):
+    """Accounts that may run (not paused, not broken), those that never finished first, then the longest waiting."""
+    e = F.col("event_type")
+    g = read(spark, d, "events").groupBy("user_id").agg(F.max(F.when(e == "purchase", F.col("ts"))).alias("finished"), F.count_if(e == "error").alias("n"))
+    return g.filter("n < 20 AND user_id % 11 <> 0").select("user_id", "finished").orderBy(F.col("finished").asc_nulls_first(), "user_id")
+
+
+@add("mir_history_backlog", f"""WITH {SQL}, f AS (SELECT account, folder, count(*) AS have, max(id) AS head, min(id) AS tail FROM m_all GROUP BY ALL)
+SELECT account, folder, CASE WHEN have < 3 THEN 'snapshot' ELSE 'metadata' END AS need, tail AS below FROM f WHERE have < 3 OR tail > 20""")
+def mir_history_backlog(spark, d):
+    """Folders that lack their snapshot, or rows below the oldest that is there."""
+    f = messages(spark, d).groupBy("account", "folder").agg(F.count("*").alias("have"), F.min("id").alias("below"))
+    return f.filter("have < 3 OR below > 20").select("account", "folder", F.when(F.col("have") < 3, "snapshot").otherwise("metadata").alias("need"), "below")
+
+
+@add("mir_folder_alias", f"""WITH {SQL}, r AS (SELECT account, unnest([folder, folder || '/copy']) AS folder, id AS uid, md5(body) AS digest FROM m),
+f AS (SELECT account, folder, 7 AS v, max(uid) + 1 AS nx, count(*) - max((folder = 'de/copy')::INT) AS n FROM r GROUP BY ALL),
+s AS (SELECT account, folder, list(uid || digest ORDER BY uid) AS sample FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY account, folder ORDER BY uid DESC) <= 5) GROUP BY ALL),
+j AS (SELECT *, min(folder) OVER (PARTITION BY account, v, nx, n, sample) AS alias FROM f JOIN s USING (account, folder)) SELECT account, folder, alias FROM j WHERE folder <> alias""")
+def mir_folder_alias(spark, d):
+    """Every folder is there under two names; one of the second names differs in its status."""
+    r = live_messages(spark, d).select("account", F.explode(F.array(F.col("folder"), F.concat("folder", F.lit("/copy")))).alias("folder"), F.col("id").alias("uid"), F.md5("body").alias("digest"))
+    f = r.groupBy("account", "folder").agg(F.lit(7).alias("uidvalidity"), (F.max("uid") + 1).alias("uidnext"), (F.count("*") - F.max((F.col("folder") == "de/copy").cast("int"))).alias("n"))
+    return o.aliases(f, r)
+
+
+@add("mir_sync_status", f"""WITH {SQL}, s AS (SELECT account, count(*) FILTER (WHERE id % 3 = 0) AS b, count(*) FILTER (WHERE deleted) AS g, count(DISTINCT folder) FILTER (WHERE id % 5 = 0) AS f, (account = 'src1')::BIGINT AS x FROM m_all GROUP BY account),
+l AS (SELECT account, list_filter([CASE WHEN x > 0 THEN 'broken' END, CASE WHEN f > 0 THEN 'missing_folders' END, CASE WHEN b > 0 THEN 'missing_bodies' END, CASE WHEN g > 0 THEN 'pending_deletions' END], lambda v: v IS NOT NULL) AS r FROM s)
+SELECT account, array_to_string(r, ', ') AS reasons, len(r) = 0 AS fully_synced, CASE WHEN len(r) = 0 THEN 'Everything is here.' ELSE len(r) || ' open, first: ' || r[1] || '.' END AS summary FROM l""")
+def mir_sync_status(spark, d):
+    """What is open, the most severe first, and a sentence on it."""
+    g = messages(spark, d).groupBy("account").agg(
+        F.count_if(F.col("id") % 3 == 0).alias("b"), F.count_if("deleted").alias("g"), F.countDistinct(F.when(F.col("id") % 5 == 0, F.col("folder"))).alias("f"))
+    r = g.select("account", o.status_reasons(broken=(F.col("account") == "src1").cast("int"), missing_folders=F.col("f"), missing_bodies=F.col("b"), pending_deletions=F.col("g")).alias("r"))
+    names = F.transform("r", lambda x: x["reason"])
+    open_ = F.concat(F.size("r").cast("string"), F.lit(" open, first: "), F.get(names, F.lit(0)), F.lit("."))
+    return r.select("account", F.array_join(names, ", ").alias("reasons"), (F.size("r") == 0).alias("fully_synced"), F.when(F.size("r") == 0, "Everything is here.").otherwise(open_).alias("summary"))
+
+
+@add("mir_unchanged_proof", f"""WITH {SQL}, s AS (SELECT account, folder, count(*) AS n, max(id) + 1 AS nx, sum(size) AS ms FROM m GROUP BY ALL), p AS (SELECT account, folder, count(*) FILTER (WHERE NOT deleted OR folder = 'de') AS n, max(id) FILTER (WHERE NOT deleted) + 1 AS nx, sum(size) FILTER (WHERE NOT deleted) AS ms FROM m_all GROUP BY ALL),
+k AS (SELECT p.account, p.folder FROM p JOIN s USING (account, folder, n, nx, ms) WHERE folder <> 'fr') SELECT *, true AS unchanged FROM k UNION ALL SELECT account, folder, false FROM p WHERE (account, folder) NOT IN (SELECT * FROM k)""")
+def mir_unchanged_proof(spark, d):
+    """A status equal in all cursors after a clean audit proves that nothing changed; folder fr was not clean, de counts its deleted rows."""
+    a = messages(spark, d)
+    there = ~F.col("deleted")
+    stored = a.filter(there).groupBy("account", "folder").agg(F.lit(1).alias("uidvalidity"), (F.max("id") + 1).alias("uidnext"), F.count("*").alias("n"), F.sum("size").alias("modseq"), (F.first("folder") != "fr").alias("clean"))
+    seen = a.groupBy("account", "folder").agg(F.lit(1).alias("uidvalidity"), (F.max(F.when(there, F.col("id"))) + 1).alias("uidnext"), F.count_if(there | (F.col("folder") == "de")).alias("n"), F.sum(F.when(there, F.col("size"))).alias("modseq"))
+    proven, changed = o.proven_unchanged(stored, seen)
+    return proven.withColumn("unchanged", F.lit(True)).union(changed.withColumn("unchanged", F.lit(False)))
+
+
+@add("mir_pending_verif", f"""WITH {SQL}, f AS (SELECT account, folder, CASE WHEN folder = 'fr' THEN TIMESTAMP '2024-01-05' END AS missing_since FROM m_all GROUP BY ALL), t AS (SELECT DISTINCT account, folder FROM m_all WHERE id % 3 = 0)
+SELECT f.account, f.folder, CASE WHEN t.account IS NULL THEN 'PENDING_VERIFICATION' ELSE 'ACTIVE' END AS status, CASE WHEN t.account IS NULL THEN coalesce(missing_since, TIMESTAMP '{NOW}') END AS missing_since FROM f LEFT JOIN t USING (account, folder)""")
 def mir_pending_verif(spark, d):
-    g = messages(spark, d).groupBy("account", "folder").agg(F.min(F.when(F.col("deleted"), F.col("date"))).alias("missing_since"), F.bool_or("deleted").alias("x"))
-    return g.select("account", "folder", "missing_since", F.when(F.col("x"), "PENDING_VERIFICATION").otherwise("ACTIVE").alias("status"))
+    """A folder that is missing keeps the time when it was first missed."""
+    f = messages(spark, d).groupBy("account", "folder").agg(F.first(F.when(F.col("folder") == "fr", at("2024-01-05 00:00:00"))).alias("missing_since"))
+    return o.pending(f, messages(spark, d).filter("id % 3 = 0"), at(NOW))
 
 
-@add("mir_flag_merge_progress", f"WITH {SQL} SELECT count(*)::BIGINT AS new_keys FROM m_all WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM m_all WHERE id % 3 = 0)")
+@add("mir_flag_merge_progress", f"WITH {SQL}, h AS (SELECT account, folder, count(*) AS n FROM m_all WHERE id % 3 = 0 GROUP BY ALL), b AS (SELECT account, folder, count(*) AS new FROM m_all WHERE id % 2 = 0 AND id % 3 <> 0 GROUP BY ALL) SELECT account, folder, coalesce(n, 0) + coalesce(new, 0) AS headers FROM h FULL JOIN b USING (account, folder)")
 def mir_flag_merge_progress(spark, d):
-    """Only keys that were not there count as progress, so a repeated batch adds nothing."""
-    a = messages(spark, d).select("id")
-    return a.filter("id % 2 = 0").join(a.filter("id % 3 = 0"), "id", "left_anti").agg(F.count("*").alias("new_keys"))
+    """A folder's counter grows by the keys that were not there; a batch that repeats, here twice, adds nothing more."""
+    a = messages(spark, d).select("account", "folder", "id")
+    stored, batch = a.filter("id % 3 = 0"), a.filter("id % 2 = 0")
+    new = batch.union(batch).distinct().join(stored, ["account", "folder", "id"], "left_anti")
+    return stored.union(new).groupBy("account", "folder").agg(F.count("*").alias("headers"))
 
 
-@add("mir_split_batches", f"""WITH {SQL}, n AS (SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY id) - 1 AS i FROM m) SELECT account, id, (i // 50)::INT AS batch FROM n""")
+@add("mir_split_batches", f"""WITH RECURSIVE {SQL}, n AS (SELECT account, id, size AS bytes, id % 4 AS parts, row_number() OVER (PARTITION BY account ORDER BY id) AS i FROM m),
+w AS (SELECT account, id, i, 0 AS batch, 1 AS rows, bytes, parts FROM n WHERE i = 1 UNION ALL
+SELECT n.account, n.id, n.i, w.batch + full_::INT, CASE WHEN full_ THEN 1 ELSE w.rows + 1 END, CASE WHEN full_ THEN n.bytes ELSE w.bytes + n.bytes END, CASE WHEN full_ THEN n.parts ELSE w.parts + n.parts END
+FROM w JOIN n ON n.account = w.account AND n.i = w.i + 1, LATERAL (SELECT w.rows >= 20 OR w.bytes + n.bytes > 30000 OR w.parts + n.parts > 25 AS full_)) SELECT account, id, batch FROM w""")
 def mir_split_batches(spark, d):
-    """Batches of at most 50 rows for each account."""
-    i = F.row_number().over(Window.partitionBy("account").orderBy("id")) - 1
-    return live_messages(spark, d).select("account", "id", F.floor(i / 50).cast("int").alias("batch"))
+    """Writes of at most 20 rows, 30,000 bytes and 25 attachments for each account."""
+    rows = live_messages(spark, d).select("account", "id", F.col("size").cast("long").alias("bytes"), (F.col("id") % 4).alias("parts"))
+    return o.packed(rows, "account", "id", most_rows=20, most_bytes=30_000, most_parts=25).select("account", "id", "batch")
 
 
-@add("agg_delta_apply", f"""WITH {SQL} SELECT account, folder, count(*) AS messages, count(*) FILTER (WHERE NOT list_contains(coalesce(flags, []), '\\Seen')) AS unread FROM m_all WHERE id % 4 <> 0 OR id % 5 = 0 GROUP BY ALL""")
-def agg_delta_apply(spark, d):
-    """Counts kept by signed changes equal a fresh count."""
-    a = messages(spark, d)
-    stored = o.folder_counts(a.filter("id % 4 <> 0 or id % 3 = 0"))
-    out = o.applied_deltas(stored, a.filter("id % 4 = 0 and id % 3 = 0 and id % 5 <> 0"), a.filter("id % 4 = 0 and id % 5 = 0 and id % 3 <> 0"))
-    return out.filter("messages > 0")
+@add("mir_partial", """SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state, 0 AS failures, max(ts) AS last_success, count(*) FILTER (WHERE event_type <> 'error') AS done FROM events GROUP BY user_id""")
+def mir_partial(spark, d):
+    """A pass in which some folders failed degrades the account, but counts as a success: no failures in a row, and a time."""
+    bad = F.count_if(F.col("event_type") == "error")
+    return read(spark, d, "events").groupBy("user_id").agg(F.when(bad > 0, "DEGRADED").otherwise("HEALTHY").alias("state"), F.lit(0).alias("failures"), F.max("ts").alias("last_success"), F.count_if(F.col("event_type") != "error").alias("done"))

@@ -15,12 +15,6 @@ def stm_counts(spark, sf_dir):
     return drained(e.groupBy(F.col("event_type").alias("folder")).agg(F.count("*").alias("messages"), F.count_if(F.col("value") < 50).alias("unread")), ("folder",))
 
 
-@add("stm_cursor", "SELECT event_type AS folder, max(event_id) AS last_uid, count(DISTINCT event_id) AS seen FROM events GROUP BY 1")
-def stm_cursor(spark, sf_dir):
-    e = feed(spark, sf_dir, "events")
-    return drained(e.groupBy(F.col("event_type").alias("folder")).agg(F.max("event_id").alias("last_uid"), F.count("*").alias("seen")), ("folder",))
-
-
 @add("stm_idempotent", "SELECT DISTINCT event_id, event_type FROM events")
 def stm_idempotent(spark, sf_dir):
     twice = feed(spark, sf_dir, "events").unionByName(feed(spark, sf_dir, "events"))
@@ -61,3 +55,76 @@ def stm_late_body(spark, sf_dir):
 @add("stm_emit_scan", "SELECT event_id, ts, event_type FROM events")
 def stm_emit_scan(spark, sf_dir):
     return drained(feed(spark, sf_dir, "events", files_per_batch=1).select("event_id", "ts", "event_type"))
+
+
+@add("stm_cursor", """WITH g AS (SELECT event_type AS folder, max(user_id % 3) AS generation FROM events GROUP BY 1)
+SELECT folder, generation, max(event_id) AS last_uid, max(floor(value))::BIGINT AS highest_modseq FROM g JOIN events ON event_type = folder AND user_id % 3 = generation GROUP BY ALL""")
+def stm_cursor(spark, sf_dir):
+    """Cursors of the newest generation of a folder; within it they only rise, and a new generation starts them anew."""
+    e = feed(spark, sf_dir, "events").select(F.col("event_type").alias("folder"), (F.col("user_id") % 3).alias("generation"), "event_id", F.floor("value").alias("modseq"))
+    c = e.groupBy("folder").agg(F.max(F.struct("generation", "event_id")).alias("u"), F.max(F.struct("generation", "modseq")).alias("s"))
+    return drained(c.select("folder", F.col("u.generation").alias("generation"), F.col("u.event_id").alias("last_uid"), F.col("s.modseq").alias("highest_modseq")), ("folder",))
+
+
+@add("stm_cursor_safety", """SELECT user_id % 20 AS folder, max(event_id) AS seen, coalesce(max(event_id) FILTER (WHERE event_type = 'click' AND value < 50), 0) AS flag_cursor, coalesce(max(event_id) FILTER (WHERE event_type = 'error' AND value < 20), 0) AS deletion_cursor FROM events GROUP BY 1""")
+def stm_cursor_safety(spark, sf_dir):
+    """The cursors of flags and of deletions advance apart, and only with what was proven."""
+    e, i = F.col("event_type"), F.col("event_id")
+    proven = lambda kind, most: F.coalesce(F.max(F.when((e == kind) & (F.col("value") < most), i)), F.lit(0))
+    return drained(feed(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("folder")).agg(F.max(i).alias("seen"), proven("click", 50).alias("flag_cursor"), proven("error", 20).alias("deletion_cursor")), ("folder",))
+
+
+@add("stm_late_parent", """WITH n AS (SELECT conv_id, turn AS node, 1 AS known, 0 AS replies FROM conversations WHERE turn % 4 <> 1 UNION ALL SELECT conv_id, turn - 1, 0, 1 FROM conversations WHERE turn > 0)
+SELECT conv_id, node, max(known) = 0 AS placeholder, sum(replies)::BIGINT AS replies, 'thread_' || substr(sha256('c' || conv_id), 1, 32) AS conversation_id FROM n GROUP BY conv_id, node""")
+def stm_late_parent(spark, sf_dir):
+    """A parent that is only referred to is a placeholder until it comes; the node and the conversation keep their names."""
+    t = feed(spark, sf_dir, "conversations").select("conv_id", "turn")
+    both = F.array(F.struct(F.col("turn").cast("long").alias("node"), (F.col("turn") % 4 != 1).alias("own"), F.lit(0).alias("replies")), F.struct((F.col("turn") - 1).cast("long").alias("node"), F.lit(False).alias("own"), F.lit(1).alias("replies")))
+    n = t.select("conv_id", F.inline(both)).filter("own OR (replies = 1 AND node >= 0)")
+    g = n.groupBy("conv_id", "node").agg((~F.bool_or("own")).alias("placeholder"), F.sum("replies").alias("replies"))
+    name = F.concat(F.lit("thread_"), F.substring(F.sha2(F.concat(F.lit("c"), F.col("conv_id").cast("string")), 256), 1, 32))
+    return drained(g.withColumn("conversation_id", name), ("conv_id", "node"))
+
+
+@add("stm_change_feed", """WITH s AS (SELECT user_id AS folder, event_id, event_type = 'purchase' AS ack, event_id // 3000 AS uidvalidity, event_id // 500 AS uidnext, floor(value / 30)::BIGINT AS modseq FROM events),
+g AS (SELECT folder, max_by(struct_pack(v := uidvalidity, n := uidnext, m := modseq), event_id) AS seen, max_by(struct_pack(v := uidvalidity, n := uidnext, m := modseq), event_id) FILTER (WHERE ack) AS base FROM s GROUP BY folder)
+SELECT folder, coalesce(seen.v <> base.v OR seen.n <> base.n, true) AS force_reconcile, coalesce(seen.m <> base.m, true) AS force_flag_scan FROM g""")
+def stm_change_feed(spark, sf_dir):
+    """What the last status of a folder asks for, against the last one that was acknowledged: changes stay pending until then."""
+    i = F.col("event_id")
+    status = F.struct(F.floor(i / 3000).alias("v"), F.floor(i / 500).alias("n"), F.floor(F.col("value") / 30).alias("m"))
+    ack = F.col("event_type") == "purchase"
+    g = feed(spark, sf_dir, "events").groupBy(F.col("user_id").alias("folder")).agg(F.max_by(status, i).alias("seen"), F.max_by(F.when(ack, status), F.when(ack, i)).alias("base"))
+    known = F.col("base").isNotNull()
+    structural = ~known | (F.col("seen.v") != F.col("base.v")) | (F.col("seen.n") != F.col("base.n"))
+    return drained(g.select("folder", structural.alias("force_reconcile"), (~known | (F.col("seen.m") != F.col("base.m"))).alias("force_flag_scan")), ("folder",))
+
+
+@add("stm_evidence_clock", """SELECT user_id AS account, count(*) AS revision, max(event_id) AS evidence, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) AS run_evidence, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) = max(event_id) AS is_current FROM events GROUP BY 1""")
+def stm_evidence_clock(spark, sf_dir):
+    """A clock of an account's evidence that only rises; a run is current while it saw the last change."""
+    i = F.col("event_id")
+    g = feed(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account")).agg(F.count("*").alias("revision"), F.max(i).alias("evidence"), F.coalesce(F.max(F.when(F.col("event_type") == "purchase", i)), F.lit(-1)).alias("run_evidence"))
+    return drained(g.withColumn("is_current", F.col("run_evidence") == F.col("evidence")), ("account",))
+
+
+@add("stm_three_lanes", """SELECT event_id, CASE WHEN event_id >= 800 THEN 'live' WHEN event_id >= 500 THEN 'snapshot' ELSE 'history' END AS lane, CASE WHEN event_id >= 800 THEN event_id ELSE -event_id END AS place FROM events""")
+def stm_three_lanes(spark, sf_dir):
+    """Rows from the watermark on are live and in order; those before are the snapshot and then history, the newest first."""
+    i = F.col("event_id")
+    lane = F.when(i >= 800, "live").when(i >= 500, "snapshot").otherwise("history")
+    return drained(feed(spark, sf_dir, "events").select("event_id", lane.alias("lane"), F.when(i >= 800, i).otherwise(-i).alias("place")))
+
+
+@add("stm_adaptive_batch", "SELECT user_id AS account, count(*) FILTER (WHERE event_type = 'error') AS failures, greatest(10, 5000 // pow(2, least(count(*) FILTER (WHERE event_type = 'error'), 20))::BIGINT)::BIGINT AS next_rows FROM events GROUP BY 1")
+def stm_adaptive_batch(spark, sf_dir):
+    """The rows of a batch halve with each failure at the limit, to ten at least; the state keeps it."""
+    n = F.count_if(F.col("event_type") == "error")
+    g = feed(spark, sf_dir, "events").groupBy(F.col("user_id").alias("account")).agg(n.alias("failures"))
+    return drained(g.withColumn("next_rows", F.greatest(F.lit(10), F.floor(5000 / F.pow(F.lit(2), F.least("failures", F.lit(20))))).cast("long")), ("account",))
+
+
+@add("stm_retention", "SELECT event_id, ts < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY AS purge FROM events")
+def stm_retention(spark, sf_dir):
+    clock = F.lit("2024-02-10 00:00:00").cast("timestamp_ntz")
+    return drained(feed(spark, sf_dir, "events").select("event_id", (F.col("ts") < clock - F.make_dt_interval(days=F.lit(30))).alias("purge")))

@@ -90,15 +90,9 @@ scalar("fn_month_clamp", lambda: F.date_format(F.add_months(F.col("date").cast("
 scalar("fn_math", lambda: F.round(F.exp(-F.col("id") / 1000) + F.floor(F.col("size") / 7) + F.greatest(F.col("id"), F.col("size")), 6), "round(exp(-id / 1000) + floor(size / 7) + greatest(id, size), 6)")
 scalar("fn_array", lambda: F.size(F.concat("to_emails", F.coalesce("cc_emails", F.array().cast("array<string>")))).cast("long") + F.array_position("to_emails", "team@host2.example"), "len(list_concat(to_emails, coalesce(cc_emails, []))) + coalesce(list_position(to_emails, 'team@host2.example'), 0)")
 scalar("thr_msgid_parse", lambda: F.array_join(t.message_ids(F.concat("rfc_id", F.lit(" (note) <x@y> "), "rfc_id", F.lit(" <bad id> <"), F.col("id").cast("string"), F.lit(">"))), ","), "substr(rfc_id, 2, length(rfc_id) - 2) || ',x@y,' || id")
-scalar("thr_automated", lambda: F.rlike("from_email", F.lit("^user[0-9]@")) | (F.col("size") < 500), "regexp_matches(from_email, '^user[0-9]@') OR size < 500")
 scalar("addr_reply_all", lambda: F.array_join(F.filter(F.array_distinct(F.transform(F.concat("to_emails", F.array_compact(F.coalesce("cc_emails", F.array().cast("array<string>")))), lambda x: F.lower(x))), lambda x: x != "team@host2.example"), ","), "array_to_string(list_filter(list_concat(to_emails, coalesce(cc_emails, [])), lambda x: x IS NOT NULL AND x <> 'team@host2.example'), ',')")
 
 
-@add("txt_cid_refs", r"""SELECT page_id, array_to_string(regexp_extract_all(html, 'src="([^"]+)"', 1), ',') AS refs FROM pages""")
-def txt_cid_refs(spark, d):
-    return read(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('src="([^"]+)"'), F.lit(1)), ",").alias("refs"))
-
-
 @add("evd_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS url FROM pages)
 SELECT DISTINCT page_id, 'host:' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS resource FROM l""")
 def evd_links(spark, d):

@@ -93,13 +93,6 @@ def thr_validate(spark, d):
     return o.repeated_ids(o.checked(mails(spark, d))).agg(F.count("*").alias("repeated"))
 
 
-@add("thr_coverage", f"WITH {SQL} SELECT id FROM m_all WHERE id % 9 = 4")
-def thr_coverage(spark, d):
-    """Messages without an assignment, which block a run's activation."""
-    a = messages(spark, d).select("id")
-    return a.join(a.filter("id % 9 <> 4"), "id", "left_anti")
-
-
 @add("thr_compare", f"""WITH {SQL}, p AS (SELECT id, account AS o, CASE WHEN id % 10 = 0 THEN folder ELSE account END AS n FROM m_all)
 SELECT 0::BIGINT AS only_new, 0::BIGINT AS only_old, count(*) FILTER (WHERE o <> n) AS changed, (SELECT count(*) FROM (SELECT o FROM p GROUP BY o HAVING count(DISTINCT n) > 1)) AS splits, (SELECT count(*) FROM (SELECT n FROM p GROUP BY n HAVING count(DISTINCT o) > 1)) AS merges FROM p""")
 def thr_compare(spark, d):
@@ -107,14 +100,6 @@ def thr_compare(spark, d):
     return o.compared(m.select("id", F.col("account").alias("conversation_id")), m.select("id", F.when(F.col("id") % 10 == 0, F.col("folder")).otherwise(F.col("account")).alias("conversation_id")))
 
 
-@add("thr_read", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
-def thr_read(spark, d):
-    """The newest three messages of each conversation, oldest first."""
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    c = read(spark, d, "conversations").withColumn("rn", F.row_number().over(newest)).filter("rn <= 3")
-    return c.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
-
-
 @add("thr_participants", f"WITH {SQL}, p AS (SELECT account, unnest(list_concat([from_email], to_emails)) AS email, date, id FROM m) SELECT account, lower(email) AS email, min(date) AS first FROM p GROUP BY ALL")
 def thr_participants(spark, d):
     p = live_messages(spark, d).select("account", F.explode(F.concat(F.array("from_email"), "to_emails")).alias("email"), "date")
@@ -146,18 +131,6 @@ def thr_targets(spark, d):
     return live_messages(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 100").select("account", "id")
 
 
-@add("thr_body_evidence", f"WITH {SQL} SELECT account, min(date) AS oldest, count(*) AS waiting FROM m_all WHERE id % 5 = 2 GROUP BY account")
-def thr_body_evidence(spark, d):
-    return messages(spark, d).filter("id % 5 = 2").groupBy("account").agg(F.min("date").alias("oldest"), F.count("*").alias("waiting"))
-
-
-@add("thr_history", f"WITH {SQL} SELECT id, account AS before, CASE WHEN id % 10 = 0 THEN folder ELSE account END AS after FROM m_all WHERE id % 10 = 0 AND account <> folder")
-def thr_history(spark, d):
-    """What a run changed, before and after, so that it can be undone."""
-    after = F.when(F.col("id") % 10 == 0, F.col("folder")).otherwise(F.col("account"))
-    return messages(spark, d).select("id", F.col("account").alias("before"), after.alias("after")).filter("before <> after")
-
-
 @add("thr_delivery_keys", f"WITH {SQL} SELECT id, sha256(lower(rfc_id)) AS delivery FROM m WHERE id IN (1, 2, 3, 500)")
 def thr_delivery_keys(spark, d):
     wanted = spark.createDataFrame([(1,), (2,), (3,), (500,)], "id long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = [importlib.import_module(f"postrider.queries.{m}").group for m in ("filtering", "relational", "searching", "mirroring", "evaluating", "texts", "threading", "identity", "streams")]
+GROUPS = [importlib.import_module(f"postrider.queries.{m}").group for m in ("filtering", "relational", "searching", "mirroring", "evaluating", "texts", "threading", "identity", "mimes", "streams")]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
