@@ -20,12 +20,13 @@ WORDS = 1_000_000
 
 @dataclass
 class Chunk:
-    """Words of some rows: ``words[i]`` numbers into ``hashes``; row r has ``sizes[r]`` of them."""
+    """Words of some rows: ``words[i]`` numbers into ``hashes`` and ``named``; row r has ``sizes[r]`` of them."""
 
     rows: list
     sizes: np.ndarray
     words: np.ndarray
     hashes: np.ndarray
+    named: list[bytes]
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -38,7 +39,7 @@ def chunks(batches: Iterator[pa.RecordBatch], lower: bool, words: int = WORDS) -
 
     def chunk() -> Chunk:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-        return Chunk(rows, np.array(sizes, np.int64), np.concatenate([np.array(n, np.int32) for n in numbers]), hashes)
+        return Chunk(rows, np.array(sizes, np.int64), np.concatenate([np.array(n, np.int32) for n in numbers]), hashes, list(known))
 
     for batch in batches:
         others = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))

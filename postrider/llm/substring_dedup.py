@@ -1,7 +1,8 @@
-"""Repeated passages by hashes of fixed windows of words, in groups by variable-length prefixes; no suffix tree is built."""
+"""Repeated passages by suffix trees over groups of suffixes that share a prefix of words."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -13,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-from ..plans.staging import stage
+from ..plans.staging import shared_dir, stage
 from .chunks import Chunk, chunks, deltas, mix, pack, unpack
 
-#: Suffixes in a group, at most, unless longer prefixes cannot part them.
-GROUP = 2_000_000
+#: Suffixes in a group, about, unless longer prefixes cannot part them.
+GROUP = 1_000_000
 #: First prefixes are told apart by so many hash values, longer ones by so many more each.
 FIRST, NEXT = 1024, 64
 #: Characters of text in a chunk; a document with more is a chunk of its own.
 BYTES = 6_000_000
+#: Bits of a window's hash, at least, and beyond those that number the bytes of all texts.
+LEAST_BITS, SPARE = 32, 8
 #: A null id is above all others.
 LAST = 2**63 - 1
 
@@ -55,27 +58,18 @@ class Prefixes:
 
     def __init__(self):
         self.split: list[np.ndarray] = []
+        self.groups = 1
 
-    def numbers(self, path: list[np.ndarray], where: np.ndarray, levels: int) -> np.ndarray:
-        """The prefix number of suffixes ``where``, with up to ``levels`` splits."""
+    def numbers(self, path: list[np.ndarray], where: np.ndarray) -> np.ndarray:
+        """The prefix number of suffixes ``where``."""
         number = (path[0][where] % np.uint64(FIRST)).astype(np.int64)
-        for k, frequent in enumerate(self.split[:levels], 1):
+        for k, frequent in enumerate(self.split, 1):
             more = np.isin(number, frequent)
             number[more] = number[more] * NEXT + (path[k][where[more]] % np.uint64(NEXT)).astype(np.int64) + FIRST * (k + 1)
         return number
 
-
-def entries(chunk: Chunk, ids: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, smallest id, whether a larger id has it too) of the nodes that start in a chunk: one entry for each node."""
-    where = np.nonzero(node)[0]
-    own = ids[chunk.row_of_word()[where]]
-    by = np.lexsort((own, node[where]))
-    node, own = node[where][by], own[by]
-    if not len(node):
-        return node, own, np.zeros(0, bool)
-    ends = np.append(np.nonzero(node[1:] != node[:-1])[0], len(node) - 1)
-    starts = np.append(0, ends[:-1] + 1)
-    return node[starts], own[starts], own[ends] > own[starts]
+    def group(self, number: np.ndarray) -> np.ndarray:
+        return (mix(number.view(np.uint64)) % np.uint64(self.groups)).astype(np.int32)
 
 
 def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -93,19 +87,86 @@ def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[p
         yield name, (b for _, b in run)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(chunk, id, missing, text), and (chunk, value): the repeated windows of each chunk of documents.
-
-    A suffix is cut at ``least_words`` words, and its path is known by hashes:
-    that of its first words puts it into a group, that of all ``least_words`` is
-    its deep node. A value holds packed deep nodes and the smallest id that has
-    each; they are repeats for the rows of the chunk with larger ids.
-
-    Groups are made so that each fits into memory: all suffixes are counted by
-    the first word's hash, and prefixes with too many are split by one word
-    more, again and again. Suffixes with equal paths, which no prefix parts, are
-    one entry of a chunk of documents, however many documents of it share them.
+class Windows:
+    """The windows of a chunk of rows, by the least bits of the hash of their words that tell most of them apart."""
+
+    def __init__(self, rows: Iterator[pa.RecordBatch], words: int, bits: int, levels: int = 0):
+        self.words = words
+        self.chunk = next(chunks(rows, lower=False, words=10**15))
+        self.path = paths(self.chunk, words, levels)
+        self.where = np.nonzero(self.path[-1])[0]
+        self.hash = self.path[-1][self.where] >> np.uint64(64 - bits)
+        self.ids = np.array([r[0] for r in self.chunk.rows], np.int64)[self.chunk.row_of_word()[self.where]]
+        #: Each hash once, and where it is among them.
+        self.known, self.at = np.unique(self.hash, return_inverse=True)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order that brings the known hashes together by part, and where each part begins."""
+        part = (mix(self.known) % np.uint64(parts)).astype(np.int64)
+        return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+    def met(self, found: dict[int, bytes], parts: int) -> np.ndarray:
+        """Places in ``where`` whose hash occurs in several rows, by the answers of the parts."""
+        order, cuts = self.dealt(parts)
+        again = np.zeros(len(self.known), bool)
+        for p, value in found.items():
+            x, y = cuts[p], cuts[p + 1]
+            again[order[x:y]] = np.unpackbits(np.frombuffer(value, np.uint8), count=y - x).view(bool)
+        return np.nonzero(again[self.at])[0]
+
+    def suffixes(self, met: np.ndarray, prefixes: Prefixes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, group, least id, largest id, place of each met window): the distinct suffixes, by group, then text."""
+        c = self.chunk
+        flat = [c.named[i] for i in c.words.tolist()]
+        number: dict[bytes, int] = {}
+        put, n = number.setdefault, self.words
+        place = np.fromiter((put(b" ".join(flat[i : i + n]), len(number)) for i in self.where[met].tolist()), np.int64, len(met))
+        del flat
+        texts = list(number)
+        least, most = np.full(len(texts), LAST), np.full(len(texts), -LAST - 1)
+        np.minimum.at(least, place, self.ids[met])
+        np.maximum.at(most, place, self.ids[met])
+        group = np.zeros(len(texts), np.int32)
+        group[place] = prefixes.group(prefixes.numbers(self.path, self.where[met]))
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        order = np.array(order, np.int64)[np.argsort(group[order], kind="stable")] if order else np.zeros(0, np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return [texts[i] for i in order.tolist()], group[order], least[order], most[order], rank[place]
+
+
+def deep_nodes(suffixes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, node): suffixes (rows of word numbers) as leaves in order, and the deep internal node that each hangs under.
+
+    The tree is known by its leaves in order and the lengths of the prefixes
+    that neighbours share: the leaves between two shorter ones hang under one
+    internal node. Nodes of ``least_words`` and more are deep.
+    """
+    order = np.lexsort(suffixes.T[::-1])
+    s = suffixes[order]
+    differs = s[1:] != s[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), suffixes.shape[1]) if len(s) > 1 else np.zeros(0, np.int64)
+    return order, np.append(0, np.cumsum(shared < least_words))[: len(s)]
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int, Prefixes]:
+    """(chunks of documents, answers to them, and what :class:`Windows` needs to read these).
+
+    1. Texts are written in chunks, bucketed, and not shuffled again.
+    2. A window whose words occur in one row only lies under no deep node. So
+       each chunk asks which of its windows' hashes (of just as many bits as
+       tell most apart) others have too; it sends each once and gets a bit back.
+    3. What is left are suffixes that may repeat. They are counted by the hash
+       of the first word, and prefixes with too many are parted by one word
+       more, again and again, until each group fits into memory.
+    4. Each chunk sends its distinct suffixes, cut at ``least_words`` words, as
+       text to their groups. A group sorts them, finds the deep nodes from the
+       prefixes that neighbours share, and answers with the smallest id of each
+       suffix's node. Here words are compared, so hashes decide nothing.
+
+    A suffix that very many documents share is one entry of a chunk throughout.
     """
+    spark = docs.sparkSession
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = TaskContext.get().partitionId() * 1_000_000, 0
@@ -120,84 +181,108 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
 
     own = F.col(f"`{id_col}`").cast("long")
     plain = only(docs, id=F.coalesce(own, F.lit(LAST)), missing=own.isNull(), text=text_col)
-    # The numbers are written, so that no second reading can deal rows out in another way.
-    named = stage(plain.mapInArrow(numbered, "chunk long, id long, missing boolean, text string"))
-    d = named.select("chunk", "id", "missing", "text")
+    table, path = f"passages_{uuid.uuid4().hex}", f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = plain.mapInArrow(numbered, "chunk long, id long, missing boolean, text string")
+    named.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").option("path", path).saveAsTable(table)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    d = spark.table(table)
+    size = d.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = int(min(64, max(LEAST_BITS, np.ceil(np.log2(size + 2)) + SPARE)))
+    parts = int(max(1, size // (6 * 2_000_000)))
     prefixes = Prefixes()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
-        for c in chunks(batches, lower=False):
-            levels = min(len(prefixes.split) + 1, least_words)
-            path = paths(c, levels, levels)
-            if len(c.words):
-                # Suffixes too short for a deep node are in no group.
-                rest = np.repeat(np.cumsum(c.sizes), c.sizes) - np.arange(len(c.words))
-                numbers, n = np.unique(prefixes.numbers(path, np.nonzero(rest >= least_words)[0], len(prefixes.split)), return_counts=True)
-                for k, v in zip(numbers.tolist(), n.tolist(), strict=True):
-                    found[k] = found.get(k, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["number", "n"])
-
-    sizes: dict[int, int] = {}
-    while len(prefixes.split) < least_words:
-        # Bounded: 1,024 numbers, and 64 for each prefix that holds over GROUP suffixes.
-        sizes = {r["number"]: r["n"] for r in d.mapInArrow(counted, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect()}
-        frequent = np.array([k for k, n in sizes.items() if n > GROUP], np.int64)
-        if not len(frequent) or len(prefixes.split) == least_words - 1:
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, run in by_name(b.select(["chunk", "id", "text"]) for b in batches):
+            w = Windows((b.select(["id", "text"]) for b in run), least_words, bits)
+            low, high = np.full(len(w.known), LAST), np.full(len(w.known), -LAST - 1)
+            np.minimum.at(low, w.at, w.ids)
+            np.maximum.at(high, w.at, w.ids)
+            order, cuts = w.dealt(parts)
+            rows = [(p, pack(deltas(w.known[order[x:y]]), np.packbits((high > low)[order[x:y]]))) for p, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if x < y]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([v for _, v in rows], pa.binary())], ["part", "chunk", "value"])
+
+    def met_elsewhere(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack(v) for v in frame["value"]]
+        hashes = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        _, back, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        several = n[back] > 1
+        out, at = [], 0
+        for a, h in zip(asked, hashes, strict=True):
+            out.append(np.packbits(several[at : at + len(h)] | np.unpackbits(a[1], count=len(h)).view(bool)).tobytes())
+            at += len(h)
+        return pd.DataFrame({"chunk": frame["chunk"], "kind": 0, "part": frame["part"], "value": out})
+
+    answer = "chunk long, kind int, part int, value binary"
+    bitmaps = stage(d.mapInArrow(asking, "part int, chunk long, value binary").groupBy("part").applyInPandas(met_elsewhere, answer))
+
+    def windows_of(rows: pd.DataFrame, bitmap: pd.DataFrame, levels: int) -> tuple[Windows, np.ndarray]:
+        w = Windows(iter([batch_of(rows)]), least_words, bits, levels)
+        return w, w.met(dict(zip(bitmap["part"], bitmap["value"], strict=True)), parts)
+
+    def counted(rows: pd.DataFrame, bitmap: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"number": [], "n": []})
+        w, met = windows_of(rows, bitmap, len(prefixes.split) + 1)
+        _, first = np.unique(w.hash[met], return_index=True)
+        number, n = np.unique(prefixes.numbers(w.path, w.where[met[first]]), return_counts=True)
+        return pd.DataFrame({"number": number, "n": n})
+
+    while True:
+        asked = d.groupBy("chunk").cogroup(bitmaps.groupBy("chunk"))
+        counts = stage(asked.applyInPandas(counted, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")))
+        # There are no more frequent prefixes than groups that they would fill.
+        frequent = np.array(sorted(r["number"] for r in counts.filter(F.col("n") > GROUP).collect()), np.int64)
+        new = frequent[~np.isin(frequent, np.concatenate([np.zeros(0, np.int64), *prefixes.split]))]
+        if not len(new) or len(prefixes.split) == least_words - 1:
             break
-        prefixes.split.append(frequent)
-    # Prefixes are packed into groups of about equal size, the largest first.
-    n_groups = max(1, -(-sum(sizes.values()) // (GROUP // 2)))
-    loads, group_of = np.zeros(n_groups, np.int64), {}
-    for k, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        g = int(loads.argmin())
-        group_of[k] = g
-        loads[g] += n
-    known = np.array(sorted(group_of), np.int64)
-    groups = np.array([group_of[k] for k in known.tolist()], np.int32)
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, c in ((n, c) for n, run in by_name(batches) for c in chunks(run, lower=False)):
-            path = paths(c, least_words, len(prefixes.split) + 1)
-            where = np.nonzero(path[-1])[0]
-            if not len(where):
-                continue
-            node, own, several = entries(c, np.array([r[1] for r in c.rows], np.int64), path[-1])
-            # Equal nodes have equal paths, so any of their suffixes tells the group.
-            deep, at = np.unique(path[-1][where], return_index=True)
-            group = groups[np.searchsorted(known, prefixes.numbers(path, where[at], len(prefixes.split)))]
-            del path, where, deep
-            by = np.argsort(group, kind="stable")
-            node, own, several, group = node[by], own[by], several[by], group[by]
-            cuts = np.append(0, np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))).tolist()
-            names, values = [], []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                values.append(pack(deltas(node[x:y]), *indexed(own[x:y]), several[x:y].astype(np.uint8)))
-                names.append(int(group[x]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(values, pa.binary())], ["group", "chunk", "value"])
-
-    def shared(frame: pd.DataFrame) -> pd.DataFrame:
-        """To each chunk, those of its nodes that are repeats for some of its rows, with the smallest id of all."""
-        parts = [unpack(v) for v in frame["value"]]
-        nodes = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        every, first = np.concatenate(nodes), np.concatenate([p[1][p[2]] for p in parts])
-        by = np.argsort(every, kind="stable")
-        start = np.ones(len(by), bool)
-        start[1:] = every[by][1:] != every[by][:-1]
-        of_node = np.empty(len(by), np.int64)
-        of_node[by] = np.minimum.reduceat(first[by], np.nonzero(start)[0])[np.cumsum(start) - 1]
-        out = {"chunk": [], "value": []}
-        at = 0
-        for chunk, p, node in zip(frame["chunk"], parts, nodes, strict=True):
-            least = of_node[at : at + len(node)]
-            again = (least < p[1][p[2]]) | (p[3] > 0)
-            at += len(node)
-            if again.any():
-                out["chunk"].append(chunk)
-                out["value"].append(pack(deltas(node[again]), *indexed(least[again])))
-        return pd.DataFrame(out)
-
-    return d, d.mapInArrow(sent, "group int, chunk long, value binary").groupBy("group").applyInPandas(shared, "chunk long, value binary")
+        prefixes.split.append(new)
+    prefixes.groups = int(max(1, 4 * (counts.agg(F.sum("n")).head()[0] or 0) // GROUP))
+
+    def sent(rows: pd.DataFrame, bitmap: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            w, met = windows_of(rows, bitmap, len(prefixes.split) + 1)
+            texts, group, least, most, _ = w.suffixes(met, prefixes)
+            for g, x, y in runs_of(group):
+                text = np.frombuffer(b"\n".join(texts[x:y]), np.uint8)
+                out.append((g, int(rows["chunk"].iat[0]), pack(text, *indexed(least[x:y]), np.packbits(most[x:y] > least[x:y]))))
+        return pd.DataFrame(out, columns=["group", "chunk", "value"])
+
+    def answered(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack(v) for v in frame["value"]]
+        number: dict[bytes, int] = {}
+        put = number.setdefault
+        leaves = []
+        for a in asked:
+            words = a[0].tobytes().split()
+            leaves.append(np.fromiter((put(w, len(number)) for w in words), np.int32, len(words)).reshape(-1, least_words))
+        ids = np.concatenate([a[1][a[2]] for a in asked])
+        order, node = deep_nodes(np.concatenate(leaves), least_words)
+        least = np.empty(len(ids), np.int64)
+        starts = np.nonzero(np.append(True, node[1:] != node[:-1]))[0]
+        least[order] = np.minimum.reduceat(ids[order], starts)[node]
+        out, at = [], 0
+        for x in leaves:
+            out.append(pack(*indexed(least[at : at + len(x)])))
+            at += len(x)
+        return pd.DataFrame({"chunk": frame["chunk"], "kind": 1, "part": frame["group"], "value": out})
+
+    grouped = d.groupBy("chunk").cogroup(bitmaps.groupBy("chunk")).applyInPandas(sent, "group int, chunk long, value binary")
+    return d, bitmaps.union(grouped.groupBy("group").applyInPandas(answered, answer)), bits, parts, prefixes
+
+
+def batch_of(rows: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["text"], pa.string(), from_pandas=True)], ["id", "text"])
+
+
+def runs_of(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of equal values."""
+    if len(group):
+        cuts = np.append(0, np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(group[x]), x, y
 
 
 def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +291,53 @@ def indexed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, back.astype(np.uint16 if len(own) < 65536 else np.uint32)
 
 
+def passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept, and spans.
+
+    spans are the maximal passages of the row that consist of repeated windows:
+    (start, n_words, first_id), by word from 0; first_id is the smallest id in
+    which a window of the passage starts. The other columns are those of
+    :func:`without_repeated_passages`.
+    """
+    d, told, bits, parts, prefixes = repeated_passages(docs, least_words, id_col, text_col)
+
+    def cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "missing", "n_words", "n_removed", "kept", "spans"]
+        if not len(rows):
+            return pd.DataFrame(columns=columns)
+        w = Windows(iter([batch_of(rows)]), least_words, bits, len(prefixes.split) + 1)
+        of = {k: dict(zip(f["part"], f["value"], strict=True)) for k, f in found.groupby("kind")}
+        met = w.met(of.get(0, {}), parts)
+        _, group, _, _, place = w.suffixes(met, prefixes)
+        least = np.full(len(group), LAST)
+        for g, x, y in runs_of(group):
+            own, back = unpack(of[1][g])
+            least[x:y] = own[back]
+        n = len(w.chunk.words)
+        first = np.full(n, LAST)
+        again = least[place] < w.ids[met]
+        first[w.where[met[again]]] = least[place[again]]
+        starts = np.zeros(n + least_words + 1, np.int64)
+        at = w.where[met[again]]
+        starts[at] += 1
+        starts[at + least_words] -= 1
+        gone = np.cumsum(starts)[:n] > 0
+        out, at = [], 0
+        named, words = w.chunk.named, w.chunk.words
+        for i, missing, size in zip(rows["id"], rows["missing"], w.chunk.sizes.tolist(), strict=True):
+            mine = gone[at : at + size]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
+            spans = [(int(x), int(y - x), int(first[at + x : at + y].min())) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+            kept = b" ".join([named[k] for k in words[at : at + size][~mine].tolist()]).decode()
+            out.append((i, missing, size, int(mine.sum()), kept, spans))
+            at += size
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "id long, missing boolean, n_words long, n_removed long, kept string, spans array<struct<start: long, n_words: long, first_id: long>>"
+    out = d.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(cut, schema)
+    return out.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept", "spans")
+
+
 def without_repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept (words joined by a space).
 
@@ -216,40 +348,6 @@ def without_repeated_passages(docs: DataFrame, least_words: int = 13, id_col: st
     smaller than each other; a null id is above all others. An empty table
     gives an empty result; other columns are not read.
 
-    Windows are compared by 64-bit path hashes. Texts are written once, with the
-    number of their chunk, and shuffled once, by it.
+    Windows are compared by their words; see :func:`repeated_passages`.
     """
-    d, answers = repeated_passages(docs, least_words, id_col, text_col)
-
-    def cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(v) for v in found["value"]]
-        nodes = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts] or [np.zeros(0, np.uint64)])
-        least = np.concatenate([p[1][p[2]] for p in parts] or [np.zeros(0, np.int64)])
-        by = np.argsort(nodes, kind="stable")
-        nodes, least = nodes[by], least[by]
-        table = pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["text"], pa.string(), from_pandas=True)], ["id", "text"])
-        covered = [np.zeros(0, bool)]
-        for c in chunks(iter([table]), lower=False):
-            node = paths(c, least_words)[-1]
-            starts = np.zeros(len(node), bool)
-            if len(nodes) and len(node):
-                at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                own = np.array([r[0] for r in c.rows], np.int64)[c.row_of_word()]
-                starts = (node != 0) & (nodes[at] == node) & (least[at] < own)
-            edge = np.zeros(len(node) + least_words + 1, np.int64)
-            edge[: len(node)] += starts
-            edge[least_words : least_words + len(node)] -= starts
-            covered.append(np.cumsum(edge)[: len(node)] > 0)
-        gone = np.concatenate(covered)
-        n_words, n_removed, kept, at = [], [], [], 0
-        for text in table.column(1):
-            words = (text.as_py() or "").encode().split()
-            mine = gone[at : at + len(words)]
-            at += len(words)
-            n_words.append(len(words))
-            n_removed.append(int(mine.sum()))
-            kept.append(b" ".join([w for w, c in zip(words, mine.tolist(), strict=True) if not c]).decode())
-        return pd.DataFrame({"id": rows["id"], "missing": rows["missing"], "n_words": n_words, "n_removed": n_removed, "kept": kept})
-
-    out = d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "id long, missing boolean, n_words long, n_removed long, kept string")
-    return out.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return passages(docs, least_words, id_col, text_col).drop("spans")

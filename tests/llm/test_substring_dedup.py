@@ -61,12 +61,38 @@ def test_documents(spark, monkeypatch):
     assert without_repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_one_entry_for_a_node_of_a_chunk():
+def test_one_entry_for_a_suffix_of_a_chunk():
     """A passage in 500 documents of a chunk is one entry for each of its windows, not one for each document."""
     t = pa.RecordBatch.from_arrays([pa.array(range(7, 507)), pa.array([" ".join(f"w{i}" for i in range(14))] * 500)], ["id", "text"])
-    (c,) = chunks.chunks(iter([t]), lower=False)
-    node, least, several = substring_dedup.entries(c, np.array([r[0] for r in c.rows]), substring_dedup.paths(c, 13)[-1])
-    assert len(node) == 2 and least.tolist() == [7, 7] and several.all()
+    w = substring_dedup.Windows(iter([t]), 13, 40, 1)
+    assert len(w.where) == 1000 and len(w.known) == 2
+    texts, _, least, most, place = w.suffixes(np.arange(1000), substring_dedup.Prefixes())
+    assert sorted(texts) == [" ".join(f"w{i}" for i in range(a, a + 13)).encode() for a in (0, 1)]
+    assert least.tolist() == [7, 7] and most.tolist() == [506, 506] and np.bincount(place).tolist() == [500, 500]
+
+
+def test_deep_nodes():
+    """Leaves that share the least number of words hang under one node; the tree is that of all shared prefixes."""
+    r = np.random.default_rng(3)
+    s = r.integers(0, 2, (200, 6)).astype(np.int32)
+    for least in (3, 6):
+        order, node = substring_dedup.deep_nodes(s, least)
+        found = {}
+        for k, n in zip(order.tolist(), node.tolist(), strict=True):
+            found.setdefault(n, set()).add(tuple(s[k, :least].tolist()))
+        assert all(len(v) == 1 for v in found.values()) and len(found) == len(np.unique(s[:, :least], axis=0))
+
+
+def test_collisions_and_spans(spark, monkeypatch):
+    """With two bits of hash nearly all windows collide, and nothing changes, as words are compared; spans are what was removed."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "LEAST_BITS", 2)
+    monkeypatch.setattr(substring_dedup, "SPARE", -60)
+    got = substring_dedup.passages(docs).collect()
+    assert sorted([tuple(x)[:4] for x in got], key=str) == plain(rows)
+    assert all(sum(p.n_words for p in x.spans) == x.n_removed and all(p.first_id < (2**63 - 1 if x.doc_id is None else x.doc_id) for p in x.spans) for x in got)
+
 
 
 def test_several_chunks(spark, monkeypatch):
