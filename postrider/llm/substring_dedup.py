@@ -114,25 +114,35 @@ class Windows:
             again[order[x:y]] = np.unpackbits(np.frombuffer(value, np.uint8), count=y - x).view(bool)
         return np.nonzero(again[self.at])[0]
 
-    def suffixes(self, met: np.ndarray, prefixes: Prefixes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(texts, group, least id, largest id, place of each met window): the distinct suffixes, by group, then text."""
-        c = self.chunk
-        flat = [c.named[i] for i in c.words.tolist()]
-        number: dict[bytes, int] = {}
-        put, n = number.setdefault, self.words
-        place = np.fromiter((put(b" ".join(flat[i : i + n]), len(number)) for i in self.where[met].tolist()), np.int64, len(met))
-        del flat
-        texts = list(number)
-        least, most = np.full(len(texts), LAST), np.full(len(texts), -LAST - 1)
-        np.minimum.at(least, place, self.ids[met])
-        np.maximum.at(most, place, self.ids[met])
-        group = np.zeros(len(texts), np.int32)
-        group[place] = prefixes.group(prefixes.numbers(self.path, self.where[met]))
-        order = sorted(range(len(texts)), key=texts.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(group[order], kind="stable")] if order else np.zeros(0, np.int64)
+    def suffixes(self, met: np.ndarray, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, group, least id, largest id, place of each met window): the distinct suffixes, in an order that only their words fix."""
+        where, ids = self.where[met], self.ids[met]
+        full = self.path[-1][where]
+        _, first, place = np.unique(full, return_index=True, return_inverse=True)
+        words = self.chunk.words
+        if any((words[where + k] != words[where[first] + k][place]).any() for k in range(self.words)):
+            # Different words under one hash: they are told apart by the words themselves.
+            rows = [b" ".join([self.chunk.named[w] for w in words[a : a + self.words].tolist()]) for a in where.tolist()]
+            _, first, place = np.unique(np.array(rows, object), return_index=True, return_inverse=True)
+        least, most = np.full(len(first), LAST), np.full(len(first), -LAST - 1)
+        np.minimum.at(least, place, ids)
+        np.maximum.at(most, place, ids)
+        starts = where[first]
+        group = prefixes.group(prefixes.numbers(self.path, starts))
+        # By the first word and then as they are numbered, so that columns of words pack well.
+        order = np.lexsort((np.arange(len(first)), self.path[0][starts], group))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return [texts[i] for i in order.tolist()], group[order], least[order], most[order], rank[place]
+        return starts[order], group[order], least[order], most[order], rank[place]
+
+    def packed(self, starts: np.ndarray) -> list[np.ndarray]:
+        """The words of suffixes: each word once, and its number for each place, by columns."""
+        matrix = self.chunk.words[starts + np.arange(self.words)[:, None]]
+        used = np.zeros(len(self.chunk.named), bool)
+        used[matrix] = True
+        named = b"\n".join([self.chunk.named[w] for w in np.nonzero(used)[0].tolist()])
+        number = (np.cumsum(used) - 1)[matrix]
+        return [np.frombuffer(named, np.uint8), *number.astype(np.uint16 if used.sum() < 65536 else np.uint32)]
 
 
 def deep_nodes(suffixes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +152,9 @@ def deep_nodes(suffixes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.n
     that neighbours share: the leaves between two shorter ones hang under one
     internal node. Nodes of ``least_words`` and more are deep.
     """
-    order = np.lexsort(suffixes.T[::-1])
+    columns = [c.astype(np.int64) for c in suffixes.T]
+    pairs = [(a << 32) | b for a, b in zip(columns[::2], columns[1::2], strict=False)] + columns[len(columns) // 2 * 2 :]
+    order = np.lexsort(pairs[::-1])
     s = suffixes[order]
     differs = s[1:] != s[:-1]
     shared = np.where(differs.any(axis=1), differs.argmax(axis=1), suffixes.shape[1]) if len(s) > 1 else np.zeros(0, np.int64)
@@ -159,8 +171,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     3. What is left are suffixes that may repeat. They are counted by the hash
        of the first word, and prefixes with too many are parted by one word
        more, again and again, until each group fits into memory.
-    4. Each chunk sends its distinct suffixes, cut at ``least_words`` words, as
-       text to their groups. A group sorts them, finds the deep nodes from the
+    4. Each chunk sends its distinct suffixes, cut at ``least_words`` words, with
+       these words to their groups. A group sorts them, finds the deep nodes from the
        prefixes that neighbours share, and answers with the smallest id of each
        suffix's node. Here words are compared, so hashes decide nothing.
 
@@ -244,10 +256,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         out = []
         if len(rows):
             w, met = windows_of(rows, bitmap, len(prefixes.split) + 1)
-            texts, group, least, most, _ = w.suffixes(met, prefixes)
+            starts, group, least, _, _ = w.suffixes(met, prefixes)
             for g, x, y in runs_of(group):
-                text = np.frombuffer(b"\n".join(texts[x:y]), np.uint8)
-                out.append((g, int(rows["chunk"].iat[0]), pack(text, *indexed(least[x:y]), np.packbits(most[x:y] > least[x:y]))))
+                out.append((g, int(rows["chunk"].iat[0]), pack(*indexed(least[x:y]), *w.packed(starts[x:y]))))
         return pd.DataFrame(out, columns=["group", "chunk", "value"])
 
     def answered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -256,9 +267,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         put = number.setdefault
         leaves = []
         for a in asked:
-            words = a[0].tobytes().split()
-            leaves.append(np.fromiter((put(w, len(number)) for w in words), np.int32, len(words)).reshape(-1, least_words))
-        ids = np.concatenate([a[1][a[2]] for a in asked])
+            own = np.array([put(w, len(number)) for w in a[2].tobytes().split(b"\n")], np.int32)
+            leaves.append(np.stack([own[c] for c in a[3:]], axis=1))
+        ids = np.concatenate([a[0][a[1]] for a in asked])
         order, node = deep_nodes(np.concatenate(leaves), least_words)
         least = np.empty(len(ids), np.int64)
         starts = np.nonzero(np.append(True, node[1:] != node[:-1]))[0]

@@ -66,8 +66,10 @@ def test_one_entry_for_a_suffix_of_a_chunk():
     t = pa.RecordBatch.from_arrays([pa.array(range(7, 507)), pa.array([" ".join(f"w{i}" for i in range(14))] * 500)], ["id", "text"])
     w = substring_dedup.Windows(iter([t]), 13, 40, 1)
     assert len(w.where) == 1000 and len(w.known) == 2
-    texts, _, least, most, place = w.suffixes(np.arange(1000), substring_dedup.Prefixes())
-    assert sorted(texts) == [" ".join(f"w{i}" for i in range(a, a + 13)).encode() for a in (0, 1)]
+    starts, _, least, most, place = w.suffixes(np.arange(1000), substring_dedup.Prefixes())
+    named, *columns = w.packed(starts)
+    words = np.array(named.tobytes().decode().split("\n"))
+    assert sorted(map(tuple, words[np.stack(columns, axis=1)].tolist())) == [tuple(f"w{i}" for i in range(a, a + 13)) for a in (0, 1)]
     assert least.tolist() == [7, 7] and most.tolist() == [506, 506] and np.bincount(place).tolist() == [500, 500]
 
 
@@ -100,7 +102,7 @@ def test_several_chunks(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BYTES", 2000)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    named, answers = substring_dedup.repeated_passages(docs)
+    named, answers, *_ = substring_dedup.repeated_passages(docs)
     n = named.select("chunk").distinct().count()
     assert n > 3 and answers.count() >= 1
     assert sorted(map(tuple, without_repeated_passages(docs).collect()), key=str) == plain(rows)
