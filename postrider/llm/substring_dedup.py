@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,10 @@ from .chunks import Chunk, chunks, deltas, mix, pack, unpack
 GROUP = 1_000_000
 #: First prefixes are told apart by so many hash values, longer ones by so many more each.
 FIRST, NEXT = 1024, 64
-#: Characters of text in a chunk; a document with more is a chunk of its own.
-BYTES = 6_000_000
-#: Bits of a window's hash, at least, and beyond those that number the bytes of all texts.
-LEAST_BITS, SPARE = 32, 8
+#: Words in a chunk; a document with more is a chunk of its own.
+WORDS = 1_000_000
+#: Bits of a window's hash, at least, and beyond those that number all words.
+LEAST_BITS, SPARE = 32, 10
 #: A null id is above all others.
 LAST = 2**63 - 1
 
@@ -72,27 +72,28 @@ class Prefixes:
         return (mix(number.view(np.uint64)) % np.uint64(self.groups)).astype(np.int32)
 
 
-def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-    """The rows of each chunk, by the first column."""
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
 
-    def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
-        for b in batches:
-            name = b.column(0).to_numpy(zero_copy_only=False)
-            cuts = np.append(0, np.append(np.nonzero(name[1:] != name[:-1])[0] + 1, len(name))).tolist()
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if x < y:
-                    yield int(name[x]), b.slice(x, y - x)
 
-    for name, run in groupby(runs(), key=lambda x: x[0]):
-        yield name, (b for _, b in run)
+def written(c: Chunk) -> bytes:
+    """A chunk of rows (id, missing) as one value."""
+    ids, missing = np.array([r[0] for r in c.rows], np.int64), np.array([r[1] for r in c.rows], np.uint8)
+    return pack(ids, missing, small(c.sizes), small(c.words), np.frombuffer(b"\n".join(c.named), np.uint8))
+
+
+def read_back(state: bytes) -> Chunk:
+    ids, missing, sizes, words, named = unpack(state)
+    known = named.tobytes().split(b"\n") if len(words) else []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    return Chunk(list(zip(ids.tolist(), missing.tolist(), strict=True)), sizes.astype(np.int64), words.astype(np.int32), hashes, known)
 
 
 class Windows:
     """The windows of a chunk of rows, by the least bits of the hash of their words that tell most of them apart."""
 
-    def __init__(self, rows: Iterator[pa.RecordBatch], words: int, bits: int, levels: int = 0):
-        self.words = words
-        self.chunk = next(chunks(rows, lower=False, words=10**15))
+    def __init__(self, chunk: Chunk, words: int, bits: int, levels: int = 0):
+        self.words, self.chunk = words, chunk
         self.path = paths(self.chunk, words, levels)
         self.where = np.nonzero(self.path[-1])[0]
         self.hash = self.path[-1][self.where] >> np.uint64(64 - bits)
@@ -164,7 +165,8 @@ def deep_nodes(suffixes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.n
 def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int, Prefixes]:
     """(chunks of documents, answers to them, and what :class:`Windows` needs to read these).
 
-    1. Texts are written in chunks, bucketed, and not shuffled again.
+    1. Texts are written in chunks, each word once and its number at each place,
+       bucketed, and not shuffled again.
     2. A window whose words occur in one row only lies under no deep node. So
        each chunk asks which of its windows' hashes (of just as many bits as
        tell most apart) others have too; it sends each once and gets a bit back.
@@ -181,33 +183,27 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     spark = docs.sparkSession
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = TaskContext.get().partitionId() * 1_000_000, 0
-        for b in batches:
-            names = []
-            for t in b.column(2):
-                if held >= BYTES:
-                    name, held = name + 1, 0
-                held += len(t.as_py() or "")
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *b.columns], ["chunk", "id", "missing", "text"])
+        first = TaskContext.get().partitionId() * 1_000_000
+        for k, c in enumerate(chunks(batches, lower=False, words=WORDS)):
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([len(c.words)], pa.int64()), pa.array([written(c)], pa.binary())], ["chunk", "n", "state"])
 
     own = F.col(f"`{id_col}`").cast("long")
     plain = only(docs, id=F.coalesce(own, F.lit(LAST)), missing=own.isNull(), text=text_col)
     table, path = f"passages_{uuid.uuid4().hex}", f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = plain.mapInArrow(numbered, "chunk long, id long, missing boolean, text string")
+    named = plain.mapInArrow(numbered, "chunk long, n long, state binary")
     named.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").option("path", path).saveAsTable(table)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    d = spark.table(table)
-    size = d.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = int(min(64, max(LEAST_BITS, np.ceil(np.log2(size + 2)) + SPARE)))
-    parts = int(max(1, size // (6 * 2_000_000)))
+    n_words = spark.table(table).agg(F.sum("n")).head()[0] or 0
+    d = spark.table(table).select("chunk", "state")
+    bits = int(min(64, max(LEAST_BITS, np.ceil(np.log2(n_words + 2)) + SPARE)))
+    parts = int(max(1, n_words // 2_000_000))
     prefixes = Prefixes()
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, run in by_name(b.select(["chunk", "id", "text"]) for b in batches):
-            w = Windows((b.select(["id", "text"]) for b in run), least_words, bits)
+        for name, state in ((n, s) for b in batches for n, s in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            w = Windows(read_back(state.as_py()), least_words, bits)
             low, high = np.full(len(w.known), LAST), np.full(len(w.known), -LAST - 1)
             np.minimum.at(low, w.at, w.ids)
             np.maximum.at(high, w.at, w.ids)
@@ -230,7 +226,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     bitmaps = stage(d.mapInArrow(asking, "part int, chunk long, value binary").groupBy("part").applyInPandas(met_elsewhere, answer))
 
     def windows_of(rows: pd.DataFrame, bitmap: pd.DataFrame, levels: int) -> tuple[Windows, np.ndarray]:
-        w = Windows(iter([batch_of(rows)]), least_words, bits, levels)
+        w = Windows(read_back(rows["state"].iat[0]), least_words, bits, levels)
         return w, w.met(dict(zip(bitmap["part"], bitmap["value"], strict=True)), parts)
 
     def counted(rows: pd.DataFrame, bitmap: pd.DataFrame) -> pd.DataFrame:
@@ -284,10 +280,6 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     return d, bitmaps.union(grouped.groupBy("group").applyInPandas(answered, answer)), bits, parts, prefixes
 
 
-def batch_of(rows: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["text"], pa.string(), from_pandas=True)], ["id", "text"])
-
-
 def runs_of(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of the runs of equal values."""
     if len(group):
@@ -316,7 +308,7 @@ def passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", tex
         columns = ["id", "missing", "n_words", "n_removed", "kept", "spans"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
-        w = Windows(iter([batch_of(rows)]), least_words, bits, len(prefixes.split) + 1)
+        w = Windows(read_back(rows["state"].iat[0]), least_words, bits, len(prefixes.split) + 1)
         of = {k: dict(zip(f["part"], f["value"], strict=True)) for k, f in found.groupby("kind")}
         met = w.met(of.get(0, {}), parts)
         _, group, _, _, place = w.suffixes(met, prefixes)
@@ -335,12 +327,12 @@ def passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", tex
         gone = np.cumsum(starts)[:n] > 0
         out, at = [], 0
         named, words = w.chunk.named, w.chunk.words
-        for i, missing, size in zip(rows["id"], rows["missing"], w.chunk.sizes.tolist(), strict=True):
+        for (i, missing), size in zip(w.chunk.rows, w.chunk.sizes.tolist(), strict=True):
             mine = gone[at : at + size]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
             spans = [(int(x), int(y - x), int(first[at + x : at + y].min())) for x, y in zip(edge[::2], edge[1::2], strict=True)]
             kept = b" ".join([named[k] for k in words[at : at + size][~mine].tolist()]).decode()
-            out.append((i, missing, size, int(mine.sum()), kept, spans))
+            out.append((i, missing == 1, size, int(mine.sum()), kept, spans))
             at += size
         return pd.DataFrame(out, columns=columns)
 

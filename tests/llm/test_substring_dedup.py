@@ -63,8 +63,9 @@ def test_documents(spark, monkeypatch):
 
 def test_one_entry_for_a_suffix_of_a_chunk():
     """A passage in 500 documents of a chunk is one entry for each of its windows, not one for each document."""
-    t = pa.RecordBatch.from_arrays([pa.array(range(7, 507)), pa.array([" ".join(f"w{i}" for i in range(14))] * 500)], ["id", "text"])
-    w = substring_dedup.Windows(iter([t]), 13, 40, 1)
+    t = pa.RecordBatch.from_arrays([pa.array(range(7, 507)), pa.array([False] * 500), pa.array([" ".join(f"w{i}" for i in range(14))] * 500)], ["id", "missing", "text"])
+    (c,) = chunks.chunks(iter([t]), lower=False)
+    w = substring_dedup.Windows(substring_dedup.read_back(substring_dedup.written(c)), 13, 40, 1)
     assert len(w.where) == 1000 and len(w.known) == 2
     starts, _, least, most, place = w.suffixes(np.arange(1000), substring_dedup.Prefixes())
     named, *columns = w.packed(starts)
@@ -99,7 +100,7 @@ def test_collisions_and_spans(spark, monkeypatch):
 
 def test_several_chunks(spark, monkeypatch):
     """Chunks of a few documents find their own rows by the answers."""
-    monkeypatch.setattr(substring_dedup, "BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "WORDS", 300)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     named, answers, *_ = substring_dedup.repeated_passages(docs)
