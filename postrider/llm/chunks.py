@@ -6,6 +6,7 @@ task packs what it sends to one partition into one binary row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+
+from ..plans.staging import shared_dir
 
 #: Words in a chunk; a document with more is a chunk of its own.
 WORDS = 1_000_000
@@ -58,6 +62,18 @@ def chunks(batches: Iterator[pa.RecordBatch], lower: bool, words: int = WORDS) -
         yield chunk()
 
 
+def bucketed(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder in buckets of its column chunk, so that joins and groups by it need no shuffle; it goes when the application ends."""
+    spark = df.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").option("path", path).saveAsTable(name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.table(name)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers as one compressed value; bytes of equal rank lie together."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.dtype.itemsize, ord(a.dtype.kind))]], np.int64)

@@ -1,29 +1,33 @@
-"""Katz backoff language model: Good-Turing counts, exactly normalised, asked for in packed messages."""
+"""Katz backoff language model: Good-Turing discounted n-gram counts in parts, exactly normalised weights, recursive scores."""
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
 from ..plans.staging import stage
-from .chunks import chunks, deltas, mix, pack, unpack
+from .chunks import bucketed, chunks, deltas, mix, pack, unpack
 
 #: Counts above this are not discounted.
 LARGE = 5
-#: Keys that one task counts at a time, about.
-KEYS = 3_000_000
-#: Stand for the end of a text (a token) and its beginning (a context only).
-END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
+#: Tokens whose n-grams one task counts at a time, about.
+KEYS = 1_500_000
+#: Words in a chunk; a document with more is a chunk of its own.
+WORDS = 1_000_000
+#: Numbers of the beginning of a text (a context only) and of its end (a token); words have larger ones.
+BEGIN, END, FIRST = 0, 1, 2
+#: An odd number that spreads word numbers over 64 bits.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -52,244 +56,390 @@ def discounts(of_counts: list[int]) -> np.ndarray:
     return np.maximum(d, 1e-3)
 
 
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == r).sum()) for r in range(1, LARGE + 2)]
+
+
 @dataclass
 class Katz:
-    """The few numbers that hold for the whole model; counts come with the messages."""
+    """The few numbers that hold for the whole model; counts and weights come with the messages."""
 
-    tokens: int
-    types: int
+    order: int
+    parts: int
     texts: int
-    of_words: np.ndarray
-    of_pairs: np.ndarray
-    words_kept: float = field(default=0.0)
+    tokens: int = 0
+    types: int = 0
+    #: By length of the n-gram, less one.
+    factors: list[np.ndarray] = field(default_factory=list)
+    words_kept: float = 0.0
 
-    def reduced(self, count: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Discounted counts."""
-        return count * d[np.where(count > LARGE, 0, count)]
+    def reduced(self, counts: np.ndarray, n: int) -> np.ndarray:
+        """Discounted counts of n-grams."""
+        return counts * self.factors[n - 1][np.where(counts > LARGE, 0, counts)]
 
-    def word(self, count: np.ndarray) -> np.ndarray:
+    def word(self, counts: np.ndarray) -> np.ndarray:
         """P(word) by its count; all words that were not seen are one, which has what the discounts leave."""
         if not self.tokens:
-            return np.ones(len(count))
+            return np.ones(len(counts))
         left = self.tokens - self.words_kept
         total = float(self.tokens) if left > 0 else self.tokens + 1.0
-        return np.where(count > 0, self.reduced(count, self.of_words), total - self.words_kept) / total
+        return np.where(counts > 0, self.reduced(counts, 1), total - self.words_kept) / total
 
-    def context(self, count: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(denominator, backoff weight) of contexts.
+    def contexts(self, n: int, classes: list[np.ndarray], large: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(denominator, backoff weight) of contexts of n-grams.
 
-        ``kept`` sums the discounted counts of the pairs seen, ``covered`` the
-        word probabilities of their second words. A context that discounts
-        leave nothing gets one more in its denominator; one that has seen all
-        words has no backoff and is normalised by itself.
+        ``classes`` are the numbers of their n-grams seen 1..LARGE times,
+        ``large`` sums the larger counts, ``covered`` the lower probabilities of
+        the n-grams seen. A context that discounts leave nothing gets one more
+        in its denominator; one that was not seen leaves all to the lower order.
         """
-        total = np.where(count - kept > 1e-9 * np.maximum(count, 1), count, count + 1.0)
-        rest = 1 - covered
-        closed = rest <= 1e-12
-        total = np.where(closed, np.maximum(kept, 1e-300), total)
-        weight = np.where(closed, 0.0, (1 - kept / np.maximum(total, 1e-300)) / np.where(closed, 1.0, rest))
-        fresh = kept <= 0
-        return np.where(fresh, 1.0, total), np.where(fresh, 1.0, weight)
-
+        count = sum((r * c for r, c in enumerate(classes, 1)), large)
+        kept = sum((self.factors[n - 1][r] * r * c for r, c in enumerate(classes, 1)), large.astype(np.float64))
+        total = np.where(count - kept > 1e-9 * np.maximum(count, 1), count, count + 1)
+        weight = (1 - kept / total) / np.maximum(1 - covered, 1e-12)
+        return np.where(count > 0, total, 1), np.where(count > 0, weight, 1.0)
 
-class Texts:
-    """A chunk as arrays: of each token its number, its context's and its text's; words and pairs in sorted order."""
 
-    def __init__(self, state: bytes):
-        self.ids, self.named, sizes, words, hashes, self.held = unpack(state)
-        n = len(sizes)
-        sizes = sizes.astype(np.int64)
-        ends = np.cumsum(sizes + 1) - 1
-        self.text = np.repeat(np.arange(n), sizes + 1)
-        token = np.full(int((sizes + 1).sum()), len(hashes), np.int64)
-        inner = np.ones(len(token), bool)
-        inner[ends] = False
-        token[inner] = words
-        context = np.concatenate(([0], token[:-1]))
-        context[np.concatenate(([0], ends[:-1] + 1)) if n else []] = len(hashes) + 1
-        every = np.concatenate([hashes, [END, BEGIN]]).astype(np.uint64)
-        order = np.argsort(every, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.words, self.token, self.context = every[order], rank[token], rank[context]
-        self.begin = int(rank[-1])
-        trained = (self.held[self.text] == 0) if n else np.zeros(0, bool)
-        self.word_counts = np.bincount(self.token[trained], minlength=len(self.words))
-        pair = mix(mix(self.words[self.context]) + self.words[self.token] * np.uint64(0x9E3779B97F4A7C15))
-        self.pairs, first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair[trained], minlength=len(self.pairs))
-        self.pair_context, self.pair_word = self.context[first], self.token[first]
-
-
-def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings sorted keys together by part, still sorted within, and where each part ends."""
-    part = (mix(keys) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.cumsum(np.bincount(part, minlength=parts))
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32 if x.max(initial=0) < 2**32 else np.uint64)
 
 
-def _ranges(ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def dealt(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the hashes; places rise, parts without any are left out."""
+    part = (hashes % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
     start = 0
-    for p, end in enumerate(ends.tolist()):
-        yield p, start, end
+    for p, end in enumerate(ends):
+        if end > start:
+            yield p, order[start:end]
         start = end
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32 if x.max(initial=0) < 2**32 else np.uint64)
+def named(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of word numbers as they are sent; the rows are sorted, so the first column has small differences."""
+    return [small(deltas(keys[0])), *map(small, keys[1:])]
 
 
-def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal keys in all arrays: the sum of their values, for each entry; the sums once for each key; and each key's first entry with a value."""
-    every, value = np.concatenate(keys), np.concatenate(values)
-    _, back = np.unique(every, return_inverse=True)
-    total = np.bincount(back, value)
-    first = np.full(len(total), len(every), np.int64)
-    at = np.nonzero(value)[0]
-    np.minimum.at(first, back[at], at)
-    return total[back], total, first
+def same(asked: list[list[np.ndarray]]) -> np.ndarray:
+    """For each row of all messages (columns as in :func:`named`), the number of its n-gram; rows are compared by their words."""
+    columns = [np.concatenate([np.cumsum(a[0], dtype=np.int64) for a in asked])]
+    columns += [np.concatenate([a[k] for a in asked]).astype(np.int64) for k in range(1, len(asked[0]))]
+    key = columns[0].view(np.uint64)
+    for c in columns[1:]:
+        key = mix(key * SPREAD + c.view(np.uint64))
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if any((c != c[first][number]).any() for c in columns):
+        _, number = np.unique(np.stack(columns), axis=1, return_inverse=True)
+    return number.reshape(-1)
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Texts:
+    """A chunk as it was written: of each text its id and size, of each word its place among ``names``."""
+
+    def __init__(self, state: bytes):
+        self.ids, self.known, sizes, words, self.held, names = unpack(state)
+        self.sizes, self.words = sizes.astype(np.int64), words.astype(np.int64)
+        self.names = names.tobytes().split(b"\n") if len(words) else []
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.names), np.uint64, len(self.names))
+
+    def word_counts(self) -> np.ndarray:
+        """How often each word occurs in texts for training."""
+        return np.bincount(self.words[np.repeat(self.held, self.sizes) == 0], minlength=len(self.names))
+
+
+@dataclass
+class Level:
+    """The distinct n-grams of a chunk, sorted by their words' numbers."""
+
+    #: Which n-gram ends at each place of the chunk.
+    gram: np.ndarray
+    #: The words' numbers by columns, and a hash of them that deals n-grams out.
+    columns: list[np.ndarray]
+    hashes: np.ndarray
+    #: Counts in this chunk's texts for training, then in all such texts.
+    counts: np.ndarray
+    #: The context, and the n-gram without its first word, by their places in the level below.
+    prev: np.ndarray | None = None
+    lower: np.ndarray | None = None
+    #: n-grams that this chunk tells their context of, so that each is told once.
+    own: np.ndarray | None = None
+    #: The distinct contexts, each n-gram's place among them, their denominators and weights.
+    contexts: np.ndarray | None = None
+    context: np.ndarray | None = None
+    total: np.ndarray | None = None
+    weight: np.ndarray | None = None
+
+
+class Grams:
+    """A chunk's n-grams of all lengths. Each text is its beginning, its words and its end."""
+
+    def __init__(self, row: pd.Series, model: Katz):
+        self.model, self.row = model, row
+        t = self.texts = Texts(row["state"])
+        number, count = np.empty(len(t.names), np.int64), np.empty(len(t.names), np.int64)
+        values = answers(row["words"])
+        for p, at in dealt(t.hashes, model.parts):
+            number[at], count[at] = unpack(values[p])
+        number, count = np.append(number, [END, BEGIN]), np.append(count, [model.texts, 0])
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number, m = number[order], len(t.names)
+
+        lengths = t.sizes + 2
+        pads = np.cumsum(lengths) - lengths
+        token = np.full(int(lengths.sum()), m, np.int64)
+        self.real = np.ones(len(token), bool)
+        self.real[pads] = False
+        inner = self.real.copy()
+        inner[pads + lengths - 1] = False
+        token[inner], token[pads] = t.words, m + 1
+        token = rank[token]
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        trained = self.real & (t.held[self.text] == 0)
+        self.levels = [Level(token, [number], mix(number.view(np.uint64) * SPREAD), count[order])]
+        for _ in range(1, model.order):
+            below = self.levels[-1]
+            prev = np.concatenate(([0], below.gram[:-1]))
+            # The beginning of a text has no words before it but other beginnings.
+            prev[pads] = below.gram[pads[0]]
+            pair, first, gram = np.unique(prev * len(number) + token, return_index=True, return_inverse=True)
+            prev, last = pair // len(number), number[pair % len(number)]
+            self.levels.append(Level(
+                gram, [c[prev] for c in below.columns] + [last], mix(below.hashes[prev] + last.view(np.uint64) * SPREAD),
+                np.bincount(gram[trained], minlength=len(pair)), prev, below.gram[first],
+            ))
+
+    def counted(self) -> Grams:
+        """With the counts in all texts for training."""
+        values = {p: iter(unpack(v)) for p, v in answers(self.row["counts"]).items()}
+        for level in self.levels[1:]:
+            level.counts, level.own = np.zeros(len(level.hashes), np.int64), np.zeros(len(level.hashes), bool)
+            for p, at in dealt(level.hashes, self.model.parts):
+                level.counts[at], own = next(values[p]), next(values[p])
+                level.own[at] = np.unpackbits(own, count=len(at)).view(bool)
+            new = np.append(True, level.prev[1:] != level.prev[:-1])
+            level.contexts, level.context = level.prev[new], np.cumsum(new) - 1
+        return self
+
+    def wanted(self, n: int) -> np.ndarray:
+        """Contexts whose weight is asked for, as an n-gram of theirs was not seen."""
+        level = self.levels[n - 1]
+        out = np.zeros(len(level.contexts), bool)
+        out[level.context[level.counts == 0]] = True
+        return out
+
+    def weighed(self, n: int) -> Grams:
+        """With the weights of the contexts of n-grams."""
+        level, values = self.levels[n - 1], answers(self.row[f"weights{n}"])
+        wanted = self.wanted(n)
+        level.total, level.weight = np.ones(len(wanted)), np.ones(len(wanted))
+        for p, at in dealt(self.levels[n - 2].hashes[level.contexts], self.model.parts):
+            level.total[at], level.weight[at[wanted[at]]] = unpack(values[p])
+        return self
+
+    def probability(self, n: int) -> np.ndarray:
+        """P(last word | words before) of the chunk's n-grams, by what was seen of them or else by the lower order."""
+        level = self.levels[n - 1]
+        if n == 1:
+            return self.model.word(level.counts)
+        back = level.weight[level.context] * self.probability(n - 1)[level.lower]
+        return np.where(level.counts > 0, self.model.reduced(level.counts, n) / level.total[level.context], back)
+
+
+def answers(told: list) -> dict[int, bytes]:
+    return {a["part"]: a["value"] for a in told}
+
+
+MESSAGE = "part int, chunk long, value binary"
+
+
+def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the lower-cased (A-Z) whole text and one end; a null
-    text is empty. A pair model of the texts that are not held out scores all
-    texts: log10 of P(token | token before), where a pair that was not seen backs
-    off to the word, by the context's weight. Null and repeated ids are passed
-    through; an empty table gives an empty result; other columns are not read.
-
-    Texts go into chunks of about a million words, written once in buckets. A
-    chunk asks the tasks that keep the counts for its distinct words and pairs,
-    one packed row for each such task; they sum up, keep what they need for the
-    discounts and answer in kind. A frequent word or pair is thus one entry of a
-    chunk, not one for each time that it occurs. A second round sums, for each
-    context, what its pairs take; each pair is told to one chunk as its own,
-    so that it counts once. Words and pairs are known by 64-bit hashes.
+    text is empty. A model of n-grams up to ``order`` words (2 or more), learned
+    from the texts that are not held out, scores all texts: log10 of P(token |
+    tokens before), where an n-gram that was not seen backs off to the one
+    without its first word, by its context's weight, again and again. Null and
+    repeated ids are passed through; an empty table gives an empty result; other
+    columns are not read.
+
+    1. Texts are written in chunks of about a million words, bucketed, and not
+       shuffled again. Each chunk asks the parts of the vocabulary for its
+       words' numbers and counts.
+    2. Each chunk asks the parts of the n-gram counts for its distinct n-grams:
+       a frequent one is one entry of a chunk, not one for each time that it
+       occurs. Answers have the count in all texts, and for each n-gram one
+       chunk that is to tell its context of it.
+    3. For each length, the parts of the weights add up what these chunks tell
+       of each context: n-grams seen once, twice and so on, larger counts, and
+       the lower-order probability that they cover. From these they answer with
+       its denominator and weight.
+
+    n-grams are dealt to parts by a hash of all their words, contexts by one of
+    their own, so that a frequent word's n-grams lie in many parts; equality is
+    decided by the words. Chunks send nothing to parts that they do not need.
     """
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() * 1_000_000
-        for k, c in enumerate(chunks(batches, lower=True)):
+        for k, c in enumerate(chunks(batches, lower=True, words=WORDS)):
             ids = [r[0] for r in c.rows]
+            held = np.array([held_out(i) for i in ids], np.uint8)
             state = pack(
-                np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), _small(c.sizes),
-                c.words.astype(np.uint32), c.hashes, np.array([held_out(i) for i in ids], np.uint8),
+                np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), small(c.sizes),
+                small(c.words), held, np.frombuffer(b"\n".join(c.named), np.uint8),
             )
-            yield pa.RecordBatch.from_arrays([pa.array([place + k]), pa.array([len(c.words) + len(ids)]), pa.array([sum(not held_out(i) for i in ids)]), pa.array([state], pa.binary())], ["chunk", "n", "texts", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([place + k]), pa.array([len(c.words) + len(ids)]), pa.array([int((held == 0).sum())]), pa.array([state], pa.binary())], ["chunk", "n", "texts", "state"])
 
     d = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    table = f"katz_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d.mapInArrow(cut, "chunk long, n long, texts long, state binary").write.bucketBy(buckets, "chunk").format("parquet").saveAsTable(table)
-    state = spark.table(table)
-    size = state.agg(F.sum("n"), F.sum("texts")).head()
-    parts = max(4, (size[0] or 0) // KEYS)
-
-    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for chunk, packed in zip(frame["chunk"], frame["state"], strict=True):
-                t = Texts(packed)
-                (wo, we), (po, pe) = dealt(t.words, parts), dealt(t.pairs, parts)
-                rows = []
-                for (p, a, b), (_, e, f) in zip(_ranges(we), _ranges(pe), strict=True):
-                    w, q = wo[a:b], po[e:f]
-                    rows.append((p, chunk, pack(deltas(t.words[w]), _small(t.word_counts[w]), deltas(t.pairs[q]), _small(t.pair_counts[q]))))
-                yield pd.DataFrame(rows, columns=["part", "chunk", "value"])
-
-    def answering(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk")
-        asked = [unpack(v) for v in frame["value"]]
-        words, of_word, _ = _sums([np.cumsum(a[0], dtype=np.uint64) for a in asked], [a[1] for a in asked])
-        pairs, of_pair, first = _sums([np.cumsum(a[2], dtype=np.uint64) for a in asked], [a[3] for a in asked])
-        own = np.zeros(len(pairs), np.uint8)
-        own[first[first < len(own)]] = 1
-        numbers = [[(x == r).sum() for r in range(1, LARGE + 2)] + [x[x > LARGE].sum()] for x in (of_word, of_pair)]
-        stats = [int(of_word.sum()), int((of_word > 0).sum()), *map(int, numbers[0]), *map(int, numbers[1])]
-        answers, w, p = [], 0, 0
-        for a in asked:
-            answers.append(pack(_small(words[w : w + len(a[1])].astype(np.int64)), _small(pairs[p : p + len(a[3])].astype(np.int64)), own[p : p + len(a[3])]))
-            w, p = w + len(a[1]), p + len(a[3])
-        told = [stats] + [None] * (len(frame) - 1)
-        return pd.DataFrame({"chunk": frame["chunk"], "kind": 0, "part": frame["part"], "value": answers, "stats": told})
-
-    answer = "chunk long, kind int, part int, value binary"
-    counts = stage(state.select("chunk", "state").mapInPandas(asking, "part int, chunk long, value binary").groupBy("part").applyInPandas(answering, answer + ", stats array<long>"))
-    row = counts.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(6 + 2 * LARGE)]).head()
-    s = [int(x or 0) for x in row]
-    of_words, of_pairs = discounts(s[2 : 3 + LARGE]), discounts(s[4 + LARGE : 5 + 2 * LARGE])
-    model = Katz(s[0], s[1], int(size[1] or 0), of_words, of_pairs)
-    model.words_kept = float(sum(of_words[r] * r * s[1 + r] for r in range(1, LARGE + 1)) + s[3 + LARGE])
-    return _evaluated(state, counts.drop("stats"), model, parts)
-
-
-def _filled(t: Texts, frame: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of a chunk's words and pairs and which pairs are its own, from the answers."""
-    (wo, we), (po, pe) = dealt(t.words, parts), dealt(t.pairs, parts)
-    words, pairs, own = np.zeros(len(t.words), np.int64), np.zeros(len(t.pairs), np.int64), np.zeros(len(t.pairs), bool)
-    values = dict(zip(frame["part"], frame["value"], strict=True))
-    for (p, a, b), (_, e, f) in zip(_ranges(we), _ranges(pe), strict=True):
-        words[wo[a:b]], pairs[po[e:f]], own[po[e:f]] = unpack(values[p])
-    return words, pairs, own
-
-
-def _evaluated(state: DataFrame, counts: DataFrame, model: Katz, parts: int) -> DataFrame:
-    def summing(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for chunk, packed in zip(left["chunk"], left["state"], strict=True):
-            t = Texts(packed)
-            words, pairs, own = _filled(t, right, parts)
-            at, c = t.pair_context[own], pairs[own]
-            kept = np.bincount(at, model.reduced(c, model.of_pairs), len(t.words))
-            covered = np.bincount(at, model.word(words[t.pair_word[own]]), len(t.words))
-            order, ends = dealt(t.words, parts)
-            rows += [(p, chunk, pack(deltas(t.words[order[a:b]]), kept[order[a:b]], covered[order[a:b]])) for p, a, b in _ranges(ends)]
-        return pd.DataFrame(rows, columns=["part", "chunk", "value"])
-
-    def adding(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk")
-        asked = [unpack(v) for v in frame["value"]]
-        keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
-        (kept, *_), (covered, *_) = _sums(keys, [a[1] for a in asked]), _sums(keys, [a[2] for a in asked])
-        at, out = 0, []
+    table = bucketed(d.mapInArrow(cut, "chunk long, n long, texts long, state binary"))
+    size = table.agg(F.sum("n"), F.sum("texts")).head()
+    model = Katz(order, int(max(4, (size[0] or 0) // KEYS)), int(size[1] or 0))
+    state = table.select("chunk", "state")
+
+    def told(ask: Callable, answer: Callable, asking: DataFrame, name: str, stats: int = 0) -> tuple[DataFrame, list[int]]:
+        """The table with a column of the answers to each chunk, and the sums of the numbers that parts report."""
+
+        def of_chunk(frame: pd.DataFrame) -> pd.DataFrame:
+            rows = [(p, row["chunk"], v) for _, row in frame.iterrows() for p, v in ask(row)]
+            return pd.DataFrame(rows, columns=["part", "chunk", "value"])
+
+        def of_part(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("chunk")
+            values, numbers = answer(int(frame["part"].iat[0]), [unpack(v) for v in frame["value"]])
+            return frame.assign(value=values, stats=[numbers] + [None] * (len(frame) - 1))[["part", "chunk", "value", "stats"]]
+
+        out = stage(asking.groupBy("chunk").applyInPandas(of_chunk, MESSAGE).groupBy("part").applyInPandas(of_part, MESSAGE + ", stats array<long>"))
+        sums = out.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(stats)]).head() if stats else []
+        by_chunk = bucketed(out.groupBy("chunk").agg(F.collect_list(F.struct("part", "value")).alias(name)))
+        # A chunk of empty texts asks nothing of the vocabulary.
+        joined = asking.join(by_chunk, "chunk", "left")
+        return joined.withColumn(name, F.coalesce(name, F.array().cast("array<struct<part:int,value:binary>>"))), [int(x or 0) for x in sums]
+
+    parts = model.parts
+
+    def ask_words(row: pd.Series) -> Iterator[tuple[int, bytes]]:
+        t = Texts(row["state"])
+        counts = t.word_counts()
+        for p, at in dealt(t.hashes, parts):
+            yield p, pack(small(counts[at]), np.frombuffer(b"\n".join([t.names[i] for i in at.tolist()]), np.uint8))
+
+    def number_words(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], list[int]]:
+        known: dict[bytes, int] = {}
+        put = known.setdefault
+        at = [np.array([put(w, len(known)) for w in names.tobytes().split(b"\n")], np.int64) for _, names in asked]
+        total = np.bincount(np.concatenate(at), np.concatenate([c for c, _ in asked])).astype(np.int64)
+        # Frequent words have small numbers, which pack well.
+        best = sorted(known, key=lambda w: (-total[known[w]], w))
+        number = np.empty(len(best), np.int64)
+        number[[known[w] for w in best]] = FIRST + part + parts * np.arange(len(best))
+        stats = [int(total.sum()), int((total > 0).sum()), *counts_of_counts(total), int(total[total > LARGE].sum())]
+        return [pack(small(number[a]), small(total[a])) for a in at], stats
+
+    asking, s = told(ask_words, number_words, state, "words", 3 + LARGE + 1)
+    model.tokens, model.types = s[0] + model.texts, s[1] + (model.texts > 0)
+    ends = np.array([model.texts] * (model.texts > 0), np.int64)
+    of_words = [a + b for a, b in zip(s[2:-1], counts_of_counts(ends), strict=True)]
+    model.factors = [discounts(of_words)]
+    model.words_kept = float(sum(model.factors[0][r] * r * of_words[r - 1] for r in range(1, LARGE + 1)) + s[-1] + ends[ends > LARGE].sum())
+
+    def ask_counts(row: pd.Series) -> Iterator[tuple[int, bytes]]:
+        grams = Grams(row, model)
+        out: dict[int, list] = {}
+        for n, level in enumerate(grams.levels[1:], 2):
+            for p, at in dealt(level.hashes, parts):
+                sent = out.setdefault(p, [])
+                # Lengths that send nothing to this part have no rows there.
+                sent += [np.zeros(0, np.uint8)] * (sum(range(3, n + 1)) - len(sent))
+                sent += [*named([c[at] for c in level.columns]), small(level.counts[at])]
+        width = sum(range(3, model.order + 2))
+        for p, sent in out.items():
+            yield p, pack(*sent, *[np.zeros(0, np.uint8)] * (width - len(sent)))
+
+    def add_counts(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], list[int]]:
+        out, stats, start = [[] for _ in asked], [], 0
+        for n in range(2, model.order + 1):
+            number = same([a[start : start + n] for a in asked])
+            counts = np.concatenate([a[start + n] for a in asked]).astype(np.int64)
+            start += n + 1
+            total = np.bincount(number, counts).astype(np.int64)
+            own = np.zeros(len(number), bool)
+            at = np.nonzero(counts)[0]
+            own[at[np.unique(number[at], return_index=True)[1]]] = True
+            stats += counts_of_counts(total)
+            x = 0
+            for answer, a in zip(out, asked, strict=True):
+                y = x + len(a[start - 1])
+                if y > x:
+                    answer += [small(total[number[x:y]]), np.packbits(own[x:y])]
+                x = y
+        return [pack(*o) for o in out], stats
+
+    asking, s = told(ask_counts, add_counts, asking, "counts", (LARGE + 1) * (order - 1))
+    model.factors += [discounts(s[k : k + LARGE + 1]) for k in range(0, len(s), LARGE + 1)]
+    for n in range(2, order + 1):
+        asking, _ = told(_ask_weights(model, n), _weigh(model, n), asking, f"weights{n}")
+
+    def judged(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_scores(_filled(row, model, model.order), model) for _, row in frame.iterrows()], ignore_index=True)
+
+    return asking.groupBy("chunk").applyInPandas(judged, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _filled(row: pd.Series, model: Katz, upto: int) -> Grams:
+    grams = Grams(row, model).counted()
+    for n in range(2, upto + 1):
+        grams.weighed(n)
+    return grams
+
+
+def _ask_weights(model: Katz, n: int) -> Callable:
+    def ask(row: pd.Series) -> Iterator[tuple[int, bytes]]:
+        grams = _filled(row, model, n - 1)
+        level, below = grams.levels[n - 1], grams.levels[n - 2]
+        size = len(level.contexts)
+        context, counts = level.context[level.own], level.counts[level.own]
+        classes = [small(np.bincount(context[counts == r], minlength=size)) for r in range(1, LARGE + 1)]
+        large = small(np.bincount(context[counts > LARGE], counts[counts > LARGE], size))
+        covered = np.bincount(context, grams.probability(n - 1)[level.lower[level.own]], size)
+        wanted = grams.wanted(n)
+        columns = [c[level.contexts] for c in below.columns]
+        for p, at in dealt(below.hashes[level.contexts], model.parts):
+            tells = covered[at] > 0
+            yield p, pack(*named([c[at] for c in columns]), *[c[at] for c in classes], large[at], np.packbits(tells), covered[at][tells], np.packbits(wanted[at]))
+
+    return ask
+
+
+def _weigh(model: Katz, n: int) -> Callable:
+    def weigh(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], None]:
+        number = same([a[: n - 1] for a in asked])
+        sums = [np.bincount(number, np.concatenate([a[k] for a in asked])).astype(np.int64) for k in range(n - 1, n + LARGE)]
+        covered = np.zeros(len(number))
+        covered[np.concatenate([np.unpackbits(a[-3], count=len(a[0])).view(bool) for a in asked])] = np.concatenate([a[-2] for a in asked])
+        total, weight = model.contexts(n, sums[:-1], sums[-1], np.bincount(number, covered))
+        out, x = [], 0
         for a in asked:
-            out.append(pack(kept[at : at + len(a[0])], covered[at : at + len(a[0])]))
-            at += len(a[0])
-        return pd.DataFrame({"chunk": frame["chunk"], "kind": 1, "part": frame["part"], "value": out})
-
-    def judged(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for packed in left["state"]:
-            t = Texts(packed)
-            words, pairs, _ = _filled(t, right[right["kind"] == 0], parts)
-            second = right[right["kind"] == 1]
-            values = dict(zip(second["part"], second["value"], strict=True))
-            kept, covered = np.zeros(len(t.words)), np.zeros(len(t.words))
-            order, ends = dealt(t.words, parts)
-            for p, a, b in _ranges(ends):
-                kept[order[a:b]], covered[order[a:b]] = unpack(values[p])
-            times = words.astype(np.float64)
-            times[t.begin] = model.texts
-            total, weight = model.context(times, kept, covered)
-            seen = pairs[t.pair]
-            with np.errstate(divide="ignore"):
-                direct = np.log10(model.reduced(seen, model.of_pairs)) - np.log10(total[t.context])
-                back = np.log10(weight[t.context]) + np.log10(model.word(words[t.token]))
-            n = len(t.ids)
-            base = np.log10((words[t.token] + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-            out.append(pd.DataFrame({
-                "doc_id": pd.array(np.where(t.named == 1, t.ids, 0), dtype="Int64"), "held_out": t.held == 1,
-                "n_tokens": np.bincount(t.text, minlength=n), "n_known": np.bincount(t.text[words[t.token] > 0], minlength=n), "train_tokens": model.tokens,
-                "base_score": np.bincount(t.text, base, n), "score": np.bincount(t.text, np.where(seen > 0, direct, back), n),
-            }))
-            out[-1].loc[t.named == 0, "doc_id"] = pd.NA
-        schema = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=schema)
-
-    answer = "chunk long, kind int, part int, value binary"
-    own = state.select("chunk", "state")
-    asked = own.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(summing, "part int, chunk long, value binary")
-    contexts = stage(asked.groupBy("part").applyInPandas(adding, answer))
-    told = counts.unionByName(contexts)
-    return own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(judged, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            own = number[x : x + len(a[0])]
+            out.append(pack(small(total[own]), weight[own[np.unpackbits(a[-1], count=len(own)).view(bool)]]))
+            x += len(own)
+        return out, None
+
+    return weigh
+
+
+def _scores(grams: Grams, model: Katz) -> pd.DataFrame:
+    t, text, n = grams.texts, grams.text[grams.real], len(grams.texts.ids)
+    words = grams.levels[0].counts[grams.levels[0].gram[grams.real]]
+    base = np.log10((words + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
+    score = np.log10(grams.probability(model.order))[grams.levels[-1].gram[grams.real]]
+    ids = pd.array(t.ids, dtype="Int64")
+    ids[t.known == 0] = pd.NA
+    return pd.DataFrame({
+        "doc_id": ids, "held_out": t.held == 1, "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text[words > 0], minlength=n),
+        "train_tokens": model.tokens, "base_score": np.bincount(text, base, n), "score": np.bincount(text, score, n),
+    })

@@ -2,12 +2,13 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postrider.llm import chunks, katz
+from postrider.llm import katz
 from postrider.llm.katz import LARGE, discounts, scored
 
 
@@ -18,44 +19,62 @@ def corpus():
     return rows + [(None, None), (None, "w1 new"), (3, ""), (9, "a b " * 3000), (9, "a b")]
 
 
-def plain(rows):
+def factors(types):
+    """Good-Turing factors by their definition; absolute discounting if one of them is not in (0, 1]."""
+    n = [sum(c == r for c in types.values()) for r in range(LARGE + 2)]
+    if all(n[1:]):
+        cut = (LARGE + 1) * n[LARGE + 1] / n[1]
+        if cut < 1:
+            d = {r: ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, LARGE + 1)}
+            if all(0 < x <= 1 for x in d.values()):
+                return d
+    b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return {r: max((r - b) / r, 1e-3) for r in range(1, LARGE + 1)}
+
+
+def plain(rows, order):
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     tokens = lambda t: [*(t or "").encode().lower().split(), "END"]
-    uni, bi, ctx, texts = Counter(), Counter(), defaultdict(dict), 0
+    grams = lambda w, n: [tuple((["BEGIN"] * (n - 1) + w)[k : k + n]) for k in range(len(w))]
+    seen = {n: Counter() for n in range(1, order + 1)}
     for i, t in rows:
         if not held(i):
-            texts += 1
-            w = tokens(t)
-            uni.update(w)
-            bi.update(zip(["BEGIN", *w], w, strict=False))
-    n = sum(uni.values())
-    of = lambda c: [sum(x == r for x in c.values()) for r in range(1, LARGE + 2)]
-    du, db = discounts(of(uni)), discounts(of(bi))
-    cut = lambda c, d: c * (d[c] if c <= LARGE else 1.0)
-    mass = sum(cut(c, du) for c in uni.values())
-    total = n if n - mass > 0 else n + 1
-    p1 = lambda w: (cut(uni[w], du) if w in uni else total - mass) / total
-    assert abs(sum(map(p1, uni)) + p1("unseen") - 1) < 1e-9
-    for (h, w), c in bi.items():
-        ctx[h][w] = c
-    model = {}
-    for h, ws in ctx.items():
-        count = texts if h == "BEGIN" else uni[h]
-        kept, covered = sum(cut(c, db) for c in ws.values()), sum(map(p1, ws))
+            for n in seen:
+                seen[n].update(grams(tokens(t), n))
+    d = {n: factors(seen[n]) for n in seen}
+    cut = lambda g: seen[len(g)][g] * d[len(g)].get(seen[len(g)][g], 1.0)
+    size = sum(seen[1].values())
+    mass = sum(map(cut, seen[1]))
+    total = size if size - mass > 0 else size + 1
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g in seen[n]:
+            after[g[:-1]].append(g)
+
+    @cache
+    def weights(h):
+        if h not in after:
+            return 1, 1.0
+        count, kept = sum(seen[len(g)][g] for g in after[h]), sum(map(cut, after[h]))
         den = count if count - kept > 1e-9 * count else count + 1
-        model[h] = den, (1 - kept / den) / (1 - covered)
-        whole = kept / den + model[h][1] * (1 - covered)
-        assert abs(whole - 1) < 1e-9
+        return den, (1 - kept / den) / (1 - sum(p(g[1:]) for g in after[h]))
+
+    @cache
+    def p(g):
+        if len(g) == 1:
+            return (cut(g) if g in seen[1] else total - mass) / total
+        den, alpha = weights(g[:-1])
+        return cut(g) / den if g in seen[len(g)] else alpha * p(g[1:])
+
+    words = [g[0] for g in seen[1]] + ["never seen"]
+    for h in [(), *list(after)[:20], *list(after)[-20:]]:
+        assert abs(sum(p((*h, w)) for w in words) - 1) < 1e-9
     out = []
     for i, t in rows:
         w = tokens(t)
-        s = 0.0
-        for h, x in zip(["BEGIN", *w], w, strict=False):
-            den, alpha = model.get(h, (1, 1.0))
-            s += math.log10(cut(bi[h, x], db) / den if bi[h, x] else alpha * p1(x))
-        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (len(uni) + 1))) for x in w)
-        out.append((i, held(i), len(w), sum(x in uni for x in w), n, base, s))
-    return sorted(out, key=str)
+        base = sum(math.log10((seen[1][x,] + 0.5) / (size + 0.5 * (len(seen[1]) + 1))) for x in w)
+        out.append((i, held(i), len(w), sum((x,) in seen[1] for x in w), size, base, sum(math.log10(p(g)) for g in grams(w, order))))
+    return out
 
 
 def test_discounts():
@@ -65,20 +84,26 @@ def test_discounts():
     assert (discounts([5, 0, 0, 0, 0, 0])[1:] <= 1).all()
 
 
-@pytest.mark.parametrize("words", [1_000_000, 700])
-def test_against_brute_force(spark, monkeypatch, words):
+@pytest.mark.parametrize(("words", "order"), [(1_000_000, 3), (700, 3), (300, 4), (700, 2)])
+def test_against_brute_force(spark, monkeypatch, words, order):
     monkeypatch.setattr(katz, "KEYS", 500)
-    monkeypatch.setattr(chunks.chunks, "__defaults__", (words,))
+    monkeypatch.setattr(katz, "WORDS", words)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("score", F.lit(1))
-    got = sorted(map(tuple, scored(docs).collect()), key=str)
-    want = plain(rows)
+    got, want = map(tuple, scored(docs, order).collect()), plain(rows, order)
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
         assert abs(g[5] - w[5]) < 1e-6 * max(1, abs(w[5])) and abs(g[6] - w[6]) < 1e-6 * max(1, abs(w[6]))
 
 
+def test_equal_hashes(monkeypatch):
+    monkeypatch.setattr(katz, "mix", lambda x: x * np.uint64(0))
+    sent = [katz.named([np.array(c) for c in columns]) for columns in (([1, 1, 4], [7, 8, 7]), ([1, 4], [8, 9]))]
+    number = katz.same(sent)
+    assert number[1] == number[3] and len(set(number)) == 4
+
+
 def test_empty(spark):
     assert scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = scored(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
