@@ -116,6 +116,22 @@ def dealt(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         start = end
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the first place of each, each place's number among them); keys are not negative."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits < 64:
+        # Key and place fit into one number, which sorts faster than places by key.
+        both = np.sort(keys << bits | np.arange(len(keys)))
+        ordered, order = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def named(keys: list[np.ndarray]) -> list[np.ndarray]:
     """Columns of word numbers as they are sent; the rows are sorted, so the first column has small differences."""
     return [small(deltas(keys[0])), *map(small, keys[1:])]
@@ -172,9 +188,9 @@ class Level:
 
 
 class Grams:
-    """A chunk's n-grams of all lengths. Each text is its beginning, its words and its end."""
+    """A chunk's n-grams of up to ``longest`` words. Each text is its beginning, its words and its end."""
 
-    def __init__(self, row: pd.Series, model: Katz):
+    def __init__(self, row: pd.Series, model: Katz, longest: int):
         self.model, self.row = model, row
         t = self.texts = Texts(row["state"])
         number, count = np.empty(len(t.names), np.int64), np.empty(len(t.names), np.int64)
@@ -199,12 +215,12 @@ class Grams:
         self.text = np.repeat(np.arange(len(lengths)), lengths)
         trained = self.real & (t.held[self.text] == 0)
         self.levels = [Level(token, [number], mix(number.view(np.uint64) * SPREAD), count[order])]
-        for _ in range(1, model.order):
+        for _ in range(1, longest):
             below = self.levels[-1]
             prev = np.concatenate(([0], below.gram[:-1]))
             # The beginning of a text has no words before it but other beginnings.
             prev[pads] = below.gram[pads[0]]
-            pair, first, gram = np.unique(prev * len(number) + token, return_index=True, return_inverse=True)
+            pair, first, gram = distinct(prev * len(number) + token)
             prev, last = pair // len(number), number[pair % len(number)]
             self.levels.append(Level(
                 gram, [c[prev] for c in below.columns] + [last], mix(below.hashes[prev] + last.view(np.uint64) * SPREAD),
@@ -348,7 +364,7 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
     model.words_kept = float(sum(model.factors[0][r] * r * of_words[r - 1] for r in range(1, LARGE + 1)) + s[-1] + ends[ends > LARGE].sum())
 
     def ask_counts(row: pd.Series) -> Iterator[tuple[int, bytes]]:
-        grams = Grams(row, model)
+        grams = Grams(row, model, model.order)
         out: dict[int, list] = {}
         for n, level in enumerate(grams.levels[1:], 2):
             for p, at in dealt(level.hashes, parts):
@@ -385,21 +401,22 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
         asking, _ = told(_ask_weights(model, n), _weigh(model, n), asking, f"weights{n}")
 
     def judged(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_scores(_filled(row, model, model.order), model) for _, row in frame.iterrows()], ignore_index=True)
+        return pd.concat([_scores(_filled(row, model, model.order, model.order), model) for _, row in frame.iterrows()], ignore_index=True)
 
     return asking.groupBy("chunk").applyInPandas(judged, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _filled(row: pd.Series, model: Katz, upto: int) -> Grams:
-    grams = Grams(row, model).counted()
-    for n in range(2, upto + 1):
+def _filled(row: pd.Series, model: Katz, longest: int, weighed: int) -> Grams:
+    """A chunk's n-grams with all answers that there are: counts, and weights up to a length."""
+    grams = Grams(row, model, longest).counted()
+    for n in range(2, weighed + 1):
         grams.weighed(n)
     return grams
 
 
 def _ask_weights(model: Katz, n: int) -> Callable:
     def ask(row: pd.Series) -> Iterator[tuple[int, bytes]]:
-        grams = _filled(row, model, n - 1)
+        grams = _filled(row, model, n, n - 1)
         level, below = grams.levels[n - 1], grams.levels[n - 2]
         size = len(level.contexts)
         context, counts = level.context[level.own], level.counts[level.own]

@@ -104,6 +104,14 @@ def test_equal_hashes(monkeypatch):
     assert number[1] == number[3] and len(set(number)) == 4
 
 
+@pytest.mark.parametrize("most", [50, 2**62])
+def test_distinct(most):
+    keys = np.random.default_rng(3).integers(0, most, 1000)[np.random.default_rng(4).integers(0, 1000, 3000)]
+    for got, want in zip(katz.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+        assert (got == want).all()
+    assert [len(x) for x in katz.distinct(keys[:0])] == [0, 0, 0]
+
+
 def test_empty(spark):
     assert scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = scored(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
