@@ -15,13 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-from ..plans.staging import stage
 from .chunks import bucketed, chunks, deltas, mix, pack, unpack
 
 #: Counts above this are not discounted.
 LARGE = 5
 #: Tokens whose n-grams one task counts at a time, about.
-KEYS = 1_500_000
+KEYS = 1_000_000
 #: Words in a chunk; a document with more is a chunk of its own.
 WORDS = 1_000_000
 #: Numbers of the beginning of a text (a context only) and of its end (a token); words have larger ones.
@@ -298,7 +297,7 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
     their own, so that a frequent word's n-grams lie in many parts; equality is
     decided by the words. Chunks send nothing to parts that they do not need.
     """
-    spark = docs.sparkSession
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() * 1_000_000
@@ -329,9 +328,11 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
             values, numbers = answer(int(frame["part"].iat[0]), [unpack(v) for v in frame["value"]])
             return frame.assign(value=values, stats=[numbers] + [None] * (len(frame) - 1))[["part", "chunk", "value", "stats"]]
 
-        out = stage(asking.groupBy("chunk").applyInPandas(of_chunk, MESSAGE).groupBy("part").applyInPandas(of_part, MESSAGE + ", stats array<long>"))
+        out = asking.groupBy("chunk").applyInPandas(of_chunk, MESSAGE).groupBy("part").applyInPandas(of_part, MESSAGE + ", stats array<long>")
+        # Written once, by chunk: later rounds read the answers without a shuffle.
+        out = bucketed(out.repartition(buckets, "chunk"))
         sums = out.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(stats)]).head() if stats else []
-        by_chunk = bucketed(out.groupBy("chunk").agg(F.collect_list(F.struct("part", "value")).alias(name)))
+        by_chunk = out.groupBy("chunk").agg(F.collect_list(F.struct("part", "value")).alias(name))
         # A chunk of empty texts asks nothing of the vocabulary.
         joined = asking.join(by_chunk, "chunk", "left")
         return joined.withColumn(name, F.coalesce(name, F.array().cast("array<struct<part:int,value:binary>>"))), [int(x or 0) for x in sums]
