@@ -22,7 +22,7 @@ LARGE = 5
 #: Tokens whose n-grams one task counts at a time, about.
 KEYS = 1_000_000
 #: Words in a chunk; a document with more is a chunk of its own.
-WORDS = 1_000_000
+WORDS = 600_000
 #: Numbers of the beginning of a text (a context only) and of its end (a token); words have larger ones.
 BEGIN, END, FIRST = 0, 1, 2
 #: An odd number that spreads word numbers over 64 bits.
@@ -281,7 +281,7 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
     repeated ids are passed through; an empty table gives an empty result; other
     columns are not read.
 
-    1. Texts are written in chunks of about a million words, bucketed, and not
+    1. Texts are written in chunks (see WORDS), bucketed, and not
        shuffled again. Each chunk asks the parts of the vocabulary for its
        words' numbers and counts.
     2. Each chunk asks the parts of the n-gram counts for its distinct n-grams:
