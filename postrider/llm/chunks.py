@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +30,44 @@ class Chunk:
     rows: list
     sizes: np.ndarray
     words: np.ndarray
-    hashes: np.ndarray
     named: list[bytes]
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.named), np.uint64, len(self.named))
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def chunks(batches: Iterator[pa.RecordBatch], lower: bool, words: int = WORDS) -> Iterator[Chunk]:
     """Chunks of the rows of Arrow batches; the last column is the text, the others stay as tuples."""
-    rows, sizes, numbers, known = [], [], [], {}
+    rows, sizes, numbers, known = [], [], [], Numbers()
     total = 0
 
     def chunk() -> Chunk:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-        return Chunk(rows, np.array(sizes, np.int64), np.concatenate([np.array(n, np.int32) for n in numbers]), hashes, list(known))
+        return Chunk(rows, np.array(sizes, np.int64), np.concatenate(numbers), list(known))
 
     for batch in batches:
         others = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))
         for row, text in zip(others, batch.columns[-1], strict=True):
             raw = (text.as_py() or "").encode()
             parts = (raw.lower() if lower else raw).split()
-            put = known.setdefault
-            numbers.append([put(w, len(known)) for w in parts])
+            numbers.append(np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)))
             rows.append(row)
             sizes.append(len(parts))
             total += len(parts)
             if total >= words:
                 yield chunk()
-                rows, sizes, numbers, known, total = [], [], [], {}, 0
+                rows, sizes, numbers, known, total = [], [], [], Numbers(), 0
     if rows:
         yield chunk()
 

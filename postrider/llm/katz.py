@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.columns import only
-from .chunks import bucketed, chunks, deltas, mix, pack, unpack
+from .chunks import Numbers, bucketed, chunks, deltas, mix, pack, unpack
 
 #: Counts above this are not discounted.
 LARGE = 5
@@ -143,10 +143,29 @@ def same(asked: list[list[np.ndarray]]) -> np.ndarray:
     key = columns[0].view(np.uint64)
     for c in columns[1:]:
         key = mix(key * SPREAD + c.view(np.uint64))
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    if any((c != c[first][number]).any() for c in columns):
-        _, number = np.unique(np.stack(columns), axis=1, return_inverse=True)
-    return number.reshape(-1)
+    # As much of the hash as leaves room for the place: one number, which sorts faster than places by hash.
+    bits = np.uint64(len(key).bit_length())
+    both = np.sort(key >> bits << bits | np.arange(len(key), dtype=np.uint64))
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.append(True, both[1:] >> bits != both[:-1] >> bits)[: len(both)]
+    run = np.cumsum(new) - 1
+    number = np.empty(len(key), np.int64)
+    number[order] = run
+    first = order[new]
+    # Rows whose words are not those of the first row of equal hash are told apart by their words.
+    other = np.zeros(len(key), bool)
+    for c in columns:
+        other |= c != c[first][number]
+    if other.any():
+        number[other] = len(first) + np.unique(np.stack([c[other] for c in columns]), axis=1, return_inverse=True)[1].reshape(-1)
+    return number
+
+
+def first_of(number: np.ndarray) -> np.ndarray:
+    """The first place of each number that is there."""
+    first = np.full(int(number.max(initial=-1)) + 1, len(number), np.int64)
+    np.minimum.at(first, number, np.arange(len(number)))
+    return first[first < len(number)]
 
 
 class Texts:
@@ -169,12 +188,13 @@ class Level:
 
     #: Which n-gram ends at each place of the chunk.
     gram: np.ndarray
-    #: The words' numbers by columns, and a hash of them that deals n-grams out.
-    columns: list[np.ndarray]
+    #: The last word's number, and a hash of all of them that deals n-grams out.
+    last: np.ndarray
     hashes: np.ndarray
     #: Counts in this chunk's texts for training, then in all such texts.
     counts: np.ndarray
-    #: The context, and the n-gram without its first word, by their places in the level below.
+    #: The level below; the context, and the n-gram without its first word, by their places there.
+    below: Level | None = None
     prev: np.ndarray | None = None
     lower: np.ndarray | None = None
     #: n-grams that this chunk tells their context of, so that each is told once.
@@ -185,6 +205,10 @@ class Level:
     total: np.ndarray | None = None
     weight: np.ndarray | None = None
 
+    def columns(self, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        """The words' numbers of some n-grams, first words first."""
+        return [*(self.below.columns(self.prev[at]) if self.below else []), self.last[at]]
+
 
 class Grams:
     """A chunk's n-grams of up to ``longest`` words. Each text is its beginning, its words and its end."""
@@ -213,7 +237,7 @@ class Grams:
         token = rank[token]
         self.text = np.repeat(np.arange(len(lengths)), lengths)
         trained = self.real & (t.held[self.text] == 0)
-        self.levels = [Level(token, [number], mix(number.view(np.uint64) * SPREAD), count[order])]
+        self.levels = [Level(token, number, mix(number.view(np.uint64) * SPREAD), count[order])]
         for _ in range(1, longest):
             below = self.levels[-1]
             prev = np.concatenate(([0], below.gram[:-1]))
@@ -222,8 +246,8 @@ class Grams:
             pair, first, gram = distinct(prev * len(number) + token)
             prev, last = pair // len(number), number[pair % len(number)]
             self.levels.append(Level(
-                gram, [c[prev] for c in below.columns] + [last], mix(below.hashes[prev] + last.view(np.uint64) * SPREAD),
-                np.bincount(gram[trained], minlength=len(pair)), prev, below.gram[first],
+                gram, last, mix(below.hashes[prev] + last.view(np.uint64) * SPREAD),
+                np.bincount(gram[trained], minlength=len(pair)), below, prev, below.gram[first],
             ))
 
     def counted(self) -> Grams:
@@ -346,9 +370,8 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
             yield p, pack(small(counts[at]), np.frombuffer(b"\n".join([t.names[i] for i in at.tolist()]), np.uint8))
 
     def number_words(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], list[int]]:
-        known: dict[bytes, int] = {}
-        put = known.setdefault
-        at = [np.array([put(w, len(known)) for w in names.tobytes().split(b"\n")], np.int64) for _, names in asked]
+        known = Numbers()
+        at = [np.fromiter(map(known.__getitem__, names.tobytes().split(b"\n")), np.int64, len(counts)) for counts, names in asked]
         total = np.bincount(np.concatenate(at), np.concatenate([c for c, _ in asked])).astype(np.int64)
         # Frequent words have small numbers, which pack well.
         best = sorted(known, key=lambda w: (-total[known[w]], w))
@@ -372,7 +395,7 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
                 sent = out.setdefault(p, [])
                 # Lengths that send nothing to this part have no rows there.
                 sent += [np.zeros(0, np.uint8)] * (sum(range(3, n + 1)) - len(sent))
-                sent += [*named([c[at] for c in level.columns]), small(level.counts[at])]
+                sent += [*named(level.columns(at)), small(level.counts[at])]
         width = sum(range(3, model.order + 2))
         for p, sent in out.items():
             yield p, pack(*sent, *[np.zeros(0, np.uint8)] * (width - len(sent)))
@@ -386,7 +409,7 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
             total = np.bincount(number, counts).astype(np.int64)
             own = np.zeros(len(number), bool)
             at = np.nonzero(counts)[0]
-            own[at[np.unique(number[at], return_index=True)[1]]] = True
+            own[at[first_of(number[at])]] = True
             stats += counts_of_counts(total)
             x = 0
             for answer, a in zip(out, asked, strict=True):
@@ -425,7 +448,7 @@ def _ask_weights(model: Katz, n: int) -> Callable:
         large = small(np.bincount(context[counts > LARGE], counts[counts > LARGE], size))
         covered = np.bincount(context, grams.probability(n - 1)[level.lower[level.own]], size)
         wanted = grams.wanted(n)
-        columns = [c[level.contexts] for c in below.columns]
+        columns = below.columns(level.contexts)
         for p, at in dealt(below.hashes[level.contexts], model.parts):
             tells = covered[at] > 0
             yield p, pack(*named([c[at] for c in columns]), *[c[at] for c in classes], large[at], np.packbits(tells), covered[at][tells], np.packbits(wanted[at]))

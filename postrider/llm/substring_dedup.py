@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,8 +84,7 @@ def written(c: Chunk) -> bytes:
 def read_back(state: bytes) -> Chunk:
     ids, missing, sizes, words, named = unpack(state)
     known = named.tobytes().split(b"\n") if len(words) else []
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-    return Chunk(list(zip(ids.tolist(), missing.tolist(), strict=True)), sizes.astype(np.int64), words.astype(np.int32), hashes, known)
+    return Chunk(list(zip(ids.tolist(), missing.tolist(), strict=True)), sizes.astype(np.int64), words.astype(np.int32), known)
 
 
 class Windows:
