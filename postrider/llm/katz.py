@@ -140,7 +140,8 @@ def same(asked: list[list[np.ndarray]]) -> np.ndarray:
     """For each row of all messages (columns as in :func:`named`), the number of its n-gram; rows are compared by their words."""
     columns = [np.concatenate([np.cumsum(a[0], dtype=np.int64) for a in asked])]
     columns += [np.concatenate([a[k] for a in asked]).astype(np.int64) for k in range(1, len(asked[0]))]
-    key = columns[0].view(np.uint64)
+    # Mixed from the first column on: low bits of the key are cut off below.
+    key = mix(columns[0].view(np.uint64))
     for c in columns[1:]:
         key = mix(key * SPREAD + c.view(np.uint64))
     # As much of the hash as leaves room for the place: one number, which sorts faster than places by hash.
@@ -391,11 +392,12 @@ def scored(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: st
         grams = Grams(row, model, model.order)
         out: dict[int, list] = {}
         for n, level in enumerate(grams.levels[1:], 2):
+            columns = level.columns()
             for p, at in dealt(level.hashes, parts):
                 sent = out.setdefault(p, [])
                 # Lengths that send nothing to this part have no rows there.
                 sent += [np.zeros(0, np.uint8)] * (sum(range(3, n + 1)) - len(sent))
-                sent += [*named(level.columns(at)), small(level.counts[at])]
+                sent += [*named([c[at] for c in columns]), small(level.counts[at])]
         width = sum(range(3, model.order + 2))
         for p, sent in out.items():
             yield p, pack(*sent, *[np.zeros(0, np.uint8)] * (width - len(sent)))
