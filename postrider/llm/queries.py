@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
+from .fingerprints import compared_with_next
 from .katz import scored
 from .line_dedup import without_repeated_lines
 from .mixing import mixed
@@ -125,6 +128,76 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (cn + 1) // (gn + v) AS q
+  FROM (SELECT lang, term, sum(n) AS cn FROM c GROUP BY ALL) JOIN (SELECT lang, sum(n) AS gn, max(v) AS v FROM g GROUP BY lang) USING (lang)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=100, most_words=5, top=2000)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+x AS (SELECT lang, row, unnest(parts) AS piece, unnest(range(len(parts))) AS part
+      FROM (SELECT lang, row, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS parts FROM d)),
+w AS (SELECT lang, row, part, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+      FROM (SELECT lang, row, part, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM x)),
+g AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5
+      FROM w WINDOW o AS (PARTITION BY lang, row, part ORDER BY pos)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, ws, count(*) AS a FROM (
+        SELECT lang, [w1] AS ws FROM g UNION ALL SELECT lang, [w1, w2] FROM g WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, [w1, w2, w3] FROM g WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w1, w2, w3, w4] FROM g WHERE w4 IS NOT NULL
+        UNION ALL SELECT lang, [w1, w2, w3, w4, w5] FROM g WHERE w5 IS NOT NULL) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+s AS (SELECT c.lang, c.ws, c.a, c.k, l.a AS l, r.a AS r, n, 1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+y AS (SELECT lang, ws, a, unnest(range(2, len(ws))) AS size FROM f WHERE len(ws) > 2),
+z AS (SELECT lang, ws[start:start + size - 1] AS ws, max(a) AS longer
+      FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS start FROM y) GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM b LEFT JOIN z ON z.lang = b.lang AND z.ws = b.ws WHERE longer IS NULL OR longer < b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM o QUALIFY rank <= 2000
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this module
 
@@ -132,8 +205,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, op9_katz, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_nearest, op4_sentencepiece, op5_line_dedup, op6_mixing, op7_token_counts, op8_quality, op9_katz, op10_substring_dedup, op11_source_divergence, op12_collocations, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
