@@ -15,7 +15,7 @@ from ..plans.staging import stage
 from .chunks import Numbers, pack, unpack
 
 #: Words in a chunk; a document with more is a chunk of its own.
-WORDS = 2_000_000
+WORDS = 700_000
 #: What ends a piece, and the letters that are lower-cased.
 BREAKS, BLANK, UPPER = b",;:!?\n\x0b\x0c\r", b"\t", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word that texts cannot have, as a full stop ends a piece.
@@ -76,17 +76,18 @@ def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(a) and (int(a.max()) >= 1 << 63 - WORD_BITS or int(b.max()) >= 1 << WORD_BITS):
         raise ValueError("more frequent words or phrases than a code can hold")
     # Only tiles of low ranks can hold as many.
-    tile = np.where((a >> side < LOW) & (b >> side < LOW), (a >> side) * LOW + (b >> side), -1)
-    dense = np.nonzero(np.bincount(tile + 1)[1:] >= DENSE)[0]
-    codes, counts = [], []
-    for t in dense:
-        own = tile == t
+    low = np.nonzero((a < LOW << side) & (b < LOW << side))[0]
+    tile = ((a[low] >> side) * LOW + (b[low] >> side)).astype(np.int16)
+    codes, counts, rest = [], [], np.ones(len(a), bool)
+    for t in np.nonzero(np.bincount(tile, minlength=1) >= DENSE)[0].tolist():
+        own = low[tile == t]
         cells = np.bincount(((a[own] & mask) << side) | (b[own] & mask), minlength=1 << 2 * side)
         full = np.nonzero(cells)[0]
-        codes.append((((int(t) // LOW << side) + (full >> side)) << WORD_BITS) | ((int(t) % LOW << side) + (full & mask)))
+        codes.append((((t // LOW << side) + (full >> side)) << WORD_BITS) | ((t % LOW << side) + (full & mask)))
         counts.append(cells[full])
-    rest = ~np.isin(tile, dense)
-    coo, n = np.unique((a[rest] << WORD_BITS) | b[rest], return_counts=True)
+        rest[own] = False
+    coo = (a[rest] << WORD_BITS) | b[rest]
+    coo, n = np.unique(coo, return_counts=True)
     return np.concatenate([*codes, coo]), np.concatenate([*counts, n])
 
 
