@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,11 @@ from pyspark.sql import functions as F
 
 from ..plans.columns import only
 from ..plans.staging import stage
-from .chunks import mix
 
-#: Samples of a fingerprint; each is 16 bits, four hex digits.
-SAMPLES = 128
+#: Samples of a fingerprint; each is 12 bits, three hex digits.
+SAMPLES, BITS = 128, 12
 #: Weighted terms whose samples a worker remembers; terms of a text that are compared at a time.
-KNOWN, AT_ONCE = 60_000, 4096
+KNOWN, AT_ONCE = 120_000, 4096
 #: Rows of the sample that finds the bounds of ranges, for each range.
 PER_RANGE = 64
 _NUMBERS = (np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -27,58 +27,76 @@ _NUMBERS = (np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E
 NONE = 0
 
 
-def _uniform(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) from each 64 bits."""
-    high, low = bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)
-    return (high.astype(np.float64) + 0.5) / 2.0**32, (low.astype(np.float64) + 0.5) / 2.0**32
+def gamma_quantiles(n: int) -> np.ndarray:
+    """The middles of n equal parts of the gamma(2, 1) distribution, whose function is 1 - (1 + x) e^-x, by Newton's steps."""
+    p = (np.arange(n) + 0.5) / n
+    x = np.where(p < 0.5, np.sqrt(2 * p), 1 - np.log(1 - p))
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / np.maximum(x * np.exp(-x), 1e-300), x / 4)
+    return x
+
+
+_GAMMA = gamma_quantiles(1 << 16).astype(np.float32)
+_LN_GAMMA = np.log(gamma_quantiles(1 << 16)).astype(np.float32)
+_BETA = ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
 def samples_of(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each weighted term and each sample a number; of a text's terms the one with the least number is sampled.
 
     For a term and a sample, r and c are drawn from gamma(2, 1) and beta from
-    (0, 1), by the term's hash alone. With t = floor(ln w / r + beta), the term
-    is taken at ln a = ln c - r (t + 1 - beta); the least a over the terms of a
-    text is at the same (term, t) in two texts with a chance of the sum of their
-    lesser weights by the sum of their greater ones. The numbers are ln a in the
-    order of its single precision, above 16 bits that name (term, t).
+    (0, 1), each by 16 bits of a hash of both. With t = floor(ln w / r + beta),
+    the term is taken at ln a = ln c - r (t + 1 - beta); the least a over the
+    terms of a text is at the same (term, t) in two texts with a chance of the
+    sum of their lesser weights by the sum of their greater ones. The upper 20
+    bits of the numbers are ln a in the order of its single precision, the lower
+    12 name (term, t).
     """
-    base = hashes[:, None] ^ _NUMBERS
-    first, second, third = mix(base), mix(base + np.uint64(0x632BE59BD9B4E019)), mix(base ^ np.uint64(0xD6E8FEB86659FD93))
-    (u, v), (x, y), (beta, _) = _uniform(first), _uniform(second), _uniform(third)
-    r, c = -np.log(u * v), -np.log(x * y)
-    t = np.floor(np.log(weights)[:, None] / r + beta)
-    bits = (np.log(c) - r * (t + 1 - beta)).astype(np.float32).view(np.int32).astype(np.int64)
-    rising = np.where(bits < 0, ~bits & 0x7FFFFFFF, bits + (1 << 31))
-    name = mix(first ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) % np.uint64((1 << 16) - 1)
-    return (rising << 16) | (name.astype(np.int64) + NONE + 1)
+    h = (hashes[:, None] ^ _NUMBERS) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    drawn = h.view(np.uint16).reshape(len(hashes), SAMPLES, 4)
+    r, beta = _GAMMA.take(drawn[..., 0]), _BETA.take(drawn[..., 2])
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + beta)
+    bits = (_LN_GAMMA.take(drawn[..., 1]) - r * (t + 1 - beta)).view(np.int32)
+    rising = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32)
+    # For one term, neighbouring t have different names.
+    name = np.maximum((drawn[..., 3] + t.astype(np.uint32) * np.uint32(40503)) & np.uint32((1 << BITS) - 1), np.uint32(NONE + 1))
+    return rising >> np.uint32(BITS) << np.uint32(BITS) | name
+
+
+def spelled(signature: np.ndarray) -> str:
+    """A signature as text: three hex digits for each sample."""
+    return "".join([f"{x:03x}" for x in signature.tolist()])
 
 
 class Sampler:
-    """Signatures of texts; remembers the samples of the weighted terms that it met last."""
+    """Signatures of texts; remembers the samples of weighted terms, those that it met first for good."""
 
     def __init__(self) -> None:
         self.place: dict[tuple[bytes, int], int] = {}
-        self.known = np.empty((KNOWN, SAMPLES), np.int64)
+        self.known = np.empty((KNOWN, SAMPLES), np.uint32)
 
     def _rows(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
         if len(self.place) + len(terms) > KNOWN:
-            self.place.clear()
+            # What was met first is frequent and stays.
+            self.place = dict(islice(self.place.items(), min(KNOWN // 2, KNOWN - len(terms))))
         place = self.place
         new = [t for t in terms if t not in place]
         if new:
             start = len(place)
             self.known[start : start + len(new)] = samples_of(np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in new), np.uint64, len(new)), np.array([n for _, n in new], np.float64))
             place.update(zip(new, range(start, start + len(new)), strict=True))
-        return self.known[np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))]
+        return self.known.take(np.fromiter(map(place.__getitem__, terms), np.int64, len(terms)), axis=0)
 
     def signature(self, text: str) -> np.ndarray:
-        """The samples of a text: one word of 16 bits each, :data:`NONE` for a text without words."""
+        """The samples of a text, :data:`NONE` each for a text without words."""
         terms = list(Counter(text.encode().lower().split()).items())
-        least = np.full(SAMPLES, np.iinfo(np.int64).max)
+        least = np.full(SAMPLES, (1 << 32) - 1, np.uint32)
         for at in range(0, len(terms), AT_ONCE):
             np.minimum(least, self._rows(terms[at : at + AT_ONCE]).min(axis=0), out=least)
-        return (least & 0xFFFF).astype(">u2") if terms else np.full(SAMPLES, NONE, ">u2")
+        return least & np.uint32((1 << BITS) - 1) if terms else np.full(SAMPLES, NONE, np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -93,7 +111,7 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint): 128 samples of 16 bits, in hex, of each text's words by their counts.
+    """(doc_id, fingerprint): 128 samples of 12 bits, in hex, of each text's words by their counts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower
     case. The share of equal samples of two fingerprints estimates the sum of
@@ -105,7 +123,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for b in batches:
-            prints = [sampler.signature(t.as_py() or "").tobytes().hex() for t in b.column(1)]
+            prints = [spelled(sampler.signature(t.as_py() or "")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
     return only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).mapInArrow(signed, "doc_id long, fingerprint string")
@@ -195,7 +213,7 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     _, at, before, print_ = last
                     new = edited(before, text)
                     changed = sampler.signature(new)
-                    out.append((at, len(before), hashlib.sha256(new.encode()).hexdigest(), print_.tobytes().hex(), changed.tobytes().hex(), likeness(print_, changed), likeness(print_, own)))
+                    out.append((at, len(before), hashlib.sha256(new.encode()).hexdigest(), spelled(print_), spelled(changed), likeness(print_, changed), likeness(print_, own)))
                 last = None if guest else (of, i, text, own)
                 if len(out) >= 1000:
                     yield rows()
