@@ -20,7 +20,7 @@ NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Probabilities are whole numbers of so many parts; the division goes by thousands, three times.
 STEP, STEPS = 1000, 3
 #: Bytes of text that are counted at a time, and rows of counts that a task holds before it sends them on.
-SLICE, HELD = 16 << 20, 1_000_000
+SLICE, HELD = 8 << 20, 600_000
 #: Cells (terms times sources) of a shard.
 CELLS = 400_000
 
