@@ -46,12 +46,42 @@ def entities(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);|[^&]+|&"), F.lit(0)), piece), "")
 
 
+#: An id as inline images have it.
+CONTENT_ID = r"^[A-Za-z0-9][A-Za-z0-9._@+-]{0,254}$"
+_ATTRIBUTE = r"""(?is)\s{0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_URL = r"""(?is)url\(\s*(?:"([^"]*)"|'([^']*)'|([^)]*))\s*\)"""
+
+
+def _one_of_three(c: Column, pattern: str) -> Column:
+    """What the pattern's three groups take, of which one is there in each find."""
+    groups = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
+    return F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.concat(a, b))
+
+
+def _content_urls(pieces: Column) -> Column:
+    """What follows cid: in the addresses of tags, style attributes and style elements; comments and texts do not count."""
+    tags = F.filter(pieces, lambda x: F.rlike(x, F.lit(r"(?s)^<[a-zA-Z]")))
+    head = lambda x: F.regexp_extract(x, r"(?s)^<[^>]*>?", 0)
+    values = lambda name: F.flatten(F.transform(tags, lambda x: F.transform(_one_of_three(head(x), _ATTRIBUTE.format(name)), entities)))
+    plain = [values(name) for name in ("src", "href", "background")]
+    css = F.concat(
+        values("style"),
+        F.transform(F.filter(tags, lambda x: F.rlike(x, F.lit(r"(?i)^<style\b"))), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)^<[^>]*>?", ""), r"(?is)</style\s*>$", "")),
+    )
+    styled = F.flatten(F.transform(css, lambda x: _one_of_three(F.regexp_replace(x, r"(?s)/\*.*?\*/", ""), _URL)))
+    urls = F.transform(F.concat(*plain, styled), lambda x: F.trim(x))  # trim alone would take the index, too
+    return F.transform(F.filter(urls, lambda x: F.rlike(x, F.lit("(?i)^cid:"))), lambda x: F.substr(x, F.lit(5)))
+
+
 def content_ids(html: Column) -> Column:
-    """Ids of inline images: cid addresses in src, href and background, and in url() of styles; percent signs decoded, each once."""
-    c = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
-    named = F.regexp_extract_all(c, F.lit(r"""(?i)\b(?:src|href|background)\s*=\s*["']?\s*cid:([^"'>\s]+)"""), F.lit(1))
-    styled = F.regexp_extract_all(c, F.lit(r"""(?i)url\(\s*["']?\s*cid:([^"')\s]+)"""), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(named, styled), F.url_decode))
+    """(ids, malformed): ids of inline images that HTML shows, percent signs decoded, each once; and addresses whose id cannot be one."""
+    from .text import html_pieces  # text uses the entities above
+
+    # A plus is a plus; only percent signs stand for others.
+    decoded = F.transform(_content_urls(html_pieces(html)), lambda x: F.struct(x.alias("url"), F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))).alias("id")))
+    fits = lambda x: F.coalesce(F.rlike(x["id"], F.lit(CONTENT_ID)), F.lit(False))
+    ids = F.array_distinct(F.transform(F.filter(decoded, fits), lambda x: x["id"]))
+    return F.struct(ids.alias("ids"), F.array_distinct(F.transform(F.filter(decoded, lambda x: ~fits(x)), lambda x: x["url"])).alias("malformed"))
 
 
 def calendar(text: Column) -> Column:

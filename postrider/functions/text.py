@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags that end a line of text, and named entities.
-BLOCKS = "address|article|aside|blockquote|br|div|dd|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-INLINE = "a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"))
-
+from .mime import entities
 
-def without_hidden(html: Column) -> Column:
-    """HTML without comments, scripts, styles and titles."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(c, r"(?is)<(script|style|title)\b[^>]*>.*?</(?:script|style|title)\s*>", "")
+#: Tags that end a line of text, and tags that leave nothing behind.
+BLOCKS = "br|p|div|li|h1|h2|h3|h4|h5|h6"
+INLINE = "a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|u|var"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"))
+#: Elements whose content is no text; characters that only pad; blanks of a line.
+HIDDEN = ("script", "style", "title")
+PADDING = "\\u034F\\u00AD\\u200B\\u2060\\uFEFF"
+BLANKS = "\\t\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: HTML in pieces: hidden elements, comments, tags, declarations, each to its end or that of the text, and what lies between.
+PIECES = (
+    "(?is)" + "|".join(rf"<{h}\b[^>]*(?:>.*?(?:</{h}\s*>|\z)|\z)" for h in HIDDEN)
+    + r"|<!--.*?(?:-->|\z)|</?[a-z][a-z0-9]*\b[^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|[^<]+|<"
+)
+TAG_NAME = r"(?i)^</?([a-z][a-z0-9]*)\b"
+#: HTML or CSS where plain text should be; an address in angle brackets is none.
+MARKUP = (
+    r"(?i)</?(?:html|head|body|meta|style|title|div|p|span|table|tr|td|font)(?:>|[\s/][^<>]{0,499}>)"
+    r"|<[a-z][a-z0-9]*\s[^<>]{0,500}\bstyle\s*=|\{\s*-?[a-z][a-z-]*\s*:[^{}]{1,500}\}"
+)
+
+
+def html_pieces(html: Column) -> Column:
+    """Hidden elements, comments, tags and texts of HTML, in order; nothing is read twice, so time grows with the length alone."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(PIECES), F.lit(0))
 
 
 def decoded_entities(c: Column) -> Column:
@@ -25,27 +41,34 @@ def decoded_entities(c: Column) -> Column:
 
 
 def normal_body(c: Column) -> Column:
-    """Line ends as line feeds, no blanks around them, at most one empty line in a row."""
+    """Without padding characters; line ends as line feeds, one blank for each run of blanks of any kind and none around line ends, at most one empty line in a row."""
+    c = F.regexp_replace(c, rf"[{PADDING}]|\u200C(?![\p{{L}}\p{{M}}])", "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.regexp_replace(c, f"[{BLANKS}]+", " ")
     c = F.regexp_replace(c, r" ?\n ?", "\n")
     return F.btrim(F.regexp_replace(c, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 def html_text(html: Column) -> Column:
-    """Text of HTML: block tags end lines, inline tags leave nothing, other tags a blank."""
-    c = F.regexp_replace(without_hidden(html), rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{INLINE})\b[^>]*>", "")
-    return normal_body(decoded_entities(F.regexp_replace(c, r"<[^>]*>", " ")))
+    """Visible text of HTML: block tags end lines, inline tags leave nothing, other tags, comments and hidden elements a blank; what does not close goes to the end."""
+
+    def shown(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, TAG_NAME, 1))
+        ends, none = F.rlike(name, F.lit(f"^(?:{BLOCKS})$")), F.rlike(name, F.lit(f"^(?:{INLINE})$"))
+        return F.when(~F.startswith(x, F.lit("<")) | (x == "<"), x).when(ends, "\n").when(none, "").otherwise(" ")
+
+    return normal_body(entities(F.array_join(F.transform(html_pieces(html), shown), "")))
 
 
 def is_markup(c: Column) -> Column:
-    return F.rlike(F.coalesce(c, F.lit("")), F.lit(r"(?i)<(html|body|div|p|table|br)\b"))
+    return F.rlike(F.coalesce(c, F.lit("")), F.lit(MARKUP))
 
 
 def readable_body(plain: Column, html: Column) -> Column:
-    """The plain part unless it is missing or is itself markup."""
-    return F.when((F.coalesce(plain, F.lit("")) != "") & ~is_markup(plain), normal_body(plain)).otherwise(html_text(F.coalesce(html, plain, F.lit(""))))
+    """The plain part unless it is empty or is itself markup; HTML without visible text keeps the plain part."""
+    normal = normal_body(plain)
+    text = html_text(html)
+    return F.when((F.coalesce(normal, F.lit("")) != "") & ~is_markup(normal), normal).when(F.coalesce(html, F.lit("")) == "", normal).otherwise(F.when(text != "", text).otherwise(F.coalesce(normal, F.lit(""))))
 
 
 #: Where a quoted tail begins: an attribution line, a forwarded header, or trailing quote lines.

@@ -13,13 +13,14 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: MIME types of the named file kinds, and their aliases.
+#: MIME types of the named file kinds, and their other names.
 FILE_KINDS = {
     "pdf": ("application/pdf",),
-    "zip": ("application/zip", "application/x-zip-compressed"),
+    "zip": ("application/zip", "application/x-zip-compressed", "application/gzip", "application/x-tar", "application/x-7z-compressed"),
     "doc": ("application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
-    "sheet": ("application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "text/csv"),
+    "sheet": ("application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
 }
+OTHER_NAMES = {"archive": "zip", "word": "doc", "spreadsheet": "sheet", "excel": "sheet"}
 FAMILIES = ("image", "video", "audio", "text")
 
 
@@ -90,6 +91,7 @@ def smaller(n: int) -> Column:
 def file_kind(value: str) -> Column:
     """On attachments: a named kind, a family of types, or a part of the type."""
     v = value.lower()
+    v = OTHER_NAMES.get(v, v)
     if v in FILE_KINDS:
         return F.lower("mime").isin(*FILE_KINDS[v])
     return F.startswith(F.lower("mime"), F.lit(v + "/")) if v in FAMILIES else F.contains(F.lower("mime"), F.lit(v))

@@ -19,7 +19,6 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 FOLDED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 #: Fixed values of the score: a half-life of 30 days, weights of fields and tiers.
 DECAY = 0.0231049
-BULK = r"^(no-?reply|newsletter|notifications?|mailer-daemon|bounces?)@"
 
 
 @dataclass(frozen=True)
@@ -160,9 +159,9 @@ def recency(date: Column, now: str) -> Column:
 
 
 def prior() -> Column:
-    """Flagged and unread messages gain, bulk mail loses; within 0.2 and 4."""
+    """Flagged and unread messages gain, mail of lists loses; within 0.2 and 4."""
     has = lambda f: F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), f)
-    bulk = F.rlike(F.lower("from_email"), F.lit(BULK))
+    bulk = listish(F.col("headers"), F.col("from_email"))
     return F.greatest(F.lit(0.2), F.least(F.lit(4.0), 1 + 0.5 * has("\\Flagged").cast("double") + 0.3 * (~has("\\Seen")).cast("double") - 0.7 * bulk.cast("double")))
 
 

@@ -63,14 +63,36 @@ def subject_edges(messages: DataFrame, alone: DataFrame) -> DataFrame:
 
     Both stand alone, the root came at most two weeks before, the senders wrote
     to each other, neither is automatic, and there is exactly one such root.
+
+    Roots open at their date and close two weeks later; a sweep over the dates of
+    a subject and a pair of people counts those that are open when a reply
+    comes, and keeps the exclusive or of their hashes, which names the root if
+    it is one. So no pairs of replies and roots are made. Time is cut into
+    spans of two weeks, so that a common subject is many groups.
     """
-    a = messages.join(alone, ["account", "rfc_id"], "left_semi").filter(~F.col("automated"))
+    a = messages.join(alone, ["account", "rfc_id"], "left_semi").filter(~F.col("automated") & F.col("date").isNotNull())
+    length = SUBJECT_DAYS * 86_400 * 1_000_000
+    at = F.unix_micros(F.col("date").cast("timestamp"))
     reply, root = a.filter("is_reply"), a.filter("not is_reply")
-    r = root.select("account", "base_subject", F.col("rfc_id").alias("root"), F.col("date").alias("root_date"), F.col("sender").alias("root_sender"), F.col("recipients").alias("root_to"))
-    near = (F.col("date") >= F.col("root_date")) & (F.col("date") <= F.col("root_date") + F.expr(f"INTERVAL {SUBJECT_DAYS} DAYS"))
-    known = F.array_contains("recipients", F.col("root_sender")) & F.array_contains("root_to", F.col("sender"))
-    found = reply.join(r, ["account", "base_subject"]).filter(near & known)
-    return found.groupBy("account", F.col("rfc_id").alias("dst")).agg(F.count("*").alias("n"), F.min("root").alias("src")).filter("n = 1").select("account", "src", "dst")
+    keys = ["account", "base_subject", "one", "other"]
+    people = F.explode(F.array_distinct(F.array_compact("recipients")))
+    own = root.select("account", "base_subject", F.col("sender").alias("one"), people.alias("other"), "rfc_id", at.alias("at")).distinct()
+    own = own.withColumn("hash", F.xxhash64("rfc_id", "at"))
+    spans = F.explode(F.array(F.floor(F.col("at") / length), F.floor(F.col("at") / length) + 1))
+    begins = own.withColumn("span", spans).withColumn("start", F.greatest("at", F.col("span") * length))
+    event = lambda when, kind, n, rfc: F.struct(F.col(when).alias("when") if isinstance(when, str) else when.alias("when"), F.lit(kind).alias("kind"), F.lit(n).alias("n"), rfc.alias("dst"))
+    none = F.lit(None).cast("string")
+    both = begins.select(*keys, "span", "hash", F.explode(F.array(event("start", 0, 1, none), event(F.col("at") + length, 2, -1, none))).alias("e"))
+    asked = reply.select("account", "base_subject", people.alias("one"), F.col("sender").alias("other"), F.floor(at / length).alias("span"), F.lit(0).cast("long").alias("hash"), event(at, 1, 0, F.col("rfc_id")).alias("e"))
+    # What closes in a later span need not close in this one.
+    events = both.filter("e.kind < 2 OR e.when < (span + 1) * %d" % length).union(asked).select(*keys, "span", "hash", "e.*")
+    sweep = Window.partitionBy(*keys, "span").orderBy("when", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.select(*keys, "kind", "dst", "when", F.sum("n").over(sweep).alias("n"), F.bit_xor("hash").over(sweep).alias("hash")).filter("kind = 1 AND n > 0")
+    # A reply to several people may find roots of each of them; a message id on several rows asks several times.
+    one_root = met.groupBy("account", "base_subject", "dst", "when").agg(F.sum("n").alias("n"), F.max("hash").alias("hash")).filter("n = 1")
+    named = own.select("account", "base_subject", "hash", F.col("rfc_id").alias("src")).distinct()
+    found = one_root.join(named, ["account", "base_subject", "hash"])
+    return found.groupBy("account", "dst").agg(F.count("*").alias("n"), F.min("src").alias("src")).filter("n = 1").select("account", "src", "dst")
 
 
 def conversation_id(account: Column, anchor: Column) -> Column:

@@ -46,7 +46,9 @@ def by_attachment(name, column, where):
 by_attachment("flt_has_attachment", lambda: F.col("disposition") == "attachment", "disposition = 'attachment'")
 by_attachment("flt_filename", lambda: f.file_name("rep*-?5.PDF"), "regexp_matches(lower(filename), '^rep.*-.5\\.pdf$')")
 by_attachment("flt_filename_plain", lambda: f.file_name("e_1"), "contains(lower(filename), 'e_1')")
-by_attachment("flt_filetype", lambda: f.file_kind("zip"), "mime IN ('application/zip', 'application/x-zip-compressed')")
+by_attachment("flt_filetype", lambda: f.file_kind("Archive"), "mime IN ('application/zip', 'application/x-zip-compressed', 'application/gzip', 'application/x-tar', 'application/x-7z-compressed')")
+by_attachment("flt_filetype_sheet", lambda: f.file_kind("excel"), "mime IN ('application/vnd.ms-excel', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet')")
+by_attachment("flt_filetype_family", lambda: f.file_kind("Text"), "mime LIKE 'text/%'")
 by_attachment("flt_filetype_part", lambda: f.file_kind("applic"), "contains(mime, 'applic')")
 by_attachment("flt_mime", lambda: F.lower("mime") == "application/pdf", "lower(mime) = 'application/pdf'")
 

@@ -1,9 +1,14 @@
 """Deliveries, graph nodes, anchors and runs of threading."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import identity as o
+from ..operators.conversations import conversations, evidence
+from ..operators.incremental import Maintained
+from ..plans.staging import shared_dir
 from ..sources.tables import read
 from . import Group
 
@@ -200,13 +205,46 @@ def thr_history(spark, d):
     return kept.join(back.select("id"), "id").select("id", "previous", "next")
 
 
-@add("thr_incremental", f"WITH {V2} SELECT id, delivery FROM v2")
+ROW = "id long, account string, folder string, provider_key string, message_id string, raw_hash string, parsed string, authored string, metadata string, date timestamp_ntz, refs array<string>, provider_thread string"
+CONVERSATIONS = f"""{V2}, k AS (SELECT v2.delivery, c.id, c.message_id, c.refs, CASE WHEN c.id % 9 = 0 THEN 't' || (c.id // 90) END AS thread, (CASE WHEN len(refs) > 0 THEN 2000 ELSE 0 END) + len(refs) * 10 + (message_id IS NOT NULL)::INT AS quality FROM c JOIN v2 USING (id)),
+b AS (SELECT DISTINCT ON (delivery) delivery, refs FROM k ORDER BY delivery, quality DESC, id),
+mg AS (SELECT k.delivery, CASE WHEN min(message_id) = max(message_id) THEN min(message_id) END AS message_id, CASE WHEN bool_and(len(k.refs) = 0 OR (len(k.refs) <= len(b.refs) AND b.refs[len(b.refs) - len(k.refs) + 1:len(b.refs)] = k.refs)) THEN any_value(b.refs) ELSE [] END AS refs FROM k JOIN b USING (delivery) GROUP BY k.delivery),
+ow AS (SELECT message_id AS token, count(*) AS n FROM mg WHERE message_id IS NOT NULL GROUP BY 1),
+own AS (SELECT delivery, CASE WHEN n = 1 THEN 'reference:' || message_id ELSE 'delivery:' || delivery END AS node FROM mg LEFT JOIN ow ON token = message_id),
+ch AS (SELECT delivery, pos, CASE WHEN n = 1 THEN 'reference:' || r.token WHEN n > 1 THEN 'ambiguous:' || r.token || ':' || delivery ELSE 'missing:' || r.token END AS node FROM (SELECT delivery, unnest(refs) AS token, unnest(range(len(refs))) AS pos FROM mg) r LEFT JOIN ow ON ow.token = r.token UNION ALL SELECT delivery, 1000000, node FROM own),
+st AS (SELECT DISTINCT parent, node AS child FROM (SELECT lag(node) OVER (PARTITION BY delivery ORDER BY pos) AS parent, node FROM ch) WHERE parent <> node),
+th AS (SELECT DISTINCT delivery, thread FROM k WHERE thread IS NOT NULL),
+ln AS (SELECT parent AS p, child AS q FROM st UNION SELECT child, parent FROM st UNION SELECT 'hub:' || thread, node FROM th JOIN own USING (delivery) UNION SELECT node, 'hub:' || thread FROM th JOIN own USING (delivery)),
+nd AS (SELECT parent AS node FROM st UNION SELECT child FROM st UNION SELECT node FROM own),
+cp AS (SELECT nd.node, coalesce(min(w.q), nd.node) AS part FROM nd LEFT JOIN (WITH RECURSIVE w(p, q) AS (SELECT p, q FROM ln UNION SELECT w.p, ln.q FROM w JOIN ln ON ln.p = w.q) SELECT * FROM w) w ON w.p = nd.node GROUP BY nd.node),
+gr AS (SELECT part, node, CASE WHEN node LIKE 'reference:%' OR node LIKE 'missing:%' THEN substr(node, instr(node, ':') + 1) END AS reference, node NOT IN (SELECT child FROM st) AS is_root, node LIKE 'ambiguous:%' AS open, node LIKE 'missing:%' AS lacking FROM cp),
+gs AS (SELECT part, min(reference) FILTER (WHERE is_root) AS lo, max(reference) FILTER (WHERE is_root) AS hi, count(*) FILTER (WHERE is_root AND open) AS n, min(node) FILTER (WHERE is_root AND open) AS first_open, bool_or(lacking) AS lacking FROM gr GROUP BY part),
+ms AS (SELECT part, min(thread) AS plo, max(thread) AS phi, min(delivery::VARCHAR) AS first FROM own JOIN cp USING (node) LEFT JOIN (SELECT th.* FROM th JOIN (SELECT thread FROM th GROUP BY thread HAVING count(*) > 1) USING (thread)) USING (delivery) GROUP BY part),
+an AS (SELECT part, coalesce(CASE WHEN lo = hi AND n = 0 THEN 'reference:' || lo END, CASE WHEN plo = phi THEN 'provider:' || plo END, CASE WHEN n = 1 THEN 'ambiguity:' || sha256(first_open) END, 'delivery:' || first) AS anchor, lacking FROM ms JOIN gs USING (part))"""
+
+
+def stored_copies(spark, d):
+    return copies(spark, d).withColumn("provider_thread", F.when(F.col("id") % 9 == 0, F.concat(F.lit("t"), F.floor(F.col("id") / 90).cast("string")))).select(*[c.split()[0] for c in ROW.split(", ")])
+
+
+@add("thr_conversations", f"WITH {CONVERSATIONS} SELECT id, delivery, 'thread_' || substr(sha256('postrider-thread-v1' || chr(0) || 'acc' || chr(0) || anchor), 1, 32) AS conversation_id, lacking AS provisional FROM v2 JOIN own USING (delivery) JOIN cp USING (node) JOIN an USING (part)")
+def thr_conversations(spark, d):
+    """Deliveries of copies, and conversations of deliveries with their names, in one run over all rows."""
+    return conversations(stored_copies(spark, d)).select("id", "delivery", "conversation_id", "provisional")
+
+
+@add("thr_incremental", f"WITH {CONVERSATIONS} SELECT id, delivery, 'thread_' || substr(sha256('postrider-thread-v1' || chr(0) || 'acc' || chr(0) || anchor), 1, 32) AS conversation_id, lacking AS provisional FROM v2 JOIN own USING (delivery) JOIN cp USING (node) JOIN an USING (part)")
 def thr_incremental(spark, d):
-    """After a change of every twentieth row, only their Message-IDs are worked on; the result is that of a full run."""
-    c = copies(spark, d)
-    old = c.withColumn("raw_hash", F.when(F.col("id") % 20 == 3, F.lit("old")).otherwise(F.col("raw_hash"))).withColumn("message_id", F.when(F.col("id") % 40 == 3, F.lit("old")).otherwise(F.col("message_id")))
-    stored = o.deliveries_v2(old).select("id", "delivery").join(old.select("id", "message_id"), "id")
-    return o.recomputed(c, stored, c.filter("id % 20 = 3"))
+    """A first load without some rows, with others that are wrong or too many; then two batches put that right. The result is that of a full run, though a batch only works on what its changes reach."""
+    c, i = stored_copies(spark, d), F.col("id")
+    change = lambda rows, gone: rows.withColumns({"gone": F.lit(gone), "seq": F.col("id")})
+    wrong = c.filter("id % 25 <> 7").withColumn("message_id", F.when(i % 40 == 3, F.lit("m0")).otherwise(F.col("message_id"))).withColumn("refs", F.when(i % 20 == 3, F.array(F.lit("m1"))).otherwise(F.col("refs")))
+    extra = c.filter("id % 60 = 1").withColumn("id", i + 1_000_000_000)
+    index = Maintained(spark, f"{shared_dir(spark)}/threads-{uuid.uuid4().hex}", ROW, "delivery long, conversation_id string, provisional boolean", evidence, lambda rows: conversations(rows).select("id", "delivery", "conversation_id", "provisional"))
+    index.apply(change(wrong.unionByName(extra), False), 0)
+    index.apply(change(c.filter("id % 25 = 7 OR id % 20 = 3"), False), 1)
+    index.apply(change(extra, True), 2)
+    return index.current()
 
 
 @add("thr_body_evidence", """WITH q AS (SELECT user_id AS id, min(ts) AS since FROM events GROUP BY 1 ORDER BY since, id LIMIT 100)

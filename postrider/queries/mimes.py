@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import mime as t
+from ..functions.rawmime import parsed_messages
+from ..operators.parttree import attached, body_parts, described, leaf_parts
 from ..plans.staging import shared_dir, stage
 from ..sources.tables import SQL, live_messages, read
 from . import Group
@@ -38,11 +40,11 @@ def txt_entities_all(spark, d):
     return live_messages(spark, d).select("id", t.entities(F.concat(F.replace("subject", F.lit("&"), F.lit("&amp;")), F.lit(" &#233;&#x4E2D;&#x1F600;&amp;lt;&#xD800;&bogus;& &LT;"))).alias("text"))
 
 
-@add("txt_cid_refs", "SELECT page_id, 'a@b,c' || page_id || ',d' AS refs FROM pages")
+@add("txt_cid_refs", "SELECT page_id, 'a@b,e+f,c' || page_id || ',d,s1' AS refs, 'b%20d,%zz,g&h' AS malformed FROM pages")
 def txt_cid_refs(spark, d):
-    """Ids of inline images in attributes and styles; those in comments do not count."""
-    more = joined('<img src="cid:a%40b"><!-- <img src="cid:no"> --><td background=\'cid:c', F.col("page_id"), '\'><p style="background: url(cid:d)"><img src="CID:a%40b">')
-    return read(spark, d, "pages").select("page_id", F.array_join(t.content_ids(F.concat("html", more)), ",").alias("refs"))
+    """Ids of inline images in attributes, styles and style elements; a plus stays, comments and text do not count, what cannot be an id is told apart."""
+    more = joined('<img src="cid:a%40b"><!-- <img src="cid:no"> --><a href=cid:e+f><td background=\'cid:c', F.col("page_id"), '\'><p style="background: url( &quot;cid:d&quot; )"><img src="CID:a%40b"> src="cid:text" <style>/* url(cid:gone) */ p { background: URL(\'cid:s1\') }</style><img src="cid:b%20d"><img src="cid:%zz"><img src="cid:g&amp;h">')
+    return read(spark, d, "pages").select("page_id", t.content_ids(F.concat("html", more)).alias("c")).select("page_id", F.array_join("c.ids", ",").alias("refs"), F.array_join("c.malformed", ",").alias("malformed"))
 
 
 @add("mim_calendar", f"WITH {SQL} SELECT id, unnest(['VEVENT', 'VTODO']) AS component, unnest(['u' || id, 't' || id]) AS uid, unnest([NULL, '20240102']) AS recurrence_id, unnest([id % 7, 0])::INT AS sequence, unnest(['20240101T000000', NULL]) AS dtstart FROM m")
@@ -81,6 +83,52 @@ def mim_attachments(spark, d):
     return live_messages(spark, d).select("id", F.inline(t.attachments(parts(F.col("id")))))
 
 
+def raw_messages(spark, d):
+    """Live messages as bytes: text in quoted-printable and HTML in base64 as alternatives, the body as an attached file, headers folded and encoded; some break off before the end."""
+    i, b64 = F.col("id"), lambda c: F.base64(c.cast("binary"))
+    quoted = F.replace(F.replace(F.regexp_replace(F.replace("body", F.lit("="), F.lit("=3D")), r" (?=\n|$)", "=20"), F.lit("\r"), F.lit("=0D")), F.lit("\n"), F.lit("\r\n"))
+    head = joined("From: =?utf-8?B?", b64(joined("Ünï ", i)), "?= <u@x.example>\r\nSubject: Number\r\n ", i, "\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed;\r\n boundary=\"b ", i, "\"\r\n\r\npreamble\r\n--b ", i)
+    text = joined("\r\nContent-Type: multipart/alternative; boundary=alt\r\n\r\n--alt\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n", quoted, "\r\n--alt\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Transfer-Encoding: BASE64\r\n\r\n", b64(joined("<p>", i, "</p>", F.col("body"))), "\r\n--alt--\r\n--b ", i)
+    file = joined("\r\nContent-Type: application/pdf; name*0*=utf-8''n%C3%A9; name*1=.pdf\r\nContent-Disposition: attachment\r\nContent-Transfer-Encoding: base64\r\n\r\n", F.regexp_replace(b64(F.col("body")), "(.{76})", "$1\r\n"))
+    end = F.when(i % 10 == 0, F.lit("")).otherwise(joined("\r\n--b ", i, "--\r\nepilogue"))
+    return live_messages(spark, d).select("id", F.concat(head, text, file, end).cast("binary").alias("raw"))
+
+
+@add("mim_raw_parse", f"""WITH {SQL} SELECT id, 'Number ' || id AS subject, 'Ünï ' || id || ' <u@x.example>' AS sender, '1.1 1.2 2' AS parts, sha256(replace(body, chr(10), chr(13) || chr(10))) AS plain, sha256('<p>' || id || '</p>' || body) AS html,
+  'né.pdf' AS filename, strlen(body)::BIGINT AS bytes, sha256(body) AS file, CASE WHEN id % 10 = 0 THEN 'boundary_not_closed' ELSE '' END AS warnings FROM m""")
+def mim_raw_parse(spark, d):
+    """Raw messages as trees of parts: headers, texts of the body and files come back as they went in."""
+    p = parsed_messages(raw_messages(spark, d))
+    header = lambda name: F.col("headers")[name][0]
+    last = F.element_at("parts", -1)
+    return p.select(
+        "id", header("subject").alias("subject"), header("from").alias("sender"), F.array_join("parts.part", " ").alias("parts"), F.sha2("body_plain", 256).alias("plain"), F.sha2("body_html", 256).alias("html"),
+        last["filename"].alias("filename"), last["size"].alias("bytes"), last["sha256"].alias("file"), F.array_join("warnings", " ").alias("warnings"),
+    )
+
+
+def part_trees(spark, d):
+    """Trees as servers describe them: two texts below the first part, then a file; of every hundredth message one text as deep as trees go, or a level deeper."""
+    i = F.col("id")
+    tree = joined('{"type":"multipart/mixed","childNodes":[{"type":"multipart","subtype":"alternative","childNodes":[{"part":"1.1","type":"text","subtype":"HTML","size":10},{"part":" 1.2 ","type":"text/plain; x","size":', i, F.when(i % 3 == 0, ',"disposition":"attachment"').otherwise(""), "}]},", '{"part":"2","type":"application/pdf","encoding":"BASE64","size":', i * 8, F.when(i % 2 == 0, ',"disposition":{"type":"Attachment","params":{"filename":"a.pdf"}}').otherwise(',"disposition":"inline","id":"<c>"'), "}]}")
+    deep = F.when(i % 50 == 0, F.when(i % 100 == 0, F.lit(64)).otherwise(F.lit(65)))
+    chain = F.concat(F.repeat(F.lit('{"childNodes":['), deep), F.lit('{"part":"9","type":"text/plain"}'), F.repeat(F.lit("]}"), deep))
+    return live_messages(spark, d).select("id", F.parse_json(F.coalesce(chain, tree)).alias("tree"))
+
+
+@add("mim_tree_text", f"WITH {SQL} SELECT id, CASE WHEN id % 100 = 0 THEN '9' WHEN id % 3 = 0 THEN '1.1' ELSE '1.2' END AS part, CASE WHEN id % 100 <> 0 AND id % 3 = 0 THEN 'html' ELSE 'plain' END AS format FROM m WHERE id % 50 <> 0 OR id % 100 = 0")
+def mim_tree_text(spark, d):
+    """The body's part from nested trees: plain before HTML, no attached text; parts that lie too deep do not count."""
+    return body_parts(described(leaf_parts(part_trees(spark, d))))
+
+
+@add("mim_tree_files", f"""WITH {SQL} SELECT id, '2' AS part, CASE WHEN id % 2 = 0 THEN 'a.pdf' END AS filename, 'application/pdf' AS mime, id * 6 AS bytes, CASE WHEN id % 2 = 0 THEN 'attachment' ELSE 'inline' END AS disposition FROM m WHERE id % 50 <> 0
+UNION ALL SELECT id, '1.2', NULL, 'text/plain', id, 'attachment' FROM m WHERE id % 50 <> 0 AND id % 3 = 0""")
+def mim_tree_files(spark, d):
+    """Attachments from nested trees, with the size that base64 hides."""
+    return attached(described(leaf_parts(part_trees(spark, d)))).select("id", "part", "filename", "mime", "bytes", "disposition")
+
+
 @add("snk_jsonl", f"WITH {SQL} SELECT id, account, array_to_string(to_emails, ',') AS recipients FROM m")
 def snk_jsonl(spark, d):
     """Results as JSON lines in the shared folder, read back."""

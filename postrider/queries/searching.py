@@ -11,6 +11,8 @@ from . import Group
 group = Group()
 add = group.add
 NOW = "2024-03-01 00:00:00"
+#: Mail of lists, by headers or sender.
+LISTISH = "(listed OR regexp_matches(lower(from_email), '^(newsletter|marketing|mailer)@'))"
 TERMS = r.Terms((("der", "the"), ("und", "of")), ("los",))
 SYNONYMS = {"of": ("por",), "the": ("une",)}
 
@@ -36,7 +38,7 @@ def scored_sql(groups, without=(), wide=None):
 x AS (SELECT *, {rank_sql('hw', groups)} AS h, {rank_sql('bw', groups)} AS b, {w[0]} AS wh, {w[1]} AS wb FROM t WHERE true{out}),
 y AS (SELECT *, h > 0 OR b > 0 AS is_primary, round(CASE WHEN h > 0 OR b > 0 THEN 0.6::DOUBLE * h + 0.2::DOUBLE * b ELSE 0.2::DOUBLE * (0.6::DOUBLE * wh + 0.2::DOUBLE * wb) END, 9) AS text_rel FROM x WHERE h > 0 OR b > 0 OR wh > 0 OR wb > 0),
 scored AS (SELECT *, round(text_rel * exp(-0.0231049::DOUBLE * ((epoch_us(TIMESTAMP '{NOW}') - epoch_us(date))::DOUBLE / 86400000000.0::DOUBLE))
- * greatest(0.2::DOUBLE, least(4.0::DOUBLE, 1 + 0.5::DOUBLE * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3::DOUBLE * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT)), 9) AS score FROM y)"""
+ * greatest(0.2::DOUBLE, least(4.0::DOUBLE, 1 + 0.5::DOUBLE * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3::DOUBLE * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT - 0.7::DOUBLE * {LISTISH}::INT)), 9) AS score FROM y)"""
 
 
 BASE = scored_sql(TERMS.groups, TERMS.without)
@@ -110,7 +112,7 @@ def scr_recency(spark, d):
     return live_messages(spark, d).select("id", F.round(r.recency(F.col("date"), NOW), 6).alias("recency"))
 
 
-@add("scr_prior", f"WITH {SQL} SELECT id, round(greatest(0.2, least(4.0, 1 + 0.5 * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3 * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT)), 6)::DOUBLE AS prior FROM m")
+@add("scr_prior", f"WITH {SQL} SELECT id, round(greatest(0.2, least(4.0, 1 + 0.5 * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3 * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT - 0.7 * {LISTISH}::INT)), 6)::DOUBLE AS prior FROM m")
 def scr_prior(spark, d):
     return live_messages(spark, d).select("id", F.round(r.prior(), 6).alias("prior"))
 
@@ -146,7 +148,7 @@ def vec_knn(spark, d):
 
 
 #: The prior of a row, as scr_prior has it.
-PRIOR = "greatest(0.2::DOUBLE, least(4.0::DOUBLE, 1 + 0.5::DOUBLE * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3::DOUBLE * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT))"
+PRIOR = f"greatest(0.2::DOUBLE, least(4.0::DOUBLE, 1 + 0.5::DOUBLE * list_contains(coalesce(flags, []), '\\Flagged')::INT + 0.3::DOUBLE * (NOT list_contains(coalesce(flags, []), '\\Seen'))::INT - 0.7::DOUBLE * {LISTISH}::INT))"
 STOP = "[" + ", ".join(f"'{w}'" for w in r.STOPWORDS) + "]"
 
 

@@ -1,8 +1,14 @@
 """Queries over change feeds: events as changes of folders, labels as parts that come late."""
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_dir
+from ..streaming.expiry import by_day, expire, unexpired
 from ..streaming.feeds import completed, drained, feed, latest, live, once, timed
+from ..streaming.mailboxes import folder_changes, folder_state
 from . import Group
 
 group = Group()
@@ -86,18 +92,48 @@ def stm_late_parent(spark, sf_dir):
     return drained(g.withColumn("conversation_id", name), ("conv_id", "node"))
 
 
-@add("stm_change_feed", """WITH s AS (SELECT user_id AS folder, event_id, event_type = 'purchase' AS ack, event_id // 3000 AS uidvalidity, event_id // 500 AS uidnext, floor(value / 30)::BIGINT AS modseq FROM events),
-g AS (SELECT folder, max_by(struct_pack(v := uidvalidity, n := uidnext, m := modseq), event_id) AS seen, max_by(struct_pack(v := uidvalidity, n := uidnext, m := modseq), event_id) FILTER (WHERE ack) AS base FROM s GROUP BY folder)
-SELECT folder, coalesce(seen.v <> base.v OR seen.n <> base.n, true) AS force_reconcile, coalesce(seen.m <> base.m, true) AS force_flag_scan FROM g""")
+S = "STRUCT(v BIGINT, n BIGINT, m BIGINT, u BIGINT, s BIGINT)"
+P = f"STRUCT(seq BIGINT, r BOOLEAN, f BOOLEAN, o {S})"
+DIFFERS = lambda x, y, fields="vnmus": "(" + " OR ".join(f"coalesce({x}.{c} <> {y}.{c}, false)" for c in fields) + ")"
+FOLDER_EVENTS = """e AS (SELECT user_id::VARCHAR AS folder, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id AS i, floor(value)::BIGINT AS x,
+  CASE WHEN event_id < 300 THEN 'seed' ELSE CASE event_type WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'expunge' WHEN 'click' THEN 'observe' WHEN 'view' THEN 'exists' ELSE 'flags' END END AS kind,
+  CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN -1 END AS of FROM events),
+g AS (SELECT folder, seq, k, kind, of, CASE WHEN kind IN ('seed', 'observe') THEN i // 3000 END AS v, CASE WHEN kind IN ('seed', 'observe') THEN i // 500 END AS n, CASE WHEN kind = 'exists' OR (kind IN ('seed', 'observe') AND i % 4 = 0) THEN x // 20 END AS m,
+  CASE WHEN kind IN ('seed', 'observe') AND i % 2 = 0 THEN x // 30 END AS u, CASE WHEN kind = 'flags' OR (kind IN ('seed', 'observe') AND i % 5 <> 0) THEN x // 10 END AS s FROM e)"""
+
+
+@add("stm_change_feed", f"""WITH {FOLDER_EVENTS}, w AS (WITH RECURSIVE w(folder, k, b, p, c) AS (
+  SELECT DISTINCT folder, 0::BIGINT, NULL::{S}, NULL::{P}, NULL::{P} FROM g
+  UNION ALL SELECT folder, k, CASE WHEN kind = 'seed' THEN said WHEN kind = 'ack' AND known THEN p.o WHEN kind = 'observe' AND b IS NULL THEN said WHEN kind = 'observe' AND p IS NULL AND NOT {DIFFERS('now', 'b')} THEN now ELSE b END,
+    CASE WHEN kind = 'ack' AND known THEN NULL WHEN c IS NOT NULL THEN c ELSE p END, c
+  FROM (SELECT *, CASE WHEN kind IN ('seed', 'ack') THEN NULL
+      WHEN kind = 'observe' AND b IS NULL THEN CASE WHEN p IS NOT NULL THEN {{'seq': seq, 'r': p.r, 'f': p.f, 'o': said}}::{P} END
+      WHEN kind = 'observe' THEN CASE WHEN (p IS NOT NULL AND NOT {DIFFERS('now', 'p.o')}) OR (p IS NULL AND NOT {DIFFERS('now', 'b')}) THEN NULL
+        ELSE {{'seq': seq, 'r': coalesce(p.r, false) OR {DIFFERS('now', 'b', 'vnm')} OR (b.m IS NULL AND {DIFFERS('now', 'b', 's')}), 'f': coalesce(p.f, false) OR {DIFFERS('now', 'b', 'su')}, 'o': now}}::{P} END
+      ELSE {{'seq': seq, 'r': coalesce(p.r, false) OR kind = 'expunge', 'f': coalesce(p.f, false) OR kind = 'flags', 'o': {{'v': coalesce(now.v, 0), 'n': now.n, 'm': now.m, 'u': now.u, 's': now.s}}}}::{P} END AS c
+    FROM (SELECT g.folder, g.k, g.seq, kind, b, p, p IS NOT NULL AND (of IS NULL OR of = p.seq) AS known, {{'v': g.v, 'n': g.n, 'm': g.m, 'u': g.u, 's': g.s}}::{S} AS said,
+        {{'v': coalesce(g.v, p.o.v, b.v), 'n': coalesce(g.n, p.o.n, b.n), 'm': CASE WHEN kind = 'expunge' AND coalesce(p.o, b).m IS NOT NULL THEN greatest(0, coalesce(p.o, b).m - 1) ELSE coalesce(g.m, p.o.m, b.m) END, 'u': coalesce(g.u, p.o.u, b.u), 's': coalesce(g.s, p.o.s, b.s)}}::{S} AS now
+      FROM w JOIN g ON g.folder = w.folder AND g.k = w.k + 1)))
+  SELECT * FROM w)
+SELECT folder, c.seq AS seq, c.r AS force_reconcile, c.f AS force_flag_scan, c.o.v AS uid_validity, c.o.n AS uid_next, c.o.m AS messages, c.o.u AS unseen, c.o.s AS modseq FROM w WHERE c IS NOT NULL""")
 def stm_change_feed(spark, sf_dir):
-    """What the last status of a folder asks for, against the last one that was acknowledged: changes stay pending until then."""
-    i = F.col("event_id")
-    status = F.struct(F.floor(i / 3000).alias("v"), F.floor(i / 500).alias("n"), F.floor(F.col("value") / 30).alias("m"))
-    ack = F.col("event_type") == "purchase"
-    g = feed(spark, sf_dir, "events").groupBy(F.col("user_id").alias("folder")).agg(F.max_by(status, i).alias("seen"), F.max_by(F.when(ack, status), F.when(ack, i)).alias("base"))
-    known = F.col("base").isNotNull()
-    structural = ~known | (F.col("seen.v") != F.col("base.v")) | (F.col("seen.n") != F.col("base.n"))
-    return drained(g.select("folder", structural.alias("force_reconcile"), (~known | (F.col("seen.m") != F.col("base.m"))).alias("force_flag_scan")), ("folder",))
+    """What each event of a folder asks for, against what was acknowledged last: requests stay pending, merged, until then."""
+    i, x, e = F.col("event_id"), F.floor("value"), F.col("event_type")
+    kind = F.when(i < 300, "seed").when(e == "purchase", "ack").when(e == "error", "expunge").when(e == "click", "observe").when(e == "view", "exists").otherwise("flags")
+    whole = kind.isin("seed", "observe")
+    fields = {"uid_validity": F.when(whole, F.floor(i / 3000)), "uid_next": F.when(whole, F.floor(i / 500)), "messages": F.when((kind == "exists") | (whole & (i % 4 == 0)), F.floor(x / 20)), "unseen": F.when(whole & (i % 2 == 0), F.floor(x / 30)), "modseq": F.when((kind == "flags") | (whole & (i % 5 != 0)), F.floor(x / 10))}
+    events = feed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("folder"), i.alias("seq"), kind.alias("kind"), *[c.cast("long").alias(n) for n, c in fields.items()], F.when((e == "purchase") & (i % 3 == 0), F.lit(-1)).cast("long").alias("of"))
+    with folder_state(spark):
+        return drained(folder_changes(events))
+
+
+@add("stm_expiry", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 12 DAY")
+def stm_expiry(spark, sf_dir):
+    """Events by day; days that are past go as whole folders, and the day that is cut is filtered."""
+    path, clock = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}", datetime.datetime(2024, 1, 30, 12)
+    by_day(drained(feed(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))), path, "ts")
+    expire(spark, path, clock, 12)
+    return unexpired(spark, path, "ts", clock, 12).select("event_id", "event_type")
 
 
 @add("stm_evidence_clock", """SELECT user_id AS account, count(*) AS revision, max(event_id) AS evidence, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) AS run_evidence, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) = max(event_id) AS is_current FROM events GROUP BY 1""")

@@ -9,8 +9,10 @@ from . import Group
 group = Group()
 add = group.add
 
-HIDDEN = r"regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|title)\b[^>]*>.*?</(?:script|style|title)\s*>', '', 'g')"
-NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+NORMAL = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{034F}}\x{{00AD}}\x{{200B}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '\x{{200C}}([^\p{{L}}\p{{M}}]|$)', '\1', 'g'), '\r\n?', chr(10), 'g'), "
+    r"'[\t\x0B\f\r \x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+)
 
 
 def entities_sql(c):
@@ -20,14 +22,21 @@ def entities_sql(c):
 
 
 def html_sql(c):
-    c = f"regexp_replace({HIDDEN.format(c)}, '(?i)</?(?:{t.BLOCKS})\\b[^>]*>', chr(10), 'g')"
-    c = f"regexp_replace({c}, '(?i)</?(?:{t.INLINE})\\b[^>]*>', '', 'g')"
-    return NORMAL.format(entities_sql(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"))
+    name = f"lower(regexp_extract(x, '{t.TAG_NAME}', 1))"
+    pieces = f"regexp_extract_all({c}, '{t.PIECES}')"
+    shown = f"CASE WHEN x NOT LIKE '<%' OR x = '<' THEN x WHEN regexp_matches({name}, '^(?:{t.BLOCKS})$') THEN chr(10) WHEN regexp_matches({name}, '^(?:{t.INLINE})$') THEN '' ELSE ' ' END"
+    return NORMAL.format(entities_sql(f"array_to_string([{shown} for x in {pieces}], '')"))
 
 
-@add("txt_html", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
+#: Ends of pages that meet each rule: cells and inline tags; an unclosed script; an unclosed comment; padding, other blanks, a declaration and a bare sign.
+ENDS = ("<td>c1</td><td>c2</td><b>A</b><var>b</var>.<LI>d<section>e", "x<br/>y<style>p{a:b}</style >z<script src=a>gone <b>all</b>", "<h3 class='a>b'>t</h3><title>no</title><!-- to the end <p>", "a\u200b\u00ad\u200cb \u200c.\u2003\u00a0c <!DOCTYPE x>1 < 2<q>d</q>")
+
+
+@add("txt_html", f"WITH p AS (SELECT page_id, html || CASE page_id % 4 {' '.join(f'WHEN {i} THEN {chr(39)}' + e.replace(chr(39), chr(39) * 2) + chr(39) for i, e in enumerate(ENDS))} END AS html FROM pages) SELECT page_id, {html_sql('html')} AS text FROM p")
 def txt_html(spark, d):
-    return read(spark, d, "pages").select("page_id", t.html_text(F.col("html")).alias("text"))
+    """Visible text of pages, each with an end that tries the rules."""
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("page_id") % 4 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", t.html_text(F.concat("html", end)).alias("text"))
 
 
 @add("txt_entities", f"SELECT page_id, md5({entities_sql('html')}) AS text FROM pages")
@@ -40,10 +49,13 @@ def txt_normal_body(spark, d):
     return live_messages(spark, d).select("id", F.md5(t.normal_body(F.col("body"))).alias("text"))
 
 
-@add("txt_readable_body", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {NORMAL.format('url')} ELSE {html_sql('html')} END AS text FROM pages")
+@add("txt_readable_body", f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN {NORMAL.format('url')} WHEN 3 THEN 'from <head@example.com>' WHEN 4 THEN 'p {{ color: red }} x' ELSE {html_sql('html')} END AS text FROM pages")
 def txt_readable_body(spark, d):
-    plain = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.col("html"))
-    return read(spark, d, "pages").select("page_id", t.readable_body(plain, F.col("html")).alias("text"))
+    """The plain part; HTML where that is empty or markup; a plain part of CSS stays where the HTML shows nothing."""
+    i = F.col("page_id") % 5
+    plain = F.when(i == 0, F.col("url")).when(i == 1, F.lit(" \n")).when(i == 2, F.col("html")).when(i == 3, F.lit("from  <head@example.com>")).otherwise(F.lit("p { color: red } x"))
+    html = F.when(i < 4, F.col("html")).otherwise("<script>x</script>")
+    return read(spark, d, "pages").select("page_id", t.readable_body(plain, html).alias("text"))
 
 
 TAIL = "body || CASE WHEN id % 3 = 0 THEN chr(10) || 'On Monday A wrote:' || chr(10) || '> old text' WHEN id % 3 = 1 THEN chr(10) || '-- ' || chr(10) || 'A. Name' ELSE '' END"

@@ -57,15 +57,29 @@ def mails(spark, d):
     )
 
 
-@add("thr_subject_fallback", f"""WITH {SQL}, x AS (SELECT account, id, rfc_id, lower(folder) AS s, date, id % 2 = 1 AS reply FROM m_all),
-p AS (SELECT r.account, r.rfc_id AS dst, count(*) AS n, min(q.rfc_id) AS src FROM x r JOIN x q ON q.account = r.account AND q.s = r.s AND r.reply AND NOT q.reply AND r.date >= q.date AND r.date <= q.date + INTERVAL 14 DAY GROUP BY ALL)
-SELECT src, dst FROM p WHERE n = 1""")
+SUBJECTS = """x AS (SELECT source AS account, doc_id, '<' || doc_id || '>' AS rfc_id, lang AS s, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (doc_id * 37 % 525600) AS date, 'u' || (doc_id // 20 % 3) AS sender,
+  list_distinct(['u' || (doc_id // 60 % 4), 'u' || (doc_id // 140 % 3)]) AS people, doc_id % 13 = 0 AS automated, doc_id // 20 % 4 <> 1 AS reply, doc_id % 11 <> 0 AS alone FROM documents)"""
+
+
+def subjects(spark, d):
+    """Mail on a few subjects between a few people: replies and roots, some of them automatic or with references."""
+    i, k = F.col("doc_id"), F.floor(F.col("doc_id") / 20)
+    person = lambda x: F.concat(F.lit("u"), x.cast("string"))
+    return read(spark, d, "documents").select(
+        F.col("source").alias("account"), i.alias("id"), F.concat(F.lit("<"), i.cast("string"), F.lit(">")).alias("rfc_id"), F.col("lang").alias("base_subject"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(i * 37 % 525600).cast("int"))).alias("date"), person(k % 3).alias("sender"),
+        F.array(person(F.floor(i / 60) % 4), person(F.floor(i / 140) % 3)).alias("recipients"), (i % 13 == 0).alias("automated"), (k % 4 != 1).alias("is_reply"),
+    )
+
+
+@add("thr_subject_fallback", f"""WITH {SUBJECTS}, y AS (SELECT * FROM x WHERE alone AND NOT automated),
+p AS (SELECT r.account, r.rfc_id AS dst, count(*) AS n, min(q.rfc_id) AS src FROM y r JOIN y q ON q.account = r.account AND q.s = r.s AND r.reply AND NOT q.reply AND r.date >= q.date AND r.date <= q.date + INTERVAL 14 DAY
+  AND list_contains(r.people, q.sender) AND list_contains(q.people, r.sender) GROUP BY ALL)
+SELECT account, src, dst FROM p WHERE n = 1""")
 def thr_subject_fallback(spark, d):
-    """A reply without references and the only root of its subject within two weeks."""
-    one = F.array(F.lit("a"))
-    m = mails(spark, d).withColumn("base_subject", F.lower(F.lit("x"))).drop("base_subject").join(messages(spark, d).select(F.col("id").cast("string").alias("id"), F.lower("folder").alias("base_subject")), "id")
-    m = m.withColumn("sender", F.lit("a")).withColumn("recipients", one)
-    return o.subject_edges(m, m.select("account", "rfc_id").distinct()).select("src", "dst")
+    """A reply without references and the only root of its subject within two weeks, between people who wrote to each other; none of it automatic."""
+    m = subjects(spark, d)
+    return o.subject_edges(m, m.filter("id % 11 <> 0").select("account", "rfc_id").distinct())
 
 
 @add("thr_refs_select", "SELECT conv_id, turn, CASE WHEN turn >= 2 THEN (turn - 2) || ',' || (turn - 1) WHEN turn = 1 THEN '0' ELSE '' END AS refs FROM conversations")
