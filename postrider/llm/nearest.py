@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..plans.columns import only
 from ..plans.staging import stage
 
-#: Entries, and queries, that one task compares at a time.
-BLOCK = 1024
+#: Entries, and queries, that meet in one group; queries that a task compares at a time.
+BLOCK, AT_ONCE = 8192, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -60,11 +60,11 @@ def cells_by_distance(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted:
 
 
 class MultiIndex:
-    """Centroids of both halves of unit vectors and the number of entries in each pair."""
+    """Centroids of both halves of unit vectors and the number of ids in each pair."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second = first, second
-        self.counts = np.zeros(len(first) * len(second), np.int64)
+        self.counts = np.zeros(len(first) * len(second))
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         h = self.first.shape[1]
@@ -100,8 +100,8 @@ def index_size(n: int, most: int = 1024) -> int:
 
 
 def probed_share(n: int) -> float:
-    """Share of n entries that a query compares: all of up to 50, a third of 50,000, a 17th of 600 million."""
-    return min(1.0, 2.2 * max(n, 1) ** -0.18)
+    """Share of n entries that a query compares: all of up to 370, two fifths of 50,000, a 13th of 600 million."""
+    return min(1.0, 2.9 * max(n, 1) ** -0.18)
 
 
 def fit_index(entries: DataFrame, centroids: int, sample: int = 20_000) -> MultiIndex:
@@ -114,21 +114,36 @@ def fit_index(entries: DataFrame, centroids: int, sample: int = 20_000) -> Multi
     return MultiIndex(kmeans(unit[:, :h], centroids), kmeans(unit[:, h:], centroids))
 
 
-def best_of(q: np.ndarray, x: np.ndarray, flags: np.ndarray, second: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, entry row, cosine) of the k + 1 best entries of each query, ties with the last included.
+def best_of(q: np.ndarray, own: np.ndarray, x: np.ndarray, flags: np.ndarray, second: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, cosine) of the k best ids of each query, ties with the last included, its own id left out.
 
-    ``flags[r, j]`` says whether query r goes through the cells of the second
-    centroid j, ``second`` has the second centroid of each entry.
+    ``own`` has the queries' ids, ``ids`` those of each entry; an id counts by
+    its best entry, however many it has. ``flags[r, j]`` says whether query r
+    goes through the cells of the second centroid j, ``second`` has the second
+    centroid of each entry.
     """
-    s = np.full((len(q), len(x)), -np.inf)
-    for j in np.unique(second):
-        rows, own = np.nonzero(flags[:, j])[0], np.nonzero(second == j)[0]
-        if len(rows):
-            s[np.ix_(rows, own)] = q[rows] @ x[own].T
-    n = min(k + 1, s.shape[1])
-    least = np.partition(s, s.shape[1] - n, axis=1)[:, -n]
-    i, j = np.nonzero((s >= least[:, None] - 1e-12) & (s > -np.inf))
-    return i, j, np.einsum("ij,ij->i", q[i], x[j])
+    size = np.array([len(z) for z in ids])
+    entry, named = np.repeat(np.arange(len(x)), size), np.concatenate(ids)
+    order = np.argsort(named, kind="stable")
+    entry, named = entry[order], named[order]
+    start = np.nonzero(np.concatenate([[True], named[1:] != named[:-1]]))[0]
+    length = np.diff(np.append(start, len(named)))
+    out = []
+    for at in range(0, len(q), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        s = np.where(flags[part][:, second], q[part] @ x.T, -np.inf)[:, entry]
+        s[own[part][:, None] == named] = -np.inf
+        best = np.maximum.reduceat(s, start, axis=1)
+        n = min(k, best.shape[1])
+        least = np.partition(best, best.shape[1] - n, axis=1)[:, -n]
+        i, j = np.nonzero((best >= least[:, None] - 1e-12) & (best > -np.inf))
+        # The cosine of every entry of the id that may be its best, by one sum in a fixed order.
+        row = np.repeat(np.arange(len(i)), length[j])
+        col = np.arange(len(row)) - np.repeat(np.cumsum(length[j]) - length[j], length[j]) + start[j][row]
+        near = s[i[row], col] >= best[i, j][row] - 1e-12
+        row, col = row[near], col[near]
+        out.append((i[row] + at, named[col], np.einsum("ij,ij->i", q[i[row] + at], x[entry[col]])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, centroids: int | None = None, probed: float | None = None) -> DataFrame:
@@ -139,12 +154,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     ties go to the smaller id. Rows with a null id, and vectors that are null,
     zero or hold null or non-finite components, take no part; all vectors must
     have one length. With fewer candidates than ``k`` all are returned. Rows that
-    repeat id and vector count once; an id with two vectors keeps its better
-    score. An empty table gives an empty result. Other columns are not read.
+    repeat id and vector count once; an id counts by the best of its vectors,
+    and takes one place however many it has. An empty table gives an empty
+    result. Other columns are not read.
 
     A query goes through pairs of centroids by summed distance, with a heap,
-    until the pairs hold the share ``probed`` of all entries, and ``k + 1`` at
-    least; these are compared exactly. Centroids grow and the share falls with
+    until the pairs hold the share ``probed`` of all ids, and ``k + 1`` at
+    least (an id with m vectors counts 1/m for each); these are compared exactly. Centroids grow and the share falls with
     the number of entries (:func:`index_size`, :func:`probed_share`); recall at
     several sizes is in the README.
 
@@ -171,13 +187,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
                 cell = index.cells(_unit(_matrix(b.column(0))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32))], [*b.schema.names, "first", "second"])
 
-    indexed = stage(entries.mapInArrow(placed, "v array<double>, ids array<long>, vec_id long, first int, second int"))
+    # Most ids have one vector; the others share their place among their vectors.
+    several = stage(entries.select(F.explode("ids").alias("id")).groupBy("id").count().filter("count > 1"))
+    alone = F.size("ids")
+    shared = entries.select("vec_id", "v", F.explode("ids").alias("id")).join(several, "id").groupBy("v").agg(F.sum(1 - 1 / F.col("count")).alias("less"))
+    weighed = entries.join(shared, "v", "left").withColumn("weight", alone - F.coalesce("less", F.lit(0.0))).drop("less")
+    indexed = stage(weighed.mapInArrow(placed, "v array<double>, ids array<long>, vec_id long, weight double, first int, second int"))
     # Bounded by centroids squared, whatever the input.
-    held = indexed.groupBy("first", "second").count().toArrow()
+    held = indexed.groupBy("first", "second").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).toArrow()
     at = held["first"].to_numpy().astype(np.int64) * width + held["second"].to_numpy()
-    index.counts[at] = held["count"].to_numpy()
-    wanted = max((probed_share(n_entries) if probed is None else probed) * n_entries, k + 1)
-    blocks = np.maximum(1, -(-index.counts.reshape(-1, width).sum(axis=1) // BLOCK))
+    index.counts[at] = held["weight"].to_numpy()
+    n_in = np.zeros(len(index.counts), np.int64)
+    n_in[at] = held["n"].to_numpy()
+    # What rounding of the sums may lack must not end a search too early or keep it from its end.
+    wanted = min(max((probed_share(n_entries) if probed is None else probed) * index.counts.sum(), k + 1.001), index.counts.sum() * 2)
+    blocks = np.maximum(1, -(-n_in.reshape(-1, width).sum(axis=1) // BLOCK))
     shipped = spark.sparkContext.broadcast(index)
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,15 +231,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q = np.frombuffer(b"".join(left["u"]), np.float64).reshape(len(left), -1)
         flags = np.unpackbits(np.frombuffer(b"".join(left["flags"]), np.uint8).reshape(len(left), -1), axis=1, count=width).view(bool)
-        i, j, score = best_of(q, _unit(np.stack(right["v"].to_numpy())), flags, right["second"].to_numpy(), k)
-        ids = right["ids"].to_numpy()
-        size = np.array([len(z) for z in ids], np.int64)[j]
-        named = np.concatenate([ids[z] for z in j]) if len(j) else []
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy()[i], size), "vec_id": named, "score": np.repeat(score, size)})
+        i, found, score = best_of(q, left["query_id"].to_numpy(), _unit(np.stack(right["v"].to_numpy())), flags, right["second"].to_numpy(), list(right["ids"]), k)
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[i], "vec_id": found, "score": score})
 
     keys = ["first", "block", "part"]
     found = q.groupBy(*keys).cogroup(e.select("v", "ids", "second", *keys).groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
-    found = found.filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -70,6 +70,44 @@ def test_repeated_rows(spark):
     assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(want)
 
 
+def by_id(rows, k):
+    """Brute force where ids have several vectors: an id counts by its best."""
+    v = [(i, np.array(x) / np.linalg.norm(x)) for i, x in rows]
+    out = {}
+    for q in {i for i, _ in v if i % 50 == 0}:
+        best = {}
+        for own in (u for i, u in v if i == q):
+            for j, u in v:
+                if j != q:
+                    best[j] = max(best.get(j, -2.0), float(own @ u))
+        out[q] = sorted((-s, j) for j, s in best.items())[:k]
+    return out
+
+
+@pytest.mark.parametrize("block", [8192, 64])
+def test_ids_with_many_vectors(spark, monkeypatch, block):
+    """One id's vectors take one place: neither those of the query itself nor those of a neighbour push others out."""
+    monkeypatch.setattr(module, "BLOCK", block)
+    r = np.random.default_rng(8)
+    base, other = r.normal(size=8), r.normal(size=8)
+    near = lambda v, off: list(map(float, v + off * r.normal(size=8)))
+    rows = [(0, near(base, 1e-6)) for _ in range(200)] + [(i, near(base, 1e-4)) for i in range(1, 9)]
+    rows += [(50, list(map(float, other)))] + [(51, near(other, 1e-6)) for _ in range(200)] + [(i, near(other, 1e-3)) for i in range(52, 59)]
+    rows += [(i, list(map(float, r.normal(size=8)))) for i in range(101, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = by_id(rows, 5)
+    for probed, centroids in ((None, None), (1.0, 4), (0.01, 8)):
+        got = {}
+        for x in nearest(df, lambda i: i % 50 == 0, probed=probed, centroids=centroids).collect():
+            got.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+        full = {q: [(k, j) for k, (_, j) in enumerate(found, 1)] for q, found in want.items()}
+        assert {q: len(g) for q, g in got.items()} == dict.fromkeys(want, 5)
+        for q in (0, 50) if probed == 0.01 else want:
+            if probed == 1.0:
+                assert sorted(got[q]) == full[q]
+            assert {j for _, j in got[q]} == {j for _, j in full[q]} or probed is None and q not in (0, 50)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
 def test_recall(spark, sf):
     """The registered query's parameters find nine tenths of the five nearest, by brute force over the whole table."""
@@ -77,4 +115,4 @@ def test_recall(spark, sf):
     want = brute([(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()], 5)
     got = {(r.query_id, r.vec_id) for r in nearest(df, lambda i: i % 50 == 0).collect()}
     true = {(q, j) for q, found in want.items() for _, j in found}
-    assert len(got & true) >= 0.9 * len(true) and len(got) == len(true)
+    assert len(got & true) >= 0.93 * len(true) and len(got) == len(true)
