@@ -35,24 +35,27 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def discounts(of_counts: list[int]) -> np.ndarray:
-    """Factors for counts 0..LARGE from the numbers of types with count 1..LARGE+1.
-
-    Katz's form of Good-Turing; where few types make one of them leave (0, 1],
-    absolute discounting with n1 / (n1 + 2 n2) takes the place of all.
+    """Good-Turing factors for counts 0..LARGE, in Katz's form, from the numbers of types with count 1..LARGE+1.
+
+    Copied texts make these numbers irregular, so they are smoothed first, at any
+    size: a straight line through their logarithms by that of the count, each
+    number spread over the empty counts beside it. On the line, n(r) = A r^b, the
+    count r becomes r* = (r + 1) n(r + 1) / n(r), and the factors are (r* / r - c)
+    / (1 - c) with c = (LARGE + 1) n(LARGE + 1) / n(1). They lie in (0, 1) where
+    the line falls faster than 1 / r, which a slope of -1.1 at most sees to; with
+    fewer than two numbers the slope is -2.
     """
-    n = [0.0, *map(float, of_counts)]
-    d = np.ones(LARGE + 1)
-    if n[1] and all(n[1 : LARGE + 2]):
-        cut = (LARGE + 1) * n[LARGE + 1] / n[1]
-        r = np.arange(1, LARGE + 1)
-        star = (r + 1) * np.array(n[2 : LARGE + 2]) / np.array(n[1 : LARGE + 1])
-        if cut < 1:
-            d[1:] = (star / r - cut) / (1 - cut)
-            if ((d[1:] > 0) & (d[1:] <= 1)).all():
-                return d
+    n = np.array(of_counts[: LARGE + 1], np.float64)
+    there = np.nonzero(n)[0] + 1
+    slope = -2.0
+    if len(there) > 1:
+        before = np.concatenate([[0], there[:-1]])
+        after = np.concatenate([there[1:], [2 * there[-1] - before[-1]]])
+        x, y = np.log(there), np.log(n[there - 1] * 2 / (after - before))
+        slope = min(-1.1, float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()))
     r = np.arange(1, LARGE + 1)
-    d[1:] = (r - (n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5)) / r
-    return np.maximum(d, 1e-3)
+    ratio, cut = (1 + 1 / r) ** (slope + 1), (LARGE + 1.0) ** (slope + 1)
+    return np.concatenate([[1.0], (ratio - cut) / (1 - cut)])
 
 
 def counts_of_counts(counts: np.ndarray) -> list[int]:

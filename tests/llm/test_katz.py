@@ -20,16 +20,20 @@ def corpus():
 
 
 def factors(types):
-    """Good-Turing factors by their definition; absolute discounting if one of them is not in (0, 1]."""
-    n = [sum(c == r for c in types.values()) for r in range(LARGE + 2)]
-    if all(n[1:]):
-        cut = (LARGE + 1) * n[LARGE + 1] / n[1]
-        if cut < 1:
-            d = {r: ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, LARGE + 1)}
-            if all(0 < x <= 1 for x in d.values()):
-                return d
-    b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return {r: max((r - b) / r, 1e-3) for r in range(1, LARGE + 1)}
+    """Good-Turing factors from the line through the logarithms of the counts of counts."""
+    n = {r: sum(c == r for c in types.values()) for r in range(1, LARGE + 2)}
+    there = [r for r in n if n[r]]
+    slope = -2.0
+    if len(there) > 1:
+        points = []
+        for k, r in enumerate(there):
+            q = there[k - 1] if k else 0
+            t = there[k + 1] if k + 1 < len(there) else 2 * r - q
+            points.append((math.log(r), math.log(2 * n[r] / (t - q))))
+        slope = min(-1.1, np.polyfit(*zip(*points, strict=True), 1)[0])
+    line = lambda r: r**slope
+    cut = (LARGE + 1) * line(LARGE + 1) / line(1)
+    return {r: ((r + 1) * line(r + 1) / line(r) / r - cut) / (1 - cut) for r in range(1, LARGE + 1)}
 
 
 def plain(rows, order):
@@ -78,10 +82,29 @@ def plain(rows, order):
 
 
 def test_discounts():
-    d = discounts([1000, 300, 120, 60, 35, 20])
-    assert np.allclose(d[1:3], [(600 / 1000 - 0.12) / 0.88, (360 / 300 / 2 - 0.12) / 0.88])
-    assert (d[1:] > 0).all() and (d[1:] < 1).all()
-    assert (discounts([5, 0, 0, 0, 0, 0])[1:] <= 1).all()
+    # On a line the factors are those of the numbers themselves.
+    n = [0, *[10**9 * r**-2.5 for r in range(1, LARGE + 2)]]
+    cut = (LARGE + 1) * n[LARGE + 1] / n[1]
+    want = [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, LARGE + 1)]
+    assert np.allclose(discounts(n[1:])[1:], want)
+    for irregular in ([5, 0, 0, 0, 0, 0], [0] * 6, [10, 500, 3, 0, 80, 1], [1, 1, 1, 1, 1, 1], [100, 400, 300, 500, 20, 900]):
+        d = discounts(irregular)[1:]
+        assert (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_counts_of_the_shared_tables(spark, sf):
+    """There copies make the plain factors leave (0, 1]; the smoothed ones are in it for every length, and near the plain ones where those are."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()
+    for n in (1, 2, 3):
+        seen = Counter()
+        for r in docs:
+            if not katz.held_out(r.doc_id):
+                w = ["BEGIN"] * (n - 1) + [*(r.text or "").encode().lower().split(), "END"]
+                seen.update(zip(*[w[i:] for i in range(n)]))
+        found = [sum(c == r for c in seen.values()) for r in range(1, LARGE + 2)]
+        d = discounts(found)[1:]
+        assert (d > 0).all() and (d < 1).all() and d[-1] > d[0]
 
 
 @pytest.mark.parametrize(("words", "order"), [(1_000_000, 3), (700, 3), (300, 4), (700, 2)])
