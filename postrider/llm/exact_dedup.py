@@ -47,8 +47,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows that :func:`exact_duplicates` drops."""
-    dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
-    dropped = saved(dropped.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.sha2(one_spaced(docs[text_col]), 256) == F.col("__sha"))
-    return docs.join(dropped, same, "left_anti")
+    """``docs``, all columns, without the rows that :func:`exact_duplicates` drops; of rows that repeat id and text one stays.
+
+    Which of these it is, if their other columns differ, is not defined. Rows
+    with a null id stay if no other row has their text, one of each text.
+    """
+    names = docs.columns
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(one_spaced(F.col(f"`{text_col}`")), 256).alias("sha"))
+    found = exact_duplicates(docs, id_col, text_col).filter("group_size > 1").groupBy("doc_id", "text_sha256", "kept").count()
+    found = saved(found.filter("NOT kept OR count > 1").select("doc_id", "text_sha256", "kept"))
+    same = boxed["id"].eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    left = boxed.join(found.select("doc_id", "text_sha256"), same, "left_anti")
+    one = boxed.join(found.filter("kept"), same, "left_semi").dropDuplicates(["id", "sha"])
+    return left.unionByName(one).select("row.*")

@@ -18,6 +18,8 @@ BLOCK = 512
 SHARD = 1024
 #: Documents are numbered in groups of about so many.
 GROUP = 256
+#: Groups, or shards, of a source that one window sums.
+SPAN = 4096
 
 
 def _draw(*parts) -> Column:
@@ -71,6 +73,21 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "rank", "weight", "source_size", target.alias("target"))
 
 
+def _before(rows: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same ``by`` that come before by ``at``, a number from 0.
+
+    Sums go over spans of ``at`` first, then within each: no window holds more
+    than a span's rows, or a source's spans.
+    """
+    spans = rows.withColumn("span", F.floor(F.col(at) / SPAN))
+    totals = spans.groupBy(by, "span").agg(F.sum(value).alias("of_span"))
+    order = Window.partitionBy(by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(by, "span", F.coalesce(F.sum("of_span").over(order), F.lit(0)).alias("spans_before"))
+    inner = Window.partitionBy(by, "span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    summed = spans.withColumn("within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return summed.join(totals, [by, "span"]).withColumn(name, F.col("spans_before") + F.col("within")).drop("span", "spans_before", "within")
+
+
 def _spans(sized: DataFrame, n_docs: int) -> DataFrame:
     """Rows (rank, doc key, start, end): each document's place among its source's words, without a global order.
 
@@ -81,8 +98,7 @@ def _spans(sized: DataFrame, n_docs: int) -> DataFrame:
     g = sized.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
     within = Window.partitionBy("rank", "g").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     totals = g.groupBy("rank", "g").agg(F.sum("size").alias("of_g"))
-    along = Window.partitionBy("rank").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("rank", "g", F.coalesce(F.sum("of_g").over(along), F.lit(0)).alias("base"))
+    totals = _before(totals, "rank", "g", "of_g", "base").select("rank", "g", "base")
     placed = g.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     start = F.col("base") + F.col("inner")
     return placed.join(totals, ["rank", "g"]).select("rank", "key", "size", start.alias("start"), (start + F.col("size")).alias("end"))
@@ -116,8 +132,7 @@ def draw_slots(targets: DataFrame, seed: int = 11) -> DataFrame:
     drawn = drawn.withColumn("piece", F.floor(F.col("drawn") / step))
     named = drawn.join(pieces.select("piece", "rank", "first", "slots"), "piece").filter("drawn >= first and drawn < first + slots")
     counts = stage(named.groupBy("shard", "rank").agg(F.count("*").alias("n")))
-    along = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("from", F.coalesce(F.sum("n").over(along), F.lit(0))).join(t.select("rank", "slots"), "rank")
+    counts = _before(counts, "rank", "shard", "n", "from").join(t.select("rank", "slots"), "rank")
     kept = counts.withColumn("n_kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("from"))))
     kept = stage(kept)
     # A few rows here stand for very many slots: they are spread before they are expanded.
@@ -185,18 +200,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as rows with the columns of ``docs``: one for each document and pass that takes words of it.
 
     A pass that takes all of a document's words gives its text unchanged, another
-    one the taken words in order, joined by a space.
+    one the taken words in order, joined by a space. Null texts have no words
+    and do not occur; null ids and sources are values like others.
     """
     out, pieces = mixed(docs, id_col, text_col, source_col, seed)
     passes = pieces.groupBy("key", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", F.col("n").alias("len")))).alias("parts"))
-    meta = out.groupBy("key").agg(F.first("doc_id").alias("__id"), F.first("text_key").alias("__text"), F.first("rank").alias("__rank"), F.first("size").alias("__size"), F.count("*").alias("__rows"), F.first("source").alias("__source"))
+    meta = out.groupBy("key").agg(F.first("doc_id").alias("of_id"), F.first("text_key").alias("of_text"), F.first("size").alias("size"), F.count("*").alias("rows"), F.first("source").alias("of_source"))
     taken = stage(passes.join(meta, "key"))
-    own = docs.withColumn("__own", F.xxhash64(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
-    same = (F.col("__own") == F.col("__text")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), text.alias("text"), F.col(f"`{source_col}`").alias("source"))
+    own = own.withColumn("text_key", F.xxhash64("doc_id", "text"))
+    same = (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
     found = own.join(taken, same)
     # Equal rows are one document, which has their words one after the other.
-    found = found.filter("__rows = 1").unionByName(found.filter("__rows > 1").dropDuplicates(["key", "epoch"]))
-    words = F.flatten(F.array_repeat(F.split(F.trim(one_spaced(F.col(f"`{text_col}`"))), " "), F.col("__rows").cast("int")))
+    found = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["key", "epoch"]))
+    words = F.flatten(F.array_repeat(F.split(F.trim(one_spaced(F.col("text"))), " "), F.col("rows").cast("int")))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["len"].cast("int")))), " ")
-    text = F.when((F.col("__rows") == 1) & (F.col("n") >= F.col("__size")), F.col(f"`{text_col}`")).otherwise(cut)
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when((F.col("rows") == 1) & (F.col("n") >= F.col("size")), F.col("text")).otherwise(cut)
+    return found.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

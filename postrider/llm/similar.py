@@ -193,5 +193,6 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stage(nodes.join(verified, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     firsts = stage(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
     kept = stage(named.join(firsts, "component").select("node", "component_id"))
-    dropped = stage(prints.join(kept, "node").filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    dropped = stage(prints.join(kept, "node").filter("doc_id <> component_id").select("doc_id").distinct())
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    return boxed.join(dropped, "doc_id", "left_anti").select("row.*")

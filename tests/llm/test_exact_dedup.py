@@ -31,7 +31,17 @@ def test_brute_force_and_collisions(spark):
 def test_stage_keeps_columns(spark):
     out = without_copies(frame(spark))
     assert out.columns == ["doc_id", "text", "keep_id", "h"]
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 9, None, None, 7, 5, 5]))
+    # Rows that repeat id and text leave one.
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 9, None, 7, 5]))
+
+
+def test_stage_with_clashing_columns(spark):
+    names = ["row", "id", "sha", "doc_id_2", "text_sha256", "kept", "count", "group_size", "__id", "__sha"]
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    out = without_copies(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == 6 and all(r[n] == n for r in rows for n in names)
 
 
 def test_empty(spark):

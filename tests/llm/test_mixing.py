@@ -45,6 +45,7 @@ def test_mix(spark, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
     monkeypatch.setattr(mixing, "GROUP", 16)
     monkeypatch.setattr(mixing, "SHARD", 8)
+    monkeypatch.setattr(mixing, "SPAN", 3)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("clash")).withColumn("size", F.lit(0))
     documents, pieces = mixed(docs)
@@ -72,6 +73,15 @@ def test_mix(spark, monkeypatch, block):
     assert max(words.count(w) for w in ("w0.0", "w50.1", "here")) <= 2
 
 
+def test_stage_with_clashing_columns(spark):
+    names = ["row", "key", "n", "parts", "epoch", "rows", "of_id", "of_text", "of_source", "size", "text_key", "__id", "__rows", "__own", "shard", "rank", "block"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 9), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == n for r in rows for n in names) and all(set(r.text.split()) == {f"w{r.doc_id}"} for r in rows)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixed(docs)[0].count() == 0 and mixed_documents(docs).count() == 0

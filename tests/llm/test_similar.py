@@ -57,6 +57,17 @@ def test_against_brute_force(spark, monkeypatch):
     assert without_similar(docs.limit(0)).count() == 0
 
 
+def test_stage_with_clashing_columns(spark):
+    names = ["row", "node", "fp", "keys", "hashes", "component", "size", "part", "__dropped"]
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    out = without_similar(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, *[r[n] for n in names]) for r in out.collect()) == [(1, *names), (3, *names)]
+
+
 def test_stage(spark):
     """The pipeline's stage drops a near copy that differs in some 2 % of its words and keeps what is below 0.8."""
     import corpus_pipeline
