@@ -16,6 +16,8 @@ from .chunks import Numbers, pack, unpack
 
 #: Words in a chunk; a document with more is a chunk of its own.
 WORDS = 700_000
+#: Rows that a task sends at a time.
+ROWS = 1 << 15
 #: What ends a piece, and the letters that are lower-cased.
 BREAKS, BLANK, UPPER = b",;:!?\n\x0b\x0c\r", b"\t", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word that texts cannot have, as a full stop ends a piece.
@@ -34,20 +36,28 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_PLAIN).replace(BREAK, b" . ").split()
 
 
+ASKED = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("state", pa.binary()), ("code", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+
+
 def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, lang, words, named, counts) from rows (lang, text): word numbers of a chunk in order, 0 for the end of a piece; each number's word and how often it occurs."""
+    """Rows as in :data:`ASKED` from rows (lang, text): for each chunk one with its word numbers in order, 0 for the end of a piece, and one for each word with its number and count."""
     task, made = TaskContext.get().partitionId(), 0
     open_: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
     size: dict[str, int] = {}
 
-    def chunk(lang: str) -> pa.RecordBatch:
+    def chunk(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal made
         known, parts = open_.pop(lang)
         size.pop(lang)
         words = np.concatenate(parts)
         made += 1
-        one = [[(task << 32) + made], [lang], [pack(words)], [list(known)[1:]], [np.bincount(words, minlength=len(known))[1:]]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["chunk", "lang", "words", "named", "counts"])
+        number = (task << 32) + made
+        yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "state": pack(words)}], ASKED)
+        named, n = list(known), np.bincount(words, minlength=len(known))
+        for at in range(1, len(named), ROWS):
+            part = named[at : at + ROWS]
+            columns = [np.full(len(part), number), [lang] * len(part), [None] * len(part), np.arange(at, at + len(part)), part, n[at : at + ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED, strict=True)], schema=ASKED)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -60,9 +70,9 @@ def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += [np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)), np.zeros(1, np.int32)]
             size[lang] += len(parts)
             if size[lang] >= WORDS:
-                yield chunk(lang)
+                yield from chunk(lang)
     for lang in list(open_):
-        yield chunk(lang)
+        yield from chunk(lang)
 
 
 def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +166,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lan
     beginning and of its last word.
     """
     d = only(docs, lang=F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")), text=text_col)
-    chunks = stage(d.mapInArrow(split_chunks, "chunk long, lang string, words binary, named array<string>, counts array<long>"))
-    asked = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("named", "counts")).alias("at", "x"))
-    asked = asked.select("chunk", "lang", (F.col("at") + 1).cast("long").alias("code"), F.col("x.named").alias("word"), F.col("x.counts").alias("n"))
+    rows = stage(d.mapInArrow(split_chunks, "chunk long, lang string, state binary, code long, word string, n long"))
+    asked = rows.filter("code IS NOT NULL").select("chunk", "lang", "code", "word", "n")
     counts = stage(asked.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     level = stage(ranked(counts.filter(F.col("n") >= least), "word"))
     words = level.select("lang", F.col("rank").alias("b"), "word")
-    answers = asked.join(level.select("lang", "word", "rank"), ["lang", "word"]).select("chunk", "code", "rank")
-    state = stage(_answered(chunks.select("chunk", "lang", F.col("words").alias("state")), answers, 1))
+    # The frequent ones are few beside what is asked for: hashed, not sorted.
+    answers = asked.join(level.select("lang", "word", "rank").hint("shuffle_hash"), ["lang", "word"]).select("chunk", "code", "rank")
+    state = stage(_answered(rows.filter("code IS NULL").select("chunk", "lang", "state"), answers, 1))
     found = level.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "n", "rank")
     levels = [found]
 
@@ -175,8 +185,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lan
                     own, phrases = unpack(packed)
                     at = joined_pairs(own, phrases, length - 1)
                     codes, n = tile_counts(phrases[at], own[at + length - 1])
-                    for start in range(0, len(codes), 1 << 16):
-                        part = slice(start, start + (1 << 16))
+                    for start in range(0, len(codes), ROWS):
+                        part = slice(start, start + ROWS)
                         size = len(codes[part])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array([lang] * size, pa.string()), pa.array(codes[part]), pa.array(n[part])], ["chunk", "lang", "code", "n"])
 
@@ -184,7 +194,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lan
         sums = asked.groupBy("lang", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         level = stage(ranked(sums, "code"))
         if length < most_words:
-            answers = asked.join(level.select("lang", "code", "rank"), ["lang", "code"]).select("chunk", "code", "rank")
+            answers = asked.join(level.select("lang", "code", "rank").hint("shuffle_hash"), ["lang", "code"]).select("chunk", "code", "rank")
             state = stage(_answered(state, answers, length))
         a, b = F.shiftright("code", WORD_BITS), F.col("code").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
         longer = level.select("lang", a.alias("a"), b.alias("b"), "n", "rank").join(words, ["lang", "b"])
