@@ -1,10 +1,13 @@
 """Ranked search: the flagship query and its parts."""
 
-import functools
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import ranking as r
+from ..operators.postings import TextIndex
+from ..operators.spelling import SpellingIndex
+from ..plans.staging import shared_dir, stage
 from ..sources.tables import SQL, live_messages, read
 from . import Group
 
@@ -184,22 +187,54 @@ def fts_rank(spark, d):
     return r.covers(t, TERMS).join(t, "id").select("id", F.round(F.col("density") / F.size("words"), 9).alias("rank"))
 
 
-GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in {0}]))"
+FUZZY = ("theing", "usser", "newslettr")
+FIELDS = f"""f AS (SELECT id, 'subject' AS field, {TOK.format('substr(subject, 1, 80)')} AS w FROM m UNION ALL SELECT id, 'from_name', {TOK.format('from_name')} FROM m UNION ALL SELECT id, 'from_email', {TOK.format('from_email')} FROM m
+  UNION ALL SELECT id, 'recipients', {TOK.format("concat_ws(' ', array_to_string(to_emails, ' '), array_to_string(list_filter(cc_emails, lambda x: x IS NOT NULL), ' '))")} FROM m),
+q AS (SELECT term, list_distinct([substr('  ' || term || ' ', i, 3) for i in range(1, length(term) + 2)]) AS q FROM (SELECT unnest([{', '.join(f"'{t}'" for t in FUZZY)}]) AS term)),
+g AS (SELECT id, field, flatten([[substr('  ' || x || ' ', i, 3) for i in range(1, length(x) + 2)] for x in w]) AS t FROM f),
+n AS (SELECT id, field, term, coalesce(list_max([list_max([len(list_intersect(list_distinct(t[i:j]), q))::DOUBLE / (len(q) + len(list_distinct(t[i:j])) - len(list_intersect(list_distinct(t[i:j]), q))) for j in range(i, len(t) + 1) if list_contains(q, t[j])]) for i in range(1, len(t) + 1) if list_contains(q, t[i])]), 0) AS near FROM g, q)"""
 
 
-@add("rec_fuzzy", f"WITH {SQL}, n AS (SELECT id, round(len(list_intersect({GRAMS.format(HEAD)}, {GRAMS.format(chr(91) + chr(39) + 'theing' + chr(39) + chr(93))})) / 7.0::DOUBLE, 6) AS near FROM m) SELECT id, near FROM n WHERE near >= 0.4")
+def spelling_index(spark, d):
+    """The index of all header fields; subjects are the first eighty characters."""
+    people = F.concat_ws(" ", F.array_join("to_emails", " "), F.array_join("cc_emails", " "))
+    named = {"subject": F.substring("subject", 1, 80), "from_name": F.col("from_name"), "from_email": F.col("from_email"), "recipients": people}
+    index = SpellingIndex(spark, f"{shared_dir(spark)}/spelling-{uuid.uuid4().hex}")
+    index.build(live_messages(spark, d).select("id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("text")) for n, c in named.items()]))))
+    return index
+
+
+@add("rec_fuzzy", f"WITH {SQL}, {FIELDS} SELECT id, field, term, round(near, 6) AS near FROM n WHERE near >= 0.4")
 def rec_fuzzy(spark, d):
-    """Rows with a word in their header fields that is spelt like a significant term."""
-    head = F.concat_ws(" ", "subject", "from_name", "from_email", F.array_join("to_emails", " "))
-    near = functools.reduce(F.greatest, [r.similarity(head, w) for w in r.significant(("the", "theing"))])
-    return r.once(live_messages(spark, d), near=F.round(near, 6)).filter("near >= 0.4").select("id", "near")
+    """Fields with words that are spelt like a significant term, by an index of three-letter parts."""
+    return spelling_index(spark, d).search(r.significant(("the", *FUZZY))).select("id", "field", "term", F.round("near", 6).alias("near"))
 
 
-@add("rec_fuzzy_score", f"WITH {SQL}, n AS (SELECT id, round(0.3::DOUBLE * (len(list_intersect({GRAMS.format(HEAD)}, {GRAMS.format(chr(91) + chr(39) + 'usser' + chr(39) + chr(93))})) / 6.0::DOUBLE), 9) AS score FROM m) SELECT id, score FROM n WHERE score >= 0.15")
+@add("rec_fuzzy_score", f"WITH {SQL}, {FIELDS} SELECT id, round(0.3::DOUBLE * max(near) FILTER (WHERE field IN ('subject', 'from_name')), 9) AS score FROM n WHERE id IN (SELECT id FROM n WHERE near >= 0.4) GROUP BY id")
 def rec_fuzzy_score(spark, d):
-    """What recall by spelling adds to the text score; it never makes a row primary."""
-    s = r.scored(live_messages(spark, d), r.Terms((("usser",),)), NOW, fuzzy=0.5)
-    return s.filter(~F.col("is_primary")).select("id", F.col("text_rel").alias("score"))
+    """What recall by spelling adds to the text score: the most that the subject or the sender's name is like a term, for rows that any field recalls."""
+    index = spelling_index(spark, d)
+    found = index.scores(stage(index.search(FUZZY).select("id").distinct()), FUZZY, ("subject", "from_name"))
+    return found.select("id", F.round(0.3 * F.col("score"), 9).alias("score"))
+
+
+def text_index(spark, d):
+    """Postings of all live messages."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}")
+    index.build(live_messages(spark, d), F.concat_ws(" ", "subject", "from_name", "from_email", F.array_join("to_emails", " ")), F.col("body"))
+    return index
+
+
+@add("fts_postings", f"WITH {BASE} SELECT id, round(h, 9) AS head, round(b, 9) AS body FROM y")
+def fts_postings(spark, d):
+    """Ranks of header and body from the postings of the words that are looked for; the same as a scan of all texts gives."""
+    return text_index(spark, d).ranks(TERMS).select("id", F.round("head", 9).alias("head"), F.round("body", 9).alias("body"))
+
+
+@add("fts_best", f"WITH {BASE} SELECT id, text_rel FROM y WHERE is_primary ORDER BY text_rel DESC, id DESC LIMIT 25")
+def fts_best(spark, d):
+    """The best by text alone; blocks of messages whose bound is too low are not scored."""
+    return text_index(spark, d).best(TERMS, 25)
 
 
 @add("scr_listish", f"WITH {SQL} SELECT id, id % 9 = 0 OR id % 14 = 0 OR (id % 8 = 0) AS listish FROM m")
