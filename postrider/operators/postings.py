@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem
 from ..plans.buckets import dealt, of_values
 from ..plans.staging import stage
 from .ranking import Terms, once, tokens
@@ -55,8 +56,15 @@ def _rank(terms: Terms) -> Column:
 class TextIndex:
     """Postings of the header fields and bodies of messages under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool = False):
+        """``stemmed``: words are kept and looked for by their English stems."""
+        self.spark, self.path, self.stemmed = spark, path, stemmed
+
+    def _by_stems(self, terms: Terms) -> Terms:
+        if not self.stemmed:
+            return terms
+        one = lambda t: " ".join(map(stem, t.lower().split()))
+        return Terms(tuple(tuple(dict.fromkeys(map(one, g))) for g in terms.groups), tuple(map(one, terms.without)))
 
     def build(self, messages: DataFrame, head: Column, body: Column) -> None:
         """From messages with an ``id``, and the texts of their header fields and bodies."""
@@ -64,6 +72,8 @@ class TextIndex:
         rows = once(messages.select(F.col("id").cast("long").alias("id"), head.alias("head"), body.alias("body")), hw=tokens(F.col("head")), bw=tokens(F.col("body")))
         rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "hw", "bw")
 
+        form = stem if self.stemmed else str
+
         def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 100):
@@ -71,7 +81,7 @@ class TextIndex:
                     for i, block, *texts in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True):
                         for field, words in zip(("head", "body"), texts, strict=True):
                             places: dict[str, list[int]] = {}
-                            for p, w in enumerate(words):
+                            for p, w in enumerate(map(form, words)):
                                 places.setdefault(w, []).append(p)
                             for w, found in places.items():
                                 for column, value in zip(out, (w, field, i, block, len(words), found), strict=True):
@@ -101,6 +111,7 @@ class TextIndex:
 
     def ranks(self, terms: Terms, wide: Terms | None = None) -> DataFrame:
         """Ranks of all messages that the terms, or the wider ones, find; as a scan of all texts gives them."""
+        terms, wide = self._by_stems(terms), wide and self._by_stems(wide)
         every = Terms(terms.groups + (wide.groups if wide else ()), terms.without)
         return self._ranked(self._postings(every), terms, wide)
 
@@ -111,6 +122,7 @@ class TextIndex:
         word. The blocks with the highest bounds are scored first; of the others
         only those whose bound reaches the k-th score found are read.
         """
+        terms = self._by_stems(terms)
         postings = self._postings(terms)
         tops = postings.select("word", "field", "block", "top").groupBy("block", "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "top"))).alias("of"))
         top = lambda t: functools.reduce(F.least, [F.coalesce(F.try_element_at("of", F.lit(w)), F.lit(0.0)) for w in t.lower().split()])

@@ -5,11 +5,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.conversations import conversations, evidence
+from ..operators.incremental import Maintained
 from ..plans.staging import shared_dir
+from ..sources.tables import read
 from ..streaming.expiry import by_day, expire, unexpired
 from ..streaming.feeds import completed, drained, feed, latest, live, once, timed
 from ..streaming.mailboxes import folder_changes, folder_state
+from ..streaming.scans import ResumableScan, typed_changes
 from . import Group
+from .identity import ROW
 
 group = Group()
 add = group.add
@@ -60,7 +65,21 @@ def stm_late_body(spark, sf_dir):
 
 @add("stm_emit_scan", "SELECT event_id, ts, event_type FROM events")
 def stm_emit_scan(spark, sf_dir):
-    return drained(feed(spark, sf_dir, "events", files_per_batch=1).select("event_id", "ts", "event_type"))
+    """All events in pages by (time, id), each written together with the cursor that the next one starts from."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    scan = ResumableScan(spark, f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}", ("ts", "event_id"))
+    scan.run(rows, page=max(1000, rows.count() // 4))
+    return scan.emitted().select("event_id", "ts", "event_type")
+
+
+@add("stm_hooks", """WITH a AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id < 700 GROUP BY 1), b AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id >= 300 GROUP BY 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'created' WHEN b.user_id IS NULL THEN 'deleted' ELSE 'updated' END AS kind,
+  array_to_string(list_filter([CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END, CASE WHEN a.last IS DISTINCT FROM b.last THEN 'last' END], lambda x: x IS NOT NULL), ',') AS changed
+FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n OR a.last IS DISTINCT FROM b.last""")
+def stm_hooks(spark, sf_dir):
+    """Typed changes between two states of a table: rows that came, went, or differ, with the columns that do."""
+    state = lambda where: read(spark, sf_dir, "events").filter(where).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_type").alias("last"))
+    return typed_changes(state("event_id < 700"), state("event_id >= 300"), "user_id").select("user_id", "kind", F.array_join("changed", ",").alias("changed"))
 
 
 @add("stm_cursor", """WITH g AS (SELECT event_type AS folder, max(user_id % 3) AS generation FROM events GROUP BY 1)
@@ -80,16 +99,20 @@ def stm_cursor_safety(spark, sf_dir):
     return drained(feed(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("folder")).agg(F.max(i).alias("seen"), proven("click", 50).alias("flag_cursor"), proven("error", 20).alias("deletion_cursor")), ("folder",))
 
 
-@add("stm_late_parent", """WITH n AS (SELECT conv_id, turn AS node, 1 AS known, 0 AS replies FROM conversations WHERE turn % 4 <> 1 UNION ALL SELECT conv_id, turn - 1, 0, 1 FROM conversations WHERE turn > 0)
-SELECT conv_id, node, max(known) = 0 AS placeholder, sum(replies)::BIGINT AS replies, 'thread_' || substr(sha256('c' || conv_id), 1, 32) AS conversation_id FROM n GROUP BY conv_id, node""")
+@add("stm_late_parent", """WITH t AS (SELECT *, CASE WHEN turn = 0 THEN 0 ELSE (turn - 2) // 4 * 4 + 1 END AS root FROM conversations WHERE turn % 4 <> 1)
+SELECT conv_id, turn, 'thread_' || substr(sha256('postrider-thread-v1' || chr(0) || 'acc' || chr(0) || 'reference:c' || conv_id || '.' || root), 1, 32) AS conversation_id, turn > 0 AS provisional FROM t""")
 def stm_late_parent(spark, sf_dir):
-    """A parent that is only referred to is a placeholder until it comes; the node and the conversation keep their names."""
-    t = feed(spark, sf_dir, "conversations").select("conv_id", "turn")
-    both = F.array(F.struct(F.col("turn").cast("long").alias("node"), (F.col("turn") % 4 != 1).alias("own"), F.lit(0).alias("replies")), F.struct((F.col("turn") - 1).cast("long").alias("node"), F.lit(False).alias("own"), F.lit(1).alias("replies")))
-    n = t.select("conv_id", F.inline(both)).filter("own OR (replies = 1 AND node >= 0)")
-    g = n.groupBy("conv_id", "node").agg((~F.bool_or("own")).alias("placeholder"), F.sum("replies").alias("replies"))
-    name = F.concat(F.lit("thread_"), F.substring(F.sha2(F.concat(F.lit("c"), F.col("conv_id").cast("string")), 256), 1, 32))
-    return drained(g.withColumn("conversation_id", name), ("conv_id", "node"))
+    """Answers that come before what they answer: parts of a conversation meet when the parent comes, and its name is that of any other order. A parent that never comes is a placeholder, and the name provisional."""
+    turn = F.col("turn")
+    name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), t.cast("string"))
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in ROW.split(", ")}
+    t = read(spark, sf_dir, "conversations").filter(turn % 4 != 1)
+    rows = t.select(*[c.alias(n) for n, c in (none | {"id": (F.col("conv_id") * 100_000 + turn).cast("long"), "account": F.lit("acc"), "message_id": name(turn), "refs": F.when(turn > 0, F.array(name(turn - 1))).otherwise(F.array().cast("array<string>"))}).items()], F.lit(False).alias("gone"), turn.cast("long").alias("seq"))
+    index = Maintained(spark, f"{shared_dir(spark)}/late-{uuid.uuid4().hex}", ROW, "delivery long, conversation_id string, provisional boolean", evidence, lambda r: conversations(r).select("id", "delivery", "conversation_id", "provisional"))
+    for number, late in enumerate((3, 2, 0)):  # the last turns of each group come first
+        index.apply(rows.filter(F.col("seq") % 4 == late), number)
+    i = F.col("id")
+    return index.current().select(F.floor(i / 100_000).cast("long").alias("conv_id"), (i % 100_000).cast("int").alias("turn"), "conversation_id", "provisional")
 
 
 S = "STRUCT(v BIGINT, n BIGINT, m BIGINT, u BIGINT, s BIGINT)"
