@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .chunks import Numbers, pack, unpack
 WORDS = 700_000
 #: Rows that a task sends at a time.
 ROWS = 1 << 15
+#: Frequent words or phrases of a length that are sent to all tasks; more are joined.
+SMALL = 400_000
 #: What ends a piece, and the letters that are lower-cased.
 BREAKS, BLANK, UPPER = b",;:!?\n\x0b\x0c\r", b"\t", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word that texts cannot have, as a full stop ends a piece.
@@ -52,7 +55,7 @@ def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
         made += 1
         number = (task << 32) + made
-        yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "state": pack(words)}], ASKED)
+        yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "state": pack(words, np.frombuffer(b"\n".join(list(known)[1:]), np.uint8))}], ASKED)
         named, n = list(known), np.bincount(words, minlength=len(known))
         for at in range(1, len(named), ROWS):
             part = named[at : at + ROWS]
@@ -130,6 +133,55 @@ def ranked(phrases: DataFrame, *ties: str) -> DataFrame:
     return s.withColumn("rank", F.col("row") - F.col("first") + F.col("base")).drop("row", "part", "first", "base")
 
 
+def with_ranks(words: np.ndarray, before: np.ndarray, length: int, code: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rank of the phrase of that length that starts at each place, or -1; ``before`` has those of a word less, ``code`` is sorted."""
+    at = joined_pairs(words, before, length - 1)
+    phrases = np.full(len(words), -1, np.int64)
+    if len(code) and len(at):
+        asked = (before[at] << WORD_BITS) | words[at + length - 1]
+        place = np.minimum(np.searchsorted(code, asked), len(code) - 1)
+        phrases[at] = np.where(code[place] == asked, rank[place], -1)
+    return phrases
+
+
+class Known:
+    """Ranks of frequent words and phrases by lang, small enough to be sent to all tasks."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, dict[bytes, int]] = {}
+        self.codes: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
+
+    def add(self, found: pa.Table) -> None:
+        """The next length, from a table (lang, word, rank) for words and (lang, code, rank) for phrases."""
+        if "code" in found.schema.names:
+            self.codes.append({})
+        for lang in found["lang"].unique().to_pylist():
+            own = found.filter(pc.equal(found["lang"], lang))
+            if "word" in own.schema.names:
+                self.words[lang] = {w.encode(): r for w, r in zip(own["word"].to_pylist(), own["rank"].to_pylist(), strict=True)}
+            else:
+                code, rank = own["code"].to_numpy(), own["rank"].to_numpy()
+                order = np.argsort(code)
+                self.codes[-1][lang] = code[order], rank[order]
+
+    def state(self, packed: bytes, lang: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """(words, phrases, length) of a chunk, for the longest phrases that are known."""
+        numbers, names = unpack(packed)
+        of_word = self.words.get(lang, {})
+        of = np.array([-1, *[of_word.get(w, -1) for w in names.tobytes().split(b"\n")]], np.int64)
+        words, phrases = shortened(of[numbers], of[numbers], 1)
+        for k, of_lang in enumerate(self.codes, 2):
+            code, rank = of_lang.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            words, phrases = shortened(words, with_ranks(words, phrases, k, code, rank), k)
+        return words, phrases, 1 + len(self.codes)
+
+
+def _small(level: DataFrame) -> pa.Table | None:
+    """The rows of a level if they are few."""
+    found = level.limit(SMALL + 1).toArrow()
+    return found if len(found) <= SMALL else None
+
+
 def _answered(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
     """Rows (chunk, lang, state) of the next level from rows (chunk, lang, state) and the ranks that each chunk's distinct phrases got."""
 
@@ -144,26 +196,55 @@ def _answered(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
             words = phrases = of[arrays[0]]
         else:
             order = np.argsort(code)
-            code, rank = code[order], rank[order]
-            words, before = arrays
-            at = joined_pairs(words, before, length - 1)
-            asked = (before[at] << WORD_BITS) | words[at + length - 1]
-            place = np.minimum(np.searchsorted(code, asked), len(code) - 1)
-            phrases = np.full(len(words), -1, np.int64)
-            phrases[at] = np.where(code[place] == asked, rank[place], -1)
+            words = arrays[0]
+            phrases = with_ranks(words, arrays[1], length, code[order], rank[order])
         return chunk.set_column(chunk.schema.get_field_index("state"), "state", pa.array([pack(*shortened(words, phrases, length))], pa.binary()))
 
     own = answers.select(F.col("chunk").alias("asker"), "code", "rank")
     return chunks.groupBy("chunk").cogroup(own.groupBy("asker")).applyInArrow(next_state, "chunk long, lang string, state binary")
 
 
+def _pairs(states: Callable[[bytes, str], tuple[np.ndarray, np.ndarray, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (chunk, lang, state) the rows (chunk, lang, code, n): how often each phrase that is a word longer occurs in a chunk."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, packed in zip(*batch.columns, strict=True):
+                own, phrases, length = states(packed.as_py(), lang.as_py())
+                at = joined_pairs(own, phrases, length)
+                codes, n = tile_counts(phrases[at], own[at + length])
+                for start in range(0, len(codes), ROWS):
+                    part = slice(start, start + ROWS)
+                    size = len(codes[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk.as_py())), pa.array([lang.as_py()] * size, pa.string()), pa.array(codes[part]), pa.array(n[part])], ["chunk", "lang", "code", "n"])
+
+    return counted
+
+
+def _states(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks with the ranks of the longest phrases that all tasks know, to be told of longer ones."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pack(*shipped.value.state(s.as_py(), lang.as_py())[:2]) for lang, s in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["chunk", "lang", "state"])
+
+    return known
+
+
+def _told(asked: DataFrame, level: DataFrame, key: str) -> DataFrame:
+    """(chunk, code, rank): the ranks of what chunks asked for. The frequent ones are few beside that: hashed, not sorted."""
+    return asked.join(level.select("lang", key, "rank").hint("shuffle_hash"), ["lang", key]).select("chunk", "code", "rank")
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, length, phrase, n), (lang, n)): the phrases of up to ``most_words`` words with ``least`` occurrences or more, words included; the words of each lang.
 
-    Each level asks: a chunk sends its distinct phrases with their counts, the
-    frequent ones are ranked by frequency, and the chunk gets back the ranks of
-    those that it has. A phrase one word longer is then a pair of ranks: of its
-    beginning and of its last word.
+    At each level a chunk sends its distinct phrases with their counts, and the
+    frequent ones are ranked by frequency. A phrase one word longer is then a
+    pair of ranks: of its beginning and of its last word. Up to :data:`SMALL`
+    ranks are sent to all tasks; of more, a chunk is told those that it has, by
+    a join.
     """
     d = only(docs, lang=F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")), text=text_col)
     rows = stage(d.mapInArrow(split_chunks, "chunk long, lang string, state binary, code long, word string, n long"))
@@ -171,31 +252,30 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lan
     counts = stage(asked.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     level = stage(ranked(counts.filter(F.col("n") >= least), "word"))
     words = level.select("lang", F.col("rank").alias("b"), "word")
-    # The frequent ones are few beside what is asked for: hashed, not sorted.
-    answers = asked.join(level.select("lang", "word", "rank").hint("shuffle_hash"), ["lang", "word"]).select("chunk", "code", "rank")
-    state = stage(_answered(rows.filter("code IS NULL").select("chunk", "lang", "state"), answers, 1))
-    found = level.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "n", "rank")
-    levels = [found]
+    bases = rows.filter("code IS NULL").select("chunk", "lang", "state")
+    known, state = Known(), None  # what all tasks know; beyond that, what chunks were told
+    found = _small(level.select("lang", "word", "rank"))
+    if found is not None:
+        known.add(found)
+    else:
+        state = stage(_answered(bases, _told(asked, level, "word"), 1))
+    levels = [level.select("lang", F.lit(1).alias("length"), F.col("word").alias("phrase"), "n", "rank")]
 
     for length in range(2, most_words + 1):
-
-        def pairs(batches: Iterator[pa.RecordBatch], length: int = length) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk, lang, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    own, phrases = unpack(packed)
-                    at = joined_pairs(own, phrases, length - 1)
-                    codes, n = tile_counts(phrases[at], own[at + length - 1])
-                    for start in range(0, len(codes), ROWS):
-                        part = slice(start, start + ROWS)
-                        size = len(codes[part])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array([lang] * size, pa.string()), pa.array(codes[part]), pa.array(n[part])], ["chunk", "lang", "code", "n"])
-
-        asked = state.mapInArrow(pairs, "chunk long, lang string, code long, n long")
+        if state is None:
+            shipped = docs.sparkSession.sparkContext.broadcast(known)
+            asked = bases.mapInArrow(_pairs(lambda packed, lang, shipped=shipped: shipped.value.state(packed, lang)), "chunk long, lang string, code long, n long")
+        else:
+            asked = state.mapInArrow(_pairs(lambda packed, lang, length=length: (*unpack(packed), length - 1)), "chunk long, lang string, code long, n long")
         sums = asked.groupBy("lang", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         level = stage(ranked(sums, "code"))
         if length < most_words:
-            answers = asked.join(level.select("lang", "code", "rank").hint("shuffle_hash"), ["lang", "code"]).select("chunk", "code", "rank")
-            state = stage(_answered(state, answers, length))
+            found = _small(level.select("lang", "code", "rank")) if state is None else None
+            if found is not None:
+                known.add(found)
+            else:
+                before = state or stage(bases.mapInArrow(_states(shipped), "chunk long, lang string, state binary"))
+                state = stage(_answered(before, _told(asked, level, "code"), length))
         a, b = F.shiftright("code", WORD_BITS), F.col("code").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
         longer = level.select("lang", a.alias("a"), b.alias("b"), "n", "rank").join(words, ["lang", "b"])
         before = levels[-1].select("lang", F.col("rank").alias("a"), "phrase")

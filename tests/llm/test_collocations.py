@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postrider.llm import collocations as module
@@ -50,7 +51,10 @@ def test_tiles(monkeypatch):
     assert [len(x) for x in tile_counts(a[:0], b[:0])] == [0, 0]
 
 
-def test_phrases(spark, monkeypatch):
+@pytest.mark.parametrize("small", [400_000, 32, 0])
+def test_phrases(spark, monkeypatch, small):
+    """All ranks are sent to the tasks, or those of the words only, or none."""
+    monkeypatch.setattr(module, "SMALL", small)
     monkeypatch.setattr(module, "WORDS", 300)
     monkeypatch.setattr(module, "SIDE_BITS", 2)
     monkeypatch.setattr(module, "DENSE", 3)
