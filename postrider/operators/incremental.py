@@ -26,9 +26,9 @@ class Maintained:
     readers see whole batches only.
     """
 
-    def __init__(self, spark: SparkSession, path: str, row: str, answer: str, keys: Callable[[DataFrame], DataFrame], compute: Callable[[DataFrame], DataFrame]):
+    def __init__(self, spark: SparkSession, path: str, row: str, answer: str, keys: Callable[[DataFrame], DataFrame], compute: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
         """``row`` and ``answer`` are DDL lists of columns; the first of ``row`` is ``id``, which ``answer`` lacks."""
-        self.spark, self.path, self.keys, self.compute = spark, path, keys, compute
+        self.spark, self.path, self.keys, self.compute, self.buckets = spark, path, keys, compute, buckets
         empty = lambda ddl: spark.createDataFrame([], ddl).schema
         self.row = [f.name for f in empty(row)]
         self.answer = [f.name for f in empty(answer)]
@@ -61,7 +61,7 @@ class Maintained:
         fs.create(place, True).close()
 
     def _write(self, table: str, df: DataFrame, bucket_of: str, version: int) -> None:
-        dealt = df.withColumn("bucket", F.pmod(F.xxhash64(bucket_of), F.lit(BUCKETS)).cast("int"))
+        dealt = df.withColumn("bucket", F.pmod(F.xxhash64(bucket_of), F.lit(self.buckets)).cast("int"))
         dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/version={version}")
 
     def _read(self, table: str, versions: list[int]) -> DataFrame:
@@ -76,7 +76,7 @@ class Maintained:
 
     def _of(self, table: str, wanted: DataFrame, column: str, versions: list[int]) -> DataFrame:
         """Rows of a table with one of the wanted values; reads the buckets of these only, of which there are a fixed number."""
-        bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
         buckets = [r[0] for r in wanted.select(bucket.alias("b")).distinct().collect()]
         return self._read(table, versions).filter(F.col("bucket").isin(buckets)).join(wanted, column, "left_semi")
 
@@ -104,17 +104,16 @@ class Maintained:
         A round looks up the ids of new keys, and the keys of new ids; it ends
         when there are none. Rounds are as many as steps to the farthest row.
         """
-        seen, met = stage(seeds.select("id").distinct()), stage(keys.select("key").distinct())
-        frontier = met
+        seen, frontier = stage(seeds.select("id").distinct()), stage(keys.select("key").distinct())
+        met = frontier
         while frontier.head(1):
             found = self._of("keys", frontier, "key", versions).select("id").distinct()
-            new = stage(found.join(seen, "id", "left_anti"))
-            rows = self._rows(new, versions)
+            rows = self._rows(stage(found.join(seen, "id", "left_anti")), versions)
             # A posting of an earlier version may not hold any more.
             own = stage(self.keys(rows).select("id", "key").distinct())
             reached = stage(own.join(frontier, "key", "left_semi").select("id").distinct())
             frontier = stage(own.join(reached, "id", "left_semi").select("key").distinct().join(met, "key", "left_anti"))
-            seen, met = stage(seen.union(reached)), stage(met.union(frontier))
+            seen, met = seen.union(reached), met.union(frontier)
         return seen
 
     def apply(self, changes: DataFrame, number: int) -> DataFrame:

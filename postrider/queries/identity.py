@@ -235,15 +235,14 @@ def thr_conversations(spark, d):
 
 @add("thr_incremental", f"WITH {CONVERSATIONS} SELECT id, delivery, 'thread_' || substr(sha256('postrider-thread-v1' || chr(0) || 'acc' || chr(0) || anchor), 1, 32) AS conversation_id, lacking AS provisional FROM v2 JOIN own USING (delivery) JOIN cp USING (node) JOIN an USING (part)")
 def thr_incremental(spark, d):
-    """A first load without some rows, with others that are wrong or too many; then two batches put that right. The result is that of a full run, though a batch only works on what its changes reach."""
+    """A first load without some rows, with others that are wrong or too many; then a batch puts that right. The result is that of a full run, though the batch only works on what its changes reach."""
     c, i = stored_copies(spark, d), F.col("id")
     change = lambda rows, gone: rows.withColumns({"gone": F.lit(gone), "seq": F.col("id")})
     wrong = c.filter("id % 25 <> 7").withColumn("message_id", F.when(i % 40 == 3, F.lit("m0")).otherwise(F.col("message_id"))).withColumn("refs", F.when(i % 20 == 3, F.array(F.lit("m1"))).otherwise(F.col("refs")))
     extra = c.filter("id % 60 = 1").withColumn("id", i + 1_000_000_000)
-    index = Maintained(spark, f"{shared_dir(spark)}/threads-{uuid.uuid4().hex}", ROW, "delivery long, conversation_id string, provisional boolean", evidence, lambda rows: conversations(rows).select("id", "delivery", "conversation_id", "provisional"))
+    index = Maintained(spark, f"{shared_dir(spark)}/threads-{uuid.uuid4().hex}", ROW, "delivery long, conversation_id string, provisional boolean", evidence, lambda rows: conversations(rows).select("id", "delivery", "conversation_id", "provisional"), buckets=8)
     index.apply(change(wrong.unionByName(extra), False), 0)
-    index.apply(change(c.filter("id % 25 = 7 OR id % 20 = 3"), False), 1)
-    index.apply(change(extra, True), 2)
+    index.apply(change(c.filter("id % 25 = 7 OR id % 20 = 3"), False).unionByName(change(extra, True)), 1)
     return index.current()
 
 
