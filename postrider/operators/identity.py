@@ -251,3 +251,10 @@ def repaired(queue: DataFrame, messages: DataFrame, most: int = 100) -> DataFram
     next_ = queue.groupBy("id").agg(F.min("enqueued_at").alias("since")).orderBy("since", "id").limit(most)
     text = F.regexp_replace(F.col("body"), r"\s+", " ")
     return messages.join(next_, "id").select("id", F.sha2("body", 256).alias("parsed"), F.sha2(F.concat_ws("|", "subject", text), 256).alias("authored"))
+
+
+def evidence_digests(messages: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(account, id, digest): a digest of all that is known beside the text, from rows (id, kind, namespace, key); the same for any order of these, and for none that of nothing."""
+    own = evidence.select("id", F.concat_ws("|", "kind", "namespace", F.sha2("key", 256)).alias("e")).distinct()
+    held = own.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("e")), "\n").alias("es"))
+    return messages.select("account", "id").join(held, "id", "left").select("account", "id", F.sha2(F.coalesce("es", F.lit("")), 256).alias("digest"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import identity as o
 from ..operators.conversations import conversations, evidence
 from ..operators.incremental import Maintained
-from ..plans.staging import shared_dir
-from ..sources.tables import read
+from ..plans.staging import shared_dir, stage
+from ..sources.tables import SQL, attachments, messages, read
+from ..streaming.scans import ResumableScan
 from . import Group
 
 group = Group()
@@ -246,6 +247,19 @@ def thr_incremental(spark, d):
     return index.current()
 
 
+@add("thr_digest_upgrade", f"""WITH {SQL}, o AS (SELECT account, id, provider_thread FROM m_all WHERE id % 3 = 0),
+e AS (SELECT message_id AS id, 'attachment|name|' || sha256(filename) AS e FROM a UNION SELECT message_id, 'attachment|type|' || sha256(mime) FROM a UNION SELECT id, 'thread|provider|' || sha256(provider_thread) FROM o WHERE provider_thread IS NOT NULL)
+SELECT account, o.id, sha256(coalesce(string_agg(e, chr(10) ORDER BY e), '')) AS digest FROM o LEFT JOIN e ON e.id = o.id GROUP BY ALL""")
+def thr_digest_upgrade(spark, d):
+    """Digests of the first version made anew, in pages by account and id; a run that breaks off goes on behind its last page."""
+    old = messages(spark, d).filter("id % 3 = 0")
+    files = attachments(spark, d).select(F.col("message_id").alias("id"), F.inline(F.array(*[F.struct(F.lit("attachment").alias("kind"), F.lit(n).alias("namespace"), F.col(c).alias("key")) for n, c in (("name", "filename"), ("type", "mime"))])))
+    threads = old.filter("provider_thread IS NOT NULL").select("id", F.lit("thread").alias("kind"), F.lit("provider").alias("namespace"), F.col("provider_thread").alias("key"))
+    scan = ResumableScan(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", ("account", "id"))
+    scan.run(stage(o.evidence_digests(old, files.union(threads))), page=max(100, old.count() // 3))
+    return scan.emitted().select("account", "id", "digest")
+
+
 @add("thr_body_evidence", """WITH q AS (SELECT user_id AS id, min(ts) AS since FROM events GROUP BY 1 ORDER BY since, id LIMIT 100)
 SELECT id, sha256(text) AS parsed, sha256(split_part(text, chr(10), 1) || '|' || regexp_replace(text, '\\s+', ' ', 'g')) AS authored FROM q JOIN documents ON doc_id = id""")
 def thr_body_evidence(spark, d):

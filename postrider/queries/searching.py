@@ -127,11 +127,10 @@ def scr_primary(spark, d):
 
 @add("grp_delivery", f"WITH {BASE}, d AS (SELECT account, md5(body) AS delivery, id, list(id) OVER (PARTITION BY account, md5(body) ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids, row_number() OVER (PARTITION BY account, md5(body) ORDER BY {BEST}) AS rn FROM scored) SELECT account, id, list_sort(ids) AS ids FROM d WHERE rn = 1")
 def grp_delivery(spark, d):
-    from pyspark.sql import Window
-
+    """The best copy of each delivery, with the ids of all: one list for each delivery, not for each copy."""
     s = r.scored(live_messages(spark, d), TERMS, NOW).withColumn("delivery", F.md5("body"))
-    w = Window.partitionBy("account", "delivery").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return r.one_for_each(s.withColumn("ids", F.array_sort(F.collect_list("id").over(w))), "account", "delivery").select("account", "id", "ids")
+    ids = s.groupBy("account", "delivery").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return r.one_for_each(s, "account", "delivery").join(ids, ["account", "delivery"]).select("account", "id", "ids")
 
 
 @add("grp_thread", f"WITH {BASE} SELECT DISTINCT ON (account, folder) account, folder, id FROM scored ORDER BY account, folder, {BEST}")
