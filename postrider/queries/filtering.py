@@ -46,14 +46,14 @@ def by_attachment(name, column, where):
 by_attachment("flt_has_attachment", lambda: F.col("disposition") == "attachment", "disposition = 'attachment'")
 by_attachment("flt_filename", lambda: f.file_name("rep*-?5.PDF"), "regexp_matches(lower(filename), '^rep.*-.5\\.pdf$')")
 by_attachment("flt_filename_plain", lambda: f.file_name("e_1"), "contains(lower(filename), 'e_1')")
-by_attachment("flt_filetype", lambda: f.file_kind("Archive"), "mime IN ('application/zip', 'application/x-zip-compressed', 'application/gzip', 'application/x-tar', 'application/x-7z-compressed')")
-by_attachment("flt_filetype_sheet", lambda: f.file_kind("excel"), "mime IN ('application/vnd.ms-excel', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet')")
-by_attachment("flt_filetype_family", lambda: f.file_kind("Text"), "mime LIKE 'text/%'")
-by_attachment("flt_filetype_part", lambda: f.file_kind("applic"), "contains(mime, 'applic')")
+by_attachment("flt_filetype", lambda: f.file_kind("Archive"), "lower(mime) IN ('application/zip', 'application/x-zip-compressed', 'application/gzip', 'application/x-tar', 'application/x-7z-compressed')")
+by_attachment("flt_filetype_sheet", lambda: f.file_kind("excel"), "lower(mime) IN ('application/vnd.ms-excel', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet')")
+by_attachment("flt_filetype_family", lambda: f.file_kind("Text"), "lower(mime) LIKE 'text/%'")
+by_attachment("flt_filetype_part", lambda: f.file_kind("applic"), "contains(lower(mime), 'applic')")
 by_attachment("flt_mime", lambda: F.lower("mime") == "application/pdf", "lower(mime) = 'application/pdf'")
 
 
-@group.add("flt_or_exists", f"WITH {SQL} SELECT id FROM m WHERE size < 500 OR EXISTS (SELECT 1 FROM a WHERE message_id = m.id AND contains(mime, 'pdf'))")
+@group.add("flt_or_exists", f"WITH {SQL} SELECT id FROM m WHERE size < 500 OR EXISTS (SELECT 1 FROM a WHERE message_id = m.id AND lower(mime) = 'application/pdf')")
 def flt_or_exists(spark, d):
     flagged = f.having(live_messages(spark, d), attachments(spark, d), f.file_kind("pdf"), "has_pdf")
     return flagged.filter(f.any_of(F.col("has_pdf"), f.smaller(500))).select("id")

@@ -236,7 +236,7 @@ def fts_best(spark, d):
     return text_index(spark, d).best(TERMS, 25)
 
 
-@add("scr_listish", f"WITH {SQL} SELECT id, id % 9 = 0 OR id % 14 = 0 OR (id % 8 = 0) AS listish FROM m")
+@add("scr_listish", f"WITH {SQL} SELECT id, id % 9 = 0 OR id % 14 = 0 OR regexp_matches(lower(CASE WHEN id % 8 = 0 THEN 'Newsletter@host.example' ELSE from_email END), '^(newsletter|marketing|mailer)@') AS listish FROM m")
 def scr_listish(spark, d):
     """Mail of lists, by headers or sender."""
     i = F.col("id")
