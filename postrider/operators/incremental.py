@@ -163,7 +163,7 @@ class Maintained:
         """Applies the batches of a stream of changes until there are no more; ``every`` so many it compacts."""
 
         def put(batch: DataFrame, number: int) -> None:
-            # Odd and even marks are kept apart: after a compaction an earlier batch is never applied again.
+            # What a compaction has taken in is not applied again.
             if 2 * number < (self.versions() or [0])[0]:
                 return
             self.apply(stage(batch), number)

@@ -3,7 +3,6 @@
 import datetime
 import random
 
-
 from postrider.operators.conversations import conversations, evidence
 from postrider.operators.incremental import Maintained
 
@@ -22,7 +21,7 @@ def copy(r, i):
 
 def kept(spark, path):
     compute = lambda rows: conversations(rows).select("id", "delivery", "conversation_id", "provisional")
-    return Maintained(spark, str(path), ROW, ANSWER, evidence, compute)
+    return Maintained(spark, str(path), ROW, ANSWER, evidence, compute, buckets=3)
 
 
 def answers(df):
