@@ -58,5 +58,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = saved(found.filter("NOT kept OR count > 1").select("doc_id", "text_sha256", "kept"))
     same = boxed["id"].eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
     left = boxed.join(found.select("doc_id", "text_sha256"), same, "left_anti")
+    if not found.filter("kept").head(1):
+        return left.select("row.*")
     one = boxed.join(found.filter("kept"), same, "left_semi").dropDuplicates(["id", "sha"])
     return left.unionByName(one).select("row.*")
