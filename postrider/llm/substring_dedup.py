@@ -1,9 +1,10 @@
-"""Repeated passages by suffix trees over groups of suffixes that share a prefix of words."""
+"""Repeated passages by suffix trees over groups of suffixes that share a few words."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,12 @@ from .chunks import Chunk, chunks, deltas, mix, pack, unpack
 
 #: Suffixes in a group, about, unless longer prefixes cannot part them.
 GROUP = 1_000_000
-#: First prefixes are told apart by so many hash values, longer ones by so many more each.
-FIRST, NEXT = 1024, 64
+#: Words of a gram; the least of a window's grams names its group, so that most neighbours go to one.
+GRAM = 3
+#: Grams are told apart by so many hash values at least and at most, and by so many more in each further step.
+FIRST, MOST, NEXT = 1024, 65_536, 64
+#: Steps that tell grams apart, before prefixes of words do.
+STEPS = 2
 #: Words in a chunk; a document with more is a chunk of its own.
 WORDS = 1_000_000
 #: Bits of a window's hash, at least, and beyond those that number all words.
@@ -31,7 +36,7 @@ LAST = 2**63 - 1
 def paths(chunk: Chunk, depth: int, firsts: int = 0) -> list[np.ndarray | None]:
     """For each depth from 1, the hash of the path of so many words from each word on (0 where the row ends before).
 
-    Only those of the ``firsts`` least depths and of the last are kept; the others are None.
+    Only those of the ``firsts`` least depths, of a gram and of the last are kept; the others are None.
     """
     w = chunk.hashes[chunk.words]
     left = (np.repeat(np.cumsum(chunk.sizes), chunk.sizes) - np.arange(len(w))).astype(np.int32)
@@ -39,7 +44,7 @@ def paths(chunk: Chunk, depth: int, firsts: int = 0) -> list[np.ndarray | None]:
     for k in range(depth):
         h = mix(h[: len(w) - k] ^ w[k:]) if k < len(w) else h[:0]
         p = None
-        if k < firsts or k == depth - 1:
+        if k < firsts or k in (min(GRAM, depth) - 1, depth - 1):
             p = np.zeros(len(w), np.uint64)
             np.maximum(h, np.uint64(1), out=p[: len(h)])
             p[: len(h)][left[: len(h)] <= k] = 0
@@ -48,23 +53,29 @@ def paths(chunk: Chunk, depth: int, firsts: int = 0) -> list[np.ndarray | None]:
 
 
 class Prefixes:
-    """Which group a suffix belongs to: by its first word, and for frequent prefixes by the next words too.
+    """Which group a suffix belongs to: by the least gram of its window, and where that is very frequent by its first words too.
 
-    ``split`` has, by prefix length, the numbers of the prefixes that need one
-    more word. A prefix's number comes from the number before and the hash of
-    the path, so it is the same in all tasks.
+    Neighbouring windows mostly have the same least gram, so a group gets them as
+    one run of words. ``split`` has, by step, the numbers that need one more. A
+    number comes from the words of the window alone, so it is the same in all tasks.
     """
 
-    def __init__(self):
+    def __init__(self, first: int = FIRST):
         self.split: list[np.ndarray] = []
-        self.groups = 1
+        self.first, self.groups = first, 1
 
-    def numbers(self, path: list[np.ndarray], where: np.ndarray) -> np.ndarray:
-        """The prefix number of suffixes ``where``."""
-        number = (path[0][where] % np.uint64(FIRST)).astype(np.int64)
+    def depths(self) -> int:
+        """Prefixes of so many lengths are needed."""
+        return max(0, len(self.split) - STEPS)
+
+    def numbers(self, path: list[np.ndarray], gram: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The number of the group's words, of suffixes ``where`` whose least grams are ``gram``."""
+        number, rest = (gram % np.uint64(self.first)).astype(np.int64), gram // np.uint64(self.first)
         for k, frequent in enumerate(self.split, 1):
             more = np.isin(number, frequent)
-            number[more] = number[more] * NEXT + (path[k][where[more]] % np.uint64(NEXT)).astype(np.int64) + FIRST * (k + 1)
+            digit = rest[more] if k <= STEPS else path[k - STEPS - 1][where[more]]
+            rest = rest // np.uint64(NEXT)
+            number[more] = number[more] * NEXT + (digit % np.uint64(NEXT)).astype(np.int64) + self.first * (k + 1)
         return number
 
     def group(self, number: np.ndarray) -> np.ndarray:
@@ -113,8 +124,22 @@ class Windows:
             again[order[x:y]] = np.unpackbits(np.frombuffer(value, np.uint8), count=y - x).view(bool)
         return np.nonzero(again[self.at])[0]
 
+    @cached_property
+    def grams(self) -> np.ndarray:
+        """Of the window from each word on, the hash of its least gram."""
+        g = self.path[min(GRAM, self.words) - 1]
+        width, span = self.words - min(GRAM, self.words) + 1, 1
+        while span < width:
+            step = min(span, width - span)
+            g = np.minimum(g[: max(0, len(g) - step)], g[step:])
+            span += step
+        return mix(g)
+
+    def numbers(self, where: np.ndarray, prefixes: Prefixes) -> np.ndarray:
+        return prefixes.numbers(self.path, self.grams[where], where)
+
     def suffixes(self, met: np.ndarray, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, group, least id, largest id, place of each met window): the distinct suffixes, in an order that only their words fix."""
+        """(starts, group, least id, largest id, place of each met window): the distinct suffixes, by group and place in the chunk."""
         where, ids = self.where[met], self.ids[met]
         full = self.path[-1][where]
         _, first, place = np.unique(full, return_index=True, return_inverse=True)
@@ -127,22 +152,40 @@ class Windows:
         np.minimum.at(least, place, ids)
         np.maximum.at(most, place, ids)
         starts = where[first]
-        group = prefixes.group(prefixes.numbers(self.path, starts))
-        # By the first word and then as they are numbered, so that columns of words pack well.
-        order = np.lexsort((np.arange(len(first)), self.path[0][starts], group))
+        group = prefixes.group(self.numbers(starts, prefixes))
+        order = np.lexsort((starts, group))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         return starts[order], group[order], least[order], most[order], rank[place]
 
-    def packed(self, starts: np.ndarray) -> list[np.ndarray]:
-        """The words of suffixes: each word once, and its number for each place, by columns."""
-        matrix = self.chunk.words[starts + np.arange(self.words)[:, None]]
+    def packed(self, starts: np.ndarray, depth: int | None = None) -> list[np.ndarray]:
+        """The first words of suffixes: each word once, and its number for each place, by columns."""
+        matrix = self.chunk.words[starts + np.arange(depth or self.words)[:, None]]
         used = np.zeros(len(self.chunk.named), bool)
         used[matrix] = True
         named = b"\n".join([self.chunk.named[w] for w in np.nonzero(used)[0].tolist()])
         number = (np.cumsum(used) - 1)[matrix]
         return [np.frombuffer(named, np.uint8), *number.astype(np.uint16 if used.sum() < 65536 else np.uint32)]
 
+    def in_runs(self, starts: np.ndarray) -> list[np.ndarray]:
+        """The words of suffixes in rising order: how many start at neighbouring words, and the words of each such run once."""
+        begins = np.flatnonzero(np.append(True, np.diff(starts) != 1))
+        n = np.diff(np.append(begins, len(starts)))
+        return [small(n), *self.packed(starts[begins].repeat(n + self.words - 1) + within(n + self.words - 1), 1)]
+
+
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    return np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes).repeat(sizes)
+
+
+def from_runs(n: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes as rows of ``depth`` words, from the runs of :meth:`Windows.in_runs`."""
+    n = n.astype(np.int64)
+    sizes = n + depth - 1
+    starts = (np.cumsum(sizes) - sizes).repeat(n) + within(n)
+    return words[starts[:, None] + np.arange(depth)]
+
 
 def deep_nodes(suffixes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, node): suffixes (rows of word numbers) as leaves in order, and the deep internal node that each hangs under.
@@ -169,10 +212,12 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
        each chunk asks which of its windows' hashes (of just as many bits as
        tell most apart) others have too; it sends each once and gets a bit back.
     3. What is left are suffixes that may repeat. They are counted by the hash
-       of the first word, and prefixes with too many are parted by one word
-       more, again and again, until each group fits into memory.
+       of the least gram among their first ``least_words`` words; numbers with too
+       many are parted by more of that hash and then word by word, again and
+       again, until each group fits into memory.
     4. Each chunk sends its distinct suffixes, cut at ``least_words`` words, with
-       these words to their groups. A group sorts them, finds the deep nodes from the
+       these words to their groups; neighbours that go to one group are a run,
+       whose words are sent once. A group sorts them, finds the deep nodes from the
        prefixes that neighbours share, and answers with the smallest id of each
        suffix's node. Here words are compared, so hashes decide nothing.
 
@@ -197,7 +242,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     d = spark.table(table).select("chunk", "state")
     bits = int(min(64, max(LEAST_BITS, np.ceil(np.log2(n_words + 2)) + SPARE)))
     parts = int(max(1, n_words // 2_000_000))
-    prefixes = Prefixes()
+    prefixes = Prefixes(1 << int(np.clip(4 * n_words // GROUP, FIRST, MOST) - 1).bit_length())
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, state in ((n, s) for b in batches for n, s in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
@@ -230,9 +275,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     def counted(rows: pd.DataFrame, bitmap: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"number": [], "n": []})
-        w, met = windows_of(rows, bitmap, len(prefixes.split) + 1)
+        w, met = windows_of(rows, bitmap, prefixes.depths())
         _, first = np.unique(w.hash[met], return_index=True)
-        number, n = np.unique(prefixes.numbers(w.path, w.where[met[first]]), return_counts=True)
+        number, n = np.unique(w.numbers(w.where[met[first]], prefixes), return_counts=True)
         return pd.DataFrame({"number": number, "n": n})
 
     while True:
@@ -241,7 +286,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         # There are no more frequent prefixes than groups that they would fill.
         frequent = np.array(sorted(r["number"] for r in counts.filter(F.col("n") > GROUP).collect()), np.int64)
         new = frequent[~np.isin(frequent, np.concatenate([np.zeros(0, np.int64), *prefixes.split]))]
-        if not len(new) or len(prefixes.split) == least_words - 1:
+        if not len(new) or len(prefixes.split) == STEPS + least_words:
             break
         prefixes.split.append(new)
     prefixes.groups = int(max(1, 4 * (counts.agg(F.sum("n")).head()[0] or 0) // GROUP))
@@ -249,10 +294,10 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
     def sent(rows: pd.DataFrame, bitmap: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows):
-            w, met = windows_of(rows, bitmap, len(prefixes.split) + 1)
+            w, met = windows_of(rows, bitmap, prefixes.depths())
             starts, group, least, _, _ = w.suffixes(met, prefixes)
             for g, x, y in runs_of(group):
-                out.append((g, int(rows["chunk"].iat[0]), pack(*indexed(least[x:y]), *w.packed(starts[x:y]))))
+                out.append((g, int(rows["chunk"].iat[0]), pack(*indexed(least[x:y]), *w.in_runs(starts[x:y]))))
         return pd.DataFrame(out, columns=["group", "chunk", "value"])
 
     def answered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -261,8 +306,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc
         put = number.setdefault
         leaves = []
         for a in asked:
-            own = np.array([put(w, len(number)) for w in a[2].tobytes().split(b"\n")], np.int32)
-            leaves.append(np.stack([own[c] for c in a[3:]], axis=1))
+            own = np.array([put(w, len(number)) for w in a[3].tobytes().split(b"\n")], np.int32)
+            leaves.append(from_runs(a[2], own[a[4]], least_words))
         ids = np.concatenate([a[0][a[1]] for a in asked])
         order, node = deep_nodes(np.concatenate(leaves), least_words)
         least = np.empty(len(ids), np.int64)
@@ -306,7 +351,7 @@ def passages(docs: DataFrame, least_words: int = 13, id_col: str = "doc_id", tex
         columns = ["id", "missing", "n_words", "n_removed", "kept", "spans"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
-        w = Windows(read_back(rows["state"].iat[0]), least_words, bits, len(prefixes.split) + 1)
+        w = Windows(read_back(rows["state"].iat[0]), least_words, bits, prefixes.depths())
         of = {k: dict(zip(f["part"], f["value"], strict=True)) for k, f in found.groupby("kind")}
         met = w.met(of.get(0, {}), parts)
         _, group, _, _, place = w.suffixes(met, prefixes)

@@ -107,3 +107,38 @@ def test_several_chunks(spark, monkeypatch):
     n = named.select("chunk").distinct().count()
     assert n > 3 and answers.count() >= 1
     assert sorted(map(tuple, without_repeated_passages(docs).collect()), key=str) == plain(rows)
+
+
+def test_neighbours_are_sent_as_runs():
+    """Windows of one passage go to few groups, with far fewer words than all windows have; equal windows go to the same group from any chunk."""
+    r = random.Random(4)
+    passage = [f"w{r.randrange(10_000)}" for _ in range(3000)]
+    prefixes = substring_dedup.Prefixes()
+    prefixes.groups, found = 50, []
+    for rows in ([" ".join(passage)], ["other words before " + " ".join(passage[:2000]), "y " * 20 + " ".join(passage[1500:])]):
+        t = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([False] * len(rows)), pa.array(rows)], ["id", "missing", "text"])
+        (c,) = chunks.chunks(iter([t]), lower=False)
+        w = substring_dedup.Windows(c, 13, 40)
+        starts, group, *_ = w.suffixes(np.arange(len(w.where)), prefixes)
+        sent, of = 0, {}
+        for g, x, y in substring_dedup.runs_of(group):
+            n, named, words = w.in_runs(starts[x:y])
+            sent += len(words)
+            known = named.tobytes().decode().split("\n")
+            for s in substring_dedup.from_runs(n, words, 13).tolist():
+                of[tuple(known[k] for k in s)] = g
+        assert sent < 4.5 * len(starts)
+        found.append(of)
+    windows = {tuple(passage[a : a + 13]) for a in range(len(passage) - 12)}
+    assert found[0].keys() == windows and windows <= found[1].keys() and all(found[1][k] == found[0][k] for k in windows)
+
+
+def test_groups_parted_by_every_step(spark, monkeypatch):
+    """A gram that all windows share is parted by the words before and after it."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 4)
+    monkeypatch.setattr(substring_dedup, "WORDS", 60)
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(40))) for i in range(8)] + [(20, "a " * 30), (21, "a " * 30 + "b " * 14)]
+    rows += [(30 + i, rows[i][1]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, without_repeated_passages(docs).collect()), key=str) == plain(rows)
