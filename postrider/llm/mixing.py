@@ -207,14 +207,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passes = pieces.groupBy("key", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", F.col("n").alias("len")))).alias("parts"))
     meta = out.groupBy("key").agg(F.first("doc_id").alias("of_id"), F.first("text_key").alias("of_text"), F.first("size").alias("size"), F.count("*").alias("rows"), F.first("source").alias("of_source"))
     taken = stage(passes.join(meta, "key"))
-    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), text.alias("text"), F.col(f"`{source_col}`").alias("source"))
-    own = own.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    same = (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
-    found = own.join(taken, same)
-    # Equal rows are one document, which has their words one after the other.
-    found = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["key", "epoch"]))
-    words = F.flatten(F.array_repeat(F.split(F.trim(one_spaced(F.col("text"))), " "), F.col("rows").cast("int")))
+    doc_id, text, source = (F.col(f"row.`{c}`") for c in (id_col, text_col, source_col))
+    # A text is in a row once, and is shuffled once.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = own.withColumn("text_key", F.xxhash64(doc_id.cast("long"), text))
+    same = (F.col("text_key") == F.col("of_text")) & doc_id.cast("long").eqNullSafe(F.col("of_id")) & source.eqNullSafe(F.col("of_source"))
+    found = own.join(taken.filter("rows = 1"), same)
+    several = stage(taken.filter("rows > 1"))
+    if several.head(1):
+        # Equal rows are one document, which has their words one after the other.
+        found = found.unionByName(own.join(several, same).dropDuplicates(["key", "epoch"]))
+    words = F.flatten(F.array_repeat(F.split(F.trim(one_spaced(text)), " "), F.col("rows").cast("int")))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["len"].cast("int")))), " ")
-    new = F.when((F.col("rows") == 1) & (F.col("n") >= F.col("size")), F.col("text")).otherwise(cut)
+    new = F.when((F.col("rows") == 1) & (F.col("n") >= F.col("size")), text).otherwise(cut)
     return found.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -87,3 +87,16 @@ def test_empty(spark):
     assert mixed(docs)[0].count() == 0 and mixed_documents(docs).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken, r.target) for r in mixed(one)[0].collect()] == [(0, 0, 0.0)]
+
+
+def test_texts_are_shuffled_once(spark):
+    """One join takes the texts, each once, unless rows repeat; repeated rows are still one document."""
+    rows = [(i, f"w{i} " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)]
+    plan = lambda docs: mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(rows, schema)
+    p = plan(docs)
+    assert p.count("Join ") == 1 and " AS text#" not in p.partition("Join ")[2]
+    twice = mixed_documents(spark.createDataFrame(rows + rows[8:9], schema)).filter("doc_id = 8").collect()
+    size, taken = mixed(spark.createDataFrame(rows + rows[8:9], schema))[0].filter("doc_id = 8").selectExpr("sum(size)", "sum(taken)").head()
+    assert size == 18 and sum(len(x.text.split()) for x in twice) == taken
