@@ -8,8 +8,8 @@ is below what was found.
 from __future__ import annotations
 
 import functools
+import math
 import operator
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +24,8 @@ from .ranking import Terms, once, tokens
 BLOCK = 512
 #: Weights of header and body in the score of a text.
 WEIGHTS = {"head": 0.6, "body": 0.2}
-_ENTRY = "word string, field string, id long, block long, n int, places array<int>"
-_BLOCKS = "word string, field string, block long, top double, entries array<struct<id:long,n:int,places:array<int>>>"
+#: Messages of a block that have a word, how many words each has, and the places of the word in all of them: those of a message end before its ``end``.
+_BLOCKS = "word string, field string, block long, top double, ids array<long>, ns array<int>, ends array<int>, places array<int>"
 
 
 def _words(terms: Terms) -> list[str]:
@@ -69,38 +69,46 @@ class TextIndex:
     def build(self, messages: DataFrame, head: Column, body: Column) -> None:
         """From messages with an ``id``, and the texts of their header fields and bodies."""
         n = max(1, messages.count() // BLOCK)
-        rows = once(messages.select(F.col("id").cast("long").alias("id"), head.alias("head"), body.alias("body")), hw=tokens(F.col("head")), bw=tokens(F.col("body")))
-        rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "hw", "bw")
+        # Words as one text are shuffled once; all postings of a block are made where its messages are.
+        text = lambda c: F.array_join(tokens(c), " ")
+        rows = messages.select(F.col("id").cast("long").alias("id"), text(head).alias("head"), text(body).alias("body"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
 
         form = stem if self.stemmed else str
 
-        def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 100):
-                    out: list[list] = [[], [], [], [], [], []]
-                    for i, block, *texts in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True):
-                        for field, words in zip(("head", "body"), texts, strict=True):
-                            places: dict[str, list[int]] = {}
-                            for p, w in enumerate(map(form, words)):
-                                places.setdefault(w, []).append(p)
-                            for w, found in places.items():
-                                for column, value in zip(out, (w, field, i, block, len(words), found), strict=True):
-                                    column.append(value)
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["word", "field", "id", "block", "n", "places"])
-
-        entries = rows.mapInArrow(inverted, _ENTRY)
-        most = F.max(F.size("places") / (1 + F.log(F.col("n") + 1)))
-        # A list has a block's messages at most.
-        blocks = entries.groupBy("word", "field", "block").agg(most.alias("top"), F.collect_list(F.struct("id", "n", "places")).alias("entries"))
-        dealt(blocks, f"{self.path}/words", "word", "block")
+        def inverted(t: pa.Table) -> pa.Table:
+            block, t = t["block"][0].as_py(), t.sort_by("id")
+            lists: dict[tuple[str, str], tuple[list, list, list, list]] = {}
+            tops: dict[tuple[str, str], float] = {}
+            for field in WEIGHTS:
+                for i, text in zip(t["id"].to_pylist(), t[field], strict=True):
+                    words = (text.as_py() or "").split()
+                    found: dict[str, list[int]] = {}
+                    for p, w in enumerate(map(form, words)):
+                        found.setdefault(w, []).append(p)
+                    part = 1 + math.log(len(words) + 1)
+                    for w, at in found.items():
+                        ids, ns, ends, places = lists.setdefault((w, field), ([], [], [], []))
+                        ids.append(i)
+                        ns.append(len(words))
+                        places.extend(at)
+                        ends.append(len(places))
+                        tops[w, field] = max(tops.get((w, field), 0.0), len(at) / part)
+            columns = [[w for w, _ in lists], [f for _, f in lists], [block] * len(lists), [tops[k] for k in lists], *zip(*lists.values(), strict=True)] if lists else [[]] * 8
+            ints = pa.list_(pa.int32())
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()), ints, ints, ints)
+            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "field", "block", "top", "ids", "ns", "ends", "places"])
+
+        blocks = rows.groupBy("block").applyInArrow(inverted, _BLOCKS)
+        dealt(blocks, f"{self.path}/words", "word")
 
     def _postings(self, terms: Terms) -> DataFrame:
         return of_values(self.spark, f"{self.path}/words", _BLOCKS, "word", _words(terms))
 
     def _ranked(self, postings: DataFrame, terms: Terms, wide: Terms | None = None) -> DataFrame:
         """(id, head, body, wide_head, wide_body): ranks of the messages that have any of the words; those with a word that none may have are left out."""
-        rows = postings.select("word", "field", F.inline("entries"))
+        rows = postings.select("word", "field", "places", F.inline(F.arrays_zip("ids", "ns", "ends", F.concat(F.array(F.lit(0)), "ends").alias("starts")))).filter("ids IS NOT NULL")
+        rows = rows.select("word", "field", F.col("ids").alias("id"), F.col("ns").alias("n"), F.slice("places", F.col("starts") + 1, F.col("ends") - F.col("starts")).alias("places"))
         g = rows.groupBy("id", "field").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("of"))
         barred = functools.reduce(operator.or_, [frequency(w) > 0 for w in terms.without], F.lit(False))
         none = F.lit(0.0)

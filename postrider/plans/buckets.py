@@ -13,10 +13,16 @@ def bucket_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
-def dealt(df: DataFrame, path: str, column: str, spread: str) -> None:
-    """Writes ``df`` by buckets of ``column``; rows of a bucket are spread over files by the column ``spread``."""
+def dealt(df: DataFrame, path: str, column: str, spread: str | None = None) -> None:
+    """Writes ``df`` by buckets of ``column``; rows of a bucket are spread over files by the column ``spread``.
+
+    Without it they are not shuffled: each task adds a file to its buckets. That
+    is for rows that come in large parts by something else than ``column``.
+    """
     bucketed = df.withColumn("bucket", bucket_of(column))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64(spread), F.lit(FILES))).write.partitionBy("bucket").parquet(path)
+    if spread is not None:
+        bucketed = bucketed.repartition("bucket", F.pmod(F.xxhash64(spread), F.lit(FILES)))
+    bucketed.write.partitionBy("bucket").parquet(path)
 
 
 def of_values(spark: SparkSession, path: str, schema: str, column: str, values: list[str]) -> DataFrame:

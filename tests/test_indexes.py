@@ -79,3 +79,14 @@ def test_only_the_words_folders_are_read(spark, tmp_path):
     plan = index._postings(r.Terms((("plan",),)))._jdf.queryExecution().executedPlan().toString()
     # One folder by its number; the word itself is pushed down as well.
     assert "PartitionFilters: [isnotnull(bucket" in plan and plan.count("(bucket#") >= 1 and "EqualTo(word,plan)" in plan
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """What is shuffled to build the index are the messages' words as texts, by block; the postings go straight to their folders."""
+    plans = []
+    monkeypatch.setattr(p, "dealt", lambda df, path, *by: plans.append((df, by)))
+    p.TextIndex(spark, str(tmp_path / "i")).build(messages(spark, 60), F.col("head"), F.col("body"))
+    ((blocks, by),) = plans
+    assert by == ("word",)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange") == 1 and "Aggregate" not in plan
