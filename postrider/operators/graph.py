@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import joins_by_shuffle, stage
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -21,6 +21,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     hi, lo = F.greatest(src, dst), F.least(src, dst)
     e = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(hi.alias("hi"), lo.alias("lo")).filter("hi > lo")
     e = stage(e.distinct())
+    with joins_by_shuffle(edges.sparkSession):
+        return _shortened(e)
+
+
+def _shortened(e: DataFrame) -> DataFrame:
     while True:
         up = stage(e.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n")))
         above = up.select(F.col("hi").alias("up"), F.col("up").alias("top"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import joins_by_shuffle, stage
 
 #: Folders that rows and keys are dealt into; a lookup reads those of its keys only.
 BUCKETS = 64
@@ -122,6 +122,11 @@ class Maintained:
         A row that is ``gone`` needs its id only. A batch that is applied again
         has the same effect, as long as no later batch is.
         """
+        # A batch of a stream has a session of its own.
+        with joins_by_shuffle(self.spark), joins_by_shuffle(changes.sparkSession):
+            return self._applied(changes, number)
+
+    def _applied(self, changes: DataFrame, number: int) -> DataFrame:
         version = 2 * number
         before = [v for v in self.versions() if v < version]
         last = changes.groupBy("id").agg(F.max_by(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), F.struct(*self.row).alias("r")), "seq").alias("x"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def joins_by_shuffle(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark broadcasts no side of a join of its own accord.
+
+    Each broadcast passes through the driver. In loops of many joins over staged
+    tables these add up, and grow with the tables until each reaches Spark's limit.
+    """
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; Spark deletes it when it is out of use."""
     shared_dir(df.sparkSession)

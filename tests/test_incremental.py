@@ -114,3 +114,23 @@ def test_empty_tables(spark, tmp_path):
     assert index.current().count() == 0
     index.apply(changes(spark, [(1, *[None] * (len(NAMES) - 1), True, 1)]), 1)
     assert index.current().count() == 0
+
+
+def test_a_batch_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    """Joins of a batch, of its connected rows and of components go by shuffles, and the setting is as before afterwards."""
+    from postrider.operators import graph, incremental
+    from postrider.plans import staging
+
+    plans, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staging.stage(df)
+
+    monkeypatch.setattr(graph, "stage", noted)
+    monkeypatch.setattr(incremental, "stage", noted)
+    rows = [(i, "a", "x", None, f"m{i}", None, None, None, None, None, [f"m{i - 1}"] if i % 4 else [], None, None, 1) for i in range(12)]
+    index = kept(spark, tmp_path / "index")
+    index.apply(changes(spark, rows), 0)
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
