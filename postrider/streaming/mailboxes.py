@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, replace
-from typing import Any
+from typing import Any, NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What a server says of a folder; null: it did not say.
@@ -16,11 +14,12 @@ FIELDS = ("uid_validity", "uid_next", "messages", "unseen", "modseq")
 _STATUS = ", ".join(f"{f} long" for f in FIELDS)
 #: Columns of the events: seed and observe give a status; exists (messages) and flags (modseq) what a server pushed; expunge one message less; ack that the change ``of`` was dealt with, or with null the pending one.
 EVENT = f"folder string, seq long, kind string, {_STATUS}, of long"
+_STATE = f"seeded boolean, open boolean, seq long, reconcile boolean, flag_scan boolean, {_STATUS}, {', '.join(f'seen_{f} long' for f in FIELDS)}"
 CHANGE = f"folder string, seq long, force_reconcile boolean, force_flag_scan boolean, {_STATUS}"
+_CHANGED = Row("folder", "seq", "force_reconcile", "force_flag_scan", *FIELDS)
 
 
-@dataclass(frozen=True)
-class Status:
+class Status(NamedTuple):
     uid_validity: int | None = None
     uid_next: int | None = None
     messages: int | None = None
@@ -29,16 +28,15 @@ class Status:
 
     def over(self, before: Status | None) -> Status:
         """This status, with what it does not say from the one before."""
-        return self if before is None else Status(*[b if a is None else a for a, b in zip(asdict(self).values(), asdict(before).values(), strict=True)])
+        return self if before is None else Status(*[b if a is None else a for a, b in zip(self, before, strict=True)])
 
     def differs(self, before: Status, *fields: str) -> bool:
         """Whether both say another value for one of the fields."""
-        pairs = [(getattr(before, f), getattr(self, f)) for f in fields or FIELDS]
+        pairs = [(getattr(before, f), getattr(self, f)) for f in fields] if fields else zip(before, self, strict=True)
         return any(a is not None and b is not None and a != b for a, b in pairs)
 
 
-@dataclass(frozen=True)
-class Change:
+class Change(NamedTuple):
     seq: int
     reconcile: bool
     flag_scan: bool
@@ -63,7 +61,7 @@ def step(baseline: Status | None, pending: Change | None, seq: int, kind: str, s
     if kind == "observe":
         if baseline is None:
             if said.uid_validity is not None:
-                grown = replace(pending, seq=seq, observed=said) if pending else None
+                grown = pending._replace(seq=seq, observed=said) if pending else None
                 return said, grown, grown
             return _signalled(baseline, pending, seq, True, True, said)
         now = said.over(seen).over(baseline)
@@ -88,42 +86,34 @@ def step(baseline: Status | None, pending: Change | None, seq: int, kind: str, s
 
 def _signalled(baseline: Status | None, pending: Change | None, seq: int, reconcile: bool, flag_scan: bool, said: Status) -> tuple[Status | None, Change, Change]:
     now = said.over(pending.observed if pending else None).over(baseline)
-    now = replace(now, uid_validity=now.uid_validity or 0)
+    now = now._replace(uid_validity=now.uid_validity or 0)
     change = Change(seq, reconcile or bool(pending and pending.reconcile), flag_scan or bool(pending and pending.flag_scan), now)
     return baseline, change, change
 
 
-def _whole(x: Any) -> int | None:
-    return None if x is None or x != x else int(x)
-
-
 class FolderChanges(StatefulProcessor):
     """Keeps baseline and pending change of a folder; announces each change that is new or has grown."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.baseline = handle.getValueState("baseline", _STATUS)
-        self.pending = handle.getValueState("pending", f"seq long, reconcile boolean, flag_scan boolean, {_STATUS}")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        base, open_ = self.baseline.get(), self.pending.get()
-        baseline = Status(*map(_whole, base)) if base is not None else None
-        pending = Change(int(open_[0]), bool(open_[1]), bool(open_[2]), Status(*map(_whole, open_[3:]))) if open_ is not None else None
+        # One value, so that a folder costs one read and one write.
+        self.state = handle.getValueState("folder", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        state = self.state.get()
+        before = tuple(state) if state is not None else (False, False, *[None] * (3 + 2 * len(FIELDS)))
+        seeded, open_, seq, reconcile, flag_scan, *said = before
+        baseline = Status(*said[: len(FIELDS)]) if seeded else None
+        pending = Change(seq, reconcile, flag_scan, Status(*said[len(FIELDS) :])) if open_ else None
         out = []
         # A batch's rows of one folder, in order.
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
-            said = Status(*[_whole(getattr(r, f)) for f in FIELDS])
-            baseline, pending, change = step(baseline, pending, int(r.seq), r.kind, said, _whole(r.of))
+        for _, seq, kind, *status, of in sorted(rows, key=lambda r: r[1]):
+            baseline, pending, change = step(baseline, pending, seq, kind, Status(*status), of)
             if change is not None:
-                out.append((key[0], change.seq, change.reconcile, change.flag_scan, *asdict(change.observed).values()))
-        if baseline is not None:
-            self.baseline.update(tuple(asdict(baseline).values()))
-        if pending is not None:
-            self.pending.update((pending.seq, pending.reconcile, pending.flag_scan, *asdict(pending.observed).values()))
-        elif open_ is not None:
-            self.pending.clear()
-        names = ["folder", "seq", "force_reconcile", "force_flag_scan", *FIELDS]
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype(dict.fromkeys(FIELDS, "Int64") | {"seq": "int64", "force_reconcile": "bool", "force_flag_scan": "bool"})
+                out.append(_CHANGED(key[0], *change[:3], *change.observed))
+        after = (baseline is not None, pending is not None, *(pending[:3] if pending else [None] * 3), *(baseline or Status()), *(pending.observed if pending else Status()))
+        if after != before:
+            self.state.update(after)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -150,4 +140,5 @@ def folder_changes(events: DataFrame) -> DataFrame:
     asked since the last acknowledgement. The stream is to be started within
     :func:`folder_state`.
     """
-    return events.groupBy("folder").transformWithStateInPandas(FolderChanges(), outputStructType=CHANGE, outputMode="append", timeMode="none")
+    rows = events.select(*[c.split()[0] for c in EVENT.split(", ")])
+    return rows.groupBy("folder").transformWithState(FolderChanges(), outputStructType=CHANGE, outputMode="append", timeMode="none")

@@ -136,3 +136,37 @@ def test_folder_changes_over_batches_and_a_restart(spark, tmp_path):
         with folder_state(spark):
             got = drained(folder_changes(stream)).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_folder_costs_one_read_and_one_write_of_state():
+    """All events of a folder in a batch read its state once and write it once, or not at all if they change nothing."""
+    from pyspark.sql import Row
+
+    from postrider.streaming.mailboxes import FolderChanges
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttl=None):
+            return Value()
+
+    event = Row("folder", "seq", "kind", "uid_validity", "uid_next", "messages", "unseen", "modseq", "of")
+    f = FolderChanges()
+    f.init(Handle())
+    rows = [event("f", 3, "flags", None, None, None, None, 9, None), event("f", 1, "seed", 1, 5, 7, 2, 8, None), event("f", 2, "expunge", None, None, None, None, None, None)]
+    got = [tuple(r) for r in f.handleInputRows(("f",), iter(rows), None)]
+    assert got == [("f", 2, True, False, 1, 5, 6, 2, 8), ("f", 3, True, True, 1, 5, 6, 2, 9)] and calls == ["get", "update"]
+    assert list(f.handleInputRows(("f",), iter([event("f", 4, "observe", 1, 5, 6, 2, 9, None)]), None)) == [] and calls[2:] == ["get"]
+    assert list(f.handleInputRows(("f",), iter([event("f", 5, "ack", None, None, None, None, None, 3)]), None)) == [] and calls[3:] == ["get", "update"]
+    assert list(f.handleInputRows(("f",), iter([event("f", 6, "observe", 1, 5, 6, 2, 9, None)]), None)) == []
