@@ -122,7 +122,7 @@ class PivotTable:
         return a[ok], b[ok]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row that each of n rows is linked with, by the given pairs."""
     root = np.arange(n)
     while True:
@@ -156,7 +156,7 @@ def _links(pivots: PivotTable, key: np.ndarray, x: np.ndarray, part: np.ndarray,
             left = slice(at, min(at + 256, split if across else end))
             found.append(pivots.near_in_block(x, table, left, slice(split if across else at, end)))
     a, b = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
-    root = _roots(len(x), a, b)
+    root = roots(len(x), a, b)
     linked = np.nonzero(root != np.arange(len(x)))[0]
     return linked, root[linked]
 

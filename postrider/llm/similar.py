@@ -15,7 +15,7 @@ from ..operators.graph import components
 from ..plans.columns import only
 from ..plans.staging import stage
 from .chunks import mix
-from .simhash import majority, near_links, shingles
+from .simhash import majority, near_links, roots, shingles
 
 #: Two texts of similarity s share a min-hash key with probability 1 - (1 - s^ROWS)^KEYS: 0.9993 at 0.8.
 KEYS, ROWS = 24, 6
@@ -77,7 +77,11 @@ def similar_links(sets: list[np.ndarray], part: np.ndarray, cluster: np.ndarray,
 
 
 def verified_links(sets: DataFrame, least: float) -> DataFrame:
-    """(src, dst): links of ``least`` or more between rows (node, component, size, hashes) of one candidate component.
+    """(src, dst): what links of ``least`` or more connect among rows (node, component, size, hashes) of one candidate component.
+
+    A task gives each row that it finds linked with the smallest that these
+    links reach there, not the links themselves: chains of near copies would
+    take :func:`components` many rounds.
 
     A component that is too large for a task is dealt out in parts. First each
     part is linked within, then one row for each cluster found is compared with
@@ -88,8 +92,13 @@ def verified_links(sets: DataFrame, least: float) -> DataFrame:
 
     def compared(frame: pd.DataFrame) -> pd.DataFrame:
         links = similar_links([np.frombuffer(h, np.uint64) for h in frame["hashes"]], frame["part"].to_numpy(), frame["cluster"].to_numpy(), least)
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"src": [node[i] for i, _ in links], "dst": [node[j] for _, j in links]}, dtype="int64")
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        order = np.argsort(frame["node"].to_numpy())
+        rank = np.argsort(order)
+        low = roots(len(frame), rank[a], rank[b])
+        far = np.nonzero(low != np.arange(len(low)))[0]
+        node = frame["node"].to_numpy()[order]
+        return pd.DataFrame({"src": node[far], "dst": node[low[far]]}, dtype="int64")
 
     def parts_of(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("component").agg(F.ceil(F.sum("size") / TILE).cast("int").alias(name))

@@ -27,7 +27,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 def _shortened(e: DataFrame) -> DataFrame:
     while True:
-        up = stage(e.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n")))
+        # Not staged: both sides of the join below read one shuffle of the edges, and one side needs no other.
+        up = e.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n"))
         above = up.select(F.col("hi").alias("up"), F.col("up").alias("top"))
         top = stage(up.join(above, "up", "left").select("hi", "up", F.coalesce("top", "up").alias("top"), (F.col("top").isNotNull() | (F.col("n") > 1)).alias("open")))
         if not top.filter("open").head(1):

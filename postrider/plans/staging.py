@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,30 +25,44 @@ def stage(df: DataFrame) -> DataFrame:
 
     The files survive lost executors and give later plans true sizes, from
     which Spark itself decides whether a side is small enough to broadcast.
-    They go when the application ends.
+    They go when the application ends. Shuffle files of the plan go as soon as
+    they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def joins_by_shuffle(spark: SparkSession) -> Iterator[None]:
+def _with_conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written within it leaves no shuffle files behind.
+
+    Otherwise they stay until the driver happens to collect its garbage; those of
+    a loop of many steps add up, at some files for each task even of tiny tables.
+    """
+    return _with_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def joins_by_shuffle(spark: SparkSession) -> AbstractContextManager[None]:
     """Within it, Spark broadcasts no side of a join of its own accord.
 
     Each broadcast passes through the driver. In loops of many joins over staged
     tables these add up, and grow with the tables until each reaches Spark's limit.
     """
-    name = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "-1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return _with_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from postrider.llm.similar import without_similar
 
 
@@ -75,3 +77,12 @@ def test_stage(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(x.doc_id for x in kept.collect()) == plain_kept(rows)
+
+
+def test_links_of_a_chain_lead_to_the_smallest(spark):
+    """Chains of near copies would take many rounds of components."""
+    from postrider.llm.similar import verified_links
+
+    rows = [(100 - i, 1, 10, np.arange(i, i + 20, dtype=np.uint64).tobytes()) for i in range(30)]
+    links = verified_links(spark.createDataFrame(rows, "node long, component long, size long, hashes binary"), 0.8).collect()
+    assert sorted((x.src, x.dst) for x in links) == [(i, 71) for i in range(72, 101)]
