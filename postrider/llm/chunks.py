@@ -13,6 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,6 +22,10 @@ from ..plans.staging import shared_dir
 
 #: Words in a chunk; a document with more is a chunk of its own.
 WORDS = 1_000_000
+#: Rows whose texts are split at a time.
+SLICE = 500
+#: One for all values of a task, most of which are small.
+_UNZIP = zstandard.ZstdDecompressor()
 
 
 @dataclass
@@ -48,26 +53,47 @@ class Numbers(dict):
         return number
 
 
+def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
+    """(words in each text, all words one after the other); words are what ASCII white space parts, only A-Z are lower-cased."""
+    texts = texts.cast(pa.string()).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    found, text = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    # White space at an end of a text leaves an empty string there.
+    there = pc.not_equal(found, "")
+    return np.bincount(text[there.to_numpy(zero_copy_only=False)], minlength=len(texts)), found.filter(there)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], lower: bool, words: int = WORDS) -> Iterator[Chunk]:
     """Chunks of the rows of Arrow batches; the last column is the text, the others stay as tuples."""
-    rows, sizes, numbers, known = [], [], [], Numbers()
+    rows, sizes, found = [], [], []
     total = 0
 
     def chunk() -> Chunk:
-        return Chunk(rows, np.array(sizes, np.int64), np.concatenate(numbers), list(known))
-
-    for batch in batches:
-        others = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))
-        for row, text in zip(others, batch.columns[-1], strict=True):
-            raw = (text.as_py() or "").encode()
-            parts = (raw.lower() if lower else raw).split()
-            numbers.append(np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)))
-            rows.append(row)
-            sizes.append(len(parts))
-            total += len(parts)
-            if total >= words:
-                yield chunk()
-                rows, sizes, numbers, known, total = [], [], [], Numbers(), 0
+        # Numbers in the order in which words first occur.
+        known = pa.concat_arrays(found).dictionary_encode()
+        # As one value: a Python object for each word comes from one split, which is faster than Arrow's.
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(known.dictionary)], known.dictionary), "\n")[0].as_buffer().to_pybytes()
+        return Chunk(rows, np.concatenate(sizes).astype(np.int64), known.indices.to_numpy(), lines.split(b"\n") if lines else [])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            others = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))
+            n, named = split_words(batch.columns[-1], lower)
+            ends = np.cumsum(n)
+            row = 0
+            while row < len(n):
+                before = int(ends[row] - n[row])
+                # Up to the row that fills the chunk.
+                last = min(int(np.searchsorted(ends, before + words - total)) + 1, len(n))
+                rows += others[row:last]
+                sizes.append(n[row:last])
+                found.append(named.slice(before, int(ends[last - 1]) - before))
+                total += int(ends[last - 1]) - before
+                row = last
+                if total >= words:
+                    yield chunk()
+                    rows, sizes, found, total = [], [], [], 0
     if rows:
         yield chunk()
 
@@ -92,7 +118,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
+    raw = _UNZIP.decompress(value)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3)
     at, out = 8 + 24 * n, []
