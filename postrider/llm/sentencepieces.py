@@ -18,11 +18,11 @@ from ..plans.columns import only
 from .text import sliced
 
 #: Bytes, about, of the chunks that a Python worker remembers; the first ones stay. Only speed depends on it.
-REMEMBERED = 96_000_000
+REMEMBERED = 48_000_000
 #: Bytes that an entry takes besides its letters and ids: two objects and a place in the table.
 ENTRY = 250
-#: Texts that are encoded together: rows, and characters unless one has more.
-ROWS, LETTERS = 1000, 2_000_000
+#: Texts that are encoded together: rows, and bytes unless one has more. Their chunks, as objects, take some forty times that.
+ROWS, LETTERS = 1000, 250_000
 #: Fixed value: the letter that stands for a space in vocabularies.
 BLANK = "▁"
 
@@ -114,12 +114,14 @@ class MergeEncoder:
             text = b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")
             if text != c.replace(BLANK, " "):
                 odd[c] = text
-        if self.held < REMEMBERED:
-            self.known |= ids_of
-            self.odd |= odd
-            self.held += sum(ENTRY + 2 * len(c) + len(i) for c, i in ids_of.items())
-            return {}, {}
-        return ids_of, odd
+        for c, i in ids_of.items():
+            if self.held >= REMEMBERED:
+                return ids_of, odd
+            self.known[c] = i
+            if c in odd:
+                self.odd[c] = odd[c]
+            self.held += ENTRY + 2 * len(c) + len(i)
+        return {}, {}
 
     def batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Of each text the ids with the end, as bytes of int32, and what they decode to."""
@@ -148,6 +150,17 @@ def _encoder(model: bytes) -> MergeEncoder:
     return _ENCODERS[key]
 
 
+def encoded_batches(encoder: MergeEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of an id and a text, batches of the id, the ids of the encoding and what they decode to."""
+    for whole in batches:
+        for b in sliced(whole, 1, ROWS, LETTERS):
+            ids, decoded = encoder.batch(b.column(1).to_pylist())
+            ends = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, ids (array of int, end id last), decoded.
 
@@ -162,14 +175,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(raw.value)
-        for whole in batches:
-            for b in sliced(whole, 1, ROWS, LETTERS):
-                ids, decoded = encoder.batch(b.column(1).to_pylist())
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        return encoded_batches(_encoder(raw.value), batches)
 
     d = only(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     return d.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
