@@ -113,7 +113,8 @@ def is_forward(c: Column) -> Column:
 
 
 def quoted_reply(c: Column) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.regexp_replace(c, r"(?m)^", "> "))
+    """Each line behind a mark, an empty last one too; only line feeds end lines. Nothing of an empty text."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit("> "), F.replace(c, F.lit("\n"), F.lit("\n> "))))
 
 
 def normal_address(c: Column) -> Column:
